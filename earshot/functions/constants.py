@@ -61,3 +61,10 @@ CATALOG_ID = r"\A[A-Za-z0-9_-]{8,100}\z"
 
 # Weekday labels, Sunday first.
 DAY_NAMES = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+
+# Where catalog songs live and what providers are called.
+WATCH_URL = "https://www.youtube.com/watch?v="
+EMBED_URL = "https://www.youtube-nocookie.com/embed/"
+CATALOG_PROVIDER = "YouTube Music"
+SECOND_PROVIDER = "Spotify"
+SECOND_PROVIDER_URL = "https://open.spotify.com/"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _when_event(kind: str, value: Column | int) -> Column:
@@ -35,6 +35,24 @@ def add_up(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
+def largest(*names: str) -> dict[str, Column]:
+    return {name: F.max(name) for name in names}
+
+
+def rolled_up(rows: DataFrame, keys: list[str], texts: dict[str, Column], *sums: Column) -> DataFrame:
+    """Group by ``keys`` with aggregates over text columns and additive measures.
+
+    A text aggregate in the first pass would make Spark sort every row before its map-side step.
+    So the first pass groups by the text columns as well and only adds up, which hashes; the
+    second pass reduces the texts over what is left, about one row per group.
+    """
+    fine = [c for c in texts if c not in keys]
+    first = rows.groupBy(*keys, *fine).agg(*sums)
+    names = [c for c in first.columns if c not in (*keys, *fine)]
+    second = first.groupBy(*keys).agg(*[agg.alias(c) for c, agg in texts.items()], *add_up(*names))
+    return second.select(*keys, *texts, *names)
+
+
 def ranking(*keys: str, by: tuple[str, ...] = ("playtime", "plays", "views")) -> list[Column]:
     """Measures descending; group keys break ties, so that a limit is repeatable."""
     return [F.desc(m) for m in by] + [F.asc(key) for key in keys]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from earshot.functions.measures import add_up, playtime, plays
+from earshot.functions.measures import add_up, all_events, largest, playtime, plays, rolled_up
 from earshot.functions.text import contains_text
 from earshot.functions.timecols import epoch_seconds, iso, local_date
 from earshot.operators.credits import by_artist
@@ -85,7 +85,7 @@ def library_albums(listens: DataFrame, query: str | None = None, page: int = 1,
     rows = listens.filter(known("album_name"))
     if query:
         rows = rows.filter(contains_text(F.col("album_name"), query))
-    albums = rows.groupBy("album_name", "artist_name").agg(F.max("album_id").alias("album_id"), plays(), playtime())
+    albums = rolled_up(rows, ["album_name", "artist_name"], largest("album_id"), plays(), playtime())
     total = rows.agg(F.countDistinct("album_name")).scalar()
     return with_total(page_rows(albums, [F.asc("album_name"), F.asc("artist_name")], page, limit), total)
 
@@ -95,12 +95,8 @@ def library_tracks(listens: DataFrame, query: str | None = None, page: int = 1,
     page, limit = max(1, page), clamp(limit, 1, 500, 100)
     rows = listens if not query else listens.filter(contains_text(F.col("track_name"), query))
     keys = ["track_name", "artist_name", "album_name"]
-    tracks = rows.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in ("track_id", "album_id", "artist_id")],
-        plays(),
-        playtime(),
-        F.count(F.lit(1)).alias("_rows"),
-    )
+    ids = largest("track_id", "album_id", "artist_id")
+    tracks = rolled_up(rows, keys, ids, plays(), playtime(), all_events("_rows"))
     counted = tracks.agg(F.sum("_rows").alias("total"), F.count(F.lit(1)).alias("groups"))
     shown = page_rows(tracks.drop("_rows"), [F.asc(c) for c in keys], page, limit)
     shown = with_total(shown, counted.select("total").scalar())

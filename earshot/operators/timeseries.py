@@ -7,7 +7,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from earshot.functions import constants as k
-from earshot.functions.measures import change_state, intensity_level, pct_change, playtime, plays, views
+from earshot.functions.measures import (
+    change_state, intensity_level, largest, pct_change, playtime, plays, rolled_up, views,
+)
 from earshot.functions.text import blank
 from earshot.functions.timecols import iso, local_date, local_hour, local_month, local_weekday, local_year
 from earshot.params import Clock, between, ntz, rolling_days, time_filter
@@ -150,9 +152,7 @@ def this_week_range(spark: SparkSession, clock: Clock) -> DataFrame:
 
 def this_week_top_track(listens: DataFrame, clock: Clock) -> DataFrame:
     keys = ["track_name", "artist_name", "album_name"]
-    tracks = _this_week(listens, clock).groupBy(*keys).agg(
-        F.max("track_id").alias("track_id"), F.max("album_id").alias("album_id"), playtime(), plays()
-    )
+    tracks = rolled_up(_this_week(listens, clock), keys, largest("track_id", "album_id"), playtime(), plays())
     top = tracks.orderBy(F.desc("playtime"), F.desc("plays"), *keys).limit(1)
     return top.filter(~blank(F.col("track_name")))
 

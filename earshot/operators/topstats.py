@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions import constants as k
-from earshot.functions.measures import add_up, all_events, measures, playtime, plays, ranking, relative_bar, views
+from earshot.functions.measures import (
+    add_up, all_events, largest, measures, playtime, plays, ranking, relative_bar, rolled_up, views,
+)
 from earshot.functions.text import artist_id, blank, contains_text, credit_key
 from earshot.functions.timecols import iso, local_date
 from earshot.operators.credits import by_artist, credited_rows
@@ -29,18 +31,13 @@ def summary(listens: DataFrame, clock: Clock, filter: str | None = None) -> Data
 
 def top_tracks(listens: DataFrame, clock: Clock, filter: str | None = None, limit: int = 50) -> DataFrame:
     keys = ["track_name", "artist_name", "album_name"]
-    top = time_filter(listens, clock, filter).groupBy(*keys)
-    return (
-        top.agg(F.max("track_id").alias("track_id"), F.max("album_id").alias("album_id"), *measures())
-        .orderBy(*ranking(*keys))
-        .limit(limit)
-    )
+    rows = time_filter(listens, clock, filter)
+    tracks = rolled_up(rows, keys, largest("track_id", "album_id"), *measures())
+    return tracks.orderBy(*ranking(*keys)).limit(limit)
 
 
 def ranked_tracks(listens: DataFrame, clock: Clock, filter: str | None = None, limit: int = 50) -> DataFrame:
     """``top_tracks`` with rank and the length of its bar, as a chart shows it."""
-    from pyspark.sql import Window
-
     top = top_tracks(listens, clock, filter, limit)
     place = F.row_number().over(Window.orderBy(*ranking("track_name", "artist_name", "album_name")))
     leader = F.max("playtime").over(Window.partitionBy())
@@ -49,8 +46,8 @@ def ranked_tracks(listens: DataFrame, clock: Clock, filter: str | None = None, l
 
 def top_albums(listens: DataFrame, clock: Clock, filter: str | None = None, limit: int = 50) -> DataFrame:
     keys = ["album_name", "artist_name"]
-    albums = time_filter(listens, clock, filter).filter(known("album_name")).groupBy(*keys)
-    return albums.agg(F.max("album_id").alias("album_id"), *measures()).orderBy(*ranking(*keys)).limit(limit)
+    rows = time_filter(listens, clock, filter).filter(known("album_name"))
+    return rolled_up(rows, keys, largest("album_id"), *measures()).orderBy(*ranking(*keys)).limit(limit)
 
 
 def _artist_totals(listens: DataFrame, library: DataFrame | None) -> DataFrame:
@@ -77,37 +74,34 @@ def artist_summary(
 def artist_top_tracks(
     listens: DataFrame, clock: Clock, artist: str, library: DataFrame | None = None, filter: str | None = None, limit: int = 10
 ) -> DataFrame:
-    rows = credited_rows(time_filter(listens, clock, filter), artist, library).groupBy("track_name")
-    ids = [F.max("track_id").alias("track_id"), F.max("album_id").alias("album_id")]
-    return rows.agg(*ids, *measures()).orderBy(*ranking("track_name")).limit(limit)
+    rows = credited_rows(time_filter(listens, clock, filter), artist, library)
+    tracks = rolled_up(rows, ["track_name"], largest("track_id", "album_id"), *measures())
+    return tracks.orderBy(*ranking("track_name")).limit(limit)
 
 
 def artist_top_albums(
     listens: DataFrame, clock: Clock, artist: str, library: DataFrame | None = None, filter: str | None = None, limit: int = 10
 ) -> DataFrame:
     rows = credited_rows(time_filter(listens, clock, filter).filter(known("album_name")), artist, library)
-    albums = rows.groupBy("album_name").agg(F.max("album_id").alias("album_id"), *measures())
+    albums = rolled_up(rows, ["album_name"], largest("album_id"), *measures())
     return albums.orderBy(*ranking("album_name")).limit(limit)
 
 
-def _artist_of_largest_album():
-    """The artist on the row with the largest album id."""
-    return F.max_by("artist_name", F.struct("album_id", "artist_name")).alias("artist_name")
+def _album_texts() -> dict[str, Column]:
+    """The largest album id, and the artist on its row."""
+    return {"artist_name": F.max_by("artist_name", F.struct("album_id", "artist_name")), **largest("album_id")}
 
 
 def album_summary(listens: DataFrame, clock: Clock, album: str, filter: str | None = None) -> DataFrame:
     rows = time_filter(listens, clock, filter).filter((F.col("album_name") == album) & known("album_name"))
-    return rows.groupBy("album_name").agg(
-        _artist_of_largest_album(), F.max("album_id").alias("album_id"), *measures()
-    )
+    return rolled_up(rows, ["album_name"], _album_texts(), *measures())
 
 
 def album_tracks(listens: DataFrame, clock: Clock, album: str, filter: str | None = None) -> DataFrame:
     """Every track of the album; where artists differ, the first by name is shown."""
-    rows = time_filter(listens, clock, filter).filter(F.col("album_name") == album).groupBy("track_name")
-    return rows.agg(
-        F.min("artist_name").alias("artist_name"), F.max("track_id").alias("track_id"), *measures()
-    ).orderBy(*ranking("track_name"))
+    rows = time_filter(listens, clock, filter).filter(F.col("album_name") == album)
+    texts = {"artist_name": F.min("artist_name"), **largest("track_id")}
+    return rolled_up(rows, ["track_name"], texts, *measures()).orderBy(*ranking("track_name"))
 
 
 def album_daily(listens: DataFrame, clock: Clock, album: str) -> DataFrame:
@@ -118,21 +112,14 @@ def album_daily(listens: DataFrame, clock: Clock, album: str) -> DataFrame:
 
 
 def search_tracks(listens: DataFrame, clock: Clock, query: str, filter: str | None = None, limit: int = 5) -> DataFrame:
-    rows = time_filter(listens, clock, filter).filter(contains_text(F.col("track_name"), query)).groupBy("track_name")
-    found = rows.agg(
-        F.min("artist_name").alias("artist_name"),
-        F.max("track_id").alias("track_id"),
-        F.max("album_id").alias("album_id"),
-        *measures(),
-    )
-    return found.orderBy(*ranking("track_name")).limit(limit)
+    rows = time_filter(listens, clock, filter).filter(contains_text(F.col("track_name"), query))
+    texts = {"artist_name": F.min("artist_name"), **largest("track_id", "album_id")}
+    return rolled_up(rows, ["track_name"], texts, *measures()).orderBy(*ranking("track_name")).limit(limit)
 
 
 def search_albums(listens: DataFrame, clock: Clock, query: str, filter: str | None = None, limit: int = 5) -> DataFrame:
     rows = time_filter(listens, clock, filter).filter(contains_text(F.col("album_name"), query) & known("album_name"))
-    found = rows.groupBy("album_name").agg(
-        _artist_of_largest_album(), F.max("album_id").alias("album_id"), *measures()
-    )
+    found = rolled_up(rows, ["album_name"], _album_texts(), *measures())
     return found.orderBy(*ranking("album_name")).limit(limit)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from earshot.functions.measures import add_up, all_events, playtime, plays, ranking
+from earshot.functions.measures import add_up, all_events, largest, playtime, plays, ranking, rolled_up
 from earshot.functions.timecols import iso, local_date, local_month
 from earshot.operators.credits import by_artist
 from earshot.operators.topstats import known
@@ -39,17 +39,14 @@ def year_top_artists(listens: DataFrame, year: int, library: DataFrame | None =
 
 def year_top_tracks(listens: DataFrame, year: int, limit: int = 5) -> DataFrame:
     keys = ["track_name", "artist_name"]
-    tracks = year_range(listens, year).groupBy(*keys).agg(
-        F.max("track_id").alias("track_id"), F.max("album_id").alias("album_id"), playtime(), all_events()
-    )
+    tracks = rolled_up(year_range(listens, year), keys, largest("track_id", "album_id"), playtime(), all_events())
     return tracks.orderBy(*ranking(*keys, by=("playtime",))).limit(limit)
 
 
 def year_top_albums(listens: DataFrame, year: int, limit: int = 5) -> DataFrame:
     keys = ["album_name", "artist_name"]
-    albums = year_range(listens, year).filter(known("album_name")).groupBy(*keys).agg(
-        F.max("album_id").alias("album_id"), playtime(), all_events()
-    )
+    rows = year_range(listens, year).filter(known("album_name"))
+    albums = rolled_up(rows, keys, largest("album_id"), playtime(), all_events())
     return albums.orderBy(*ranking(*keys, by=("playtime",))).limit(limit)
 
 
