@@ -54,8 +54,8 @@ def recent_releases(
     people = chart_artists(chart, artists).select(
         "country", F.col("place").alias("_person"), F.col("id").alias("artist_id"), F.col("title").alias("_name")
     )
-    listed = first_per(details, ["artist_id", "section"], [F.asc("pos")], per_section, "_nth")
-    listed = listed.join(people, "artist_id")
+    listed = details.join(people, "artist_id")
+    listed = first_per(listed, ["country", "artist_id", "section"], [F.asc("pos")], per_section, "_nth")
     fallback = F.array(F.struct(F.col("_name").alias("name"), F.col("artist_id").alias("id"))).cast(ARTISTS_TYPE)
     listed = listed.withColumn("_fallback", fallback)
     # "albums" come before "singles" in text order as well.
@@ -106,21 +106,16 @@ def artist_page(heads: DataFrame, entries: DataFrame, songs: int = 30, related:
     def of(*sections: str) -> DataFrame:
         return rows.filter(F.col("section").isin(*sections))
 
-    def placed(df: DataFrame, limit: int) -> DataFrame:
-        # Albums precede singles.
-        cut = first_per(df, ["page_id"], [F.asc("section"), F.asc("pos"), F.asc("id")], limit)
-        return cut.select("page_id", "kind", "place", "id", "title", "artist")
+    def first(df: DataFrame, limit: int) -> DataFrame:
+        return first_per(df, ["page_id"], [F.asc("pos"), F.asc("id")], limit)
 
+    shown = ["page_id", "section", "pos", "kind", "id", "title", "artist"]
     other = normalize_artists(of("related"), kept=kept).withColumn("artist", F.col("title"))
     records = normalize_albums(of("albums", "singles"), kept=kept, fallback="_people")
-    # All records are shown; their place is left to the reader's order of section and pos.
-    records = records.select(
-        "page_id", "kind", F.lit(None).cast("int").alias("place"), "id", "title", "artist"
-    )
     return (
-        placed(normalize_songs(of("songs"), kept=kept, fallback="_people"), songs)
-        .unionByName(records)
-        .unionByName(placed(other, related))
+        first(normalize_songs(of("songs"), kept=kept, fallback="_people"), songs).select(*shown)
+        .unionByName(records.select(*shown))
+        .unionByName(first(other, related).select(*shown))
     )
 
 

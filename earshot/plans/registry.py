@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.plans import stats
+from earshot.plans import rest, stats
 from earshot.plans.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_GROUPS = [stats]
+_GROUPS = [stats, rest]
 
 
 def queries() -> dict[str, Query]:

@@ -81,6 +81,64 @@ select l.id as event_id, l.user_name, l.ts as received_at,
  nullif(l.artist_name, 'Unknown') as artist_name, nullif(l.album_name, 'Unknown') as release_name,
  case when l.id % 3 = 0 then null else l.duration * 1000 + 500 end as duration_ms, l.timestamp
 from listens l""",
+    # parsed payloads
+    "parsed": """
+select event_id, user_name, received_at, track_name, coalesce(artist_name, 'Unknown') as artist_name,
+ coalesce(release_name, 'Unknown') as album_name, duration_ms,
+ case when listen_type = 'playing_now' then 'view' else 'play' end as event_type from raw_listens""",
+    "exact_files": """
+select title, artist, min(id) as id from media_file group by title, artist""",
+    "resolved": r"""
+select p.track_name, p.artist_name, e.id as exact_id, c.id as clean_id,
+ case when e.id is null and c.id is null then (select min(f.id) from media_file f where f.artist = p.artist_name
+   and contains(lower(f.title), lower(substring(p.track_name, 1, 50)))) end as fuzzy_id
+from (select distinct track_name, artist_name,
+   trim(regexp_replace(regexp_replace(regexp_replace(track_name, '\s*\(.*?\)\s*', '', 'g'), '\s*\[.*?\]\s*', '', 'g'),
+     '\s*feat\..*', '', 'i')) as cleaned from parsed) p
+left join exact_files e on e.title = p.track_name and e.artist = p.artist_name
+left join exact_files c on c.title = p.cleaned and c.artist = p.artist_name and p.cleaned <> p.track_name""",
+    "enriched": """
+select p.event_id, p.user_name, p.received_at, p.track_name, p.artist_name, p.album_name, p.event_type,
+ coalesce(m.id, '') as track_id, coalesce(m.album_id, '') as album_id, coalesce(m.artist_id, '') as artist_id,
+ cast(coalesce(nullif(m.duration, 0), cast(floor(p.duration_ms / 1000 + 0.5) as int), 0) as int) as duration,
+ coalesce(m.genre, '') as genre,
+ case when r.exact_id is not null then 'exact' when r.clean_id is not null then 'clean'
+      when r.fuzzy_id is not null then 'fuzzy' else 'none' end as tier
+from parsed p join resolved r on r.track_name = p.track_name and r.artist_name = p.artist_name
+left join media_file m on m.id = coalesce(r.exact_id, r.clean_id, r.fuzzy_id)""",
+    "blanked": """
+select id, user_name, track_name, artist_name, album_name, case when id % 3 = 0 then '' else track_id end as track_id,
+ case when id % 3 = 0 then '' else album_id end as album_id, case when id % 3 = 0 then '' else artist_id end as artist_id,
+ cast(case when id % 3 = 0 then 0 else duration end as int) as duration,
+ case when id % 3 = 0 then '' else genre end as genre, event_type, ts from listens""",
+    "legacy": """
+select id, concat(artist_name, ' - ', track_name, ' (Audio)') as track_name, artist_name as person, track_name as title,
+ concat('old-', track_id) as track_id from listens""",
+    # catalog songs after normalisation
+    "songs": """
+select concat('v', lpad(cast(file_key as varchar), 9, '0')) as id, title,
+ case when artist <> 'Unknown' then album_artist end as own_artist, album, case when has_cover_art then album_id end as own_album_id,
+ album_id as page_album, artist_id as page_artist, album_artist, genre, file_key as pos, duration, track_number > 15 as explicit,
+ case genre when 'LARGE' then 'http://i.ytimg.com/a.jpg' when 'SMALL' then 'https://notytimg.com/a.jpg'
+   else concat('https://i.ytimg.com/t', cast(file_key as varchar)) end as image
+from media_file where genre <> '' and not missing""",
+    "nation_codes": """
+select cast(i as int) as nation, ['ZZ','AR','AU','AT','BE','BO','BR','CA','CL','CO','CR','CZ','DK','DO','EC','EG','SV','EE',
+ 'FI','FR','DE','GT','HN','HK','HU'][i + 1] as country from range(25) r(i)""",
+    "lists": """
+select n.country, s.s_suppkey as pos, concat('ar-', cast(s.s_suppkey as varchar)) as playlist_id,
+ concat(case when s_acctbal > 8000 then 'DAILY TOP MUSIC videos ' when s_acctbal > 5000 then 'Top 100 Music videos '
+   when s_acctbal > 2000 then 'Trending ' else 'Mix ' end, s.s_name) as title,
+ case when s_acctbal > 8000 then 0 when s_acctbal > 5000 then 1 when s_acctbal > 2000 then 2 end as kind
+from supplier s join nation_codes n on n.nation = s.s_nationkey""",
+    "picked": """
+select country, playlist_id, title from lists where kind is not null
+qualify row_number() over (partition by country order by kind, pos) = 1""",
+    "chart_people": """
+select n.country, cast(row_number() over (partition by n.country order by c.c_custkey) as int) as place,
+ concat('c', cast(c.c_custkey as varchar)) as id, c.c_name as title, c.c_mktsegment as subscribers,
+ cast(c.c_custkey as varchar) as rank
+from customer c join nation_codes n on n.nation = c.c_nationkey""",
 }
 
 MEASURES = """cast(sum(case when event_type = 'view' then 1 else 0 end) as bigint) as views,

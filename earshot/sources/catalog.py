@@ -51,8 +51,13 @@ def names(people: Column) -> Column:
 
 
 def _parsed(entries: DataFrame, payload: str, schema: str, kept: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Add the parsed ``_doc``.
+
+    It comes out of a one-element explode, because a filter on a plain column would be pushed below
+    the projection together with a second copy of the parsing.
+    """
     kept = [c for c in entries.columns if c != payload] if kept is None else kept
-    return entries.withColumn("_doc", F.from_json(payload, schema)), kept
+    return entries.withColumn("_doc", F.explode(F.array(F.from_json(payload, schema)))), kept
 
 
 def normalize_songs(

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from earshot.functions.constants import COUNTRIES
 from earshot.params import Clock
 from earshot.sources.listens import LISTEN_COLUMNS
 
@@ -205,3 +206,208 @@ def track_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_listens(spark, sf_dir)
     artist = F.coalesce("artist_name", F.lit("Unknown"))
     return raw.select(F.col("track_name").alias("track"), artist.alias("artist")).distinct()
+
+
+# -- landed catalog entries ---------------------------------------------------------------------
+
+
+def _country(nation: Column) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in COUNTRIES]), nation)
+
+
+def _brand_number(c: Column) -> Column:
+    return F.regexp_extract(c, r"#(\d+)", 1).cast("int")
+
+
+def song_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every library file as a catalog song: some without id, artists or album object, some gone."""
+    f = media_file(spark, sf_dir)
+    people = F.array(F.struct(F.col("album_artist").alias("name"), F.col("artist_id").alias("id")))
+    url = (
+        F.when(F.col("genre") == "LARGE", F.lit("http://i.ytimg.com/a.jpg"))
+        .when(F.col("genre") == "SMALL", F.lit("https://notytimg.com/a.jpg"))
+        .otherwise(F.concat(F.lit("https://i.ytimg.com/"), "id"))
+    )
+    common = [
+        F.when(F.col("genre") != "", F.concat(F.lit("v"), F.lpad(_text(F.col("file_key")), 9, "0"))).alias("videoId"),
+        "title",
+        F.when(F.col("artist") != "Unknown", people).alias("artists"),
+        (~F.col("missing")).alias("isAvailable"),
+        F.array(F.struct(F.lit("small").alias("url")), F.struct(url.alias("url"))).alias("thumbnails"),
+        _text(F.col("duration")).alias("duration"),
+        F.col("duration").alias("duration_seconds"),
+        (F.col("track_number") > 15).alias("isExplicit"),
+    ]
+    record = F.struct(F.col("album").alias("name"), F.col("album_id").alias("id"))
+    as_object = F.to_json(F.struct(*common, record.alias("album")))
+    as_text = F.to_json(F.struct(*common, F.col("album")))
+    return f.select(
+        "artist_id", "album_id", "genre", F.col("file_key").alias("pos"),
+        F.when(F.col("has_cover_art"), as_object).otherwise(as_text).alias("payload"),
+    )
+
+
+def release_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a release of its customer; releases of one day share an id."""
+    orders = table(spark, sf_dir, "orders")
+    single = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    doc = F.struct(
+        F.concat(F.lit("r"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("browseId"),
+        F.concat(F.lit("Release "), _text(F.col("o_orderkey"))).alias("title"),
+        _text(F.year("o_orderdate")).alias("year"),
+        F.when(single, F.lit("Single")).alias("type"),
+    )
+    return orders.select(
+        F.concat(F.lit("c"), _text(F.col("o_custkey"))).alias("artist_id"),
+        F.when(single, F.lit("singles")).otherwise(F.lit("albums")).alias("section"),
+        F.col("o_orderkey").alias("pos"),
+        F.to_json(doc).alias("payload"),
+    )
+
+
+def chart_artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as an artist in the chart of its nation."""
+    c = table(spark, sf_dir, "customer")
+    doc = F.struct(
+        F.concat(F.lit("c"), _text(F.col("c_custkey"))).alias("browseId"), F.col("c_name").alias("title"),
+        F.col("c_mktsegment").alias("subscribers"), _text(F.col("c_custkey")).alias("rank"),
+    )
+    return c.select(_country(F.col("c_nationkey")).alias("country"), F.col("c_custkey").alias("pos"), F.to_json(doc).alias("payload"))
+
+
+def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a playlist of its nation, of a kind that depends on its balance."""
+    s = table(spark, sf_dir, "supplier")
+    kind = (
+        F.when(F.col("s_acctbal") > 8000, F.lit("DAILY TOP MUSIC videos "))
+        .when(F.col("s_acctbal") > 5000, F.lit("Top 100 Music videos "))
+        .when(F.col("s_acctbal") > 2000, F.lit("Trending "))
+        .otherwise(F.lit("Mix "))
+    )
+    return s.select(
+        _country(F.col("s_nationkey")).alias("country"), F.col("s_suppkey").alias("pos"),
+        F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("playlist_id"), F.concat(kind, "s_name").alias("title"),
+    )
+
+
+def playlist_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return song_entries(spark, sf_dir).select(F.col("artist_id").alias("playlist_id"), "pos", "payload")
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search per genre: its songs, and the artists and albums they belong to."""
+    f = media_file(spark, sf_dir).filter("genre <> ''")
+    songs = song_entries(spark, sf_dir).filter("genre <> ''")
+    songs = songs.select(F.col("genre").alias("query"), F.lit("songs").alias("kind"), "pos", "payload")
+    people = f.select("genre", "artist_id", "album_artist").distinct()
+    doc = F.to_json(F.struct(F.col("artist_id").alias("browseId"), F.col("album_artist").alias("artist")))
+    number = F.substring("artist_id", 4, 20).cast("bigint")
+    people = people.select(F.col("genre").alias("query"), F.lit("artists").alias("kind"), number.alias("pos"), doc.alias("payload"))
+    albums = f.select("genre", "album_id").distinct()
+    doc = F.to_json(F.struct(F.col("album_id").alias("browseId"), F.concat(F.lit("Album "), "album_id").alias("title")))
+    number = _brand_number(F.col("album_id")).cast("bigint")
+    albums = albums.select(F.col("genre").alias("query"), F.lit("albums").alias("kind"), number.alias("pos"), doc.alias("payload"))
+    return songs.unionByName(people).unionByName(albums)
+
+
+def artist_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("page_id"), F.col("s_name").alias("name"))
+
+
+def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs, records and related artists of every artist page."""
+    f = media_file(spark, sf_dir)
+    songs = song_entries(spark, sf_dir).select(F.col("artist_id").alias("page_id"), F.lit("songs").alias("section"), "pos", "payload")
+    number = _brand_number(F.col("album_id"))
+    records = f.select("artist_id", "album_id").distinct()
+    doc = F.to_json(F.struct(F.col("album_id").alias("browseId"), F.concat(F.lit("Album "), "album_id").alias("title")))
+    records = records.select(
+        F.col("artist_id").alias("page_id"), F.when(number > 20, F.lit("singles")).otherwise(F.lit("albums")).alias("section"),
+        number.cast("bigint").alias("pos"), doc.alias("payload"),
+    )
+    n = F.lit(row_count(spark, sf_dir, "supplier"))
+    other = f.select("artist_id", ((F.col("file_key") * 7 + 3) % n).alias("s_suppkey")).distinct()
+    other = other.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    doc = F.to_json(F.struct(F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("id"), F.col("s_name").alias("name")))
+    other = other.select(
+        F.col("artist_id").alias("page_id"), F.lit("related").alias("section"), F.col("s_suppkey").alias("pos"), doc.alias("payload")
+    )
+    return songs.unionByName(records).unionByName(other)
+
+
+def album_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    albums = media_file(spark, sf_dir).select("album_id").distinct()
+    people = F.array(F.struct(F.lit("Various").alias("name"), F.lit("va").alias("id")))
+    return albums.select(
+        F.col("album_id").alias("page_id"), F.concat(F.lit("Album "), "album_id").alias("title"),
+        F.lit("https://yt3.ggpht.com/cover").alias("image"), people.alias("artists"),
+    )
+
+
+def album_page_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return song_entries(spark, sf_dir).select(F.col("album_id").alias("page_id"), "pos", "payload")
+
+
+def second_provider_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every library file as a track of the second provider; some wrapped, some bare or blank."""
+    f = media_file(spark, sf_dir)
+    link = F.when(F.col("track_number") > 5, F.struct(F.concat(F.lit("https://x/"), "id").alias("spotify")))
+    images = F.when(
+        F.col("track_number") > 10, F.array(F.struct(F.lit("i0").alias("url")), F.struct(F.lit("i1").alias("url")))
+    ).otherwise(F.array(F.struct(F.lit("i0").alias("url"))))
+    record = F.struct(
+        F.col("album").alias("name"), F.when(F.col("has_cover_art"), images).alias("images"), F.col("updated_at").alias("release_date")
+    )
+    people = F.array(F.struct(F.col("album_artist").alias("name")), F.struct(F.lit("Guest").alias("name")))
+    track = F.struct(
+        "id", F.when(F.col("genre") != "", F.col("title")).alias("name"),
+        F.when(F.col("artist") != "Unknown", people).alias("artists"), F.col("duration").alias("popularity"),
+        link.alias("external_urls"), record.alias("album"),
+    )
+    wrapped = F.to_json(F.struct(track.alias("track")))
+    return f.select(F.when(F.col("missing"), wrapped).otherwise(F.to_json(track)).alias("payload"))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs and albums as a discovery feed shows them."""
+    from earshot.sources.catalog import normalize_songs
+
+    shown = ["id", "kind", "title", "artist"]
+    songs = normalize_songs(song_entries(spark, sf_dir), kept=[]).select(*shown)
+    albums = media_file(spark, sf_dir).filter("artist <> 'Unknown'").select("album_id", "album", "artist").distinct()
+    albums = albums.select(
+        F.concat(F.lit("rec-"), "album_id").alias("id"), F.lit("album").alias("kind"), F.upper("album").alias("title"), "artist"
+    )
+    return songs.unionByName(albums)
+
+
+def wanted_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was heard, as recordings to look up; views carry the artist in the title."""
+    from earshot.functions.credits import with_artists
+
+    rows = listens(spark, sf_dir).select("track_name", "artist_name", "event_type").distinct()
+    prefixed = F.concat("artist_name", F.lit(" - "), "track_name", F.lit(" [Lyrics] feat. Someone"))
+    title = F.when(F.col("event_type") == "view", prefixed).otherwise(F.col("track_name"))
+    rows = with_artists(rows.withColumn("title", title), "artist_name")
+    return rows.select(
+        F.concat_ws("|", "event_type", "track_name", "artist_name").alias("wanted_id"), "title",
+        F.col("artists.name").alias("artists"),
+    )
+
+
+def recording_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every library file as a search hit: files with a cover as songs, the rest as videos."""
+    f = media_file(spark, sf_dir)
+    video = F.concat("album_artist", F.lit(" - "), "title", F.lit(" (Official Video)"))
+    return f.select(
+        F.when(F.col("has_cover_art"), F.lit("songs")).otherwise(F.lit("videos")).alias("source"),
+        F.col("file_key").alias("pos"), "id", F.when(F.col("has_cover_art"), F.col("title")).otherwise(video).alias("title"),
+        F.array("album_artist").alias("artists"),
+    )
+
+
+def artist_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer and supplier as an artist found by search."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
+    return s.select("pos", F.concat(F.lit("ar-"), _text(F.col("pos"))).alias("id"), F.upper("title").alias("title"))
