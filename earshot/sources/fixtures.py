@@ -19,17 +19,23 @@ AS_OF = Clock(datetime(2024, 1, 30, 23, 59, 59))
 AS_OF_LONG = Clock(datetime(2001, 11, 4, 23, 59, 59))
 
 
+@lru_cache(maxsize=None)
+def _table(sf_dir: str, name: str, app: str) -> DataFrame:
+    return SparkSession.getActiveSession().read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read once per application."""
+    return _table(sf_dir, name, spark.sparkContext.applicationId)
 
 
 @lru_cache(maxsize=None)
 def _rows(sf_dir: str, name: str, app: str) -> int:
-    return table(SparkSession.getActiveSession(), sf_dir, name).count()
+    return _table(sf_dir, name, app).count()
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """A table's row count, read from the Parquet footers once per session."""
+    """A table's row count, read from the Parquet footers once per application."""
     return _rows(sf_dir, name, spark.sparkContext.applicationId)
 
 
