@@ -9,41 +9,36 @@ from earshot.functions.credits import with_artists
 from earshot.functions.measures import largest
 from earshot.functions.text import artist_name_from_id, blank, cover_key, from_base64url
 from earshot.operators.credits import credit_dimension, credit_dimension_rows
-from earshot.operators.matching import match_legacy_titles
+from earshot.operators.matching import legacy_files, with_legacy_keys
 from earshot.sources.library import visible, with_optional_columns
 
 _COLUMNS = ["cover_id", "kind", "name", "artist", "key", "native_id", "has_art"]
 
 
-def _described(rows: DataFrame, kind, name: Column, artist, key: Column, native, has_art) -> DataFrame:
-    def text(c) -> Column:
-        return F.lit(c).cast("string") if c is None or isinstance(c, str) else c.cast("string")
-
-    return rows.select(
-        "cover_id", text(kind).alias("kind"), name.alias("name"), text(artist).alias("artist"), key.alias("key"),
-        text(native).alias("native_id"),
-        (F.lit(has_art).cast("boolean") if has_art is None or isinstance(has_art, bool) else has_art).alias("has_art"),
-    )
-
-
-def _encoded(ids: DataFrame) -> DataFrame:
-    """Ids that carry their own description; malformed ones describe nothing."""
-    doc = F.from_json(from_base64url(F.substring("cover_id", 7, 1 << 30)), "kind string, name string, artist string")
-    rows = ids.filter(F.col("cover_id").startswith("cover-")).withColumn("_d", doc)
-    fits = F.col("_d.kind").isin("song", "album")
-    for field in ("name", "artist"):
-        fits = fits & (F.length(F.col(f"_d.{field}")) <= 300)
-    key = F.concat(F.lit("cover:"), F.col("cover_id"))
-    return _described(rows.filter(fits), F.col("_d.kind"), F.col("_d.name"), F.col("_d.artist"), key, None, False)
+def with_cover_id(rows: DataFrame) -> DataFrame:
+    """Add ``cover_id`` where a named track or album of an artist has neither album nor track id."""
+    lacking = {c: F.lit("") for c in ("track_name", "album_name", "track_id", "album_id") if c not in rows.columns}
+    full = {c: lacking.get(c, F.col(c)) for c in ("track_name", "album_name", "artist_name", "track_id", "album_id")}
+    named = ~blank(full["artist_name"]) & ~(blank(full["track_name"]) & blank(full["album_name"]))
+    nameless_ids = blank(full["album_id"]) & blank(full["track_id"])
+    return rows.withColumn("cover_id", F.when(named & nameless_ids, cover_key(**full)))
 
 
-def _first_person(rows: DataFrame, credit: str) -> DataFrame:
-    return with_artists(rows, credit, out="_people").withColumn("_person", F.get("_people", F.lit(0))["name"]).drop("_people")
+def _files_by_id(library: DataFrame) -> DataFrame:
+    """The first file behind each file id and each album id."""
+    files = with_optional_columns(library).withColumn("file", F.struct("id", "title", "artist", "album_id", "has_cover_art"))
+    keyed = files.select(F.explode(F.array_distinct(F.array("id", "album_id"))).alias("cover_id"), "file")
+    return keyed.groupBy("cover_id").agg(F.min("file").alias("file"))
 
 
-def _person_row(rows: DataFrame) -> DataFrame:
-    person = F.col("_person")
-    return _described(rows, "artist", person, None, F.concat(F.lit("artist:"), F.lower(person)), None, None)
+def _listens_by_id(listens: DataFrame) -> DataFrame:
+    """The first listen behind each album, track and artist id."""
+    fields = ["track_name", "artist_name", "album_id", "track_id", "artist_id"]
+    # One row per combination of names and ids, before it is listed under each of its ids.
+    heard = listens.groupBy(*fields).agg(F.min("id").alias("id"))
+    each = F.explode(F.array_distinct(F.array("album_id", "track_id", "artist_id")))
+    heard = heard.withColumn("cover_id", each).filter(~blank(F.col("cover_id")))
+    return heard.groupBy("cover_id").agg(F.min(F.struct("id", *fields)).alias("listen"))
 
 
 def describe_covers(
@@ -53,58 +48,70 @@ def describe_covers(
 
     In order: an encoded description, an encoded artist, a row of the optional ``artists`` table, a
     library file by file or album id, a listen by any of its ids.  A listen titled "Artist - Title"
-    is traced to its file where there is one.
+    is traced to its file where there is one.  Every id passes once through the left joins, and the
+    first source that knows it is chosen at the end.
     """
-    ids = ids.select("cover_id").distinct()
-    name = artist_name_from_id(F.col("cover_id"))
-    plain = ids.filter(~F.col("cover_id").startswith("cover-")).withColumn("_name", name)
-    coded = plain.filter(~blank(F.col("_name")))
-    out = _encoded(ids).unionByName(
-        _described(coded, "artist", F.col("_name"), None, F.concat(F.lit("artist:"), F.col("_name")), None, None)
-    )
-    rest = plain.filter(blank(F.col("_name"))).drop("_name")
-    cover = F.concat(F.lit("cover:"), F.col("cover_id"))
-
+    cover_id = F.col("cover_id")
+    rows = ids.select("cover_id").distinct()
+    rows = rows.join(_files_by_id(library), "cover_id", "left").join(_listens_by_id(listens), "cover_id", "left")
+    credit = F.col("listen.artist_name")
+    known_artist = F.lit(False)
     if artists is not None:
-        people = artists.select(F.col("id").alias("cover_id"), F.col("name").alias("_credit"))
-        out = out.unionByName(_person_row(_first_person(rest.join(people, "cover_id"), "_credit")))
-        rest = rest.join(people, "cover_id", "left_anti")
-
-    files = with_optional_columns(library).withColumn("file", F.struct("id", "title", "artist", "album_id", "has_cover_art"))
-    by_key = files.select(F.col("id").alias("cover_id"), "file").union(files.select(F.col("album_id").alias("cover_id"), "file"))
-    by_key = by_key.groupBy("cover_id").agg(F.min("file").alias("file"))
-
-    # One row per combination of names and ids, numbered by its first listen.
-    fields = ["track_name", "artist_name", "album_id", "track_id", "artist_id"]
-    heard = listens.groupBy(*fields).agg(F.min("id").alias("id"))
-    each = F.explode(F.array_distinct(F.array("album_id", "track_id", "artist_id")))
-    heard = heard.withColumn("cover_id", each).filter(~blank(F.col("cover_id")))
-    heard = heard.groupBy("cover_id").agg(F.min(F.struct("id", *fields)).alias("listen"))
-
-    found = rest.join(by_key, "cover_id", "left").join(heard, "cover_id", "left")
-    in_library = found.filter(F.col("file").isNotNull())
-    native = F.coalesce(F.nullif(F.col("file.album_id"), F.lit("")), F.col("file.id"))
-    shown = F.coalesce(F.col("file.has_cover_art"), F.lit(True))
-    out = out.unionByName(
-        _described(in_library, "song", F.col("file.title"), F.col("file.artist"), cover, native, shown)
-    )
+        people = artists.select(F.col("id").alias("cover_id"), F.col("name").alias("_listed"))
+        rows = rows.join(people, "cover_id", "left")
+        known_artist = F.col("_listed").isNotNull()
+        credit = F.coalesce(F.col("_listed"), credit)
+    rows = rows.withColumn("_old", F.when(F.col("file").isNull(), F.col("listen.track_name"))).withColumn("_credit", credit)
+    rows = with_legacy_keys(rows.withColumn("_old", F.coalesce("_old", cover_id)), "_old")
+    rows = rows.join(legacy_files(library), ["_person", "_title"], "left")
+    rows = with_artists(rows, "_credit", out="_people").withColumn("_person", F.get("_people", F.lit(0))["name"])
+
+    described = F.from_json(from_base64url(F.substring(cover_id, 7, 1 << 30)), "kind string, name string, artist string")
+    rows = rows.withColumn("_said", F.when(cover_id.startswith("cover-"), described))
+    rows = rows.withColumn("_coded", F.nullif(artist_name_from_id(cover_id), F.lit("")))
+    said, file, listen, legacy = (F.col(c) for c in ("_said", "file", "listen", "legacy"))
+    well_formed = said["kind"].isin("song", "album") & (F.length(said["name"]) <= 300) & (F.length(said["artist"]) <= 300)
+
+    cover = F.concat(F.lit("cover:"), cover_id)
+    song, artist = F.lit("song"), F.lit("artist")
+    no_text, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    person = F.col("_person")
 
-    only_heard = found.filter(F.col("file").isNull() & F.col("listen").isNotNull()).select("cover_id", "listen.*")
-    legacy = match_legacy_titles(only_heard, library).select(
-        "track_name", F.struct("file_id", "title", "artist", F.col("album_id").alias("album")).alias("legacy")
-    )
-    only_heard = only_heard.join(legacy, "track_name", "left")
-    traced = only_heard.filter(F.col("legacy").isNotNull())
-    native = F.coalesce(F.nullif(F.col("legacy.album"), F.lit("")), F.col("legacy.file_id"))
-    out = out.unionByName(
-        _described(traced, "song", F.col("legacy.title"), F.col("legacy.artist"), cover, native, True)
-    )
-    untraced = only_heard.filter(F.col("legacy").isNull())
-    is_artist = F.coalesce(F.col("artist_id") == F.col("cover_id"), F.lit(False))
-    out = out.unionByName(_person_row(_first_person(untraced.filter(is_artist), "artist_name")))
-    return out.unionByName(
-        _described(untraced.filter(~is_artist), "song", F.col("track_name"), F.col("artist_name"), cover, F.col("cover_id"), True)
-    )
+    def description(kind, name, by, key, native, shown):
+        values = dict(kind=kind, name=name, artist=by, key=key, native_id=native, has_art=shown)
+        return F.struct(*[value.alias(field) for field, value in values.items()])
+
+    by_person = description(artist, person, no_text, F.concat(F.lit("artist:"), F.lower(person)), no_text, no_flag)
+    sources = [
+        (cover_id.startswith("cover-") & ~F.coalesce(well_formed, F.lit(False)), F.lit(None)),
+        (cover_id.startswith("cover-"), description(said["kind"], said["name"], said["artist"], cover, no_text, F.lit(False))),
+        (
+            F.col("_coded").isNotNull(),
+            description(artist, F.col("_coded"), no_text, F.concat(F.lit("artist:"), F.col("_coded")), no_text, no_flag),
+        ),
+        (known_artist, by_person),
+        (
+            file.isNotNull(),
+            description(
+                song, file["title"], file["artist"], cover, F.coalesce(F.nullif(file["album_id"], F.lit("")), file["id"]),
+                F.coalesce(file["has_cover_art"].cast("boolean"), F.lit(True)),
+            ),
+        ),
+        (
+            listen.isNotNull() & legacy.isNotNull(),
+            description(
+                song, legacy["title"], legacy["artist"], cover,
+                F.coalesce(F.nullif(legacy["album_id"], F.lit("")), legacy["id"]), F.lit(True),
+            ),
+        ),
+        (listen["artist_id"] == cover_id, by_person),
+        (listen.isNotNull(), description(song, listen["track_name"], listen["artist_name"], cover, cover_id, F.lit(True))),
+    ]
+    chosen = None
+    for known, value in sources:
+        chosen = F.when(known, value) if chosen is None else chosen.when(known, value)
+    rows = rows.select("cover_id", chosen.alias("d")).filter(F.col("d").isNotNull())
+    return rows.select("cover_id", *[F.col(f"d.{c}").alias(c) for c in _COLUMNS if c != "cover_id"])
 
 
 def heard_covers(listens: DataFrame) -> DataFrame:
@@ -122,18 +129,25 @@ def artwork_worklist(listens: DataFrame, library: DataFrame, artists: DataFrame
 
     Credited artists come first, then visible files known to lack a cover, then the history's covers.
     """
+    def target(source: int, name: Column, by: Column, key: Column, native: Column, kind: str, shown: Column) -> list[Column]:
+        texts = dict(kind=F.lit(kind), name=name, artist=by, key=key, native_id=native)
+        columns = [value.cast("string").alias(field) for field, value in texts.items()]
+        return [*columns, shown.cast("boolean").alias("has_art"), F.lit(source).alias("_from")]
+
+    none = F.lit(None)
     people = credit_dimension_rows(credit_dimension(listens, library)).filter(F.col("artist_name") != k.UNKNOWN)
-    people = people.groupBy("artist_id").agg(F.min("artist_name").alias("_person"))
-    targets = _person_row(people.withColumn("cover_id", F.col("artist_id"))).withColumn("_from", F.lit(0))
+    people = people.groupBy("artist_id").agg(F.min("artist_name").alias("name"))
+    person_key = F.concat(F.lit("artist:"), F.lower("name"))
+    targets = people.select(*target(0, F.col("name"), none, person_key, none, "artist", none))
 
     files = visible(with_optional_columns(library)).filter(F.col("has_cover_art").cast("boolean") == F.lit(False))
-    files = files.select(F.col("album_id").alias("cover_id"), "id", "title", "artist")
-    first = files.groupBy("cover_id").agg(F.min(F.struct("id", "title", "artist")).alias("f"))
-    key = F.concat(F.lit("cover:"), F.col("cover_id"))
-    bare = _described(first, "song", F.col("f.title"), F.col("f.artist"), key, F.col("cover_id"), False)
-    targets = targets.unionByName(bare.withColumn("_from", F.lit(1)))
+    first = files.groupBy("album_id").agg(F.min(F.struct("id", "title", "artist")).alias("f"))
+    album_key = F.concat(F.lit("cover:"), F.col("album_id"))
+    targets = targets.unionByName(
+        first.select(*target(1, F.col("f.title"), F.col("f.artist"), album_key, F.col("album_id"), "song", F.lit(False)))
+    )
 
-    described = describe_covers(heard_covers(listens), library, listens, artists)
+    described = describe_covers(heard_covers(listens), library, listens, artists).drop("cover_id")
     targets = targets.unionByName(described.withColumn("_from", F.lit(2)))
     fields = [c for c in _COLUMNS if c not in ("key", "cover_id")]
     best = targets.groupBy("key").agg(F.min(F.struct("_from", *fields)).alias("t"))

@@ -88,14 +88,24 @@ def distinct_artists(listens: DataFrame, library: DataFrame | None = None) -> Da
     return per_credit.groupBy("artist_id").agg(F.min("artist_name").alias("artist_name"))
 
 
-def credited_rows(listens: DataFrame, artist: str, library: DataFrame | None = None) -> DataFrame:
+# Up to this many credits a filter lists them; a driver-side list stays this small.
+LISTED_CREDITS = 10_000
+
+
+def credited_rows(
+    listens: DataFrame, artist: str, library: DataFrame | None = None, listed: int = LISTED_CREDITS
+) -> DataFrame:
     """Listens whose credit includes exactly this artist.
 
-    Credits are split once per distinct credit; the fact is then filtered by a semi join on the
-    credits that matched, before any aggregation.
+    Credits are split once per distinct credit.  The credits that include the artist are counted as
+    they are fetched: a short list becomes a filter on the scan, so that no listen is shuffled, and
+    a longer one a semi join.
     """
     credits = _split(listens.select("artist_name").filter(~blank(F.col("artist_name"))).distinct(), "artist_name", library)
     # The wanted id is itself a column, so that both sides go through one normalisation.
     credits = credits.withColumn("_wanted", credit_key(F.lit(artist))).withColumn("_wanted", artist_id(F.col("_wanted")))
-    wanted = credits.filter(F.exists("artists", lambda a: a["id"] == F.col("_wanted")))
-    return listens.join(wanted.select("artist_name"), "artist_name", "left_semi")
+    wanted = credits.filter(F.exists("artists", lambda a: a["id"] == F.col("_wanted"))).select("artist_name")
+    few = wanted.limit(listed + 1).collect()
+    if len(few) <= listed:
+        return listens.filter(F.col("artist_name").isin([row.artist_name for row in few]))
+    return listens.join(wanted, "artist_name", "left_semi")

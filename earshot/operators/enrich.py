@@ -43,11 +43,11 @@ def resolve_pairs(pairs: DataFrame, library: DataFrame) -> DataFrame:
     """Distinct pairs with ``file`` and ``tier``: exact, clean, fuzzy or none."""
     files = exact_files(library)
     cleaned = clean_listen_title(F.col("track_name"))
-    clean = F.when(cleaned != F.col("track_name"), cleaned)
+    # Pairs the first tier settled, and titles that are clean already, get a key that no title has.
+    no_title = F.concat(F.lit("\uffff"), F.col("track_name"))
+    clean = F.when(F.col("_exact_file").isNull() & (cleaned != F.col("track_name")), cleaned).otherwise(no_title)
     by_clean = files.select(F.col("track_name").alias("_clean"), "artist_name", F.col("file").alias("_clean_file"))
     tried = pairs.join(files.withColumnRenamed("file", "_exact_file"), _PAIR, "left").withColumn("_clean", clean)
-    # Pairs the first tier settled do not look further.
-    tried = tried.withColumn("_clean", F.when(F.col("_exact_file").isNull(), F.col("_clean")))
     tried = tried.join(by_clean, ["_clean", "artist_name"], "left")
     open_pairs = tried.filter(F.col("_exact_file").isNull() & F.col("_clean_file").isNull()).select(*_PAIR)
     fuzzy = fuzzy_files(open_pairs, library).withColumnRenamed("file", "_fuzzy_file")

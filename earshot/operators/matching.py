@@ -40,25 +40,42 @@ def mark_owned(catalog: DataFrame, library: DataFrame, deleted: DataFrame | None
     return skew_safe_left_join(rows, owned, ["_kind", "_artist", "_title"]).drop("_kind", "_artist", "_title")
 
 
-def match_legacy_titles(titles: DataFrame, library: DataFrame) -> DataFrame:
-    """Old titles of the form "Artist - Title" with the visible file they name.
+def with_legacy_keys(rows: DataFrame, title: str = "track_name") -> DataFrame:
+    """Add ``_person`` and ``_title``, the keys of both halves of an "Artist - Title" text.
 
-    ``titles`` has track_name.  A file fits when one of its credited artists equals the prefix and the
-    cleaned titles are equal; the smallest id wins.
+    Other texts get keys that match nothing but differ from each other, so that they spread over
+    the tasks of a join instead of meeting in the one for NULL.
     """
-    old = titles.select("track_name").filter(F.instr("track_name", " - ") > 0).distinct()
-    old = old.withColumn("_person", match_key(title_prefix(F.col("track_name"))))
-    old = old.withColumn("_title", match_key(clean_recording_title(title_rest(F.col("track_name")))))
+    c = F.col(title)
+    old = F.instr(c, " - ") > 0
+    none = F.concat(F.lit(_APART), F.coalesce(c, F.lit("")))
+    rows = rows.withColumn("_person", match_key(title_prefix(c)))
+    rows = rows.withColumn("_title", match_key(clean_recording_title(title_rest(c))))
+    return rows.withColumns({"_person": F.when(old, F.col("_person")).otherwise(none)})
+
+
+def legacy_files(library: DataFrame) -> DataFrame:
+    """One visible file (smallest id) per credited artist and cleaned title."""
     files = visible(library).withColumn("_title", match_key(clean_recording_title(F.col("title"))))
-    first = F.min(F.struct("id", "title", "artist", "album_id")).alias("file")
+    first = F.min(F.struct("id", "title", "artist", "album_id")).alias("legacy")
     # One file per credit and title first, so credits are split on the reduced rows.
     files = with_artists(files.groupBy("artist", "_title").agg(first), "artist")
-    people = files.select("_title", "file", F.explode("artists.name").alias("_name"))
+    people = files.select("_title", "legacy", F.explode("artists.name").alias("_name"))
     people = people.withColumn("_person", match_key(F.col("_name")))
-    people = people.groupBy("_person", "_title").agg(F.min("file").alias("file"))
-    return old.join(people, ["_person", "_title"]).select(
-        "track_name", F.col("file.id").alias("file_id"), F.col("file.title").alias("title"),
-        F.col("file.artist").alias("artist"), F.col("file.album_id").alias("album_id"),
+    return people.groupBy("_person", "_title").agg(F.min("legacy").alias("legacy"))
+
+
+def match_legacy_titles(titles: DataFrame, library: DataFrame) -> DataFrame:
+    """Old titles of the form "Artist - Title" with the visible file they name.
+
+    ``titles`` has track_name.  A file fits when one of its credited artists equals the prefix and the
+    cleaned titles are equal.
+    """
+    old = titles.select("track_name").filter(F.instr("track_name", " - ") > 0).distinct()
+    found = with_legacy_keys(old).join(legacy_files(library), ["_person", "_title"])
+    return found.select(
+        "track_name", F.col("legacy.id").alias("file_id"), F.col("legacy.title").alias("title"),
+        F.col("legacy.artist").alias("artist"), F.col("legacy.album_id").alias("album_id"),
     )
 
 

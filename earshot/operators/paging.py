@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from earshot.session import ensure_checkpoints
+
 # Up to here a page is a top-k: each task keeps this many rows at most.
 SHALLOW = 50_000
 
@@ -22,6 +24,7 @@ def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int) -> D
     The range-partitioned sort is checkpointed, so both passes see the same partitions.  Partition
     sizes (one row per partition) then tell which rows of which partitions are on the page.
     """
+    ensure_checkpoints(df.sparkSession)
     nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", nth).checkpoint()
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -62,13 +62,20 @@ def top_artists(
     return totals.orderBy(*ranking("artist_id")).limit(limit).select("artist_name", "artist_id", *_MEASURES)
 
 
+def _or_zero() -> list[Column]:
+    """Measures of at most one row; 0 without one."""
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _MEASURES]
+
+
 def artist_summary(
     listens: DataFrame, clock: Clock, artist: str, library: DataFrame | None = None, filter: str | None = None
 ) -> DataFrame:
     rows = credited_rows(time_filter(listens, clock, filter), artist, library)
     totals = _artist_totals(rows, library).withColumn("_wanted", credit_key(F.lit(artist)))
     mine = totals.filter(F.col("artist_id") == artist_id(F.col("_wanted")))
-    return mine.select("artist_name", "artist_id", *_MEASURES)
+    return mine.agg(
+        F.coalesce(F.max("artist_name"), F.lit(artist)).alias("artist_name"), F.max("artist_id").alias("artist_id"), *_or_zero()
+    )
 
 
 def artist_top_tracks(
@@ -94,7 +101,13 @@ def _album_texts() -> dict[str, Column]:
 
 def album_summary(listens: DataFrame, clock: Clock, album: str, filter: str | None = None) -> DataFrame:
     rows = time_filter(listens, clock, filter).filter((F.col("album_name") == album) & known("album_name"))
-    return rolled_up(rows, ["album_name"], _album_texts(), *measures())
+    found = rolled_up(rows, ["album_name"], _album_texts(), *measures())
+    return found.agg(
+        F.coalesce(F.max("album_name"), F.lit(album)).alias("album_name"),
+        F.coalesce(F.max("artist_name"), F.lit("")).alias("artist_name"),
+        F.max("album_id").alias("album_id"),
+        *_or_zero(),
+    )
 
 
 def album_tracks(listens: DataFrame, clock: Clock, album: str, filter: str | None = None) -> DataFrame:

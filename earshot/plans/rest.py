@@ -269,6 +269,14 @@ MATCHING = {
          concat('cover:cover-', rtrim(translate(to_base64(encode(concat('{{"kind":"song","name":"', title,
           '","artist":"', artist, '"}}'))), '+/', '-_'), '=')), null, false from media_file""",
     ),
+    "cover_ids": (
+        lambda spark, sf: artwork.with_cover_id(
+            fx.listens_blank(spark, sf).select("id", "track_name", "artist_name", "album_name", "track_id", "album_id")
+        ),
+        """select id, track_name, artist_name, album_name, track_id, album_id, case when album_id = '' and track_id = '' then
+        concat('cover-', rtrim(translate(to_base64(encode(concat('{"kind":"song","name":"', track_name,
+            '","artist":"', artist_name, '"}'))), '+/', '-_'), '=')) end as cover_id from blanked""",
+    ),
     "artwork_worklist": (
         lambda spark, sf: artwork.artwork_worklist(fx.listens_blank(spark, sf), fx.library(spark, sf)),
         """with people as (select artist_id, min(artist_name) as name from credits

@@ -44,6 +44,12 @@ def shared_root(spark: SparkSession) -> str:
     return local
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write to the shared root, unless the cluster already set a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared root for one run of one job."""
     return f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"

@@ -49,7 +49,14 @@ def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint:
     Pairs are resolved once per batch; the library is a static side.
     """
     parsed = parse_listen_payloads(bodies)
-    write = _per_batch(path, lambda batch: enrich_listens(batch, library))
+    enriched = _per_batch(path, lambda batch: enrich_listens(batch, library))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # The cascade reads the batch several times; the source is read once.
+        batch.persist()
+        enriched(batch, epoch)
+        batch.unpersist()
+
     return _start(parsed.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
