@@ -54,7 +54,8 @@ def describe_covers(
     cover_id = F.col("cover_id")
     rows = ids.select("cover_id").distinct()
     rows = rows.join(_files_by_id(library), "cover_id", "left").join(_listens_by_id(listens), "cover_id", "left")
-    credit = F.col("listen.artist_name")
+    # Only these credits have to be split.
+    credit = F.when(F.col("file").isNull() & (F.col("listen.artist_id") == cover_id), F.col("listen.artist_name"))
     known_artist = F.lit(False)
     if artists is not None:
         people = artists.select(F.col("id").alias("cover_id"), F.col("name").alias("_listed"))

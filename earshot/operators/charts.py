@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.functions import constants as k
 from earshot.functions.credits import ARTISTS_TYPE
+from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.catalog import normalize_albums, normalize_artists, normalize_songs
 
 
@@ -100,7 +101,8 @@ def artist_page(heads: DataFrame, entries: DataFrame, songs: int = 30, related:
     pos, payload.  Entries without artists inherit the page's.
     """
     people = F.array(F.struct(F.col("name").alias("name"), F.col("page_id").alias("id"))).cast(ARTISTS_TYPE)
-    rows = entries.join(heads.select("page_id", people.alias("_people")), "page_id")
+    rows = skew_safe_left_join(entries, heads.select("page_id", people.alias("_people")), ["page_id"])
+    rows = rows.filter(F.col("_people").isNotNull())
     kept = ["page_id", "section", "pos"]
 
     def of(*sections: str) -> DataFrame:
@@ -128,7 +130,8 @@ def album_page(heads: DataFrame, tracks: DataFrame) -> DataFrame:
         "page_id", F.col("title").alias("_title"), F.col("image").alias("_image"),
         F.col("artists").cast(ARTISTS_TYPE).alias("_people"),
     )
-    rows = tracks.join(lent, "page_id").withColumn("_album_id", F.col("page_id"))
+    rows = skew_safe_left_join(tracks, lent.withColumn("_album_id", F.col("page_id")), ["page_id"])
+    rows = rows.filter(F.col("_album_id").isNotNull())
     return normalize_songs(
         rows, kept=["page_id", "pos"], fallback="_people", artwork="_image", page_album=("_title", "_album_id")
     )

@@ -13,6 +13,7 @@ from earshot.functions.measures import round_half_up
 from earshot.functions.text import blank, clean_listen_title
 from earshot.operators.containment import smallest_containing
 from earshot.operators.skew import skew_safe_left_join
+from earshot.session import written
 
 _PAIR = ["track_name", "artist_name"]
 
@@ -40,7 +41,11 @@ def fuzzy_files(pairs: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def resolve_pairs(pairs: DataFrame, library: DataFrame) -> DataFrame:
-    """Distinct pairs with ``file`` and ``tier``: exact, clean, fuzzy or none."""
+    """Distinct pairs with ``file`` and ``tier``: exact, clean, fuzzy or none.
+
+    The outcome of the first two tiers is written down: the third tier and the final answer both
+    start from it, and so do the row counts that may travel with the pairs.
+    """
     files = exact_files(library)
     cleaned = clean_listen_title(F.col("track_name"))
     # Pairs the first tier settled, and titles that are clean already, get a key that no title has.
@@ -48,10 +53,10 @@ def resolve_pairs(pairs: DataFrame, library: DataFrame) -> DataFrame:
     clean = F.when(F.col("_exact_file").isNull() & (cleaned != F.col("track_name")), cleaned).otherwise(no_title)
     by_clean = files.select(F.col("track_name").alias("_clean"), "artist_name", F.col("file").alias("_clean_file"))
     tried = pairs.join(files.withColumnRenamed("file", "_exact_file"), _PAIR, "left").withColumn("_clean", clean)
-    tried = tried.join(by_clean, ["_clean", "artist_name"], "left")
+    tried = tried.join(by_clean, ["_clean", "artist_name"], "left").drop("_clean")
+    tried = written(tried, "resolved-pairs")
     open_pairs = tried.filter(F.col("_exact_file").isNull() & F.col("_clean_file").isNull()).select(*_PAIR)
-    fuzzy = fuzzy_files(open_pairs, library).withColumnRenamed("file", "_fuzzy_file")
-    tried = tried.join(fuzzy, _PAIR, "left")
+    tried = tried.join(fuzzy_files(open_pairs, library).withColumnRenamed("file", "_fuzzy_file"), _PAIR, "left")
     tier = (
         F.when(F.col("_exact_file").isNotNull(), F.lit("exact"))
         .when(F.col("_clean_file").isNotNull(), F.lit("clean"))
@@ -81,10 +86,13 @@ def pair_counts(listens: DataFrame) -> DataFrame:
 
 
 def enrich_listens(listens: DataFrame, library: DataFrame) -> DataFrame:
-    """The full cascade over parsed listens (``duration_ms`` from the payload)."""
-    counts = pair_counts(listens)
-    resolved = resolve_pairs(counts.select(*_PAIR), library)
-    return _with_file(skew_safe_left_join(listens, resolved, _PAIR, counts), F.col("tier"))
+    """The full cascade over parsed listens (``duration_ms`` from the payload).
+
+    The listens are read twice: to count their distinct pairs, and to take the files found.
+    """
+    resolved = written(resolve_pairs(pair_counts(listens), library), "resolved-files")
+    counts = resolved.select(*_PAIR, "n")
+    return _with_file(skew_safe_left_join(listens, resolved.drop("n"), _PAIR, counts), F.col("tier"))
 
 
 def enrich_exact(listens: DataFrame, library: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from earshot.functions.timecols import local_hour
 from earshot.functions.credits import with_artists
 from earshot.operators.containment import texts_containing
 from earshot.operators.credits import by_artist
+from earshot.operators.skew import skew_safe_left_join
 from earshot.params import Clock
 
 
@@ -35,7 +36,8 @@ def for_you(listens: DataFrame, library: DataFrame | None = None, genres: int =
 def unheard(library: DataFrame, listens: DataFrame) -> DataFrame:
     """Files whose (title, artist) was never listened to."""
     heard = listens.select(F.col("track_name").alias("title"), F.col("artist_name").alias("artist")).distinct()
-    return library.join(heard, ["title", "artist"], "left_anti")
+    marked = skew_safe_left_join(library, heard.withColumn("_heard", F.lit(True)), ["title", "artist"])
+    return marked.filter(F.col("_heard").isNull()).select(*library.columns)
 
 
 def discover_unheard(

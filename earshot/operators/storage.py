@@ -43,16 +43,23 @@ def _credit_groups(files: DataFrame) -> DataFrame:
     return with_artists(per_credit, "artist", "participants")
 
 
-def _has_artist(artist: str) -> Column:
-    return F.exists("artists", lambda a: a["id"] == F.col("_wanted"))
+# Up to this many (credit, tags) pairs are sent to every task; more are joined with a shuffle.
+LISTED_PAIRS = 10_000
 
 
-def credited_to(files: DataFrame, artist: str) -> DataFrame:
-    """Files whose credit or tags include exactly this artist."""
-    pairs = files.select("artist", "participants").distinct()
-    pairs = with_artists(pairs, "artist", "participants")
+def credited_to(files: DataFrame, artist: str, listed: int = LISTED_PAIRS) -> DataFrame:
+    """Files whose credit or tags include exactly this artist.
+
+    The distinct (credit, tags) pairs that include the artist are fetched up to a bound; within it
+    they are broadcast, so that a dominant artist's files are filtered where they are.
+    """
+    pairs = with_artists(files.select("artist", "participants").distinct(), "artist", "participants")
     pairs = pairs.withColumn("_key", credit_key(F.lit(artist))).withColumn("_wanted", artist_id(F.col("_key")))
-    pairs = pairs.filter(_has_artist(artist)).select(F.col("artist").alias("_a"), F.col("participants").alias("_p"))
+    pairs = pairs.filter(F.exists("artists", lambda a: a["id"] == F.col("_wanted")))
+    pairs = pairs.select(F.col("artist").alias("_a"), F.col("participants").alias("_p"))
+    few = pairs.limit(listed + 1).collect()
+    if len(few) <= listed:
+        pairs = F.broadcast(files.sparkSession.createDataFrame(few, pairs.schema))
     same = files["artist"].eqNullSafe(pairs["_a"]) & files["participants"].eqNullSafe(pairs["_p"])
     return files.join(pairs, same, "left_semi")
 

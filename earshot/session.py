@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "earshot", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -17,6 +17,8 @@ def local_session(app: str = "earshot", cores: int | str = "*", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small inputs still have text work to share among the cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -53,3 +55,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared root for one run of one job."""
     return f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result once to the shared root and go on from the files.
+
+    What follows may read it several times, plans with its true size, and does not depend on
+    executors that held it.
+    """
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -33,12 +33,11 @@ def read_listens(spark: SparkSession, path: str) -> DataFrame:
 def append_listens(listens: DataFrame, path: str) -> None:
     """Append rows, one directory per UTC day.
 
-    Rows are shuffled by day and a hash of the row, so a busy day is written by several tasks
-    and a quiet one does not leave a file per task.
+    Rebalancing by day lets Spark give a busy day several tasks, and files, of the advisory size,
+    and a quiet day one.
     """
     rows = listens.select(*LISTEN_COLUMNS, "ts").withColumn("listen_date", F.to_date("ts"))
-    spread = F.pmod(F.xxhash64(*LISTEN_COLUMNS), F.lit(16))
-    rows.repartition("listen_date", spread).write.mode("append").partitionBy("listen_date").parquet(path)
+    rows.hint("rebalance", "listen_date").write.mode("append").partitionBy("listen_date").parquet(path)
 
 
 def export_rows(listens: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from earshot.functions.text import or_unknown
 
@@ -13,6 +13,15 @@ payload array<struct<track_metadata: struct<
 """
 
 
+BODY_SCHEMA = "user_name string, received_at timestamp_ntz, body string"
+
+
+def read_bodies(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Posted bodies as a receiver lands them: JSON lines with sender, receipt time and body."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(BODY_SCHEMA).json(path)
+
+
 def parse_listen_payloads(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per listen of each body; other columns (user_name, received_at, ...) are kept.
 

@@ -12,7 +12,7 @@ from earshot.operators.numbering import number_rows
 from earshot.operators.paging import page_rows
 from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.listens import export_listens, import_listens, read_export
-from earshot.sources.payloads import parse_listen_payloads
+from earshot.sources.payloads import parse_listen_payloads, read_bodies
 from pyspark.sql import functions as F
 
 
@@ -131,6 +131,31 @@ def test_skew_safe_join_equals_plain_join(spark, min_rows):
     assert sorted(rows(got.select("id", "v")), key=repr) == sorted(rows(facts.join(dim, "key", "left").select("id", "v")), key=repr)
 
 
+def test_hot_key_is_spread(spark):
+    facts = spark.range(0, 30_000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    dim = spark.range(0, 30_000, 3).select(F.col("id").alias("key"), F.lit(1).alias("v"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        def largest(joined):
+            return joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+        assert largest(facts.join(dim, "key", "left")) > 10_000
+        assert largest(skew_safe_left_join(facts, dim, ["key"], shares=100, min_rows=100)) < 4_500
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_bodies_are_read_from_files(spark, tmp_path):
+    bodies(spark, {"listen_type": "single", "payload": [track("T", "A")]}).drop("event_id").write.json(str(tmp_path / "b"))
+    [row] = parse_listen_payloads(read_bodies(spark, str(tmp_path / "b"))).collect()
+    assert (row.user_name, row.received_at, row.track_name) == ("me", NOW, "T")
+    assert read_bodies(spark, str(tmp_path / "b"), stream=True).isStreaming
+
+
 def test_deep_pages_equal_shallow_pages(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("id"), F.lit("x").alias("x"))
     for page, limit in ((1, 10), (3, 333), (4, 333), (20, 50), (21, 50)):
