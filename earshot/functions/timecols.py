@@ -9,9 +9,8 @@ from earshot.params import Clock
 
 def epoch_seconds(ts: Column) -> Column:
     """Whole epoch seconds of a zone-less UTC time, whatever the session zone is."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts) / 1000000).cast(
-        "bigint"
-    )
+    since = ts - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    return F.floor(since.cast("interval second").cast("decimal(20,6)")).cast("bigint")
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
@@ -41,7 +40,7 @@ def local_weekday(clock: Clock) -> Column:
 
 
 def local_month(clock: Clock) -> Column:
-    return F.date_format(local(clock), "yyyy-MM")
+    return F.date_format(local_date(clock), "yyyy-MM")
 
 
 def local_year(clock: Clock) -> Column:

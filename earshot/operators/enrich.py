@@ -12,7 +12,7 @@ from earshot.functions import constants as k
 from earshot.functions.measures import round_half_up
 from earshot.functions.text import blank, clean_listen_title
 from earshot.operators.containment import smallest_containing
-from earshot.operators.skew import skew_safe_left_join
+from earshot.operators.skew import keep_wanted, skew_safe_left_join
 from earshot.session import written
 
 _PAIR = ["track_name", "artist_name"]
@@ -137,6 +137,8 @@ def backfill_report(listens: DataFrame, library: DataFrame) -> DataFrame:
 def resolve_tracks(requests: DataFrame, listens: DataFrame, library: DataFrame) -> DataFrame:
     """(track, artist) requests: the latest listen with a track id, else an exact file, else blanks."""
     columns = ["track_id", "album_id", "artist_id", "duration", "genre"]
+    pairs = requests.select("track", "artist").distinct()
+    listens = keep_wanted(listens, pairs.toDF(*_PAIR), _PAIR)
     track, by = F.col("track_name").alias("track"), F.col("artist_name").alias("artist")
     # Two passes: the first only keeps a number per group and therefore hashes instead of sorting.
     heard = listens.filter(~blank(F.col("track_id"))).groupBy(track, by, *columns).agg(F.max("id").alias("id"))
@@ -144,7 +146,7 @@ def resolve_tracks(requests: DataFrame, listens: DataFrame, library: DataFrame)
     files = exact_files(library).select(
         F.col("track_name").alias("track"), F.col("artist_name").alias("artist"), F.col("file").alias("_file")
     )
-    pairs = requests.select("track", "artist").distinct().join(heard, ["track", "artist"], "left")
+    pairs = pairs.join(heard, ["track", "artist"], "left")
     pairs = pairs.join(files, ["track", "artist"], "left").withColumn("_hit", F.coalesce("_heard", "_file"))
     shown = [F.coalesce(F.col(f"_hit.{c}"), F.lit(0 if c == "duration" else "")).alias(c) for c in columns]
     return pairs.select("track", "artist", *shown)

@@ -41,3 +41,15 @@ def skew_safe_left_join(
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     right = with_salts(dim).withColumn("_salt", copies)
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def keep_wanted(facts: DataFrame, wanted: DataFrame, keys: list[str], bound: int = 10_000) -> DataFrame:
+    """Drop fact rows early whose key is not wanted, if the wanted keys are few.
+
+    A later join decides what matches; this only spares its shuffle.  ``wanted`` is broadcast after
+    a count, which stops at the bound, has shown that it is within it.
+    """
+    pairs = wanted.select(*keys).distinct()
+    if pairs.limit(bound + 1).count() > bound:
+        return facts
+    return facts.join(F.broadcast(pairs), keys, "left_semi")

@@ -7,7 +7,6 @@ longer history.  Nothing is sampled: each view covers its whole base tables.
 from __future__ import annotations
 
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,24 +18,24 @@ AS_OF = Clock(datetime(2024, 1, 30, 23, 59, 59))
 AS_OF_LONG = Clock(datetime(2001, 11, 4, 23, 59, 59))
 
 
-@lru_cache(maxsize=None)
-def _table(sf_dir: str, name: str, app: str) -> DataFrame:
-    return SparkSession.getActiveSession().read.parquet(f"{sf_dir}/{name}.parquet")
+# Footers and counts are read once per session; the sessions are kept, so their ids stay theirs.
+_TABLES: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
+_COUNTS: dict[tuple[int, str, str], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its footer is read once per application."""
-    return _table(sf_dir, name, spark.sparkContext.applicationId)
-
-
-@lru_cache(maxsize=None)
-def _rows(sf_dir: str, name: str, app: str) -> int:
-    return _table(sf_dir, name, app).count()
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = (spark, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return _TABLES[key][1]
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """A table's row count, read from the Parquet footers once per application."""
-    return _rows(sf_dir, name, spark.sparkContext.applicationId)
+    """A table's row count, which Parquet footers hold."""
+    key = (id(spark), sf_dir, name)
+    if key not in _COUNTS:
+        _COUNTS[key] = table(spark, sf_dir, name).count()
+    return _COUNTS[key]
 
 
 def _text(c: Column) -> Column:

@@ -157,3 +157,22 @@ def test_stored_partitions_are_pruned(spark, tmp_path):
     assert "listen_date" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "GreaterThanOrEqual(ts" in plan
     assert "track_name" not in plan
+
+
+def test_session_time_zone_does_not_matter(spark):
+    gap, before = datetime(2024, 3, 10, 2, 30, 0, 500_000), datetime(1969, 12, 31, 23, 59, 59, 500_000)
+    h = listens(spark, listen(2, gap), listen(1, before))
+    clock = Clock(datetime(2024, 3, 10, 12, 0), 0.0)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    seen = []
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            stamps = [r.timestamp for r in feeds.recent(h).collect()]
+            hours = [r.hour for r in timeseries.hourly(h, clock).filter("plays > 0").collect()]
+            days = [r.day for r in timeseries.heatmap(h, clock).collect()]
+            months = [r.month for r in timeseries.growth(h, clock).collect()]
+            seen.append((stamps, hours, days, months, topstats.summary(h, clock, "today").first().plays))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen == [([1710037800, -1], [2, 23], ["2024-03-10"], ["1969-12", "2024-03"], 1)] * 3
