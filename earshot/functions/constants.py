@@ -65,6 +65,7 @@ DAY_NAMES = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 # Where catalog songs live and what providers are called.
 WATCH_URL = "https://www.youtube.com/watch?v="
 EMBED_URL = "https://www.youtube-nocookie.com/embed/"
+CHART_URL = "https://music.youtube.com/playlist?list="
 CATALOG_PROVIDER = "YouTube Music"
 SECOND_PROVIDER = "Spotify"
 SECOND_PROVIDER_URL = "https://open.spotify.com/"

@@ -28,7 +28,8 @@ def pick_chart(playlists: DataFrame) -> DataFrame:
         kind = F.when(title.contains(words), F.lit(rank)).otherwise(kind)
     ranked = playlists.withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
     best = F.min_by(F.struct("playlist_id", "title"), F.struct("_kind", "pos")).alias("p")
-    return ranked.groupBy("country").agg(best).select("country", "p.playlist_id", "p.title")
+    chosen = ranked.groupBy("country").agg(best).select("country", "p.playlist_id", "p.title")
+    return chosen.withColumn("chart_url", F.concat(F.lit(k.CHART_URL), "playlist_id"))
 
 
 def chart_artists(entries: DataFrame, limit: int = 30) -> DataFrame:
@@ -97,10 +98,10 @@ def search_bundle(results: DataFrame, songs: int = 30, artists: int = 8, albums:
 def artist_page(heads: DataFrame, entries: DataFrame, songs: int = 30, related: int = 12) -> DataFrame:
     """An artist's songs, albums with singles, and related artists.
 
-    ``heads`` has page_id and name; ``entries`` page_id, section (songs, albums, singles, related),
+    ``heads`` has page_id and title; ``entries`` page_id, section (songs, albums, singles, related),
     pos, payload.  Entries without artists inherit the page's.
     """
-    people = F.array(F.struct(F.col("name").alias("name"), F.col("page_id").alias("id"))).cast(ARTISTS_TYPE)
+    people = F.array(F.struct(F.col("title").alias("name"), F.col("page_id").alias("id"))).cast(ARTISTS_TYPE)
     rows = skew_safe_left_join(entries, heads.select("page_id", people.alias("_people")), ["page_id"])
     rows = rows.filter(F.col("_people").isNotNull())
     kept = ["page_id", "section", "pos"]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from earshot.functions.text import cover_key
 from earshot.operators import artwork, charts, enrich, matching, recommend, storage
+from earshot.operators.credits import credit_dimension, credit_dimension_rows
 from earshot.operators.storage import Selection
 from earshot.plans.stats import ARTIST, ARTIST_ID, NOW
 from earshot.plans.views import DAY, MEASURES
@@ -343,9 +345,6 @@ MATCHING = {
 
 def _cover_ids(spark, sf):
     """File, album, artist and old track ids, and encoded descriptions."""
-    from earshot.functions.text import cover_key
-    from earshot.operators.credits import credit_dimension_rows, credit_dimension
-
     files = fx.library(spark, sf)
     nothing = F.lit("")
     encoded = cover_key(F.col("title"), nothing, F.col("artist"), nothing, nothing)
@@ -401,7 +400,8 @@ CATALOG = {
         and image like 'https://i.ytimg.com/%'""",
     ),
     "pick_chart": (
-        lambda spark, sf: charts.pick_chart(fx.playlists(spark, sf)), "select country, playlist_id, title from picked",
+        lambda spark, sf: charts.pick_chart(fx.playlists(spark, sf)), """select country, playlist_id, title,
+        concat('https://music.youtube.com/playlist?list=', playlist_id) as chart_url from picked""",
     ),
     "chart_artists": (
         lambda spark, sf: charts.chart_artists(fx.chart_artist_entries(spark, sf)).drop("kind", "image", "trend", "provider"),
@@ -456,11 +456,22 @@ CATALOG = {
             then 'singles' else 'albums' end, cast(regexp_extract(album_id, '#(\d+)', 1) as bigint), 'album', album_id,
           concat('Album ', album_id), album_artist from media_file""",
     ),
+    "artist_page_heads": (
+        lambda spark, sf: fx.artist_heads(spark, sf),
+        """select concat('ar-', cast(s_suppkey as varchar)) as page_id, 'artist' as kind, '' as image, '' as description,
+        s_name as title, cast(s_nationkey as varchar) as subscribers from supplier""",
+    ),
+    "album_page_heads": (
+        lambda spark, sf: fx.album_heads(spark, sf).drop("artists"),
+        """select album_id as page_id, 'album' as kind, 'https://yt3.ggpht.com/cover' as image, '' as description,
+        concat('Album ', album_id) as title, 'Various, Guest' as artist, substring(min(updated_at), 1, 7) as year
+        from media_file group by album_id""",
+    ),
     "album_page": (
         lambda spark, sf: charts.album_page(fx.album_heads(spark, sf), fx.album_page_tracks(spark, sf)).select(
             "page_id", "pos", "id", "title", "artist", "album", "album_id", "image"
         ),
-        """select page_album as page_id, pos, id, title, coalesce(own_artist, 'Various') as artist,
+        """select page_album as page_id, pos, id, title, coalesce(own_artist, 'Various, Guest') as artist,
         case when own_album_id is not null then album else concat('Album ', page_album) end as album, page_album as album_id, image
         from songs""",
     ),

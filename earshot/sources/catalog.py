@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earshot.functions import constants as k
 from earshot.functions.credits import ARTISTS_TYPE
+from earshot.functions.text import allowed_image, valid_catalog_id
 
 _PEOPLE = "artists array<struct<name:string,id:string,browseId:string>>"
 _IMAGES = "thumbnails array<struct<url:string>>"
@@ -169,6 +170,25 @@ def normalize_second_provider(entries: DataFrame, payload: str = "payload", kept
     )
 
 
+def normalize_page_heads(pages: DataFrame, kind: str, payload: str = "payload", kept: list[str] | None = None) -> DataFrame:
+    """What heads an artist or album page; the page's id is among the kept columns."""
+    schema = f"name string, title string, {_PEOPLE}, {_IMAGES}, description string, subscribers string, year string"
+    rows, kept = _parsed(pages, payload, schema, kept)
+    doc = F.col("_doc")
+    shared = [*kept, F.lit(kind).alias("kind"), _image(doc).alias("image"), _text(doc["description"]).alias("description")]
+    if kind == "artist":
+        title = F.coalesce(doc["name"], F.lit("Artist")).alias("title")
+        return rows.select(*shared, title, _text(doc["subscribers"]).alias("subscribers"))
+    rows = rows.withColumn("_people", _people(doc, None))
+    return rows.select(
+        *shared,
+        F.coalesce(doc["title"], F.lit("Album")).alias("title"),
+        F.col("_people").alias("artists"),
+        names(F.col("_people")).alias("artist"),
+        _text(doc["year"]).alias("year"),
+    )
+
+
 def page_entries(pages: DataFrame, sections: list[str], payload: str = "payload") -> DataFrame:
     """Entries of whole pages, ``{section: {"results": [...]}}``, one row each.
 
@@ -184,12 +204,10 @@ def page_entries(pages: DataFrame, sections: list[str], payload: str = "payload"
 
 def valid_catalog_rows(rows: DataFrame, country: str = "country", id: str = "id", image: str = "image") -> DataFrame:
     """Rows for a supported country, with a well-formed id and an image from an allowed host."""
-    from earshot.functions.text import allowed_image, valid_catalog_id
-
     return rows.filter(F.upper(country).isin(k.COUNTRIES) & valid_catalog_id(F.col(id)) & allowed_image(F.col(image)))
 
 
-def supported_countries(spark) -> DataFrame:
+def supported_countries(spark: SparkSession) -> DataFrame:
     """The countries a chart may be asked for: worldwide first, the rest by English name."""
     codes = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in k.COUNTRIES])).alias("code"))
     name = F.java_method(

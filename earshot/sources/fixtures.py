@@ -11,7 +11,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from earshot.functions.constants import COUNTRIES
+from earshot.functions.credits import with_artists
 from earshot.params import Clock
+from earshot.sources.catalog import normalize_page_heads, normalize_songs
 from earshot.sources.listens import LISTEN_COLUMNS
 
 AS_OF = Clock(datetime(2024, 1, 30, 23, 59, 59))
@@ -315,9 +317,14 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return songs.unionByName(people).unionByName(albums)
 
 
-def artist_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def artist_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.select(F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("page_id"), F.col("s_name").alias("name"))
+    doc = F.struct(F.col("s_name").alias("name"), _text(F.col("s_nationkey")).alias("subscribers"))
+    return s.select(F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("page_id"), F.to_json(doc).alias("payload"))
+
+
+def artist_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_page_heads(artist_page_documents(spark, sf_dir), "artist")
 
 
 def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,13 +348,18 @@ def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return songs.unionByName(records).unionByName(other)
 
 
-def album_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    albums = media_file(spark, sf_dir).select("album_id").distinct()
-    people = F.array(F.struct(F.lit("Various").alias("name"), F.lit("va").alias("id")))
-    return albums.select(
-        F.col("album_id").alias("page_id"), F.concat(F.lit("Album "), "album_id").alias("title"),
-        F.lit("https://yt3.ggpht.com/cover").alias("image"), people.alias("artists"),
+def album_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    albums = media_file(spark, sf_dir).groupBy("album_id").agg(F.min("updated_at").alias("year"))
+    people = F.array(F.struct(F.lit("Various").alias("name"), F.lit("va").alias("browseId")), F.struct(F.lit("Guest").alias("name"), F.lit("g").alias("browseId")))
+    doc = F.struct(
+        F.concat(F.lit("Album "), "album_id").alias("title"), people.alias("artists"), F.substring("year", 1, 7).alias("year"),
+        F.array(F.struct(F.lit("https://yt3.ggpht.com/cover").alias("url"))).alias("thumbnails"),
     )
+    return albums.select(F.col("album_id").alias("page_id"), F.to_json(doc).alias("payload"))
+
+
+def album_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_page_heads(album_page_documents(spark, sf_dir), "album")
 
 
 def album_page_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,8 +388,6 @@ def second_provider_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Songs and albums as a discovery feed shows them."""
-    from earshot.sources.catalog import normalize_songs
-
     shown = ["id", "kind", "title", "artist"]
     songs = normalize_songs(song_entries(spark, sf_dir), kept=[]).select(*shown)
     albums = media_file(spark, sf_dir).filter("artist <> 'Unknown'").select("album_id", "album", "artist").distinct()
@@ -389,8 +399,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wanted_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was heard, as recordings to look up; views carry the artist in the title."""
-    from earshot.functions.credits import with_artists
-
     rows = listens(spark, sf_dir).select("track_name", "artist_name", "event_type").distinct()
     prefixed = F.concat("artist_name", F.lit(" - "), "track_name", F.lit(" [Lyrics] feat. Someone"))
     title = F.when(F.col("event_type") == "view", prefixed).otherwise(F.col("track_name"))
