@@ -223,7 +223,16 @@ def test_chart_choice(spark):
         [("AA", 0, "t", "Trending 20"), ("AA", 1, "d1", "Daily TOP Music videos"), ("AA", 2, "d2", "daily top music"), ("BB", 0, "m", "Mix")],
         "country string, pos long, playlist_id string, title string",
     )
-    assert rows(charts.pick_chart(lists)) == [("AA", "d1", "Daily TOP Music videos")]
+    assert rows(charts.pick_chart(lists)) == [("AA", "d1", "Daily TOP Music videos", k.CHART_URL + "d1")]
+
+
+def test_page_heads(spark):
+    docs = [{"name": "Anna", "subscribers": "5"}, {"title": "Rec", "artists": [{"name": "A"}, {"name": "B", "id": "b"}], "year": "1999"}, {}]
+    df = entries(spark, *docs)
+    people = catalog.normalize_page_heads(df, "artist").orderBy("pos").collect()
+    assert [(r.title, r.subscribers) for r in people] == [("Anna", "5"), ("Artist", ""), ("Artist", "")]
+    albums = catalog.normalize_page_heads(df, "album").orderBy("pos").collect()
+    assert [(r.title, r.artist, r.year) for r in albums] == [("Album", "", ""), ("Rec", "A, B", "1999"), ("Album", "", "")]
 
 
 def test_recommendations(spark):
