@@ -36,8 +36,11 @@ CATALOG_MARKERS = (
     r"(?i)[\[(](?:official(?: music)?(?: video| audio)?|lyrics?|audio|visualizer|4k(?: remaster)?)[^\])]*[\])]"
 )
 
-# Fixed value: the guest-artist tail of a recording title.
-FEAT_TAIL = (
+# The guest-artist tail of a recording title; the catalog sees letters of any script as part of a word.
+LIBRARY_FEAT_TAIL = (
+    rf"(?i){BLANK}*[\[(]?{BLANK}*(?<![A-Za-z0-9_])(?:feat\.?|ft\.?|featuring){BLANK}+{IN_LINE}*\z"
+)
+CATALOG_FEAT_TAIL = (
     rf"(?i){BLANK}*[\[(]?{BLANK}*(?<![\p{{L}}\p{{N}}_])(?:feat\.?|ft\.?|featuring){BLANK}+{IN_LINE}*\z"
 )
 

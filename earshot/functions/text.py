@@ -85,10 +85,10 @@ def clean_listen_title(c: Column) -> Column:
     return strip(c)
 
 
-def clean_recording_title(c: Column, markers: str = k.LIBRARY_MARKERS) -> Column:
+def clean_recording_title(c: Column, catalog: bool = False) -> Column:
     """Without video/lyrics markers and guest tails; other brackets, as in "(Live)", stay."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), markers, "")
-    return F.regexp_replace(c, k.FEAT_TAIL, "")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), k.CATALOG_MARKERS if catalog else k.LIBRARY_MARKERS, "")
+    return F.regexp_replace(c, k.CATALOG_FEAT_TAIL if catalog else k.LIBRARY_FEAT_TAIL, "")
 
 
 def title_prefix(c: Column) -> Column:

@@ -6,6 +6,8 @@ tiers, and the listens join the outcome.  Where several files fit, the smallest
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions import constants as k
@@ -17,6 +19,8 @@ from earshot.session import written
 
 _PAIR = ["track_name", "artist_name"]
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
 
 def _file() -> Column:
     return F.struct(F.col("id").alias("track_id"), "album_id", "artist_id", "duration", "genre")
@@ -40,11 +44,11 @@ def fuzzy_files(pairs: DataFrame, library: DataFrame) -> DataFrame:
     return wanted.join(found, ["artist_name", "needle"]).join(files, "id").select(*_PAIR, "file")
 
 
-def resolve_pairs(pairs: DataFrame, library: DataFrame) -> DataFrame:
+def resolve_pairs(pairs: DataFrame, library: DataFrame, keep: Keep = written) -> DataFrame:
     """Distinct pairs with ``file`` and ``tier``: exact, clean, fuzzy or none.
 
-    The outcome of the first two tiers is written down: the third tier and the final answer both
-    start from it, and so do the row counts that may travel with the pairs.
+    The outcome of the first two tiers is kept: the third tier and the final answer both start from
+    it, and so do the row counts that may travel with the pairs.
     """
     files = exact_files(library)
     cleaned = clean_listen_title(F.col("track_name"))
@@ -54,7 +58,7 @@ def resolve_pairs(pairs: DataFrame, library: DataFrame) -> DataFrame:
     by_clean = files.select(F.col("track_name").alias("_clean"), "artist_name", F.col("file").alias("_clean_file"))
     tried = pairs.join(files.withColumnRenamed("file", "_exact_file"), _PAIR, "left").withColumn("_clean", clean)
     tried = tried.join(by_clean, ["_clean", "artist_name"], "left").drop("_clean")
-    tried = written(tried, "resolved-pairs")
+    tried = keep(tried, "resolved-pairs")
     open_pairs = tried.filter(F.col("_exact_file").isNull() & F.col("_clean_file").isNull()).select(*_PAIR)
     tried = tried.join(fuzzy_files(open_pairs, library).withColumnRenamed("file", "_fuzzy_file"), _PAIR, "left")
     tier = (
@@ -85,12 +89,14 @@ def pair_counts(listens: DataFrame) -> DataFrame:
     return listens.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n"))
 
 
-def enrich_listens(listens: DataFrame, library: DataFrame) -> DataFrame:
+def enrich_listens(listens: DataFrame, library: DataFrame, keep: Keep = written) -> DataFrame:
     """The full cascade over parsed listens (``duration_ms`` from the payload).
 
-    The listens are read twice: to count their distinct pairs, and to take the files found.
+    The listens are read twice: to count their distinct pairs, and to take the files found.  What
+    was found is written to the shared folder in between; a caller with small input may
+    ``keep`` it some other way.
     """
-    resolved = written(resolve_pairs(pair_counts(listens), library), "resolved-files")
+    resolved = keep(resolve_pairs(pair_counts(listens), library, keep), "resolved-files")
     counts = resolved.select(*_PAIR, "n")
     return _with_file(skew_safe_left_join(listens, resolved.drop("n"), _PAIR, counts), F.col("tier"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earshot.functions import constants as k
 from earshot.functions.credits import with_artists
 from earshot.functions.text import (
     blank, casefold, catalog_key, clean_recording_title, match_key, nfkc, title_prefix, title_rest,
@@ -88,7 +87,7 @@ def _with_name_keys(df: DataFrame, names: str, out: str) -> DataFrame:
 
 
 def _clean_key(title: Column) -> Column:
-    return catalog_key(clean_recording_title(title, k.CATALOG_MARKERS))
+    return catalog_key(clean_recording_title(title, catalog=True))
 
 
 def match_catalog(wanted: DataFrame, candidates: DataFrame) -> DataFrame:

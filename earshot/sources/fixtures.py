@@ -350,7 +350,8 @@ def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def album_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     albums = media_file(spark, sf_dir).groupBy("album_id").agg(F.min("updated_at").alias("year"))
-    people = F.array(F.struct(F.lit("Various").alias("name"), F.lit("va").alias("browseId")), F.struct(F.lit("Guest").alias("name"), F.lit("g").alias("browseId")))
+    various = F.struct(F.lit("Various").alias("name"), F.lit("va").alias("browseId"))
+    people = F.array(various, F.struct(F.lit("Guest").alias("name"), F.lit("g").alias("browseId")))
     doc = F.struct(
         F.concat(F.lit("Album "), "album_id").alias("title"), people.alias("artists"), F.substring("year", 1, 7).alias("year"),
         F.array(F.struct(F.lit("https://yt3.ggpht.com/cover").alias("url"))).alias("thumbnails"),

@@ -22,12 +22,15 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _per_batch(path: str, transform=None):
-    """Write each micro-batch to a folder of its own, so that a repeated batch replaces itself."""
+def _keep_state(path: str):
+    """Write the whole state after each micro-batch, taking turns between two folders.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch if transform is None else transform(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    A reader finds the newer of both, the older one stays valid while the other is replaced, and a
+    long-lived stream leaves no more than these behind.
+    """
+
+    def write(state: DataFrame, epoch: int) -> None:
+        state.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/turn={epoch % 2}")
 
     return write
 
@@ -40,7 +43,7 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The state after the last micro-batch."""
     states = spark.read.parquet(path)
-    return states.filter(F.col("epoch") == states.agg(F.max("epoch")).scalar()).drop("epoch")
+    return states.filter(F.col("epoch") == states.agg(F.max("epoch")).scalar()).drop("epoch", "turn")
 
 
 def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -49,13 +52,21 @@ def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint:
     Pairs are resolved once per batch; the library is a static side.
     """
     parsed = parse_listen_payloads(bodies)
-    enriched = _per_batch(path, lambda batch: enrich_listens(batch, library))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # The cascade reads the batch several times; the source is read once.
-        batch.persist()
-        enriched(batch, epoch)
-        batch.unpersist()
+        # The cascade reads the batch and its own steps several times.  A micro-batch is small enough to
+        # be held for that, and so leaves no files behind but its result.
+        held = [batch.persist()]
+
+        def hold(df: DataFrame, purpose: str) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        enriched = enrich_listens(batch, library, keep=hold)
+        # A folder per micro-batch: one that is repeated after a failure replaces itself.
+        enriched.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for df in held:
+            df.unpersist()
 
     return _start(parsed.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -73,7 +84,7 @@ _PLAYING = ["id", "track_name", "artist_name", "album_name", "track_id", "album_
 def stream_now_playing(listens: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the last view by id: one row of state."""
     last = listens.filter(F.col("event_type") == "view").groupBy().agg(F.max_by(F.struct(*_PLAYING), "id").alias("last"))
-    writer = last.select("last.*").writeStream.outputMode("complete").foreachBatch(_per_batch(path))
+    writer = last.select("last.*").writeStream.outputMode("complete").foreachBatch(_keep_state(path))
     return _start(writer, checkpoint, available_now)
 
 
@@ -87,7 +98,7 @@ def read_now_playing(spark: SparkSession, path: str, clock: Clock, ttl: int = 30
 def stream_counters(listens: DataFrame, clock: Clock, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep views, plays and playtime per local day: one row of state per day."""
     days = listens.groupBy(local_date(clock).alias("day")).agg(views(), plays(), playtime())
-    writer = days.writeStream.outputMode("complete").foreachBatch(_per_batch(path))
+    writer = days.writeStream.outputMode("complete").foreachBatch(_keep_state(path))
     return _start(writer, checkpoint, available_now)
 
 

@@ -93,6 +93,12 @@ def test_recording_titles(spark, title, clean):
     assert df.select(clean_recording_title(F.col("t"))).first()[0] == clean
 
 
+def test_words_of_other_scripts_before_the_tail(spark):
+    df = spark.createDataFrame([("\u00e9feat. B",)], "t string")
+    both = df.select(clean_recording_title(F.col("t")), clean_recording_title(F.col("t"), catalog=True)).first()
+    assert tuple(both) == ("\u00e9", "\u00e9feat. B")
+
+
 def recordings(spark, wanted, candidates):
     w = spark.createDataFrame(wanted, "wanted_id string, title string, artists array<string>")
     c = spark.createDataFrame(candidates, "source string, pos long, id string, title string, artists array<string>")
