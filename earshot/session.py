@@ -13,6 +13,7 @@ def local_session(app: str = "earshot", cores: int | str = "*", partitions: int
     """A single-JVM session for tests and benchmarks; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", os.environ.get("EARSHOT_WORK_DIR") or tempfile.mkdtemp(prefix="earshot-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -30,20 +31,15 @@ def local_session(app: str = "earshot", cores: int | str = "*", partitions: int
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees.
+    """The folder that the driver and every executor see, as ``spark.checkpoint.dir`` names it.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    single-machine tests, a private temporary folder stands in.
+    A session without that setting may name a folder with ``SparkContext.setCheckpointDir``.  There is no
+    other stand-in: a machine-local folder would lose rows on a cluster, so its absence is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = os.path.join(tempfile.gettempdir(), f"earshot-{os.getpid()}")
-    os.makedirs(local, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir (or call setCheckpointDir) to a folder that all executors share")
+    return configured.rstrip("/")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -53,8 +49,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared root for one run of one job."""
-    return f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared root for one run of one job, removed when the application ends."""
+    folder = f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
