@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -13,7 +12,6 @@ def local_session(app: str = "earshot", cores: int | str = "*", partitions: int
     """A single-JVM session for tests and benchmarks; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
-        .config("spark.checkpoint.dir", os.environ.get("EARSHOT_WORK_DIR") or tempfile.mkdtemp(prefix="earshot-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -27,6 +25,9 @@ def local_session(app: str = "earshot", cores: int | str = "*", partitions: int
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        # One machine: its own temporary folder is shared by definition.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="earshot-"))
     return spark
 
 
@@ -53,8 +54,10 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     folder = f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/rows"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
