@@ -4,10 +4,11 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from earshot.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
