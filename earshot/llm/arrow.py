@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
 
@@ -48,3 +49,11 @@ def ascii_lower() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     return table
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column is called so (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import secrets
+from earshot.llm import language, near_dups, secrets, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,24 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), near_dups.NearDuplicates(words=3, percent=85))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.language_report(docs, language.fit_languages(docs.filter(~language.held_out())))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_secret_scan": (op1_secret_scan, secrets.report_sql()),
+    "op6_site_lines": (op6_site_lines, site_lines.report_sql()),
+    "op7_near_dups": (op7_near_dups, None),
+    "op9_language": (op9_language, None),
 }
 
 
