@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from earshot.llm.arrow import unused
 from earshot.session import written
@@ -21,6 +21,20 @@ def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str,
     return dealt.join(spread, [*keys, salt], how).drop(salt)
 
 
+def hashed_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Up to ``most`` distinct rows (``group``, id) of each group, chosen by a hash of the id over all rows.
+
+    ``group`` must have few values, such as languages: their counts are broadcast.  A threshold on the hash brings a group down to
+    about three times ``most`` rows before they meet in one place.
+    """
+    known = rows.select(group, "id").distinct()
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = known.join(F.broadcast(sizes), group).filter(place * F.col("_size") < 3 * most + 100)
+    first = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
+    return near.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= most).select(group, "id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (a, b); a component is named by its smallest node.
 

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earshot.llm.arrow import blocks, unused, utf8
+from earshot.llm.joins import hashed_sample
 
 UNKNOWN = "und"
 
@@ -189,11 +190,7 @@ def fit_languages(
     if not documents:
         return LanguageModel((), np.zeros((0, dims), np.float32), idf, np.zeros(0), 1.0, reject)
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        labelled.filter(F.col("id").isNotNull()).select("lang", "id").distinct()
-        .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language).select("lang", "id")
-    )
+    chosen = hashed_sample(labelled.filter(F.col("id").isNotNull()), "lang", per_language)
     # At most per_language rows for each language.
     sample = labelled.join(F.broadcast(chosen), ["lang", "id"], "left_semi").dropDuplicates(["lang", "id"])
 
