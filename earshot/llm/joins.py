@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.llm.arrow import unused
 from earshot.session import written
@@ -38,7 +38,7 @@ def hashed_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected ``edges`` (a, b); a component is named by its smallest node.
 
-    Each round every node joins the member of its closed neighbourhood that a round-specific hash puts first, and the
+    Each round every node joins the member of its closed neighbourhood that comes first, after the first round by a hash of its own, and the
     edges are contracted; the number of labels falls by a constant factor a round, whatever the shape of the graph.
     Minima are built map-side and joins are salted, so a node with very many neighbours does no harm.
     Nothing but a row count leaves the executors.
@@ -46,10 +46,13 @@ def components(edges: DataFrame) -> DataFrame:
     current = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
     rounds: list[DataFrame] = []
     while not current.isEmpty():
-        turn = F.lit(len(rounds))
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = F.min(F.struct(F.xxhash64(turn, "b").alias("h"), F.col("b").alias("n")))
-        own = F.struct(F.xxhash64(turn, "a").alias("h"), F.col("a").alias("n"))
+        # The first round goes by the nodes themselves, which settles stars around their smallest node at once.
+        def rank(node: str, turn: int = len(rounds)) -> Column:
+            return F.xxhash64(F.lit(turn), node) if turn else F.lit(0).cast("bigint")
+
+        first = F.min(F.struct(rank("b").alias("h"), F.col("b").alias("n")))
+        own = F.struct(rank("a").alias("h"), F.col("a").alias("n"))
         parent = both.groupBy("a").agg(first.alias("best")).select(F.col("a").alias("node"), F.least("best", own)["n"].alias("parent"))
         parent = written(parent, "parents")
         for side in ("a", "b"):

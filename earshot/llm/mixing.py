@@ -179,4 +179,4 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 
 #: The mixture of the registered query and the pipeline: every clean document at least once, less of the rest.
-CLEANER = Mixture({"clean": 0.92, "low": 0.05, "toxic": 0.03}, volume=1.1)
+CLEANER = Mixture({"clean": 0.92, "low": 0.05, "toxic": 0.03}, volume=1.2)

@@ -277,10 +277,13 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", "n", "bands", "sketch")
     nodes = written(nodes, "classes")
     placed = nodes.select("id", "n", F.explode("bands").alias("bucket"))
+    # Most buckets hold one class and are done with here; every round works on the others.
+    met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
+    placed = written(salted_join(placed, met, ["bucket"], "left_semi", ["id"]), "buckets")
 
     id_type = docs.schema[id_col].dataType.simpleString()
     no_pairs = spark.createDataFrame([], f"a {id_type}, b {id_type}")
-    tested, links, groups = no_pairs, no_pairs, None
+    tested, links, groups = no_pairs.toDF("low", "high"), no_pairs, None
     for turn in range(how.rounds):
         if groups is None:
             members = placed.withColumn("group", F.col("id"))
@@ -289,11 +292,11 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
             members = members.select("id", "n", "bucket", F.coalesce("component", "id").alias("group"))
         pairs = _candidates(members, turn, how)
         if turn:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, (F.least(pairs.a, pairs.b) == tested.low) & (F.greatest(pairs.a, pairs.b) == tested.high), "left_anti")
         pairs = written(_alike(pairs, nodes, how), "candidates")
         if pairs.isEmpty():
             break
-        tested = tested.unionByName(pairs)
+        tested = tested.unionByName(pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")))
         new = written(_confirmed(pairs, docs, how, id_col, text_col), "links")
         if not new.isEmpty():
             links = links.unionByName(new)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from earshot.llm.arrow import blocks
-from earshot.llm.tokens import Encoder
+from earshot.llm.tokens import encoder
 from earshot.session import written
 
 CAPACITY = 2048
@@ -77,9 +77,13 @@ def windows_of(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def token_pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json",
-    end: int = END, capacity: int = CAPACITY, grain: int = 512, with_ids: bool = False,
+    end: int = END, capacity: int = CAPACITY, grain: int = 1024, filler: int = 32, fillers: int = 16, with_ids: bool = False,
 ) -> DataFrame:
-    """Each document's ids, then ``end``, cut into pieces: id, start, length, ids_crc32, doc_tokens (and ids as binary)."""
+    """Each document's ids, then ``end``, cut into pieces: id, start, length, ids_crc32, doc_tokens (and ids as binary).
+
+    What remains beside whole windows is cut into pieces of at most ``grain`` ids; that of one document in ``fillers``, chosen by
+    its last ids, into pieces of at most ``filler``, with which windows can be evened out.
+    """
     schema = (
         T.StructType().add(id_col, docs.schema[id_col].dataType).add("start", T.LongType()).add("length", T.LongType())
         .add("ids_crc32", T.LongType()).add("doc_tokens", T.LongType())
@@ -88,16 +92,15 @@ def token_pieces(
         schema = schema.add("ids", T.BinaryType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
         last = np.array([end], "<u4")
         for block in blocks(batches, "text"):
             row, start, length, crc, total, raw = [], [], [], [], [], []
-            for i, text in enumerate(block.column(1).to_pylist()):
-                ids = np.concatenate([encoder.ids(text), last])
+            for i, own in enumerate(encoder(tokenizer).all_ids(block.column(1).to_pylist())):
+                ids = np.concatenate([own, last])
                 whole = len(ids) // capacity * capacity
                 # What remains is cut into equal pieces, so that none is needlessly small.
                 rest = len(ids) - whole
-                parts = -(-rest // grain)
+                parts = -(-rest // (filler if zlib.crc32(ids[-32:].tobytes()) % fillers == 0 else grain))
                 edges = [*range(0, whole, capacity), *(whole + rest * p // parts for p in range(parts)), len(ids)]
                 for s, e in zip(edges, edges[1:], strict=False):
                     data = ids[s:e].tobytes()
@@ -117,7 +120,7 @@ def token_pieces(
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, windows: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, windows: int = 192) -> DataFrame:
     """``pieces`` (with a ``length``) plus sequence_id and offset; a group holds the tokens of about ``windows`` windows.
 
     The pieces are written first, so a piece's number, on which its group rests, is the same on every attempt.  A
@@ -159,5 +162,5 @@ def sequences(packed: DataFrame) -> DataFrame:
     """The sequences of packed pieces with ``ids``: sequence_id, length, ids (little-endian unsigned 32-bit), at most a window each."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts")).select(
-        "sequence_id", "length", F.aggregate(F.col("parts")["ids"], F.lit(b""), F.concat).alias("ids")
+        "sequence_id", "length", F.aggregate(F.col("parts")["ids"], F.lit(b""), lambda held, more: F.concat(held, more)).alias("ids")
     )

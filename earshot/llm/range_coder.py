@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 8192  # ids a block
-LANES = 256  # blocks in step; bounds the memory of a task
+BLOCK = 4096  # ids a block
+LANES = 512  # blocks in step; bounds the memory of a task
 
 _ROWS0 = 1 + 16 + 256 + 4096  # order-0 contexts: the nibbles before each of the four
-_HASHED = 4096  # rows of each of the two higher orders
+_HASHED = 2048  # rows of each of the two higher orders
 _ROWS = _ROWS0 + 2 * _HASHED
 _FIRST = (0, 1, 17, 273)
 _GAIN, _MOST = 24, 1200
@@ -29,7 +29,7 @@ class _Lanes:
 
     def __init__(self, lanes: int):
         self.counts = np.zeros((lanes * _ROWS, 16), np.uint16)
-        self.totals = np.zeros(lanes * _ROWS, np.int64)
+        self.totals = np.zeros(lanes * _ROWS, np.int16)
         self.base = np.arange(lanes, dtype=np.int64) * _ROWS
         self.weights = np.tile(np.array([_MIX // 4, _MIX // 4, _MIX // 2], np.int64), (4, lanes, 1))
         self.before = np.zeros((2, lanes), np.int64)
@@ -44,12 +44,12 @@ class _Lanes:
         one = (one ^ one >> 15) * 0x85EBCA6B & 0xFFFFFFFF
         two = (two ^ two >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
         base = self.base[:m]
-        return np.stack([base + place, base + _ROWS0 + (one >> 20), base + _ROWS0 + _HASHED + (two >> 20)])
+        return np.stack([base + place, base + _ROWS0 + (one >> 21), base + _ROWS0 + _HASHED + (two >> 21)])
 
     def mixed(self, m: int, nibble: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The models' counts (3 x m x 16) and the mix's cumulative frequencies (m x 17); every symbol has some."""
         counts = self.counts[rows].astype(np.int64)
-        scale = (self.weights[nibble, :m].T << 8) // (self.totals[rows] + 1)
+        scale = (self.weights[nibble, :m].T << 8) // (self.totals[rows].astype(np.int64) + 1)
         frequency = ((counts * scale[:, :, None]).sum(axis=0) >> 8) + 1
         cumulative = np.zeros((m, 17), np.int64)
         np.cumsum(frequency, axis=1, out=cumulative[:, 1:])
@@ -57,16 +57,18 @@ class _Lanes:
 
     def learn(self, m: int, nibble: int, rows: np.ndarray, counts: np.ndarray, symbol: np.ndarray) -> None:
         lane = np.arange(m)
-        seen = (counts[:, lane, symbol] << 12) // (self.totals[rows] + 1) + 1
+        totals = self.totals[rows]
+        seen = (counts[:, lane, symbol] << 12) // (totals.astype(np.int64) + 1) + 1
         weights = self.weights[nibble, :m]
         weights += (seen * _MIX // seen.sum(axis=0)).T - weights >> 5
         np.maximum(weights, 16, out=weights)
         self.counts[rows, symbol] += np.uint16(_GAIN)
-        self.totals[rows] += _GAIN
-        full = rows[self.totals[rows] > _MOST]
+        totals += np.int16(_GAIN)
+        self.totals[rows] = totals
+        full = rows[totals > _MOST]
         if len(full):
             self.counts[full] >>= np.uint16(1)
-            self.totals[full] = self.counts[full].sum(axis=1)
+            self.totals[full] = self.counts[full].sum(axis=1).astype(np.int16)
 
     def narrow(self, m: int, cumulative: np.ndarray, symbol: np.ndarray, unit: np.ndarray) -> None:
         lane = np.arange(m)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from earshot.llm.arrow import blocks as text_blocks
 from earshot.llm.range_coder import BLOCK, LANES, decode, encode
-from earshot.llm.tokens import Encoder
+from earshot.llm.tokens import encoder
 from earshot.session import work_folder, written
 
 MAGIC = b"IDMIX1\r\n"
@@ -113,7 +113,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     files.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(tokenizer), np.array([end], "<u4")
+        last = np.array([end], "<u4")
         out_files, out_root = fs.FileSystem.from_uri(path)
         place = TaskContext.get().partitionId()
         name = f"part-{place:06d}-{uuid.uuid4().hex}.ids"
@@ -121,8 +121,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for block in text_blocks(batches, "text"):
             if writer is None and block.num_rows:
                 writer = FileWriter(out_files.open_output_stream(posixpath.join(out_root, name), compression=None))
-            for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, np.concatenate([encoder.ids(text), last]))
+            for doc_id, ids in zip(block.column(0).to_pylist(), encoder(tokenizer).all_ids(block.column(1).to_pylist()), strict=True):
+                writer.add(doc_id, np.concatenate([ids, last]))
         if writer is not None:
             writer.close()
             row = {"place": place, "name": name, "documents": writer.documents, "ids": writer.ids}

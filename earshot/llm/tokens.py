@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+from array import array
 
 import numpy as np
 
 #: Pieces whose ids a worker remembers at once; it forgets them all when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+#: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a character: itself where that is visible, else the next one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _library(path: str):
     """The tokenizer at ``path``, which is a file or a name that the installed public collection knows."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,49 +51,110 @@ class Encoder:
         # Between pieces that are encoded together; it becomes one id that none of them can give.
         self._mark = "\n" if self._keeps_space else " | "
         self._mark_id = self._encode([self._mark])[0][0]
-        self._known: dict[str, bytes] = {}
-        self._odd: set[str] = set()
+        self._lead = " " if self._keeps_space else ""
+        self._letters = _byte_letters()
+        self._units: dict[str, bytes] = {}
+        # Whether words can go to the model past the library's cutting, which takes most of its time.
+        trial = ["Word", "naïve,", "STRASSE!!", "Ÿe", "x|", "a'", "end.\nBegin\nÉté"]
+        whole = self._encode([self._lead + w for w in trial])
+        self._direct = sys.byteorder == "little" and all(
+            array("I", ids).tobytes() == self._spelled(w, self._lead) for w, ids in zip(trial, whole, strict=True)
+        )
+        self._known: dict[str, bytes] = {}  # by the piece without the space before it
+        self._odd: set[str] = set()  # those of them that begin or end with white space, or are empty
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit(self, text: str) -> bytes:
+        got = self._units.get(text)
+        if got is None:
+            if text.isascii() and text.isprintable():
+                spelled = text.replace(" ", self._letters[32])
+            else:
+                spelled = text.encode().decode("latin-1").translate(self._letters)
+            got = self._units[text] = array("I", [t.id for t in self._tokenizer.model.tokenize(spelled)]).tobytes()
+        return got
+
+    def _spelled(self, piece: str, lead: str) -> bytes | None:
+        """The ids of words with a line break between two; None for anything else."""
+        out = b""
+        for i, part in enumerate(piece.split("\n")):
+            match = _WORD.fullmatch(part)
+            if match is None:
+                return None
+            if i and self._keeps_space:
+                out += self._unit("\n")
+            letters, after = match.groups()
+            out += self._unit(("" if i else lead) + (letters if self._keeps_space else letters.lower()))
+            if after:
+                out += self._unit(after)
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         together, alone = [], []
         for piece in pieces:
-            bare = piece[1:] if self._keeps_space and piece[:1] == " " else piece
-            # One word without white space, the mark, or the opening of a special token.
-            plain = bare and "|" not in bare and len(bare.split()) == 1 and not (bare[0].isspace() or bare[-1].isspace())
+            ids = self._spelled(piece, self._lead) if self._direct else None
+            if ids is not None:
+                self._known[piece] = ids
+                continue
+            edges = not piece or piece[0].isspace() or piece[-1].isspace()
+            # One word without white space or the mark.
+            plain = not edges and "|" not in piece and len(piece.split()) == 1
             (together if plain else alone).append(piece)
-            if self._keeps_space and (not bare or bare[0].isspace() or bare[-1].isspace()):
+            if edges and self._keeps_space:
                 self._odd.add(piece)
-        for at in range(0, len(together), 2000):
-            part = together[at : at + 2000]
-            ids = np.array(self._encode([self._mark.join(part)])[0], "<u4")
+        for at in range(0, len(together), 5000):
+            part = together[at : at + 5000]
+            ids = np.array(self._encode([self._lead + (self._mark + self._lead).join(part)])[0], "<u4")
             cuts = np.flatnonzero(ids == self._mark_id)
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             if len(starts) != len(part):
                 alone += part
                 continue
+            data = ids.tobytes()
             for piece, start, end in zip(part, starts, ends, strict=True):
-                self._known[piece] = ids[start:end].tobytes()
-        for piece, ids in zip(alone, self._encode(alone), strict=True):
+                self._known[piece] = data[4 * start : 4 * end]
+        for piece, ids in zip(alone, self._encode([self._lead + p for p in alone]), strict=True):
             self._known[piece] = np.array(ids, "<u4").tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids; none for a null or empty text."""
-        if not text:
-            return np.empty(0, "<u4")
-        pieces = text.split(" ")
+    def _opening(self, piece: str) -> bytes:
+        ids = self._spelled(piece, "") if self._direct else None
+        return np.array(self._encode([piece])[0], "<u4").tobytes() if ids is None else ids
+
+    def all_ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its little-endian unsigned 32-bit ids; none for a null or empty text."""
+        pieces = [text.split(" ") if text else [] for text in texts]
         if self._keeps_space:
-            pieces = [pieces[0], *[" " + p for p in pieces[1:]]] if pieces[0] else [" " + p for p in pieces[1:]]
-        distinct = set(pieces)
-        new = [p for p in distinct if p not in self._known]
-        if new:
-            if len(self._known) + len(new) > REMEMBERED:
-                self._known.clear()
-                self._odd.clear()
-                new = list(distinct)
-            self._learn(new)
-        if self._keeps_space and not self._odd.isdisjoint(distinct) and _UNSAFE.search(text):
-            return np.array(self._encode([text])[0], "<u4")
-        return np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), "<u4")
+            # What stands before the first space has no space before it.
+            first = [self._opening(p[0]) if p else b"" for p in pieces]
+            pieces = [p[1:] for p in pieces]
+        else:
+            first = [b""] * len(pieces)
+        distinct = set().union(*pieces)
+        new = distinct.difference(self._known)
+        if len(self._known) + len(new) > REMEMBERED:
+            for held in (self._known, self._units, self._odd):
+                held.clear()
+            new = distinct
+        self._learn(list(new))
+        odd = self._odd.intersection(distinct)
+        known = self._known.__getitem__
+        out = []
+        for text, start, own in zip(texts, first, pieces, strict=True):
+            if odd and not odd.isdisjoint(own) and _UNSAFE.search(text):
+                out.append(np.array(self._encode([text])[0], "<u4"))
+            else:
+                out.append(np.frombuffer(start + b"".join(map(known, own)), "<u4"))
+        return out
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.all_ids([text])[0]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process' encoder of a tokenizer; Spark gives a worker many tasks, which share what it remembers."""
+    held = sys.modules.setdefault("earshot_encoders", types.ModuleType("earshot_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
