@@ -33,11 +33,16 @@ def _letters_only() -> np.ndarray:
     return table
 
 
-def _hashed(low: np.ndarray, dims: int) -> np.ndarray:
-    """The dimension of each n-gram of a byte string, those of spaces only left out; and none across its ends."""
+def _hashed(low: np.ndarray, dims: int, more: bool) -> np.ndarray:
+    """The dimension of each n-gram of a byte string, those of spaces only left out.
+
+    ``more``: the next chunk begins with the last two bytes, and its first pair is this one's last.
+    """
     codes = low.astype(np.uint32)
     two = codes[:-1] << 8 | codes[1:]
     three = two[:-1] << 8 | codes[2:]
+    if more:
+        two = two[:-1]
     grams = np.concatenate([two[two != 0x2020], three[three != 0x202020] | 1 << 24])
     return (grams * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(dims)
 
@@ -58,7 +63,7 @@ def gram_counts(column: pa.Array, dims: int, chunk: int = 4 << 20) -> np.ndarray
                 low = np.concatenate([[np.uint8(32)], low])
             if stop == end:
                 low = np.concatenate([low, [np.uint8(32)]])
-            dim = _hashed(low, dims)
+            dim = _hashed(low, dims, stop < end)
             if len(dim):
                 out[row] += np.bincount(dim, minlength=dims)
             if stop == end:

@@ -14,7 +14,7 @@ def brute(rows, min_sites, most_share):
         if text is not None:
             lines = text.split("\n")
             gone = [bool(line.strip(" ")) and len(sites[line.strip(" ")]) >= min_sites for line in lines]
-            if sum(len(x) for x, g in zip(lines, gone)) <= most_share * len(text):
+            if sum(len(x) for x, g in zip(lines, gone) if g) <= most_share * len(text):
                 text = "\n".join(x for x, g in zip(lines, gone) if not g)
         out.append((doc_id, text, site))
     return out
