@@ -12,15 +12,23 @@ from pyspark.sql import Column, functions as F
 from earshot.functions import constants as k
 
 
+def _is_ascii(c: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(c) == F.length(c)
+
+
 def nfkc(c: Column) -> Column:
-    return F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True)
+    """The compatibility composition; ASCII is its own, and only other text is handed to the library."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(_is_ascii(c), c).otherwise(
+        F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
     )
 
 
 def casefold(c: Column) -> Column:
-    return F.java_method(
-        F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(c, F.lit("")), F.lit(True)
+    c = F.coalesce(c, F.lit(""))
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(
+        F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
     )
 
 

@@ -24,21 +24,22 @@ def with_cover_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cover_id", F.when(named & nameless_ids, cover_key(**full)))
 
 
-def _files_by_id(library: DataFrame) -> DataFrame:
-    """The first file behind each file id and each album id."""
+def _files_by_id(library: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first file behind each wanted file id or album id."""
     files = with_optional_columns(library).withColumn("file", F.struct("id", "title", "artist", "album_id", "has_cover_art"))
     keyed = files.select(F.explode(F.array_distinct(F.array("id", "album_id"))).alias("cover_id"), "file")
-    return keyed.groupBy("cover_id").agg(F.min("file").alias("file"))
+    return keyed.join(ids, "cover_id", "left_semi").groupBy("cover_id").agg(F.min("file").alias("file"))
 
 
-def _listens_by_id(listens: DataFrame) -> DataFrame:
-    """The first listen behind each album, track and artist id."""
+def _listens_by_id(listens: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first listen behind each wanted album, track or artist id."""
     fields = ["track_name", "artist_name", "album_id", "track_id", "artist_id"]
-    # One row per combination of names and ids, before it is listed under each of its ids.
-    heard = listens.groupBy(*fields).agg(F.min("id").alias("id"))
     each = F.explode(F.array_distinct(F.array("album_id", "track_id", "artist_id")))
-    heard = heard.withColumn("cover_id", each).filter(~blank(F.col("cover_id")))
-    return heard.groupBy("cover_id").agg(F.min(F.struct("id", *fields)).alias("listen"))
+    wanted = listens.select(each.alias("cover_id"), "id", *fields).filter(~blank(F.col("cover_id")))
+    wanted = wanted.join(ids, "cover_id", "left_semi")
+    # A number is found by hashing; the texts of that one listen are fetched by it.
+    first = wanted.groupBy("cover_id").agg(F.min("id").alias("id"))
+    return wanted.join(first, ["cover_id", "id"]).select("cover_id", F.struct("id", *fields).alias("listen")).dropDuplicates(["cover_id"])
 
 
 def describe_covers(
@@ -53,7 +54,11 @@ def describe_covers(
     """
     cover_id = F.col("cover_id")
     rows = ids.select("cover_id").distinct()
-    rows = rows.join(_files_by_id(library), "cover_id", "left").join(_listens_by_id(listens), "cover_id", "left")
+    # Ids that say themselves what they stand for are not looked up; listens only for those that no file has.
+    looked_up = rows.filter(~cover_id.startswith("cover-"))
+    rows = rows.join(_files_by_id(library, looked_up), "cover_id", "left")
+    open_ids = rows.filter(F.col("file").isNull() & ~cover_id.startswith("cover-")).select("cover_id")
+    rows = rows.join(_listens_by_id(listens, open_ids), "cover_id", "left")
     # Only these credits have to be split.
     credit = F.when(F.col("file").isNull() & (F.col("listen.artist_id") == cover_id), F.col("listen.artist_name"))
     known_artist = F.lit(False)
@@ -64,7 +69,8 @@ def describe_covers(
         credit = F.coalesce(F.col("_listed"), credit)
     rows = rows.withColumn("_old", F.when(F.col("file").isNull(), F.col("listen.track_name"))).withColumn("_credit", credit)
     rows = with_legacy_keys(rows.withColumn("_old", F.coalesce("_old", cover_id)), "_old")
-    rows = rows.join(legacy_files(library), ["_person", "_title"], "left")
+    old_titles = rows.filter(F.instr("_old", " - ") > 0).select("_title").distinct()
+    rows = rows.join(legacy_files(library, old_titles), ["_person", "_title"], "left")
     rows = with_artists(rows, "_credit", out="_people").withColumn("_person", F.get("_people", F.lit(0))["name"])
 
     described = F.from_json(from_base64url(F.substring(cover_id, 7, 1 << 30)), "kind string, name string, artist string")

@@ -98,8 +98,9 @@ def search_bundle(results: DataFrame, songs: int = 30, artists: int = 8, albums:
 def artist_page(heads: DataFrame, entries: DataFrame, songs: int = 30, related: int = 12) -> DataFrame:
     """An artist's songs, albums with singles, and related artists.
 
-    ``heads`` has page_id and title; ``entries`` page_id, section (songs, albums, singles, related),
-    pos, payload.  Entries without artists inherit the page's.
+    ``heads`` has page_id and title; ``entries`` page_id, section (songs, playlist, albums, singles, related),
+    pos, payload.  Entries without artists inherit the page's.  Where there is a playlist of the artist's songs, it stands in for
+    the page's shorter list.
     """
     people = F.array(F.struct(F.col("title").alias("name"), F.col("page_id").alias("id"))).cast(ARTISTS_TYPE)
     rows = skew_safe_left_join(entries, heads.select("page_id", people.alias("_people")), ["page_id"])
@@ -112,11 +113,13 @@ def artist_page(heads: DataFrame, entries: DataFrame, songs: int = 30, related:
     def first(df: DataFrame, limit: int) -> DataFrame:
         return first_per(df, ["page_id"], [F.asc("pos"), F.asc("id")], limit)
 
+    fuller = of("playlist").withColumn("section", F.lit("songs"))
+    listed = of("songs").join(fuller.select("page_id").distinct(), "page_id", "left_anti").unionByName(fuller)
     shown = ["page_id", "section", "pos", "kind", "id", "title", "artist"]
     other = normalize_artists(of("related"), kept=kept).withColumn("artist", F.col("title"))
     records = normalize_albums(of("albums", "singles"), kept=kept, fallback="_people")
     return (
-        first(normalize_songs(of("songs"), kept=kept, fallback="_people"), songs).select(*shown)
+        first(normalize_songs(listed, kept=kept, fallback="_people"), songs).select(*shown)
         .unionByName(records.select(*shown))
         .unionByName(first(other, related).select(*shown))
     )

@@ -6,35 +6,41 @@ from pyspark.sql import DataFrame, functions as F
 
 from earshot.operators.skew import skew_safe_left_join
 
+#: A needle is looked up by so many of its first characters, a shorter one by all of them.
+GRAM = 8
 
-def _common_parts(needles: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """Every text once per position and length, for the lengths its group's needles have.
 
-    Comparing all needles with all texts of a group would grow with their product, and one group
-    may be a third of both sides.  Substrings grow with the texts alone, and a needle is
-    contained exactly if it equals one of them.
-    """
-    lengths = needles.groupBy(group).agg(F.collect_set(F.length("needle")).alias("_lengths"))
-    sized = skew_safe_left_join(texts, lengths, [group]).filter(F.col("_lengths").isNotNull())
-    sized = sized.withColumn("_length", F.explode("_lengths")).drop("_lengths")
-    sized = sized.filter(F.col("_length") <= F.length("text"))
-    starts = F.explode(F.sequence(F.lit(1), F.length("text") - F.col("_length") + 1))
-    part = F.substring(F.col("text"), F.col("_at"), F.col("_length"))
-    return sized.withColumn("_at", starts).withColumn("needle", part).drop("_at", "_length")
+def _keyed(needles: DataFrame, group: list[str]) -> DataFrame:
+    return needles.select(*group, "needle").distinct().withColumn("_gram", F.substring("needle", 1, GRAM))
 
 
-def smallest_containing(needles: DataFrame, texts: DataFrame, group: str, of: str) -> DataFrame:
-    """For each distinct (``group``, ``needle``), the smallest ``of`` among texts that contain it.
+def _matches(needles: DataFrame, texts: DataFrame, group: list[str]) -> DataFrame:
+    """Texts beside each needle of their group that they contain; ``needles`` as ``_keyed`` gives them.
 
-    The parts are reduced to one row per (group, part), with map-side aggregation, before the
-    needles look theirs up, so a part that most texts share does not multiply.
+    Comparing all needles with all texts of a group would grow with their product, and one group may be a third of both
+    sides.  So a text is listed once under each of its grams, of the few lengths in use, which is linear in its length, and
+    only the needles that start with a gram of a text are compared with it.
     """
-    needles = needles.select(group, "needle").distinct()
-    index = _common_parts(needles, texts, group).groupBy(group, "needle").agg(F.min(of).alias(of))
-    return needles.join(index, [group, "needle"])
+    if group:
+        lengths = needles.groupBy(*group).agg(F.collect_set(F.length("_gram")).alias("_lengths"))
+        sized = skew_safe_left_join(texts, lengths, group).filter(F.col("_lengths").isNotNull())
+    else:
+        sized = texts.withColumn("_lengths", F.sequence(F.lit(0), F.lit(GRAM)))
+    sized = sized.withColumn("_length", F.explode("_lengths")).drop("_lengths").filter(F.col("_length") <= F.length("text"))
+    starts = F.sequence(F.lit(1), F.length("text") - F.greatest("_length", F.lit(1)) + 1)
+    starts = F.when(F.col("_length") > 0, starts).otherwise(F.array(F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("text"), at, F.col("_length"))))
+    listed = sized.withColumn("_gram", F.explode(grams)).drop("_length")
+    return listed.join(needles, [*group, "_gram"]).filter(F.contains("text", "needle")).drop("_gram")
+
+
+def smallest_containing(needles: DataFrame, texts: DataFrame, group: str, of: str) -> DataFrame:
+    """For each distinct (``group``, ``needle``), the smallest ``of`` among texts that contain it."""
+    found = _matches(_keyed(needles, [group]), texts, [group])
+    return found.groupBy(group, "needle").agg(F.min(of).alias(of))
 
 
-def texts_containing(needles: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """The texts that contain at least one needle of their group; a text may come repeatedly."""
-    needles = needles.select(group, "needle").distinct()
-    return _common_parts(needles, texts, group).join(needles, [group, "needle"], "left_semi")
+def texts_containing(needles: DataFrame, texts: DataFrame, group: str | None = None) -> DataFrame:
+    """The texts that contain at least one needle (of their group, where there are groups); a text may come repeatedly."""
+    keys = [group] if group else []
+    return _matches(_keyed(needles, keys), texts, keys)

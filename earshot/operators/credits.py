@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earshot.functions import constants as k
 from earshot.functions.credits import structured_names, with_artists
 from earshot.functions.text import blank, credit_key, artist_id
-from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.library import visible, with_optional_columns
 
 
@@ -64,9 +63,8 @@ def artist_listens(listens: DataFrame, library: DataFrame | None = None) -> Data
 
     Credits without a name keep their raw name and id; a credit that splits to nothing vanishes.
     """
-    dimension = credit_dimension(listens, library).withColumnRenamed("credit", "artist_name")
-    rows = skew_safe_left_join(listens, dimension, ["artist_name"])
-    rows = rows.withColumn("a", F.explode(_or_raw(F.col("artists"))))
+    # The artists follow from the row's own credit; only structured tags, if any, are looked up.
+    rows = _split(listens, "artist_name", library).withColumn("a", F.explode(_or_raw(F.col("artists"))))
     replaced = {"artist_name": F.col("a.name"), "artist_id": F.col("a.id")}
     columns = [replaced[c].alias(c) if c in replaced else F.col(c) for c in listens.columns]
     return rows.select(*columns, F.col("artist_name").alias("original_artist_name"))
@@ -88,24 +86,14 @@ def distinct_artists(listens: DataFrame, library: DataFrame | None = None) -> Da
     return per_credit.groupBy("artist_id").agg(F.min("artist_name").alias("artist_name"))
 
 
-# Up to this many credits a filter lists them; a driver-side list stays this small.
-LISTED_CREDITS = 10_000
-
-
-def credited_rows(
-    listens: DataFrame, artist: str, library: DataFrame | None = None, listed: int = LISTED_CREDITS
-) -> DataFrame:
+def credited_rows(listens: DataFrame, artist: str, library: DataFrame | None = None) -> DataFrame:
     """Listens whose credit includes exactly this artist.
 
-    Credits are split once per distinct credit.  The credits that include the artist are counted as
-    they are fetched: a short list becomes a filter on the scan, so that no listen is shuffled, and
-    a longer one a semi join.
+    Credits are split once per distinct credit; those that include the artist are the small side of a semi join, which Spark
+    broadcasts when it has measured them to be small.
     """
     credits = _split(listens.select("artist_name").filter(~blank(F.col("artist_name"))).distinct(), "artist_name", library)
     # The wanted id is itself a column, so that both sides go through one normalisation.
     credits = credits.withColumn("_wanted", credit_key(F.lit(artist))).withColumn("_wanted", artist_id(F.col("_wanted")))
     wanted = credits.filter(F.exists("artists", lambda a: a["id"] == F.col("_wanted"))).select("artist_name")
-    few = wanted.limit(listed + 1).collect()
-    if len(few) <= listed:
-        return listens.filter(F.col("artist_name").isin([row.artist_name for row in few]))
     return listens.join(wanted, "artist_name", "left_semi")

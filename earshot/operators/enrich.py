@@ -7,6 +7,7 @@ tiers, and the listens join the outcome.  Where several files fit, the smallest
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +15,7 @@ from earshot.functions import constants as k
 from earshot.functions.measures import round_half_up
 from earshot.functions.text import blank, clean_listen_title
 from earshot.operators.containment import smallest_containing
-from earshot.operators.skew import keep_wanted, skew_safe_left_join
+from earshot.operators.skew import skew_safe_left_join
 from earshot.session import written
 
 _PAIR = ["track_name", "artist_name"]
@@ -26,6 +27,14 @@ def _file() -> Column:
     return F.struct(F.col("id").alias("track_id"), "album_id", "artist_id", "duration", "genre")
 
 
+@dataclass(frozen=True)
+class Files:
+    """The library as the cascade looks it up."""
+
+    exact: DataFrame  # track_name, artist_name, file: one file per (title, artist)
+    titles: DataFrame  # artist_name, text, id, file: one file per artist and lower-cased title
+
+
 def exact_files(library: DataFrame) -> DataFrame:
     """One file per (title, artist)."""
     return library.groupBy(F.col("title").alias("track_name"), F.col("artist").alias("artist_name")).agg(
@@ -33,24 +42,36 @@ def exact_files(library: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_files(pairs: DataFrame, library: DataFrame) -> DataFrame:
+def _same(df: DataFrame, purpose: str) -> DataFrame:
+    return df
+
+
+def keyed_files(library: DataFrame, keep: Keep = _same) -> Files:
+    """Reduce the library to its keys; a caller that looks up again and again keeps the outcome."""
+    exact = keep(exact_files(library), "exact-files")
+    titles = exact.groupBy("artist_name", F.lower("track_name").alias("text")).agg(F.min_by("file", "file.track_id").alias("file"))
+    return Files(exact, keep(titles.select("artist_name", "text", F.col("file.track_id").alias("id"), "file"), "title-files"))
+
+
+def fuzzy_files(pairs: DataFrame, library: DataFrame | Files) -> DataFrame:
     """Files by the same artist whose title contains the start of the listen's title, any case."""
+    files = library if isinstance(library, Files) else keyed_files(library)
     wanted = pairs.withColumn("needle", F.lower(F.substring("track_name", 1, k.FUZZY_PREFIX)))
-    titles = library.groupBy(F.col("artist").alias("artist_name"), F.lower("title").alias("text")).agg(
-        F.min("id").alias("id")
-    )
-    found = smallest_containing(wanted, titles, "artist_name", "id")
-    files = library.select("id", _file().alias("file"))
-    return wanted.join(found, ["artist_name", "needle"]).join(files, "id").select(*_PAIR, "file")
+    # Only the artists that are asked for.
+    titles = files.titles.join(wanted.select("artist_name").distinct(), "artist_name", "left_semi")
+    found = smallest_containing(wanted, titles.select("artist_name", "text", "id"), "artist_name", "id")
+    file = titles.select("artist_name", "id", "file")
+    return wanted.join(found, ["artist_name", "needle"]).join(file, ["artist_name", "id"]).select(*_PAIR, "file")
 
 
-def resolve_pairs(pairs: DataFrame, library: DataFrame, keep: Keep = written) -> DataFrame:
+def resolve_pairs(pairs: DataFrame, library: DataFrame | Files, keep: Keep = written) -> DataFrame:
     """Distinct pairs with ``file`` and ``tier``: exact, clean, fuzzy or none.
 
     The outcome of the first two tiers is kept: the third tier and the final answer both start from
     it, and so do the row counts that may travel with the pairs.
     """
-    files = exact_files(library)
+    keyed = library if isinstance(library, Files) else keyed_files(library)
+    files = keyed.exact
     cleaned = clean_listen_title(F.col("track_name"))
     # Pairs the first tier settled, and titles that are clean already, get a key that no title has.
     no_title = F.concat(F.lit("\uffff"), F.col("track_name"))
@@ -60,7 +81,7 @@ def resolve_pairs(pairs: DataFrame, library: DataFrame, keep: Keep = written) ->
     tried = tried.join(by_clean, ["_clean", "artist_name"], "left").drop("_clean")
     tried = keep(tried, "resolved-pairs")
     open_pairs = tried.filter(F.col("_exact_file").isNull() & F.col("_clean_file").isNull()).select(*_PAIR)
-    tried = tried.join(fuzzy_files(open_pairs, library).withColumnRenamed("file", "_fuzzy_file"), _PAIR, "left")
+    tried = tried.join(fuzzy_files(open_pairs, keyed).withColumnRenamed("file", "_fuzzy_file"), _PAIR, "left")
     tier = (
         F.when(F.col("_exact_file").isNotNull(), F.lit("exact"))
         .when(F.col("_clean_file").isNotNull(), F.lit("clean"))
@@ -74,7 +95,8 @@ def resolve_pairs(pairs: DataFrame, library: DataFrame, keep: Keep = written) ->
 def _with_file(listens: DataFrame, tier: Column) -> DataFrame:
     """Fill ids, genre and duration from ``file``; the submitted duration is the fallback."""
     known = F.nullif(F.col("file.duration"), F.lit(0))
-    submitted = round_half_up(F.col("duration_ms") / 1000).cast("int")
+    # What no file could last is as good as unknown.
+    submitted = round_half_up(F.col("duration_ms") / 1000).try_cast("int")
     kept = [c for c in listens.columns if c not in ("file", "tier", "duration_ms")]
     return listens.select(
         *kept,
@@ -89,7 +111,7 @@ def pair_counts(listens: DataFrame) -> DataFrame:
     return listens.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n"))
 
 
-def enrich_listens(listens: DataFrame, library: DataFrame, keep: Keep = written) -> DataFrame:
+def enrich_listens(listens: DataFrame, library: DataFrame | Files, keep: Keep = written) -> DataFrame:
     """The full cascade over parsed listens (``duration_ms`` from the payload).
 
     The listens are read twice: to count their distinct pairs, and to take the files found.  What
@@ -144,7 +166,7 @@ def resolve_tracks(requests: DataFrame, listens: DataFrame, library: DataFrame)
     """(track, artist) requests: the latest listen with a track id, else an exact file, else blanks."""
     columns = ["track_id", "album_id", "artist_id", "duration", "genre"]
     pairs = requests.select("track", "artist").distinct()
-    listens = keep_wanted(listens, pairs.toDF(*_PAIR), _PAIR)
+    listens = listens.join(pairs.toDF(*_PAIR), _PAIR, "left_semi")
     track, by = F.col("track_name").alias("track"), F.col("artist_name").alias("artist")
     # Two passes: the first only keeps a number per group and therefore hashes instead of sorting.
     heard = listens.filter(~blank(F.col("track_id"))).groupBy(track, by, *columns).agg(F.max("id").alias("id"))

@@ -20,6 +20,11 @@ def mark_owned(catalog: DataFrame, library: DataFrame, deleted: DataFrame | None
     Songs match on artist and title, albums on artist and album; where several files share a key,
     the last id is taken.  Only the matched ids travel with the keys.
     """
+    by = F.col("artist")
+    if "artists" in catalog.columns:
+        by = F.coalesce(F.nullif(by, F.lit("")), F.get("artists", F.lit(0))["name"])
+    rows = catalog.withColumn("_kind", F.when(F.col("kind") == "album", F.lit("album")).otherwise(F.lit("song")))
+    rows = rows.withColumn("_artist", match_key(by)).withColumn("_title", match_key(F.col("title")))
     files = visible(library, deleted)
     keyed = files.select(
         "id", "album_id", match_key(F.col("artist")).alias("_artist"),
@@ -31,11 +36,6 @@ def mark_owned(catalog: DataFrame, library: DataFrame, deleted: DataFrame | None
     )
     last = F.max(F.struct("id", "album_id"))
     owned = keyed.groupBy("_kind", "_artist", "_title").agg(last["id"].alias("local_id"), last["album_id"].alias("local_album_id"))
-    by = F.col("artist")
-    if "artists" in catalog.columns:
-        by = F.coalesce(F.nullif(by, F.lit("")), F.get("artists", F.lit(0))["name"])
-    rows = catalog.withColumn("_kind", F.when(F.col("kind") == "album", F.lit("album")).otherwise(F.lit("song")))
-    rows = rows.withColumn("_artist", match_key(by)).withColumn("_title", match_key(F.col("title")))
     return skew_safe_left_join(rows, owned, ["_kind", "_artist", "_title"]).drop("_kind", "_artist", "_title")
 
 
@@ -53,9 +53,10 @@ def with_legacy_keys(rows: DataFrame, title: str = "track_name") -> DataFrame:
     return rows.withColumns({"_person": F.when(old, F.col("_person")).otherwise(none)})
 
 
-def legacy_files(library: DataFrame) -> DataFrame:
-    """One visible file (smallest id) per credited artist and cleaned title."""
+def legacy_files(library: DataFrame, titles: DataFrame) -> DataFrame:
+    """One visible file (smallest id) per credited artist and cleaned title, for the ``_title`` keys asked for."""
     files = visible(library).withColumn("_title", match_key(clean_recording_title(F.col("title"))))
+    files = files.join(titles, "_title", "left_semi")
     first = F.min(F.struct("id", "title", "artist", "album_id")).alias("legacy")
     # One file per credit and title first, so credits are split on the reduced rows.
     files = with_artists(files.groupBy("artist", "_title").agg(first), "artist")
@@ -71,7 +72,8 @@ def match_legacy_titles(titles: DataFrame, library: DataFrame) -> DataFrame:
     cleaned titles are equal.
     """
     old = titles.select("track_name").filter(F.instr("track_name", " - ") > 0).distinct()
-    found = with_legacy_keys(old).join(legacy_files(library), ["_person", "_title"])
+    old = with_legacy_keys(old)
+    found = old.join(legacy_files(library, old.select("_title").distinct()), ["_person", "_title"])
     return found.select(
         "track_name", F.col("legacy.id").alias("file_id"), F.col("legacy.title").alias("title"),
         F.col("legacy.artist").alias("artist"), F.col("legacy.album_id").alias("album_id"),
@@ -94,7 +96,7 @@ def match_catalog(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first candidate for each wanted recording: equal clean titles and a common artist.
 
     ``wanted`` has wanted_id, title, artists; ``candidates`` source (songs or videos), pos, id, title,
-    artists.  Songs come before videos.  An "Artist - " prefix is dropped from a title when it
+    artists, and perhaps image, which is returned too.  Songs come before videos.  An "Artist - " prefix is dropped from a title when it
     names a wanted artist, so a candidate is offered under both readings of its title.  It is
     reduced to the first one per (title, prefix, artist) before the join: no pairs of wanted and
     candidates that share a common title are formed.
@@ -111,7 +113,8 @@ def match_catalog(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     pool = pool.withColumn("_p", catalog_key(title_prefix(F.col("title"))))
     pool = pool.withColumn("_whole", _clean_key(F.col("title"))).withColumn("_rest", _clean_key(title_rest(F.col("title"))))
     pool = pool.withColumn("_prefix", F.when(has_prefix, F.col("_p")))
-    order = F.struct((F.col("source") != "songs").alias("later"), "pos", "id", "source")
+    image = ["image"] if "image" in candidates.columns else []
+    order = F.struct((F.col("source") != "songs").alias("later"), "pos", "id", "source", *image)
     whole = pool.groupBy(F.col("_whole").alias("_title"), "_artist", "_prefix").agg(F.min(order).alias("hit"))
     rest = pool.filter(has_prefix).groupBy(F.col("_rest").alias("_title"), "_artist", "_prefix")
     rest = rest.agg(F.min(order).alias("hit"))
@@ -121,18 +124,19 @@ def match_catalog(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     named = wanted.withColumn("_prefix", F.explode("_artists"))
     by_rest = named.join(rest, ["_title", "_artist", "_prefix"]).select("wanted_id", "hit")
     best = by_whole.union(by_rest).groupBy("wanted_id").agg(F.min("hit").alias("hit"))
-    return best.select("wanted_id", F.col("hit.id").alias("id"), F.col("hit.source").alias("source"))
+    return best.select("wanted_id", *[F.col(f"hit.{c}").alias(c) for c in ("id", "source", *image)])
 
 
 def match_artist_exact(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """The first candidate artist whose normalised name equals the query's.
 
-    ``queries`` has name; ``candidates`` pos, id, title and perhaps artist, which goes before title.
+    ``queries`` has name; ``candidates`` pos, id, title and perhaps artist, which goes before title, and image, which is returned.
     """
     title = F.col("title")
     if "artist" in candidates.columns:
         title = F.when(blank(F.col("artist")), title).otherwise(F.col("artist"))
     pool = candidates.withColumn("_key", catalog_key(title))
-    pool = pool.groupBy("_key").agg(F.min(F.struct("pos", "id")).alias("hit"))
+    image = ["image"] if "image" in candidates.columns else []
+    pool = pool.groupBy("_key").agg(F.min(F.struct("pos", "id", *image)).alias("hit"))
     wanted = queries.select("name").distinct().withColumn("_key", catalog_key(F.col("name")))
-    return wanted.join(pool, "_key").select("name", F.col("hit.id").alias("id"))
+    return wanted.join(pool, "_key").select("name", *[F.col(f"hit.{c}").alias(c) for c in ("id", *image)])

@@ -1,40 +1,97 @@
-"""Pages of an ordered result."""
+"""Pages of an ordered result, cut out where they lie, at any depth by one lazy plan.
+
+A page is found by counting: rows are dealt to ranges of the order, rows are counted by range, and only the ranges that the page
+touches are read again and numbered.  No task hands on more than a range, and nothing runs before the page is asked for.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from earshot.session import ensure_checkpoints
 
-# Up to here a page is a top-k: each task keeps this many rows at most.
-SHALLOW = 50_000
+@dataclass(frozen=True)
+class By:
+    """A column to order by; nulls come first upwards and last downwards."""
+
+    column: Column
+    down: bool = False
+
+    def sorted(self) -> Column:
+        return self.column.desc() if self.down else self.column.asc()
+
+
+def up(column: Column | str) -> By:
+    return By(F.col(column) if isinstance(column, str) else column)
+
+
+def down(column: Column | str) -> By:
+    return By(F.col(column) if isinstance(column, str) else column, True)
+
 
+def _cut(ranged: DataFrame, offset: Column | int, limit: int) -> DataFrame:
+    """Rows of the ranges (``_range``, ascending in the order) that hold rows ``offset`` to ``offset + limit``, plus ``_before``:
+    the rows of all ranges before a row's own."""
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range.
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    touched = starts.filter((F.col("_start") < offset + limit) & (F.col("_start") + F.col("_size") > offset))
+    return ranged.join(F.broadcast(touched.select("_range", F.col("_start").alias("_before"))), "_range").drop("_range")
 
-def page_rows(df: DataFrame, order: list[Column], page: int, limit: int, shallow: int = SHALLOW) -> DataFrame:
-    """Rows ``(page-1)*limit .. page*limit`` of ``df`` in ``order``."""
+
+def _numbered(rows: DataFrame, order: list[By], offset: int, limit: int, before: Column) -> DataFrame:
+    """The page out of a few ranges' rows, ``before`` being the rows before the first of them."""
+    nth = F.row_number().over(Window.orderBy(*[by.sorted() for by in order])) + before - 1
+    return rows.withColumn("_nth", nth).filter((F.col("_nth") >= offset) & (F.col("_nth") < offset + limit))
+
+
+def page_by_number(df: DataFrame, number: str, page: int, limit: int, width: int = 100_000) -> DataFrame:
+    """Rows ``(page-1)*limit .. page*limit`` by a unique whole ``number``, largest first.
+
+    Ranges are ``width`` numbers wide, so each has at most that many rows.
+    """
     offset = (page - 1) * limit
-    if offset + limit <= shallow:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    return _deep_page(df, order, offset, limit)
+    ranged = df.withColumn("_range", -F.floor(F.col(number) / width))
+    rows = _cut(ranged, offset, limit)
+    found = _numbered(rows, [down(number)], offset, limit, rows.agg(F.min("_before")).scalar())
+    return found.orderBy("_nth").select(*df.columns)
 
 
-def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """A page far down, without bringing everything above it to one task.
+def page_rows(df: DataFrame, order: list[By], page: int, limit: int, bounds: int = 100, levels: int = 2) -> DataFrame:
+    """Rows ``(page-1)*limit .. page*limit`` of ``df`` in ``order``, which must leave no ties.
 
-    The range-partitioned sort is checkpointed, so both passes see the same partitions.  Partition
-    sizes (one row per partition) then tell which rows of which partitions are on the page.
+    Ranges lie between ``bounds`` rows drawn at random; those that the page touches are divided once more, so that about one row in
+    ``bounds`` to the power of ``levels`` is numbered in one place.
     """
-    ensure_checkpoints(df.sparkSession)
-    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", nth).checkpoint()
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(
-        (F.col("_start") < offset + limit) & (F.col("_start") + F.col("_size") > offset)
-    )
-    at = F.col("_start") + F.col("_nth")
-    found = ordered.join(starts, "_part").filter((at >= offset) & (at < offset + limit))
-    return found.orderBy(at).select(*df.columns)
+    offset = (page - 1) * limit
+    keys = [F.struct(by.column.alias("k")).alias(f"k{i}") for i, by in enumerate(order)]
+    keyed = df.withColumn("_key", F.struct(*keys)).withColumn("_first", F.lit(0).cast("bigint"))
+    for level in range(levels):
+        drawn = keyed.select("_key").orderBy(F.xxhash64(F.lit(level), "_key")).limit(bounds)
+        marks = drawn.agg(F.collect_list("_key")).scalar()
+
+        def above(mark: Column) -> Column:
+            """Whether a mark stands before the row."""
+            found, same = F.lit(False), F.lit(True)
+            for i, by in enumerate(order):
+                own, other = F.col("_key")[f"k{i}"], mark[f"k{i}"]
+                found = found | (same & (other > own if by.down else other < own))
+                same = same & (other == own)
+            return found
+
+        ranged = keyed.withColumn("_marks", marks).withColumn("_range", F.size(F.filter("_marks", above))).drop("_marks")
+        if level:
+            first = keyed.agg(F.min("_first")).scalar()
+            ranged = ranged.drop("_first")
+            cut = _cut(ranged, F.lit(offset) - first, limit).withColumn("_first", F.col("_before") + first)
+        else:
+            cut = _cut(ranged.drop("_first"), offset, limit).withColumn("_first", F.col("_before"))
+        keyed = cut.drop("_before")
+    first = keyed.agg(F.min("_first")).scalar()
+    found = _numbered(keyed, order, offset, limit, first)
+    return found.orderBy("_nth").select(*df.columns)
 
 
 def with_total(page: DataFrame, total: Column, limit: int | None = None) -> DataFrame:

@@ -77,9 +77,9 @@ def similar_artists(library: DataFrame, artist: str, limit: int = 8) -> DataFram
     """
     genres = library.filter(~blank(F.col("genre"))).select("genre").distinct()
     seeds = library.filter((F.col("artist") == artist) & ~blank(F.col("genre")))
-    needles = seeds.select(F.lit("").alias("of"), F.lower("genre").alias("needle"))
-    texts = genres.select(F.lit("").alias("of"), F.lower("genre").alias("text"), "genre")
-    matched = texts_containing(needles, texts, "of").select("genre").distinct()
+    needles = seeds.select(F.lower("genre").alias("needle"))
+    texts = genres.select(F.lower("genre").alias("text"), "genre")
+    matched = texts_containing(needles, texts).select("genre").distinct()
     others = library.filter(F.col("artist") != artist).join(matched, "genre", "left_semi").groupBy("artist")
     counted = others.agg(all_events("n"), F.min("genre").alias("genre"))
     top = with_artists(counted.orderBy(F.desc("n"), "artist").limit(limit), "artist")

@@ -13,7 +13,7 @@ def skew_safe_left_join(
     keys: list[str],
     counts: DataFrame | None = None,
     shares: int = 10_000,
-    min_rows: int = 100_000,
+    min_rows: int = 10_000,
 ) -> DataFrame:
     """``facts`` left join ``dim`` (unique on ``keys``), with hot keys spread over many tasks.
 
@@ -36,20 +36,9 @@ def skew_safe_left_join(
         same = reduce(lambda a, b: a & b, [df[key].eqNullSafe(hot[f"_hot_{key}"]) for key in keys])
         return df.join(hot, same, "left").drop(*[f"_hot_{key}" for key in keys])
 
-    row_hash = F.xxhash64(*[F.col(c) for c in facts.columns])
-    left = with_salts(facts).withColumn("_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")).cast("int"), F.lit(0)))
+    # The row's place in its task is part of the salt, so that equal rows are spread as well.
+    salted = facts.withColumn("_row", F.xxhash64(*[F.col(c) for c in facts.columns], F.monotonically_increasing_id()))
+    left = with_salts(salted).withColumn("_salt", F.coalesce(F.pmod("_row", "_salts").cast("int"), F.lit(0))).drop("_row")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     right = with_salts(dim).withColumn("_salt", copies)
     return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
-
-
-def keep_wanted(facts: DataFrame, wanted: DataFrame, keys: list[str], bound: int = 10_000) -> DataFrame:
-    """Drop fact rows early whose key is not wanted, if the wanted keys are few.
-
-    A later join decides what matches; this only spares its shuffle.  ``wanted`` is broadcast after
-    a count, which stops at the bound, has shown that it is within it.
-    """
-    pairs = wanted.select(*keys).distinct()
-    if pairs.limit(bound + 1).count() > bound:
-        return facts
-    return facts.join(F.broadcast(pairs), keys, "left_semi")

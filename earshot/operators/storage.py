@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earshot.functions.credits import with_artists
 from earshot.functions.measures import share_percent
 from earshot.functions.text import artist_id, contains_text, credit_key
-from earshot.operators.paging import page_rows, with_total
+from earshot.operators.paging import By, down, page_rows, up, with_total
 from earshot.params import clamp
 from earshot.sources.library import visible, with_optional_columns
 
@@ -43,23 +43,16 @@ def _credit_groups(files: DataFrame) -> DataFrame:
     return with_artists(per_credit, "artist", "participants")
 
 
-# Up to this many (credit, tags) pairs are sent to every task; more are joined with a shuffle.
-LISTED_PAIRS = 10_000
-
-
-def credited_to(files: DataFrame, artist: str, listed: int = LISTED_PAIRS) -> DataFrame:
+def credited_to(files: DataFrame, artist: str) -> DataFrame:
     """Files whose credit or tags include exactly this artist.
 
-    The distinct (credit, tags) pairs that include the artist are fetched up to a bound; within it
-    they are broadcast, so that a dominant artist's files are filtered where they are.
+    The distinct (credit, tags) pairs that include the artist are the small side of a semi join, which Spark broadcasts when it
+    has measured them to be small.
     """
     pairs = with_artists(files.select("artist", "participants").distinct(), "artist", "participants")
     pairs = pairs.withColumn("_key", credit_key(F.lit(artist))).withColumn("_wanted", artist_id(F.col("_key")))
     pairs = pairs.filter(F.exists("artists", lambda a: a["id"] == F.col("_wanted")))
     pairs = pairs.select(F.col("artist").alias("_a"), F.col("participants").alias("_p"))
-    few = pairs.limit(listed + 1).collect()
-    if len(few) <= listed:
-        pairs = F.broadcast(files.sparkSession.createDataFrame(few, pairs.schema))
     same = files["artist"].eqNullSafe(pairs["_a"]) & files["participants"].eqNullSafe(pairs["_p"])
     return files.join(pairs, same, "left_semi")
 
@@ -133,20 +126,20 @@ def with_split_artists(rows: DataFrame) -> DataFrame:
     return with_artists(rows, "artist")
 
 
-def storage_order(group: str, sort: str | None) -> list[Column]:
+def storage_order(group: str, sort: str | None) -> list[By]:
     """Names compare without case; ids break ties."""
-    name, ties = F.lower("name").asc(), [F.asc("name"), F.asc("id")]
+    name, ties = up(F.lower("name")), [up("name"), up("id")]
     if group == "albums":
-        ties = [*ties, F.asc("artist")]
+        ties = [*ties, up("artist")]
     if sort == "name":
         return [name, *ties]
     if sort == "artist":
-        return [F.lower("artist").asc(), name, *ties]
+        return [up(F.lower("artist")), name, *ties]
     if sort == "recent":
-        return [F.desc("updated_at"), name, *ties]
+        return [down("updated_at"), name, *ties]
     if sort == "track" and group == "tracks":
-        return [F.asc("track_number"), name, *ties]
-    return [F.desc("bytes"), name, *ties]
+        return [up("track_number"), name, *ties]
+    return [down("bytes"), name, *ties]
 
 
 def storage_page(

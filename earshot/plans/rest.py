@@ -17,6 +17,11 @@ from earshot.streaming import listens as streaming
 SEPARATOR = r"'(?i)\s*(?:;|,\s+|\s+(?:feat\.?|ft\.?|featuring)\s+)\s*'"
 
 
+def _deleted(spark, sf):
+    """The recently deleted list: the files of one album."""
+    return fx.library(spark, sf).filter(F.col("album_id") == "al-Brand#13").select("id")
+
+
 def _library(op, *args, **kw):
     return lambda spark, sf: op(fx.library(spark, sf), *args, **kw)
 
@@ -75,10 +80,19 @@ STORAGE = {
         f"""select *, (select count(*) from media_file where not missing) as total from ({TRACK_FILES})
         order by updated_at desc, lower(name), name, id limit 25 offset 25""",
     ),
+    "storage_page_deep": (
+        _library(storage.storage_page, "tracks", sort="artist", page=17, limit=10),
+        f"""select *, (select count(*) from media_file where not missing) as total from ({TRACK_FILES})
+        order by lower(artist), lower(name), name, id limit 10 offset 160""",
+    ),
+    "storage_artists_deleted": (
+        lambda spark, sf: storage.storage_artists(fx.library(spark, sf), deleted=_deleted(spark, sf)),
+        f"{ARTIST_FILES} and m.album_id <> 'al-Brand#13' group by a.artist_id",
+    ),
     "storage_page_artists": (
-        _library(storage.storage_page, "artists", sort="name", page=2, limit=20),
+        _library(storage.storage_page, "artists", sort="name", page=2, limit=4),
         f"""with a as ({ARTIST_FILES} group by a.artist_id) select *, (select count(*) from a) as total from a
-        order by lower(name), name, id limit 20 offset 20""",
+        order by lower(name), name, id limit 4 offset 4""",
     ),
     "storage_page_albums": (
         _library(storage.storage_page, "albums", sort="size", page=1, limit=30),
@@ -124,7 +138,45 @@ def _appended(spark, sf):
     return store.read_listens(spark, folder)
 
 
+def _round_trip(spark, sf):
+    """Store, export, and import the export into the same store."""
+    folder = work_folder(spark, "round-trip")
+    store.append_listens(fx.listens(spark, sf), f"{folder}/rows")
+    store.export_listens(store.read_listens(spark, f"{folder}/rows"), f"{folder}/export")
+    store.import_into(store.read_export(spark, f"{folder}/export"), f"{folder}/rows")
+    return store.read_listens(spark, f"{folder}/rows")
+
+
+def _imported(spark, sf):
+    folder = work_folder(spark, "import")
+    store.append_listens(fx.listens(spark, sf), folder)
+    store.import_into(fx.import_batch(spark, sf), folder)
+    return store.read_listens(spark, folder).drop("listen_date")
+
+
+def _backfilled(spark, sf):
+    folder = work_folder(spark, "backfill")
+    store.append_listens(fx.listens_blank(spark, sf), folder)
+    store.backfill_stored(spark, folder, fx.library(spark, sf))
+    return store.read_listens(spark, folder).drop("listen_date")
+
+
+def _ingested(spark, sf):
+    folder = work_folder(spark, "ingest")
+    streaming.ingest_listens(fx.listen_payloads(spark, sf), fx.library(spark, sf), folder)
+    return store.read_listens(spark, folder)
+
+
+STORED_SQL = """select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration, genre, event_type,
+ ts, cast(ts as date) as listen_date from listens"""
+INGESTED_SQL = """select row_number() over (order by received_at, user_name, track_name, artist_name, album_name, event_type, duration) as id,
+ user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration, genre, event_type, received_at as ts,
+ cast(received_at as date) as listen_date from enriched"""
+
 INGEST = {
+    "ingest_listens": (_ingested, INGESTED_SQL),
+    # An export has whole seconds.
+    "import_export_round_trip": (_round_trip, STORED_SQL.replace(" ts,", " date_trunc('second', ts) as ts,")),
     "parse_listen_payloads": (
         _parsed,
         """select event_id, user_name, received_at, track_name, artist_name, album_name,
@@ -206,7 +258,7 @@ MATCHING = {
     "mark_owned": (
         lambda spark, sf: matching.mark_owned(fx.catalog(spark, sf), fx.library(spark, sf)),
         f"""with c as (select id, 'song' as kind, title, coalesce(own_artist, '') as artist from songs
-          union all select distinct concat('rec-', album_id), 'album', upper(album), artist from media_file where artist <> 'Unknown'),
+          union all select distinct concat('rec-', album_id), 'album', upper(album), artist from media_file),
         f as (select 'song' as kind, {_match_key('artist')} as a, {_match_key('title')} as t, id, album_id
             from media_file where not missing
           union all select 'album', {_match_key('artist')}, {_match_key('album')}, id, album_id from media_file where not missing),
@@ -233,16 +285,19 @@ MATCHING = {
         c as (select id, has_cover_art as song, file_key, {_catalog_key('album_artist')} as a, {_catalog_key('title')} as t,
            {_catalog_key("concat(album_artist, ' - ', title)")} as whole from media_file)
         select r.wanted_id, arg_min(c.id, row(not c.song, c.file_key)) as id,
-         case when arg_min(c.song, row(not c.song, c.file_key)) then 'songs' else 'videos' end as source
+         case when arg_min(c.song, row(not c.song, c.file_key)) then 'songs' else 'videos' end as source,
+         concat('https://i.ytimg.com/', arg_min(c.id, row(not c.song, c.file_key))) as image
         from r join c on list_contains(r.keys, c.a) and c.t = {_catalog_key('r.title')} group by r.wanted_id""",
     ),
     "match_artist_exact": (
         lambda spark, sf: matching.match_artist_exact(
-            fx.library(spark, sf).select(F.col("artist").alias("name")), fx.artist_candidates(spark, sf)
+            fx.artist_names(spark, sf), fx.artist_candidates(spark, sf)
         ),
-        f"""with q as (select distinct artist as name from media_file),
-        c as (select {_catalog_key('s_name')} as k, min(s_suppkey) as pos from supplier group by 1)
-        select q.name, concat('ar-', cast(c.pos as varchar)) as id from q join c on c.k = {_catalog_key('q.name')}""",
+        f"""with q as (select artist as name from media_file union select lower(c_name) from customer),
+        a as (select s_suppkey as pos, concat('ar-', cast(s_suppkey as varchar)) as id, s_name as name from supplier
+          union all select c_custkey + 1000000000, concat('cu-', cast(c_custkey as varchar)), c_name from customer),
+        c as (select {_catalog_key('name')} as k, arg_min(id, pos) as id from a group by 1)
+        select q.name, c.id, concat('https://i.ytimg.com/', c.id) as image from q join c on c.k = {_catalog_key('q.name')}""",
     ),
     "unheard": (
         lambda spark, sf: recommend.unheard(fx.library(spark, sf), fx.listens(spark, sf)).select("id", "title", "artist"),
@@ -388,16 +443,11 @@ CATALOG = {
     ),
     "valid_catalog_rows": (
         lambda spark, sf: catalog.valid_catalog_rows(
-            catalog.normalize_songs(
-                fx.song_entries(spark, sf).withColumn("country", F.upper(F.substring("genre", 1, 2))), kept=["country"]
-            )
+            catalog.normalize_songs(fx.song_countries(spark, sf), kept=["country"])
         ).select("country", "id", "image"),
-        """select substring(genre, 1, 2) as country, id, image from songs
-        where substring(genre, 1, 2) in ('EC', 'PR', 'ME', 'ST', 'SM', 'LA') and substring(genre, 1, 2) in (
-          'ZZ','AR','AU','AT','BE','BO','BR','CA','CL','CO','CR','CZ','DK','DO','EC','EG','SV','EE','FI','FR','DE','GT','HN','HK',
-          'HU','IS','IN','ID','IE','IL','IT','JP','KE','LU','MY','MX','NL','NZ','NI','NG','NO','PA','PY','PE','PH','PL','PT','RO',
-          'RU','SA','RS','SG','ZA','KR','ES','SE','CH','TW','TZ','TH','TR','UG','UA','AE','GB','US','UY','VN','ZW')
-        and image like 'https://i.ytimg.com/%'""",
+        """select lower(n.country) as country, s.id, s.image from songs s
+        join supplier p on concat('ar-', cast(p.s_suppkey as varchar)) = s.page_artist join nation_codes n on n.nation = p.s_nationkey
+        where p.s_nationkey % 5 <> 0 and s.image like 'https://i.ytimg.com/%'""",
     ),
     "pick_chart": (
         lambda spark, sf: charts.pick_chart(fx.playlists(spark, sf)), """select country, playlist_id, title,
@@ -446,7 +496,8 @@ CATALOG = {
     "artist_page": (
         lambda spark, sf: charts.artist_page(fx.artist_heads(spark, sf), fx.artist_entries(spark, sf)),
         r"""with n as (select count(*) as n from supplier),
-        a as (select page_artist as page_id, 'songs' as section, pos, 'song' as kind, id, title,
+        a as (select page_artist as page_id, 'songs' as section,
+            case when cast(substring(page_artist, 4) as bigint) % 3 = 0 then 1000000 - pos else pos end as pos, 'song' as kind, id, title,
             coalesce(own_artist, album_artist) as artist, 30 as most from songs
           union all select distinct m.artist_id, 'related', s.s_suppkey, 'artist', concat('ar-', cast(s.s_suppkey as varchar)),
             s.s_name, s.s_name, 12 from media_file m, n, supplier s where s.s_suppkey = (m.file_key * 7 + 3) % n.n),
@@ -478,6 +529,13 @@ CATALOG = {
 }
 
 
+IMPORT_SQL, BACKFILL_SQL = INGEST["import_listens"][1], INGEST["backfill_listens"][1]
+WRITTEN = {
+    "import_written": (_imported, IMPORT_SQL),
+    "backfill_written": (_backfilled, f"select * exclude (backfilled) from ({BACKFILL_SQL})"),
+}
+
+
 def _run(query):
     query.awaitTermination()
 
@@ -495,6 +553,22 @@ def _stream_appended(spark, sf):
     return store.read_listens(spark, f"{folder}/rows")
 
 
+def _stream_ingested(spark, sf):
+    folder = work_folder(spark, "stream-ingest")
+    bodies = fx.as_payloads(fx.as_submissions(fx.stream_of_listens(spark, sf)))
+    _run(streaming.stream_ingest(bodies, fx.library(spark, sf), f"{folder}/rows", f"{folder}/state", True))
+    return store.read_listens(spark, f"{folder}/rows")
+
+
+def _mixed_appends(spark, sf):
+    """Half of the listens as a stream, half as a batch, into one store."""
+    folder = work_folder(spark, "mixed-appends")
+    streamed = fx.stream_of_listens(spark, sf).filter(F.col("id") % 2 == 0)
+    _run(streaming.stream_append(streamed, f"{folder}/rows", f"{folder}/state", True))
+    store.append_listens(fx.listens(spark, sf).filter(F.col("id") % 2 == 1), f"{folder}/rows")
+    return store.read_listens(spark, f"{folder}/rows")
+
+
 def _stream_now_playing(spark, sf):
     folder = work_folder(spark, "stream-now-playing")
     _run(streaming.stream_now_playing(fx.stream_of_listens(spark, sf), f"{folder}/rows", f"{folder}/state", True))
@@ -514,6 +588,8 @@ STREAMING = {
         """select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration, genre, event_type,
         ts, cast(ts as date) as listen_date from listens""",
     ),
+    "stream_ingest": (_stream_ingested, INGESTED_SQL),
+    "mixed_appends": (_mixed_appends, STORED_SQL),
     "stream_now_playing": (
         _stream_now_playing,
         f"""select * from (select id, track_name, artist_name, album_name, track_id, album_id, artist_id, duration, timestamp
@@ -523,4 +599,4 @@ STREAMING = {
     "stream_counters": (_stream_counters, f"select {DAY} as day, {MEASURES} from listens group by 1"),
 }
 
-QUERIES = {**STORAGE, **INGEST, **MATCHING, **CATALOG, **STREAMING}
+QUERIES = {**STORAGE, **INGEST, **WRITTEN, **MATCHING, **CATALOG, **STREAMING}

@@ -215,10 +215,10 @@ QUERIES = {
         order by playtime desc, genre limit 20""",
     ),
     "library_artists": (
-        lambda spark, sf: feeds.library_artists(fx.listens(spark, sf), fx.library(spark, sf), page=2, limit=30),
+        lambda spark, sf: feeds.library_artists(fx.listens(spark, sf), fx.library(spark, sf), page=2, limit=4),
         f"""with a as (select min(artist_name) as artist_name, artist_id, {PLAYS}, {PLAYTIME} from artist_listens
           where artist_name <> 'Unknown' group by artist_id)
-        select *, (select count(*) from a) as total from a order by artist_name, artist_id limit 30 offset 30""",
+        select *, (select count(*) from a) as total from a order by artist_name, artist_id limit 4 offset 4""",
     ),
     "library_albums": (
         _listens(feeds.library_albums, query="Brand", page=2, limit=40),
@@ -228,11 +228,11 @@ QUERIES = {
         order by album_name, artist_name limit 40 offset 40""",
     ),
     "library_tracks": (
-        _listens(feeds.library_tracks, page=3),
+        _listens(feeds.library_tracks, page=3, limit=30),
         f"""with t as (select track_name, artist_name, album_name, max(track_id) as track_id, max(album_id) as album_id,
           max(artist_id) as artist_id, {PLAYS}, {PLAYTIME} from listens group by 1, 2, 3)
         select *, (select count(*) from listens) as total, (select count(*) from t) as groups from t
-        order by track_name, artist_name, album_name limit 100 offset 200""",
+        order by track_name, artist_name, album_name limit 30 offset 60""",
     ),
     "years": (_long(timeseries.years, long_clock), "select distinct cast(year(lts) as int) as year from listens_long"),
     "year_summary": (
@@ -304,17 +304,24 @@ QUERIES = {
         timestamp from listens order by id desc limit 200""",
     ),
     "history_page": (
-        _listens(feeds.history_page, query="ring", event_type="play", page=3, limit=50),
+        _listens(feeds.history_page, query="ring", event_type="play", page=2, limit=5),
         """with r as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
           event_type, timestamp from listens where event_type = 'play'
           and (track_name ilike '%ring%' or artist_name ilike '%ring%' or album_name ilike '%ring%'))
+        select *, (select count(*) from r) as total, cast(ceil((select count(*) from r) / 5.0) as bigint) as total_pages
+        from r order by id desc limit 5 offset 5""",
+    ),
+    "history_page_deep": (
+        _listens(feeds.history_page, page=19, limit=50),
+        """with r as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
+          event_type, timestamp from listens)
         select *, (select count(*) from r) as total, cast(ceil((select count(*) from r) / 50.0) as bigint) as total_pages
-        from r order by id desc limit 50 offset 100""",
+        from r order by id desc limit 50 offset 900""",
     ),
     "timeline": (
-        _listens(feeds.timeline, clock, page=12, limit=200),
+        _listens(feeds.timeline, clock, page=6, limit=100),
         f"""with p as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
-          event_type, timestamp, {DAY} as local_day from listens order by id desc limit 200 offset 2200)
+          event_type, timestamp, {DAY} as local_day from listens order by id desc limit 100 offset 500)
         select *, local_day is distinct from lag(local_day) over (order by id desc) as new_day from p""",
     ),
     "now_playing": (

@@ -328,7 +328,7 @@ def artist_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Songs, records and related artists of every artist page."""
+    """Songs, records and related artists of every artist page, and a fuller song playlist of some."""
     f = media_file(spark, sf_dir)
     songs = song_entries(spark, sf_dir).select(F.col("artist_id").alias("page_id"), F.lit("songs").alias("section"), "pos", "payload")
     number = _brand_number(F.col("album_id"))
@@ -345,7 +345,9 @@ def artist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = other.select(
         F.col("artist_id").alias("page_id"), F.lit("related").alias("section"), F.col("s_suppkey").alias("pos"), doc.alias("payload")
     )
-    return songs.unionByName(records).unionByName(other)
+    fuller = songs.filter(F.substring("page_id", 4, 20).cast("bigint") % 3 == 0)
+    fuller = fuller.withColumn("section", F.lit("playlist")).withColumn("pos", 1_000_000 - F.col("pos"))
+    return songs.unionByName(records).unionByName(other).unionByName(fuller)
 
 
 def album_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +393,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Songs and albums as a discovery feed shows them."""
     shown = ["id", "kind", "title", "artist"]
     songs = normalize_songs(song_entries(spark, sf_dir), kept=[]).select(*shown)
-    albums = media_file(spark, sf_dir).filter("artist <> 'Unknown'").select("album_id", "album", "artist").distinct()
+    albums = media_file(spark, sf_dir).select("album_id", "album", "artist").distinct()
     albums = albums.select(
         F.concat(F.lit("rec-"), "album_id").alias("id"), F.lit("album").alias("kind"), F.upper("album").alias("title"), "artist"
     )
@@ -417,11 +419,30 @@ def recording_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(
         F.when(F.col("has_cover_art"), F.lit("songs")).otherwise(F.lit("videos")).alias("source"),
         F.col("file_key").alias("pos"), "id", F.when(F.col("has_cover_art"), F.col("title")).otherwise(video).alias("title"),
-        F.array("album_artist").alias("artists"),
+        F.array("album_artist").alias("artists"), F.concat(F.lit("https://i.ytimg.com/"), "id").alias("image"),
     )
 
 
 def artist_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer and supplier as an artist found by search."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
-    return s.select("pos", F.concat(F.lit("ar-"), _text(F.col("pos"))).alias("id"), F.upper("title").alias("title"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit("ar-").alias("kind"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit("cu-").alias("kind"))
+    id_ = F.concat("kind", _text(F.col("key")))
+    pos = F.col("key") + F.when(F.col("kind") == "cu-", F.lit(1_000_000_000)).otherwise(0)
+    return s.unionByName(c).select(
+        pos.alias("pos"), id_.alias("id"), F.upper("name").alias("title"), F.concat(F.lit("https://i.ytimg.com/"), id_).alias("image")
+    )
+
+
+def artist_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artists of the library and every customer, as names to look up."""
+    customers = table(spark, sf_dir, "customer").select(F.lower("c_name").alias("name"))
+    return library(spark, sf_dir).select(F.col("artist").alias("name")).unionByName(customers)
+
+
+def song_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog songs with the country of their artist, in lower case; some countries have no charts."""
+    s = table(spark, sf_dir, "supplier")
+    country = F.when(F.col("s_nationkey") % 5 == 0, F.lit("xx")).otherwise(F.lower(_country(F.col("s_nationkey"))))
+    of = s.select(F.concat(F.lit("ar-"), _text(F.col("s_suppkey"))).alias("artist_id"), country.alias("country"))
+    return song_entries(spark, sf_dir).join(of, "artist_id")

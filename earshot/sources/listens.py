@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from earshot.functions.timecols import epoch_seconds, from_epoch_seconds
+from earshot.operators.enrich import backfill_listens
 from earshot.operators.numbering import number_rows
+from earshot.session import written
 
 LISTEN_COLUMNS = [
     "id", "user_name", "track_name", "artist_name", "album_name", "track_id", "album_id", "artist_id",
@@ -25,19 +29,58 @@ EXPORT_SCHEMA = T.StructType(
 )
 
 
+# -- the store ---------------------------------------------------------------------------------------
+# <path>/commit=<name>/listen_date=<UTC day>/...   rows; a commit is what one append, micro-batch or import added
+# <path>/_tops/commit=<name>/...                   largest id and number of rows of each day of the commit
+# Writing a commit again replaces it, so a repeated micro-batch leaves no second copy.
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*LISTEN_SCHEMA.fields, T.StructField("commit", T.StringType())])
+    return spark.read.schema(schema).parquet(path).withColumn("genre", F.coalesce("genre", F.lit("")))
+
+
 def read_listens(spark: SparkSession, path: str) -> DataFrame:
     """The stored fact, partitioned by UTC ``listen_date``; older files may lack ``genre``."""
-    return spark.read.schema(LISTEN_SCHEMA).parquet(path).withColumn("genre", F.coalesce("genre", F.lit("")))
+    return _stored(spark, path).drop("commit")
 
 
-def append_listens(listens: DataFrame, path: str) -> None:
-    """Append rows, one directory per UTC day.
+def append_listens(listens: DataFrame, path: str, commit: str | None = None) -> None:
+    """Append rows as one commit, one directory per UTC day.
 
     Rebalancing by day lets Spark give a busy day several tasks, and files, of the advisory size,
-    and a quiet day one.
+    and a quiet day one.  The days' largest ids are written first: a failure in between leaves a gap in the ids, never a reuse.
     """
+    name = commit or uuid.uuid4().hex
     rows = listens.select(*LISTEN_COLUMNS, "ts").withColumn("listen_date", F.to_date("ts"))
-    rows.hint("rebalance", "listen_date").write.mode("append").partitionBy("listen_date").parquet(path)
+    tops = rows.groupBy("listen_date").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    tops.write.mode("overwrite").parquet(f"{path}/_tops/commit={name}")
+    rows.hint("rebalance", "listen_date").write.mode("overwrite").partitionBy("listen_date").parquet(f"{path}/commit={name}")
+
+
+def top_id(spark: SparkSession, path: str) -> int:
+    """The largest id of the store, from a row for each commit and day; 0 for none."""
+    if not _exists(spark, f"{path}/_tops"):
+        return 0
+    tops = spark.read.schema("listen_date date, top long, n long, commit string").parquet(f"{path}/_tops")
+    return tops.agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]
+
+
+def numbered(listens: DataFrame, top: int, time: str = "received_at") -> DataFrame:
+    """Parsed and enriched listens as rows of the fact: ``ts`` from the time of receipt, ``id`` on from ``top`` in its order.
+
+    The order is written out first, so that every attempt and every reader sees the same ids; rows of one moment keep the order
+    of the remaining columns.
+    """
+    rest = [F.col(c) for c in ("user_name", "track_name", "artist_name", "album_name", "event_type", "duration") if c in listens.columns]
+    ordered = listens.orderBy(time, *rest).withColumn("_pos", F.monotonically_increasing_id())
+    rows = number_rows(written(ordered, "ingest"), "_pos", out="_nth")
+    return rows.select((F.col("_nth") + top).alias("id"), *LISTEN_COLUMNS[1:], F.col(time).cast("timestamp_ntz").alias("ts"))
 
 
 def export_rows(listens: DataFrame) -> DataFrame:
@@ -54,6 +97,11 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SCHEMA).json(path).withColumn("ts", from_epoch_seconds(F.col("timestamp")))
 
 
+def _positioned(batch: DataFrame) -> DataFrame:
+    """A batch without ``pos`` stands in the order in which it is read."""
+    return batch if "pos" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
+
+
 def import_listens(listens: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert a batch by ``id``; ``pos`` is the position of a row in the batch.
 
@@ -61,12 +109,60 @@ def import_listens(listens: DataFrame, batch: DataFrame) -> DataFrame:
     rows without an id are numbered on from the largest id, in batch order.
     """
     columns = [*LISTEN_COLUMNS, "ts"]
-    batch = batch.withColumn("genre", F.coalesce("genre", F.lit("")))
+    named, fresh = _import_rows(batch, listens.select("id").agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
+    kept = listens.select(*columns).join(named.select("id"), "id", "left_anti")
+    return kept.unionByName(named).unionByName(fresh)
+
+
+def _import_rows(batch: DataFrame, known_top: Column | int) -> tuple[DataFrame, DataFrame]:
+    """A batch's rows with an id, the last of each id; and those without, numbered on from the largest id of both sides."""
+    columns = [*LISTEN_COLUMNS, "ts"]
+    batch = _positioned(batch).withColumn("genre", F.coalesce("genre", F.lit("")))
     row = F.struct(*[F.col(c) for c in columns if c != "id"])
     named = batch.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(row, "pos").alias("row"))
     named = named.select("id", "row.*").select(*columns)
-    kept = listens.select(*columns).join(named.select("id"), "id", "left_anti")
-    top = listens.select("id").union(batch.select("id")).agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = F.greatest(F.lit(known_top), batch.agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
     fresh = number_rows(batch.filter(F.col("id").isNull()), "pos", out="_nth")
     fresh = fresh.withColumn("id", F.col("_nth") + top).select(*columns)
-    return kept.unionByName(named).unionByName(fresh)
+    return named, fresh
+
+
+def _replace_days(rows: DataFrame, touched: DataFrame, path: str) -> None:
+    """Put ``rows`` (with commit and listen_date) in place of all rows of the days of ``touched``, and of no others."""
+    spark = rows.sparkSession
+    kept = written(rows, "rewritten-days")
+    days = {(r["commit"], r["listen_date"]) for r in touched.collect()}  # directories, as a listing of the store has them
+    left = {(r["commit"], r["listen_date"]) for r in kept.select("commit", "listen_date").distinct().collect()}
+    if left:
+        dynamic = kept.hint("rebalance", "commit", "listen_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dynamic.partitionBy("commit", "listen_date").parquet(path)
+    for commit, day in days - left:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commit={commit}/listen_date={day}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def import_into(batch: DataFrame, path: str, commit: str | None = None) -> None:
+    """``import_listens`` on the store: only the days that hold a replaced id are written anew.
+
+    The batch's own rows are a commit; it is written first, and a reader between the two steps sees replaced rows twice, never
+    too few.  Repeating a failed import with the same ``commit`` ends in the same rows.
+    """
+    spark = batch.sparkSession
+    name = commit or uuid.uuid4().hex
+    old = _stored(spark, path).filter(F.col("commit") != name)
+    tops = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    named, fresh = _import_rows(written(_positioned(batch), "import-batch"), tops)
+    new = written(named.unionByName(fresh), "import-rows")
+    touched = written(old.join(new.select("id"), "id", "left_semi").select("commit", "listen_date").distinct(), "touched-days")
+    kept = old.join(F.broadcast(touched), ["commit", "listen_date"], "left_semi").join(new.select("id"), "id", "left_anti")
+    append_listens(new, path, name)
+    _replace_days(kept.select(*LISTEN_COLUMNS, "ts", "commit", "listen_date"), touched, path)
+
+
+def backfill_stored(spark: SparkSession, path: str, library: DataFrame) -> None:
+    """``backfill_listens`` on the store: only the days with a row that a file helps are written anew."""
+    old = _stored(spark, path)
+    filled = backfill_listens(old, library)
+    touched = written(filled.filter("backfilled").select("commit", "listen_date").distinct(), "touched-days")
+    rows = backfill_listens(old.join(F.broadcast(touched), ["commit", "listen_date"], "left_semi"), library)
+    _replace_days(rows.select(*LISTEN_COLUMNS, "ts", "commit", "listen_date"), touched, path)

@@ -16,9 +16,12 @@ payload array<struct<track_metadata: struct<
 BODY_SCHEMA = "user_name string, received_at timestamp_ntz, body string"
 
 
-def read_bodies(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Posted bodies as a receiver lands them: JSON lines with sender, receipt time and body."""
-    reader = spark.readStream if stream else spark.read
+def read_bodies(spark: SparkSession, path: str, stream: bool = False, files: int = 200) -> DataFrame:
+    """Posted bodies as a receiver lands them: JSON lines with sender, receipt time and body.
+
+    As a stream, a micro-batch takes at most ``files`` files.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read
     return reader.schema(BODY_SCHEMA).json(path)
 
 

@@ -6,14 +6,16 @@ rule and no de-duplication here: none would leave the results equal to a batch o
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from earshot.functions.measures import plays, playtime, views
 from earshot.functions.timecols import epoch_seconds, iso, local_date
-from earshot.operators.enrich import enrich_listens
+from earshot.operators.enrich import Files, enrich_listens, keyed_files
 from earshot.params import Clock, ntz
-from earshot.sources.listens import LISTEN_COLUMNS
+from earshot.session import written
+from earshot.sources.listens import LISTEN_COLUMNS, append_listens, numbered, top_id
 from earshot.sources.payloads import parse_listen_payloads
 
 
@@ -22,60 +24,113 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gives a query for the life of its checkpoint."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _states(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def _keep_state(path: str):
     """Write the whole state after each micro-batch, taking turns between two folders.
 
-    A reader finds the newer of both, the older one stays valid while the other is replaced, and a
+    States are numbered on from what is there, whichever query wrote it, so that after a restart with a new checkpoint the
+    newest state still wins.  The older one stays valid while the other is replaced, and a
     long-lived stream leaves no more than these behind.
     """
 
     def write(state: DataFrame, epoch: int) -> None:
-        state.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/turn={epoch % 2}")
+        before = _states(state.sparkSession, path)
+        last = before.agg(F.max("written")).first()[0] if before is not None else None
+        nth = 0 if last is None else last + 1
+        state.withColumn("written", F.lit(nth).cast("bigint")).write.mode("overwrite").parquet(f"{path}/turn={nth % 2}")
 
     return write
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All rows that the micro-batches wrote."""
-    return spark.read.parquet(path).drop("epoch")
+    return spark.read.parquet(path).drop("stream", "epoch")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The state after the last micro-batch."""
     states = spark.read.parquet(path)
-    return states.filter(F.col("epoch") == states.agg(F.max("epoch")).scalar()).drop("epoch", "turn")
+    return states.filter(F.col("written") == states.agg(F.max("written")).scalar()).drop("written", "turn")
 
 
-def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Parse posted bodies and enrich each micro-batch with the batch operator.
+def _enriching(library: DataFrame, checkpoint: str, then):
+    """A micro-batch function: enrich, then ``then(rows, stream id, epoch)``.
 
-    Pairs are resolved once per batch; the library is a static side.
+    The library is keyed once, when the first micro-batch comes.  The cascade reads the batch and its own steps several
+    times; a micro-batch, whose size the source bounds, is held for that and leaves no files but its result.
     """
-    parsed = parse_listen_payloads(bodies)
+    prepared: list[Files] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # The cascade reads the batch and its own steps several times.  A micro-batch is small enough to
-        # be held for that, and so leaves no files behind but its result.
+        if not prepared:
+            prepared.append(keyed_files(library, written))
         held = [batch.persist()]
 
         def hold(df: DataFrame, purpose: str) -> DataFrame:
             held.append(df.persist())
             return held[-1]
 
-        enriched = enrich_listens(batch, library, keep=hold)
-        # A folder per micro-batch: one that is repeated after a failure replaces itself.
-        enriched.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        for df in held:
-            df.unpersist()
+        try:
+            then(enrich_listens(batch, prepared[0], keep=hold), _stream_id(batch.sparkSession, checkpoint), epoch)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    return write
+
+
+def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Parse posted bodies and enrich each micro-batch with the batch operator.
+
+    Pairs are resolved once per batch; the library is a static side.  A folder per stream and micro-batch: one that is
+    repeated after a failure replaces itself.
+    """
 
-    return _start(parsed.writeStream.foreachBatch(write), checkpoint, available_now)
+    def then(rows: DataFrame, stream: str, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/stream={stream}/epoch={epoch}")
+
+    return _start(parse_listen_payloads(bodies).writeStream.foreachBatch(_enriching(library, checkpoint, then)), checkpoint, available_now)
+
+
+def stream_ingest(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Landed bodies to the stored fact: parse, enrich, number on from the store's largest id, append as a commit per micro-batch.
+
+    A repeated micro-batch replaces its commit.  One writer at a time numbers a store.
+    """
+
+    def then(rows: DataFrame, stream: str, epoch: int) -> None:
+        spark = rows.sparkSession
+        append_listens(numbered(rows, top_id(spark, path)), path, f"{stream}-{epoch}")
+
+    return _start(parse_listen_payloads(bodies).writeStream.foreachBatch(_enriching(library, checkpoint, then)), checkpoint, available_now)
+
+
+def ingest_listens(bodies: DataFrame, library: DataFrame, path: str, commit: str | None = None) -> None:
+    """The same for a batch of landed bodies."""
+    rows = enrich_listens(parse_listen_payloads(bodies), library)
+    append_listens(numbered(rows, top_id(bodies.sparkSession, path)), path, commit)
 
 
 def stream_append(listens: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append listens to the stored fact, partitioned by UTC day."""
-    rows = listens.select(*LISTEN_COLUMNS, "ts").withColumn("listen_date", F.to_date("ts"))
-    writer = rows.writeStream.format("parquet").option("path", path).partitionBy("listen_date").outputMode("append")
-    return _start(writer, checkpoint, available_now)
+    """Append listens to the stored fact: a commit per micro-batch, in the layout of every other append."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_listens(batch, path, f"{_stream_id(batch.sparkSession, checkpoint)}-{epoch}")
+
+    return _start(listens.select(*LISTEN_COLUMNS, "ts").writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 _PLAYING = ["id", "track_name", "artist_name", "album_name", "track_id", "album_id", "artist_id", "duration", "ts"]

@@ -9,7 +9,7 @@ from earshot.functions.text import clean_listen_title
 from earshot.operators.containment import smallest_containing, texts_containing
 from earshot.operators.enrich import backfill_listens, backfill_report, enrich_listens, fuzzy_files, resolve_tracks
 from earshot.operators.numbering import number_rows
-from earshot.operators.paging import page_rows
+from earshot.operators.paging import down, page_by_number, page_rows, up
 from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.listens import export_listens, import_listens, read_export
 from earshot.sources.payloads import parse_listen_payloads, read_bodies
@@ -156,11 +156,16 @@ def test_bodies_are_read_from_files(spark, tmp_path):
     assert read_bodies(spark, str(tmp_path / "b"), stream=True).isStreaming
 
 
-def test_deep_pages_equal_shallow_pages(spark):
+def test_pages_at_any_depth(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("id"), F.lit("x").alias("x"))
-    for page, limit in ((1, 10), (3, 333), (4, 333), (20, 50), (21, 50)):
-        shallow = rows(page_rows(df, [F.desc("id")], page, limit))
-        assert rows(page_rows(df, [F.desc("id")], page, limit, shallow=0)) == shallow
+    for page, limit in ((1, 10), (4, 333), (21, 50)):
+        expected = [(i, "x") for i in range(999, -1, -1)][(page - 1) * limit : page * limit]
+        assert rows(page_by_number(df, "id", page, limit, width=64)) == expected
+        for bounds in (1, 20):
+            assert rows(page_rows(df, [up("x"), down("id")], page, limit, bounds)) == expected
+    names = spark.createDataFrame([(None if i % 9 == 0 else f"n{i % 13}", i) for i in range(200)], "name string, id int")
+    for by, order in (([down("name"), up("id")], [F.desc("name"), F.asc("id")]), ([up("name"), down("id")], [F.asc("name"), F.desc("id")])):
+        assert rows(page_rows(names, by, 3, 31, bounds=6)) == rows(names.orderBy(*order).offset(62).limit(31))
 
 
 def test_numbering_is_dense_in_order(spark):
