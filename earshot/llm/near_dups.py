@@ -61,8 +61,8 @@ class NearDuplicates:
 class Shingler:
     """Sets of shingle hashes of texts; built inside a task."""
 
-    def __init__(self, words: int):
-        self.words = words
+    def __init__(self, words: int, chunk: int = 1 << 20):
+        self.words, self._chunk = words, chunk
         self._lower = ascii_lower()
         self._space = np.zeros(256, bool)
         self._space[[32, 9, 10, 11, 12, 13]] = True
@@ -95,9 +95,10 @@ class Shingler:
         cut[offsets] = True
         starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | cut[:-1]))
         ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | cut[1:])) + 1
-        power, back = self._power(len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._char[low] * power, dtype=np.uint64)])
-        word = mixed((sums[ends] - sums[starts]) * back[starts])
+        # Some words at a time, so that a very long text needs no wide array of its length.
+        edges = [0, *np.flatnonzero(np.diff(starts // self._chunk)) + 1, len(starts)] if len(starts) else []
+        parts = [self._hashed(low, starts[a:b], ends[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        word = np.concatenate([np.empty(0, np.uint64), *parts])
         first = np.searchsorted(starts, offsets[:-1])
         count = np.diff(np.append(first, len(starts)))
         chained = self._chain([word[i : len(word) - self.words + 1 + i] for i in range(self.words)]) if len(word) >= self.words else word[:0]
@@ -111,6 +112,14 @@ class Shingler:
                 out.append(word[:0])
         return out
 
+    def _hashed(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each word, which depends on its bytes alone: a difference of prefix sums, moved back to the start."""
+        at = starts[0]
+        part = low[at : ends[-1]]
+        power, back = self._power(len(part))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._char[part] * power, dtype=np.uint64)])
+        return mixed((sums[ends - at] - sums[starts - at]) * back[starts - at])
+
     @staticmethod
     def _chain(words: list[np.ndarray]) -> np.ndarray:
         h = np.full(len(words[0]), len(words), np.uint64)

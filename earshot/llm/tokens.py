@@ -11,7 +11,7 @@ from array import array
 import numpy as np
 
 #: Pieces whose ids a worker remembers at once; it forgets them all when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")

@@ -110,6 +110,8 @@ def test_shingles_of_a_block_equal_those_alone():
     for text, own in zip(some, together):
         assert own.tolist() == shingler.sets(pa.array([text], pa.string()))[0].tolist()
         assert len(own) == len(shingles(text, 3))
+    in_chunks = Shingler(3, chunk=50).sets(pa.array(some, pa.string()))
+    assert [s.tolist() for s in in_chunks] == [s.tolist() for s in together]
 
 
 def test_components_of_a_path_and_a_star(spark):
