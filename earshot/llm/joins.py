@@ -13,12 +13,13 @@ SALTS = 16
 def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, by: list[str], salts: int = SALTS) -> DataFrame:
     """``facts`` joined to the smaller ``lookup`` with each key's rows spread over ``salts`` tasks by the columns ``by``.
 
-    Each lookup row is copied ``salts`` times.  ``how``: inner, left, left_semi or left_anti.
+    Each lookup row is copied ``salts`` times.  ``how``: inner, left, left_semi or left_anti.  The copies are merged, never broadcast:
+    their number is not in the size that Spark would judge by.
     """
     salt = unused(facts, "_salt")
     spread = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    return dealt.join(spread, [*keys, salt], how).drop(salt)
+    return dealt.join(spread.hint("merge"), [*keys, salt], how).drop(salt)
 
 
 def hashed_sample(rows: DataFrame, group: str, most: int) -> DataFrame:

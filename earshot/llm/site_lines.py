@@ -54,7 +54,7 @@ def boilerplate_lines(
     salt = F.pmod(F.xxhash64("k1", "k2", "pos"), F.lit(SALTS)).cast("int")
     spread = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # A line's rows shrink to one for each site before they meet.
-    sites = lines.withColumn("salt", salt).join(spread, ["h1", "h2", "salt"], "left_semi").select("h1", "h2", "site").distinct()
+    sites = lines.withColumn("salt", salt).join(spread.hint("merge"), ["h1", "h2", "salt"], "left_semi").select("h1", "h2", "site").distinct()
     exact = sites.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.unionByName(exact.select("h1", "h2"))
 
@@ -67,7 +67,7 @@ def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", t
     """
     salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("k1", "k2", "pos"), F.lit(SALTS)).cast("int")
-    hits = _lines(docs, id_col, text_col).withColumn("salt", salt).join(salted, ["h1", "h2", "salt"], "left_semi")
+    hits = _lines(docs, id_col, text_col).withColumn("salt", salt).join(salted.hint("merge"), ["h1", "h2", "salt"], "left_semi")
     places = hits.groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))
 
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
