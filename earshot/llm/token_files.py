@@ -139,8 +139,8 @@ def read_tokens(made: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document in the files ``made``."""
     before = F.sum("ids").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     # One row a file.
-    placed = made.select("name", F.coalesce(before, F.lit(0)).alias("base"))
-    spread = placed.repartition(max(1, made.count()), "name")
+    placed = made.select("place", "name", F.coalesce(before, F.lit(0)).alias("base"))
+    spread = placed.repartitionByRange(max(1, made.count()), "place").select("name", "base")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
