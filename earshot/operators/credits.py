@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earshot.functions import constants as k
 from earshot.functions.credits import structured_names, with_artists
 from earshot.functions.text import blank, credit_key, artist_id
+from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.library import visible, with_optional_columns
 
 
@@ -63,8 +64,10 @@ def artist_listens(listens: DataFrame, library: DataFrame | None = None) -> Data
 
     Credits without a name keep their raw name and id; a credit that splits to nothing vanishes.
     """
-    # The artists follow from the row's own credit; only structured tags, if any, are looked up.
-    rows = _split(listens, "artist_name", library).withColumn("a", F.explode(_or_raw(F.col("artists"))))
+    # A credit is split once, not once per listen: the patterns cost more than the join.
+    dimension = credit_dimension(listens, library).withColumnRenamed("credit", "artist_name")
+    rows = skew_safe_left_join(listens, dimension, ["artist_name"])
+    rows = rows.withColumn("a", F.explode(_or_raw(F.col("artists"))))
     replaced = {"artist_name": F.col("a.name"), "artist_id": F.col("a.id")}
     columns = [replaced[c].alias(c) if c in replaced else F.col(c) for c in listens.columns]
     return rows.select(*columns, F.col("artist_name").alias("original_artist_name"))

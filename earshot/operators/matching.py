@@ -53,10 +53,11 @@ def with_legacy_keys(rows: DataFrame, title: str = "track_name") -> DataFrame:
     return rows.withColumns({"_person": F.when(old, F.col("_person")).otherwise(none)})
 
 
-def legacy_files(library: DataFrame, titles: DataFrame) -> DataFrame:
-    """One visible file (smallest id) per credited artist and cleaned title, for the ``_title`` keys asked for."""
+def legacy_files(library: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """One visible file (smallest id) per credited artist and cleaned title, for the ``_title`` keys asked for, if any are."""
     files = visible(library).withColumn("_title", match_key(clean_recording_title(F.col("title"))))
-    files = files.join(titles, "_title", "left_semi")
+    if titles is not None:
+        files = files.join(titles, "_title", "left_semi")
     first = F.min(F.struct("id", "title", "artist", "album_id")).alias("legacy")
     # One file per credit and title first, so credits are split on the reduced rows.
     files = with_artists(files.groupBy("artist", "_title").agg(first), "artist")
