@@ -4,10 +4,12 @@ A document's set holds its distinct word shingles.  Documents with equal sets ar
 id.  One hash of each shingle gives bin (its top bits) and value; empty bins are filled by optimal densification, each
 from a random non-empty bin of its own probe sequence.  Runs of bins make bands; classes that share a band meet in a bucket.
 
-A bucket gives star-shaped candidates: a centre paired with each other member, never all pairs.  Candidates pass a
-size test and a sketch test that is far below the limit, then the full sets decide.  Confirmed links are merged into
-components, and further rounds pair members that are still apart with other centres, so that a link between two
-members that the first centre is not linked with is found as well.
+A bucket first gives a star of candidates: its smallest id paired with each other member.  Candidates pass a size test
+and a sketch test that is far below the limit, then the full sets decide, and confirmed links are merged into components.
+Buckets with members still apart are then cut into chunks, whose pairs are tasks: a task compares the sketches of its members
+and gives the stars of its next centres, those with most likenesses first, to members of other components.  Each round takes
+four times the centres of the one before, and the rounds end when every pair of a bucket that passes the tests has been judged by
+its full sets or lies in one component.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``words`` a shingle; linked from ``percent`` % of common shingles; ``bands`` x ``rows`` bins; ``rounds`` of centres.
+    """``words`` a shingle; linked from ``percent`` % of common shingles; ``bands`` x ``rows`` bins.
 
     With 32 bands of 4 rows, two sets at 0.8 miss each other in all bands with probability 5e-8.
     """
@@ -45,10 +47,9 @@ class NearDuplicates:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    rounds: int = 3
     #: How far below the limit a sketch's estimate may be; five standard errors at 128 bins.
     slack: float = 0.2
-    star: int = 256  # members that are compared with one copy of their centre
+    star: int = 256  # members that are compared with one copy of their centre, and members in a chunk of a bucket
 
     @property
     def bins(self) -> int:
@@ -202,19 +203,121 @@ def shingle_sets(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sketched, schema)
 
 
-def _candidates(members: DataFrame, turn: int, how: NearDuplicates) -> DataFrame:
-    """Star-shaped pairs (a: centre, b) of ``members`` (bucket, id, n, group) whose sizes allow a link and whose groups differ."""
-    rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    centre = F.min(F.struct(rank.alias("rank"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a")))
-    stars = (
-        members.groupBy("bucket").agg(centre.alias("c"), F.min("group").alias("low"), F.max("group").alias("high"))
-        .filter("low != high").select("bucket", "c.a", "c.n_a", "c.group_a")
-    )
-    met = salted_join(members, stars, ["bucket"], "inner", ["id"]).filter("group != group_a")
+def _first_stars(placed: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Star-shaped pairs (a: the bucket's smallest id, b) of ``placed`` (bucket, id, n) whose sizes allow a link."""
+    centre = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"))).alias("c")
+    stars = placed.groupBy("bucket").agg(centre).select("bucket", "c.a", "c.n_a")
+    met = salted_join(placed, stars, ["bucket"], "inner", ["id"]).filter("id != a")
     sizes = 100 * F.least("n", "n_a") >= how.percent * F.greatest("n", "n_a")
     return met.filter(sizes).select("a", F.col("id").alias("b")).distinct()
 
 
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` plus ``group``, the component as it is by now."""
+    named = salted_join(members, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], salts=1)
+    return named.select(*members.columns, F.coalesce("component", "id").alias("group"))
+
+
+def _chunked(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
+    """bucket, id, n, sketch, chunk, apart, chunks of the members of buckets in which the first star left work.
+
+    Members of a large bucket's main group lie in the chunks from ``apart`` on and need not be compared with each other, so that
+    a large group that is found already costs no more than the members beside it.  A bucket of two is done with after its star.
+    """
+    counts = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n_group"))
+    sizes = counts.groupBy("bucket").agg(F.sum("n_group").alias("total"), F.max(F.struct("n_group", "group")).alias("main"))
+    sizes = sizes.filter("total > 2 and total > main.n_group")
+    large = F.col("total") > how.star
+    apart = F.when(large, F.ceil((F.col("total") - F.col("main.n_group")) / how.star)).otherwise(1).cast("int")
+    more = F.when(large, F.ceil(F.col("main.n_group") / how.star)).otherwise(0).cast("int")
+    sizes = sizes.select("bucket", F.col("main.group").alias("main"), apart.alias("apart"), more.alias("more"))
+    dealt = salted_join(members, sizes, ["bucket"], "inner", ["id"])
+    hashed = F.xxhash64("id")
+    in_main = (F.col("group") == F.col("main")) & (F.col("more") > 0)
+    chunk = F.when(in_main, F.col("apart") + F.pmod(hashed, F.greatest("more", F.lit(1)))).otherwise(F.pmod(hashed, F.col("apart"))).cast("int")
+    dealt = dealt.select("bucket", "id", "n", chunk.alias("chunk"), "apart", (F.col("apart") + F.col("more")).alias("chunks"))
+    return salted_join(dealt, nodes.select("id", "sketch"), ["id"], "inner", ["bucket"], salts=1)
+
+
+def _further_stars(members: DataFrame, turn: int, how: NearDuplicates) -> DataFrame:
+    """Pairs (bucket, a: centre, b) of ``members`` (as of ``_chunked``, and group) in different groups that pass the size and sketch tests.
+
+    The members of a pair of chunks are centres in the order of the number of pairs that pass, whatever their groups, so the order stays the same in
+    each ``turn``.  A row without a and b says that centres of the bucket are left for a later turn.
+    """
+    partners = F.when(F.col("chunk") < F.col("apart"), F.col("chunks")).otherwise(F.col("apart"))
+    met = members.withColumn("_with", F.explode(F.sequence(F.lit(0), partners - 1)))
+    met = met.select("bucket", F.least("chunk", "_with").alias("i"), F.greatest("chunk", "_with").alias("j"), "chunk", "id", "n", "group", "sketch")
+    ordered = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    ids = members.schema["id"].dataType
+    schema = T.StructType().add("bucket", T.LongType()).add("a", ids).add("b", ids)
+    first, end = (4**turn - 1) // 3, (4 ** (turn + 1) - 1) // 3
+    least, percent, bins = how.percent / 100 - how.slack, how.percent, how.bins
+
+    def stars(rows: list[tuple], both: bool) -> tuple[list[tuple], bool]:
+        """The (a, b) of this turn, and whether pairs are left."""
+        side = np.array([r[3] == r[1] for r in rows])
+        x = np.flatnonzero(side)
+        y = x if both else np.flatnonzero(~side)
+        codes: dict = {}
+        group = np.array([codes.setdefault(r[6], len(codes)) for r in rows])
+        if len(codes) < 2 or not len(x) or not len(y):
+            return [], False
+        n = np.array([r[5] for r in rows], np.int64)
+        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        same = np.zeros((len(x), len(y)), np.int32)
+        step = max(1, (1 << 22) // (len(y) * bins))
+        for at in range(0, len(x), step):
+            same[at : at + step] = (sketch[x[at : at + step], None] == sketch[None, y]).sum(axis=2)
+        small, big = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+        passed = (100 * small >= percent * big) & ((small < bins) | (same >= least * bins))
+        passed &= x[:, None] < y[None] if both else True
+        degree = np.zeros(len(rows), np.int64)
+        degree[x] += passed.sum(axis=1)
+        degree[y] += passed.sum(axis=0)
+        rank = np.empty(len(rows), np.int64)
+        rank[np.argsort(-degree, kind="stable")] = np.arange(len(rows))
+        i, j = np.nonzero(passed & (group[x, None] != group[None, y]))
+        i, j = x[i], y[j]
+        swap = rank[j] < rank[i]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        now = (rank[i] >= first) & (rank[i] < end)
+        return [(rows[a][4], rows[b][4]) for a, b in zip(i[now].tolist(), j[now].tolist(), strict=True)], bool((rank[i] >= end).any())
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task: list[tuple] = []
+        found: list[tuple] = []
+
+        def close() -> None:
+            if task:
+                pairs, left = stars(task, task[0][1] == task[0][2])
+                found.extend((task[0][0], a, b) for a, b in pairs)
+                if left:
+                    found.append((task[0][0], None, None))
+                task.clear()
+
+        def given(types: pa.Schema) -> pa.RecordBatch:
+            kinds = [pa.int64(), types.field("id").type, types.field("id").type]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "a", "b"])
+
+        types = None
+        for batch in batches:
+            types = batch.schema
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if task and task[0][:3] != row[:3]:
+                    close()
+                    if len(found) >= 1 << 16:
+                        yield given(types)
+                task.append(row)
+        close()
+        if types is not None:
+            yield given(types)
+
+    return ordered.mapInArrow(paired, schema)
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
     """The pairs whose sketches don't rule a link out; sets too small for a steady estimate always pass."""
     sketches = nodes.select("id", "n", "sketch")
@@ -279,7 +382,6 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     A null text, or one without words, has an empty set and is linked with nothing.  A null id takes no part in linking:
     its component is null and it is kept.  Rows that repeat an id are judged each by its own text; repeated rows repeat the answer.
     """
-    spark = docs.sparkSession
     sets = written(shingle_sets(docs, how, id_col, text_col), "shingle-sets")
     usable = sets.filter("id is not null and digest is not null")
     classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -290,31 +392,33 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
     met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
     placed = written(salted_join(placed, met, ["bucket"], "left_semi", ["id"]), "buckets")
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    no_pairs = spark.createDataFrame([], f"a {id_type}, b {id_type}")
-    tested, links, groups = no_pairs.toDF("low", "high"), no_pairs, None
-    for turn in range(how.rounds):
-        if groups is None:
-            members = placed.withColumn("group", F.col("id"))
-        else:
-            members = salted_join(placed, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], salts=1)
-            members = members.select("id", "n", "bucket", F.coalesce("component", "id").alias("group"))
-        pairs = _candidates(members, turn, how)
-        if turn:
-            pairs = pairs.join(tested, (F.least(pairs.a, pairs.b) == tested.low) & (F.greatest(pairs.a, pairs.b) == tested.high), "left_anti")
-        pairs = written(_alike(pairs, nodes, how), "candidates")
-        if pairs.isEmpty():
-            break
-        tested = tested.unionByName(pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")))
-        new = written(_confirmed(pairs, docs, how, id_col, text_col), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            groups = written(components(links), "components")
-
-    if groups is not None:
-        classes = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("rep", "component_id")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+
+    pairs = written(_alike(_first_stars(placed, how), nodes, how), "candidates")
+    tested = ends(pairs)
+    links = written(_confirmed(pairs, docs, how, id_col, text_col), "links")
+    groups = written(components(links), "components")
+    chunked = written(_chunked(_grouped(placed, groups), nodes, how), "chunks")
+    live, near, turn = chunked, None, 0
+    while not live.isEmpty():
+        found = written(_further_stars(_grouped(live, groups), turn, how), "stars")
+        pairs = found.filter("a is not null").select("a", "b").distinct()
+        pairs = pairs.join(tested, (F.least(pairs.a, pairs.b) == tested.low) & (F.greatest(pairs.a, pairs.b) == tested.high), "left_anti")
+        pairs = written(pairs, "candidates")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(ends(pairs))
+            if near is None:  # the texts that later turns may ask for
+                some = chunked.select(F.col("id").alias(id_col)).distinct()
+                near = written(docs.select(id_col, text_col).join(some, id_col, "left_semi"), "near-texts")
+            new = written(_confirmed(pairs, near, how, id_col, text_col), "links")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                groups = written(components(links), "components")
+        left = found.filter("a is null").select("bucket").distinct()
+        live, turn = salted_join(chunked, left, ["bucket"], "left_semi", ["id"]), turn + 1
+
+    classes = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     # A class of one that is linked with nothing needs no lookup.
     named = salted_join(sets.select("id", "n", "digest"), classes, ["digest"], "left", ["id"])
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

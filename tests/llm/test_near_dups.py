@@ -81,6 +81,24 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted([(0, len(text)), (2, 400_000), (5, len(text)), (5, 41), (7, 0), (8, 0)])
 
 
+def test_copies_around_an_original_of_a_middle_id(spark):
+    # Every copy is linked with the original (0.89) and hardly any two copies with each other (0.8).
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    original = [rng.choice(vocabulary) for _ in range(400)]
+    rows = [(300, " ".join(original))]
+    for i in [*range(100, 300), *range(301, 501)]:
+        words = list(original)
+        for at in rng.sample(range(5, 395, 4), 8):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1, " ".join(rng.choice(vocabulary) for _ in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for star in (256, 30):
+        got = near_duplicates(docs, NearDuplicates(words=3, percent=85, star=star)).collect()
+        assert {r.doc_id: r.component_id for r in got} == {1: 1, **{i: 100 for i in range(100, 501)}}, star
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).collect() == []
