@@ -18,8 +18,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand on many sites, and n_chars as they are then; no document goes."""
-    cleaned = site_lines.without_boilerplate(docs)
+    """Texts without the lines that stand on many sites, and n_chars as they are then; no document goes.
+
+    However large their share, the lines are cut; a document without any other line stays whole, for the next stage to find its copies.
+    """
+    cleaned = site_lines.without_boilerplate(docs, most_share=None)
     return cleaned.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -2,8 +2,8 @@
 
 Lines are known by hashes.  HyperLogLog sketches of the sites of each line are built map-side and merged by aggregation.
 Lines whose estimate is clearly above the limit are boilerplate; those near it get an exact distinct count.  Boilerplate
-is then cut from every document, except from documents that consist mostly of it: these are copies as a whole
-and are left to document-level deduplication.
+is then cut from every document but those that a caller's limit leaves whole: documents that consist mostly of it (as the
+registered query's SQL has it) or of nothing else (the pipeline), which document-level deduplication then sees as they are.
 """
 
 from __future__ import annotations
@@ -59,11 +59,11 @@ def boilerplate_lines(
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_share: float = 0.5) -> DataFrame:
+def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = 0.5) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, plus a struct ``cut``: lines, removed.
 
-    A document of whose characters boilerplate makes up more than ``most_share`` is left whole.  Null and empty
-    texts stay as they are; every input row gives one row.
+    A document of whose characters boilerplate makes up more than ``most_share`` is left whole; with None, only one
+    that would be left without any line that is not blank.  Null and empty texts stay as they are; every input row gives one row.
     """
     salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("k1", "k2", "pos"), F.lit(SALTS)).cast("int")
@@ -76,7 +76,9 @@ def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", t
     lines = F.split(text, "\n")
     marked = joined.select("own", lines.alias("lines"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     gone = F.aggregate("places", F.lit(0), lambda n, i: n + F.length(F.element_at("lines", i + 1)))
-    marked = marked.withColumn("places", F.when(gone <= most_share * F.length(text), F.col("places")).otherwise(F.array().cast("array<int>")))
+    own_lines = F.size(F.filter("lines", lambda line: F.trim(line) != "")) > F.size("places")
+    cuttable = own_lines if most_share is None else gone <= most_share * F.length(text)
+    marked = marked.withColumn("places", F.when(cuttable, F.col("places")).otherwise(F.array().cast("array<int>")))
     all_places = F.sequence(F.lit(0), F.size("lines") - 1)
     stay = F.transform(F.array_except(all_places, F.col("places")), lambda i: F.element_at("lines", i + 1))
     new_text = F.when(F.size("places") > 0, F.array_join(stay, "\n")).otherwise(text)
@@ -85,7 +87,7 @@ def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", t
     return marked.select(*columns, counts.alias(unused(docs, "cut")))
 
 
-def without_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", most_share: float = 0.5) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = 0.5) -> DataFrame:
     """``cut_lines`` with the boilerplate that ``docs`` itself shows."""
     return cut_lines(docs, boilerplate_lines(docs, site_col, min_sites, id_col, text_col), id_col, text_col, most_share)
 

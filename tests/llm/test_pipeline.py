@@ -32,6 +32,14 @@ def test_stages(spark):
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_lines_are_cut_however_large_their_share(spark):
+    license = "this long license stands on the pages of many sites " * 4
+    rows = [(i, f"{license}\n\nown sentence {i}", "en", f"s{i}", 1) for i in range(12)] + [(20, f"{license}\n", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedupe_lines(spark, docs, SF).collect()}
+    assert got == {i: f"\nown sentence {i}" for i in range(12)} | {20: f"{license}\n"}
+
+
 def test_no_near_duplicates_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.dedupe_documents(spark, docs, SF)
