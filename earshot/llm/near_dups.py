@@ -1,10 +1,10 @@
 """Near-duplicate documents by one-permutation MinHash.
 
-A document's set holds its distinct word shingles.  Documents with equal sets are one class, stood for by the smallest
-id.  One hash of each shingle gives bin (its top bits) and value; empty bins are filled by optimal densification, each
+A document's set holds its distinct word shingles.  Documents with equal sets are one class, known by the set's digest; its text is
+read from a row of the smallest id.  One hash of each shingle gives bin (its top bits) and value; empty bins are filled by optimal densification, each
 from a random non-empty bin of its own probe sequence.  Runs of bins make bands; classes that share a band meet in a bucket.
 
-A bucket first gives a star of candidates: its smallest id paired with each other member.  Candidates pass a size test
+A bucket first gives a star of candidates: its smallest digest paired with each other member.  Candidates pass a size test
 and a sketch test that is far below the limit, then the full sets decide, and confirmed links are merged into components.
 Buckets with members still apart are then cut into chunks, whose pairs are tasks: a task compares the sketches of its members
 and gives the stars of its next centres, those with most likenesses first, to members of other components.  Each round takes
@@ -174,37 +174,42 @@ class Signatures:
         return (values * _ODD >> np.uint64(56)).astype(np.uint8)
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), digest (of the set; null if empty), bands, sketch for each row."""
+    """id, print (a hash of the text), n (set size), digest (of the set; null if empty), bands, sketch for each row."""
     ids = docs.schema[id_col].dataType
     schema = (
-        T.StructType().add("id", ids).add("n", T.LongType()).add("digest", T.BinaryType())
+        T.StructType().add("id", ids).add("print", T.LongType()).add("n", T.LongType()).add("digest", T.BinaryType())
         .add("bands", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
     )
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signatures = Shingler(how.words), Signatures(how.bands, how.rows)
         for block in blocks(batches, "text"):
-            sets = shingler.sets(block.column(1))
+            sets = shingler.sets(block.column(2))
             values = signatures.of(sets)
             keys, sketch = signatures.band_keys(values), signatures.sketch(values)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digest = [_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
+                    block.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digest, pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, how.bands, dtype=np.int32), keys.ravel()),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                 ],
-                names=["id", "n", "digest", "bands", "sketch"],
+                names=["id", "print", "n", "digest", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sketched, schema)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text")).mapInArrow(sketched, schema)
 
 
 def _first_stars(placed: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Star-shaped pairs (a: the bucket's smallest id, b) of ``placed`` (bucket, id, n) whose sizes allow a link."""
+    """Star-shaped pairs (a: the bucket's smallest node, b) of ``placed`` (bucket, id, n) whose sizes allow a link."""
     centre = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"))).alias("c")
     stars = placed.groupBy("bucket").agg(centre).select("bucket", "c.a", "c.n_a")
     met = salted_join(placed, stars, ["bucket"], "inner", ["id"]).filter("id != a")
@@ -337,38 +342,36 @@ def _alike(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame
     return joined.filter((F.col("n_b") < how.bins) | (agreement.asNondeterministic()("sketch_a", "sketch_b") >= least)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that their full sets link.
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that their full sets link.  Of the rows that repeat an id, those with another set than the node's are passed over.
 
     A star's members are dealt to groups of about ``how.star``, each with a copy of the centre; a partition is read in order,
     centre first, so a task holds one set at a time however large the star.
     """
-    ids = docs.schema[id_col].dataType
     stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / how.star).cast("int").alias("parts"))
     dealt = salted_join(pairs, stars, ["a"], "inner", ["b"]).select(
         "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("role")
     )
     centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
     needed = dealt.unionByName(centres)
-    # A document's copies of a class have the same set; any row of the representative's id with its digest will do.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = needed.join(texts, "id").select("a", "part", "role", "id", "text")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    wanted = needed.join(nodes.select("id", "rep"), "id").join(texts, "rep").select("a", "part", "role", "id", "text")
     ordered = wanted.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
-    schema = T.StructType().add("a", ids).add("b", ids)
+    schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(how.words)
-        centre, sets = None, []
+        star, centre = None, np.empty(0, np.uint64)
         for block in blocks(batches, "text"):
             found_a, found_b = [], []
             made = shingler.sets(block.column(4))
             keys = zip(block.column(0).to_pylist(), block.column(1).to_pylist(), block.column(2).to_pylist(), block.column(3).to_pylist(), made, strict=True)
             for a, part, role, member, own in keys:
+                if _digest(own) != member:
+                    continue
                 if role == 0:
-                    if centre != (a, part):
-                        centre, sets = (a, part), []
-                    sets.append(own)  # more than one only where rows repeat an id
-                elif any(how.linked(len(np.intersect1d(c, own, assume_unique=True)), len(c), len(own)) for c in sets if len(c) and len(own)):
+                    star, centre = (a, part), own
+                elif star == (a, part) and how.linked(len(np.intersect1d(centre, own, assume_unique=True)), len(centre), len(own)):
                     found_a.append(a)
                     found_b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, block.schema.field(0).type), pa.array(found_b, block.schema.field(0).type)], names=["a", "b"])
@@ -376,16 +379,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: s
     return ordered.mapInArrow(judged, schema).distinct()
 
 
-def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable over links) and kept for each row of ``docs``.
-
-    A null text, or one without words, has an empty set and is linked with nothing.  A null id takes no part in linking:
-    its component is null and it is kept.  Rows that repeat an id are judged each by its own text; repeated rows repeat the answer.
-    """
+def _judged(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """id, print, n, component_id and kept for each row of ``docs``."""
     sets = written(shingle_sets(docs, how, id_col, text_col), "shingle-sets")
     usable = sets.filter("id is not null and digest is not null")
     classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", "n", "bands", "sketch")
+    nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
+    nodes = nodes.select(F.col("digest").alias("id"), F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["id", "rep"])
     nodes = written(nodes, "classes")
     placed = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     # Most buckets hold one class and are done with here; every round works on the others.
@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
 
     pairs = written(_alike(_first_stars(placed, how), nodes, how), "candidates")
     tested = ends(pairs)
-    links = written(_confirmed(pairs, docs, how, id_col, text_col), "links")
+    links = written(_confirmed(pairs, nodes, docs, how, id_col, text_col), "links")
     groups = written(components(links), "components")
     chunked = written(_chunked(_grouped(placed, groups), nodes, how), "chunks")
     live, near, turn = chunked, None, 0
@@ -409,21 +409,36 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_
         if not pairs.isEmpty():
             tested = tested.unionByName(ends(pairs))
             if near is None:  # the texts that later turns may ask for
-                some = chunked.select(F.col("id").alias(id_col)).distinct()
+                some = nodes.join(chunked.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias(id_col)).distinct()
                 near = written(docs.select(id_col, text_col).join(some, id_col, "left_semi"), "near-texts")
-            new = written(_confirmed(pairs, near, how, id_col, text_col), "links")
+            new = written(_confirmed(pairs, nodes, near, how, id_col, text_col), "links")
             if not new.isEmpty():
                 links = links.unionByName(new)
                 groups = written(components(links), "components")
         left = found.filter("a is null").select("bucket").distinct()
         live, turn = salted_join(chunked, left, ["bucket"], "left_semi", ["id"]), turn + 1
 
-    classes = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # A component is named by its smallest id, and kept is the class of that id (of several with it, the one of the smallest digest).
+    linked = salted_join(groups.withColumnRenamed("node", "digest"), classes, ["digest"], "inner", ["component"], salts=1)
+    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("head"))
+    linked = salted_join(linked, heads, ["component"], "inner", ["digest"]).select("digest", "head")
+    classes = classes.join(linked, "digest", "left")
+    classes = classes.select("digest", F.coalesce("head.rep", "rep").alias("component_id"), F.coalesce("head.digest", "digest").alias("_head"))
     # A class of one that is linked with nothing needs no lookup.
-    named = salted_join(sets.select("id", "n", "digest"), classes, ["digest"], "left", ["id"])
+    named = salted_join(sets.select("id", "print", "n", "digest"), classes, ["digest"], "left", ["id"])
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    out = named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+    first = (F.col("component_id") == F.col("id")) & F.coalesce(F.col("_head") == F.col("digest"), F.lit(True))
+    return named.select("id", "print", "n", component.alias("component_id"), F.coalesce(first, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable over links) and kept for each row of ``docs``.
+
+    A null text, or one without words, has an empty set and is linked with nothing.  A null id takes no part in linking:
+    its component is null and it is kept.  Rows that repeat an id are judged each by its own text; repeated rows repeat the answer.
+    """
+    found = _judged(docs, how, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,9 +446,9 @@ def keep_one(docs: DataFrame, how: NearDuplicates = NearDuplicates(), id_col: st
 
     Documents without words and rows with a null id all stay.
     """
-    gone = near_duplicates(docs, how, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     print_ = unused(docs, "_print")
-    named = docs.filter(F.col(id_col).isNotNull())
-    left = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
-    left = left.withColumn(print_, F.xxhash64(F.col(text_col))).dropDuplicates([id_col, print_]).drop(print_)
+    gone = _judged(docs, how, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("_gone"), F.col("print").alias("_text")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn(print_, F.xxhash64(F.col(text_col)))
+    left = named.join(gone, (named[id_col] == gone["_gone"]) & (named[print_] == gone["_text"]), "left_anti")
+    left = left.dropDuplicates([id_col, print_]).drop(print_)
     return left.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -81,6 +81,18 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted([(0, len(text)), (2, 400_000), (5, len(text)), (5, 41), (7, 0), (8, 0)])
 
 
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark):
+    rng = random.Random(3)
+    one, other, third = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (9, one + " more"), (9, other), (12, third), (12, third + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got[:3] == [(5, 56, 5, True), (9, 56, 9, True), (9, 57, 5, False)]
+    assert [g[2] for g in got[3:]] == [12, 12] and [g[3] for g in got[3:]].count(True) == 1
+    left = [tuple(r) for r in keep_one(docs).collect()]
+    assert len(left) == 3 and (5, one) in left and (9, other) in left and sum(i == 12 for i, _ in left) == 1
+
+
 def test_copies_around_an_original_of_a_middle_id(spark):
     # Every copy is linked with the original (0.89) and hardly any two copies with each other (0.8).
     rng = random.Random(11)
