@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from earshot.llm import block_topk, language, mixing, multi_index, near_dups, packing, secrets, site_lines, token_files, warc
+from earshot.llm import block_topk, chat, language, mixing, multi_index, near_dups, packing, secrets, site_lines, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_products(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return chat.chat_report(rows.unionByName(chat.sample_chat(spark, rows), allowMissingColumns=True))
+
+
 TOP_PRODUCTS_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings),
 s as (select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
@@ -76,6 +81,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_packing": (op8_packing, None),
     "op9_language": (op9_language, None),
     "op10_top_products": (op10_top_products, TOP_PRODUCTS_SQL),
+    "op11_chat_format": (op11_chat_format, chat.report_sql()),
 }
 
 
