@@ -8,7 +8,7 @@ from earshot.functions.measures import add_up, all_events, largest, playtime, pl
 from earshot.functions.text import contains_text
 from earshot.functions.timecols import epoch_seconds, iso, local_date
 from earshot.operators.credits import by_artist
-from earshot.operators.paging import page_by_number, page_rows, up, with_total
+from earshot.operators.paging import find_page, in_order, up, with_total
 from earshot.operators.topstats import known
 from earshot.params import Clock, clamp, ntz
 
@@ -36,19 +36,21 @@ def matching_listens(listens: DataFrame, query: str | None = None, event_type: s
 
 
 def history_page(
-    listens: DataFrame, query: str | None = None, event_type: str | None = None, page: int = 1, limit: int | None = 50
+    listens: DataFrame, query: str | None = None, event_type: str | None = None, page: int = 1, limit: int | None = 50, most: int = 100_000
 ) -> DataFrame:
-    """A page of the history, newest id first, with the total and the number of pages."""
+    """A page of the history, newest id first, with the total and the number of pages; rows without an id are on no page.
+
+    At most about ``most`` rows are read to cut the page out of them.
+    """
     page, limit = max(1, page), clamp(limit, 1, 200, 50)
-    rows = matching_listens(listens, query, event_type)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return with_total(page_by_number(_feed(rows), "id", page, limit), total, limit)
+    found = find_page(matching_listens(listens, query, event_type), "id", (page - 1) * limit, limit, most)
+    return with_total(_feed(found.rows(limit)), found.total, limit)
 
 
-def timeline(listens: DataFrame, clock: Clock, page: int = 1, limit: int = 30) -> DataFrame:
+def timeline(listens: DataFrame, clock: Clock, page: int = 1, limit: int = 30, most: int = 100_000) -> DataFrame:
     """A page of the feed; ``new_day`` marks rows that open a local day on the page."""
     page, limit = max(1, page), clamp(limit, 1, 200, 30)
-    rows = page_by_number(listens.select(*_FEED, "ts"), "id", page, limit)
+    rows = find_page(listens.select(*_FEED, "ts"), "id", (page - 1) * limit, limit, most).rows(limit)
     day = iso(local_date(clock))
     above = F.lag("local_day").over(Window.orderBy(F.desc("id")))
     rows = rows.withColumn("local_day", day).withColumn("new_day", ~F.col("local_day").eqNullSafe(above))
@@ -74,9 +76,8 @@ def library_artists(
     if query:
         per_credit = per_credit.filter(contains_text(F.col("artist_name"), query))
     artists = per_credit.groupBy("artist_id").agg(F.min("artist_name").alias("artist_name"), *add_up("plays", "playtime"))
-    rows = page_rows(artists, [up("artist_name"), up("artist_id")], page, limit)
-    total = artists.agg(F.count("artist_id")).scalar()
-    return with_total(rows.select("artist_name", "artist_id", "plays", "playtime"), total)
+    ordered = in_order(artists, [up("artist_name"), up("artist_id")])
+    return with_total(ordered.page(page, limit).select("artist_name", "artist_id", "plays", "playtime"), ordered.total)
 
 
 def library_albums(listens: DataFrame, query: str | None = None, page: int = 1, limit: int | None = 100) -> DataFrame:
@@ -86,8 +87,9 @@ def library_albums(listens: DataFrame, query: str | None = None, page: int = 1,
     if query:
         rows = rows.filter(contains_text(F.col("album_name"), query))
     albums = rolled_up(rows, ["album_name", "artist_name"], largest("album_id"), plays(), playtime())
-    total = rows.agg(F.countDistinct("album_name")).scalar()
-    return with_total(page_rows(albums, [up("album_name"), up("artist_name")], page, limit), total)
+    ordered = in_order(albums, [up("album_name"), up("artist_name")])
+    names = ordered.rows.agg(F.countDistinct("album_name")).first()[0]
+    return with_total(ordered.page(page, limit), names)
 
 
 def library_tracks(listens: DataFrame, query: str | None = None, page: int = 1, limit: int | None = 100) -> DataFrame:
@@ -97,7 +99,6 @@ def library_tracks(listens: DataFrame, query: str | None = None, page: int = 1,
     keys = ["track_name", "artist_name", "album_name"]
     ids = largest("track_id", "album_id", "artist_id")
     tracks = rolled_up(rows, keys, ids, plays(), playtime(), all_events("_rows"))
-    counted = tracks.agg(F.sum("_rows").alias("total"), F.count(F.lit(1)).alias("groups"))
-    shown = page_rows(tracks.drop("_rows"), [up(c) for c in keys], page, limit)
-    shown = with_total(shown, counted.select("total").scalar())
-    return shown.withColumn("groups", counted.select("groups").scalar())
+    ordered = in_order(tracks, [up(c) for c in keys])
+    heard = ordered.rows.agg(F.sum("_rows")).first()[0] or 0
+    return with_total(ordered.page(page, limit).drop("_rows"), heard).withColumn("groups", F.lit(ordered.total).cast("bigint"))

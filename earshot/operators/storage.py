@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earshot.functions.credits import with_artists
 from earshot.functions.measures import share_percent
 from earshot.functions.text import artist_id, contains_text, credit_key
-from earshot.operators.paging import By, down, page_rows, up, with_total
+from earshot.operators.paging import By, down, in_order, up, with_total
 from earshot.params import clamp
 from earshot.sources.library import visible, with_optional_columns
 
@@ -155,8 +155,8 @@ def storage_page(
     build = {"artists": storage_artists, "albums": storage_albums}.get(group, storage_tracks)
     rows = build(library, selection, deleted)
     page, limit = clamp(page, 1, 10_000, 1), clamp(limit, 1, 100, 30)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return with_total(page_rows(rows, storage_order(group, sort), page, limit), total)
+    ordered = in_order(rows, storage_order(group, sort))
+    return with_total(ordered.page(page, limit), ordered.total)
 
 
 def storage_summary(library: DataFrame, deleted: DataFrame | None = None) -> DataFrame:

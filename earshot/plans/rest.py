@@ -26,6 +26,13 @@ def _library(op, *args, **kw):
     return lambda spark, sf: op(fx.library(spark, sf), *args, **kw)
 
 
+def _middle_of_library(spark, sf):
+    """The page in the middle of the tracks by artist."""
+    files = fx.library(spark, sf)
+    tracks = storage.storage_tracks(files).count()
+    return storage.storage_page(files, "tracks", sort="artist", page=tracks // 20 + 1, limit=10)
+
+
 def _match_key(x: str) -> str:
     return rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
@@ -81,9 +88,9 @@ STORAGE = {
         order by updated_at desc, lower(name), name, id limit 25 offset 25""",
     ),
     "storage_page_deep": (
-        _library(storage.storage_page, "tracks", sort="artist", page=17, limit=10),
-        f"""select *, (select count(*) from media_file where not missing) as total from ({TRACK_FILES})
-        order by lower(artist), lower(name), name, id limit 10 offset 160""",
+        _middle_of_library,
+        f"""with a as (select *, row_number() over (order by lower(artist), lower(name), name, id) as nth, count(*) over () as total from ({TRACK_FILES}))
+        select * exclude (nth) from a where nth > total // 20 * 10 and nth <= total // 20 * 10 + 10""",
     ),
     "storage_artists_deleted": (
         lambda spark, sf: storage.storage_artists(fx.library(spark, sf), deleted=_deleted(spark, sf)),

@@ -38,6 +38,11 @@ def _credited_long(op, *args, **kw):
     return lambda spark, sf: op(fx.listens_long(spark, sf), *args, library=fx.library(spark, sf), **kw)
 
 
+def _middle_page(listens, op, *args, limit: int, **kw):
+    """The page in the middle of the history."""
+    return op(listens, *args, page=listens.count() // (2 * limit) + 1, limit=limit, **kw)
+
+
 def _since(days: int) -> str:
     return f"ts >= {NOW} - interval {days} day"
 
@@ -312,16 +317,17 @@ QUERIES = {
         from r order by id desc limit 5 offset 5""",
     ),
     "history_page_deep": (
-        _listens(feeds.history_page, page=19, limit=50),
+        _listens(_middle_page, feeds.history_page, limit=50, most=64),
         """with r as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
-          event_type, timestamp from listens)
-        select *, (select count(*) from r) as total, cast(ceil((select count(*) from r) / 50.0) as bigint) as total_pages
-        from r order by id desc limit 50 offset 900""",
+          event_type, timestamp, row_number() over (order by id desc) as nth, count(*) over () as total from listens)
+        select * exclude (nth), cast(ceil(total / 50.0) as bigint) as total_pages from r
+        where nth > total // 100 * 50 and nth <= total // 100 * 50 + 50""",
     ),
     "timeline": (
-        _listens(feeds.timeline, clock, page=6, limit=100),
-        f"""with p as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
-          event_type, timestamp, {DAY} as local_day from listens order by id desc limit 100 offset 500)
+        _listens(_middle_page, feeds.timeline, clock, limit=100, most=256),
+        f"""with a as (select id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration,
+          event_type, timestamp, {DAY} as local_day, row_number() over (order by id desc) as nth, count(*) over () as total from listens),
+        p as (select * exclude (nth, total) from a where nth > total // 200 * 100 and nth <= total // 200 * 100 + 100)
         select *, local_day is distinct from lag(local_day) over (order by id desc) as new_day from p""",
     ),
     "now_playing": (

@@ -9,7 +9,7 @@ from earshot.functions.text import clean_listen_title
 from earshot.operators.containment import smallest_containing, texts_containing
 from earshot.operators.enrich import backfill_listens, backfill_report, enrich_listens, fuzzy_files, resolve_tracks
 from earshot.operators.numbering import number_rows
-from earshot.operators.paging import down, page_by_number, page_rows, up
+from earshot.operators.paging import down, find_page, in_order, page_by_number, page_rows, up
 from earshot.operators.skew import skew_safe_left_join
 from earshot.sources.listens import export_listens, import_listens, read_export
 from earshot.sources.payloads import parse_listen_payloads, read_bodies
@@ -168,6 +168,36 @@ def test_pages_at_any_depth(spark):
         assert rows(page_rows(names, by, 3, 31, bounds=6)) == rows(names.orderBy(*order).offset(62).limit(31))
 
 
+def test_a_page_reads_its_input_once_and_only_its_own_range(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(rng.choice([None, f"n{rng.randrange(40)}"]), i) for i in range(5000)]
+    df = spark.createDataFrame(data, "name string, id int")
+    ordered = in_order(df, [down("name"), up("id")], 16)
+    expected = sorted(data, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)  # stable, so ids still ascend
+    assert ordered.total == 5000 and len(ordered.sizes) > 8
+    assert rows(ordered.numbered("n").orderBy("n")) == [(*r, i + 1) for i, r in enumerate(expected)]
+    middle = ordered.between(2500, 40)
+    assert rows(middle) == expected[2500:2540]
+    plan = middle._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [_range") + plan.count("PartitionFilters: [isnotnull(_range") == 1
+    page = ordered.page(63, 40)
+    assert rows(page) == expected[62 * 40 : 63 * 40] and "FileScan" not in page._jdf.queryExecution().executedPlan().toString()
+    assert rows(page_rows(df.limit(0), [up("id")], 1, 10)) == [] and rows(page_rows(df, [up("id")], 501, 10)) == []
+
+
+def test_a_page_by_number_is_read_between_two_numbers(spark, tmp_path):
+    ids = random.Random(5).sample(range(10**12), 3000)
+    spark.createDataFrame([(i,) for i in ids], "id long").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for offset in (0, 1490, 2990, 3000, 5000):
+        found = find_page(df, "id", offset, 20, most=50, ways=16)
+        assert rows(found.rows(20)) == [(i,) for i in sorted(ids, reverse=True)[offset : offset + 20]] and found.total == 3000
+        if offset < 3000:
+            assert df.filter(F.col("id").between(found.low, found.high)).count() <= 50
+    assert "PushedFilters: [IsNotNull(id), GreaterThanOrEqual" in found.rows(20)._jdf.queryExecution().executedPlan().toString()
+    assert find_page(df.limit(0), "id", 0, 10).total == 0
+
+
 def test_numbering_is_dense_in_order(spark):
     df = spark.range(0, 1000, 1, 5).select((F.col("id") * F.col("id")).alias("p"))
     got = rows(number_rows(df, "p", width=1000).orderBy("p").select("n"))
