@@ -51,6 +51,23 @@ def ascii_lower() -> np.ndarray:
     return table
 
 
+def joined_words(column: pa.Array, word: np.ndarray, ending: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a string column's texts, A-Z in lower case, each followed by one space; the row of each; and the piece it stands in.
+
+    ``word`` marks the bytes of words (the space is none) and ``ending`` those that end a piece; a text's end does so always.
+    """
+    data, offsets = utf8(column)
+    rows = len(column)
+    low = np.full(len(data) + rows, 32, np.uint8)  # a space after each text
+    low[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets))] = ascii_lower()[data]
+    inside = word[low]
+    before = np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(inside & ~before)
+    row = np.searchsorted(offsets[1:] + np.arange(1, rows + 1), starts, "right")
+    piece = row if ending is None else row + np.cumsum(ending[low])[starts]
+    return np.where(inside, low, np.uint8(32))[inside | before], row, piece
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores appended until no column is called so (in either case)."""
     taken = {c.lower() for c in df.columns}

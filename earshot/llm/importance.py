@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from earshot.llm.arrow import ascii_lower, blocks, unused, utf8
+from earshot.llm.arrow import blocks, joined_words, unused
 from earshot.operators.paging import down, in_order, up
 from earshot.session import written
 
@@ -88,21 +88,14 @@ class WordRuns:
 
     def __init__(self, longest: int, at_once: int = 1 << 16):
         self._longest, self._at_once = longest, at_once
-        self._lower = ascii_lower()
         self._word = np.zeros(256, bool)
         self._word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
         self._shift = CrcShift()
 
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The normalised bytes, each word followed by one space, and the row of each word."""
-        data, offsets = utf8(column)
-        low = np.full(len(data) + len(column), _SPACE, np.uint8)  # a space after each text
-        lengths = np.diff(offsets)
-        low[np.arange(len(data)) + np.repeat(np.arange(len(column)), lengths)] = self._lower[data]
-        word = self._word[low]
-        before = np.concatenate([[False], word[:-1]])
-        row = np.searchsorted(offsets[1:] + np.arange(1, len(column) + 1), np.flatnonzero(word & ~before), "right")
-        return np.where(word, low, np.uint8(_SPACE))[word | before], row
+        normal, row, _ = joined_words(column, self._word)
+        return normal, row
 
     def crcs(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, CRC-32) of every run of words, some at a time."""

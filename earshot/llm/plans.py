@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from earshot.llm import block_topk, chat, importance, language, mixing, multi_index, near_dups, packing, secrets, site_lines, token_files, warc
+from earshot.llm import block_topk, chat, collocations, importance, language, mixing, multi_index, near_dups, packing, secrets, site_lines, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 TOP_PRODUCTS_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings),
 s as (select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
@@ -87,6 +91,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_top_products": (op10_top_products, TOP_PRODUCTS_SQL),
     "op11_chat_format": (op11_chat_format, chat.report_sql()),
     "op12_importance": (op12_importance, importance.report_sql()),
+    "op13_collocations": (op13_collocations, collocations.report_sql()),
 }
 
 
