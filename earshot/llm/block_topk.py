@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earshot.llm.vectors import CHUNK, SHARD, answers, bounded_sample, chosen_queries, clusters, entries, matrix, merged, nearest, usable_vectors
+from earshot.llm.vectors import CHUNK, SHARD, answers, bounded_sample, chosen_queries, clusters, entries, matrix, merged, nearest, searched_by_length, usable_vectors
 from earshot.session import written
 
 _LONG = np.iinfo(np.int64)
@@ -160,8 +160,13 @@ def top_products(rows: DataFrame, is_query: Column, how: BlockSearch = BlockSear
     Scores are exact integer inner products of the scaled vectors, ties go to the smaller id, and there are fewer rows only where
     there are fewer candidates.  Null, empty, null-holding and non-finite vectors take no part, nor do null ids.  Rows
     with a query's own id are never its candidates; rows that repeat id and vector count once.
+    Vectors of another length are searched for themselves.  Scaled components, and scores, beyond 64 bits count as the 64-bit number nearest to them.
     """
-    usable = usable_vectors(rows, id_col, vector_col, lambda v: scaled(v, how.scale))
+    return searched_by_length(rows, vector_col, lambda same, size: _products(same, size, is_query, how, id_col, vector_col))
+
+
+def _products(rows: DataFrame, size: int, is_query: Column, how: BlockSearch, id_col: str, vector_col: str) -> DataFrame:
+    usable = usable_vectors(rows, id_col, vector_col, size, lambda v: scaled(v, how.scale))
     most = how.most + 1
     table = written(entries(usable, most), "entries")
     if table.isEmpty():

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from earshot.llm.vectors import CHUNK, SHARD, answers, bounded_sample, chosen_queries, clusters, distances, entries, matrix, merged, nearest, usable_vectors
+from earshot.llm.vectors import CHUNK, SHARD, answers, bounded_sample, chosen_queries, clusters, distances, entries, matrix, merged, nearest, searched_by_length, usable_vectors
 from earshot.session import written
 
 
@@ -161,8 +161,13 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, how: MultiIndexing = M
     Scores are inner products in double precision, ties go to the smaller id, and there are fewer rows only where there are fewer
     candidates.  Null, zero, null-holding and non-finite vectors take no part, nor do null ids.  Rows
     with a query's own id are never its candidates; rows that repeat id and vector count once.
+    Vectors of another length have neighbours of that length.
     """
-    usable = usable_vectors(rows, id_col, vector_col, lambda v: (v + 0.0).astype("<f8") if v.any() else None)
+    return searched_by_length(rows, vector_col, lambda same, size: _neighbours(same, size, is_query, how, id_col, vector_col))
+
+
+def _neighbours(rows: DataFrame, size: int, is_query: Column, how: MultiIndexing, id_col: str, vector_col: str) -> DataFrame:
+    usable = usable_vectors(rows, id_col, vector_col, size, lambda v: (v + 0.0).astype("<f8") if v.any() else None)
     spark = rows.sparkSession
     table = written(entries(usable, how.most + 1), "entries")
     if table.isEmpty():

@@ -7,6 +7,7 @@ of all rows share is scored once, and no answer changes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,22 @@ SHARD = 16_384
 CHUNK = 4_096
 
 
-def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, encode: Callable[[np.ndarray], np.ndarray | None]) -> DataFrame:
-    """id (bigint), raw (``encode`` of the vector, as bytes) for the rows that take part; distinct.
+def searched_by_length(rows: DataFrame, vector_col: str, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``search(rows of one vector length, the length)`` for each length, put together: vectors of different lengths have no product.
 
-    Left out are null ids, null or empty vectors, those holding a null or non-finite component, those that ``encode`` turns down, and
-    those whose length is not the table's most frequent one (of equally frequent ones, the largest).
+    A search for each length is planned, so there should be few; a table has one as a rule.
     """
-    sized = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and size(v) > 0")
-    lengths = sized.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    best = lengths.orderBy(F.desc("n"), F.desc("size")).first()
-    size = best["size"] if best else 0
+    sizes = rows.select(F.size(vector_col).alias("size")).filter("size > 0").distinct().collect()
+    found = [search(rows.filter(F.size(vector_col) == size), size) for size in sorted(r["size"] for r in sizes)]
+    return reduce(DataFrame.unionByName, found) if found else search(rows.limit(0), 0)
+
+
+def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, size: int, encode: Callable[[np.ndarray], np.ndarray | None]) -> DataFrame:
+    """id (bigint), raw (``encode`` of the vector, as bytes) for the rows that take part, all of whose vectors have ``size`` components; distinct.
+
+    Left out are null ids, null vectors, those holding a null or non-finite component, and those that ``encode`` turns down.
+    """
+    sized = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +53,7 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, encode: Callab
                     raw.append(made.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    same = sized.filter(F.size("v") == size).select("id", F.col("v").cast("array<double>").alias("v"))
+    same = sized.select("id", F.col("v").cast("array<double>").alias("v"))
     return written(same.mapInArrow(packed, "id long, raw binary").distinct(), "vectors")
 
 

@@ -99,6 +99,21 @@ def test_neighbours_reach_the_recall(spark):
     assert copies == [5, *(i for i in range(1000, 1300) if i != 1020)][: len(copies)]
 
 
+def test_vectors_of_other_lengths_are_searched_for_themselves(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=3 if i % 3 == 0 else 5)], "x") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    exact, near = {}, {}
+    for size in (3, 5):
+        own = {i: np.array(v) for i, v, _ in rows if len(v) == size}
+        near |= brute(own, 20, 20, lambda q, m: m @ q)
+        exact |= brute({i: np.floor(1024 * v).astype(np.int64) for i, v in own.items()}, 100, 10, lambda q, m: m @ q)
+    assert by_query(top_products(df, F.col("id") % 100 == 0).collect()) == exact
+    got = by_query(nearest_neighbours(df, F.col("id") % 20 == 0).collect())
+    assert set(got) == set(near) and all(len(got[q]) == 20 for q in got)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in near[q]}) for q in near) >= 0.9 * 20 * len(near)
+
+
 def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], "x"), (20, [0.5, 0.5], "x")], SCHEMA)
     assert by_query(nearest_neighbours(few, F.col("id") % 20 == 0).collect()) == {0: [(20, 0.5)], 20: [(0, 0.5)]}
