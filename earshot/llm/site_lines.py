@@ -59,11 +59,11 @@ def boilerplate_lines(
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = 0.5) -> DataFrame:
+def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, plus a struct ``cut``: lines, removed.
 
-    A document of whose characters boilerplate makes up more than ``most_share`` is left whole; with None, only one
-    that would be left without any line that is not blank.  Null and empty texts stay as they are; every input row gives one row.
+    A document that would be left without any line that is not blank stays whole, as does one of whose characters boilerplate makes up
+    more than ``most_share``, where that is given.  Null and empty texts stay as they are; every input row gives one row.
     """
     salted = boilerplate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("k1", "k2", "pos"), F.lit(SALTS)).cast("int")
@@ -77,7 +77,7 @@ def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", t
     marked = joined.select("own", lines.alias("lines"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     gone = F.aggregate("places", F.lit(0), lambda n, i: n + F.length(F.element_at("lines", i + 1)))
     own_lines = F.size(F.filter("lines", lambda line: F.trim(line) != "")) > F.size("places")
-    cuttable = own_lines if most_share is None else gone <= most_share * F.length(text)
+    cuttable = own_lines if most_share is None else own_lines & (gone <= most_share * F.length(text))
     marked = marked.withColumn("places", F.when(cuttable, F.col("places")).otherwise(F.array().cast("array<int>")))
     all_places = F.sequence(F.lit(0), F.size("lines") - 1)
     stay = F.transform(F.array_except(all_places, F.col("places")), lambda i: F.element_at("lines", i + 1))
@@ -87,7 +87,7 @@ def cut_lines(docs: DataFrame, boilerplate: DataFrame, id_col: str = "doc_id", t
     return marked.select(*columns, counts.alias(unused(docs, "cut")))
 
 
-def without_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = 0.5) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 8, id_col: str = "doc_id", text_col: str = "text", most_share: float | None = None) -> DataFrame:
     """``cut_lines`` with the boilerplate that ``docs`` itself shows."""
     return cut_lines(docs, boilerplate_lines(docs, site_col, min_sites, id_col, text_col), id_col, text_col, most_share)
 
@@ -101,16 +101,15 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def report_sql(min_sites: int = 8, most_share: float = 0.5) -> str:
+def report_sql(min_sites: int = 8) -> str:
     return f"""
-with d as (select row_number() over () as row, doc_id, source, text, length(text) as size, string_split(text, chr(10)) as ls from documents),
+with d as (select row_number() over () as row, doc_id, source, text, string_split(text, chr(10)) as ls from documents),
 l as (select row, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d where text is not null),
 wide as (select trim(line) as t from l where trim(line) <> '' group by 1 having count(distinct source) >= {min_sites}),
 m as (select l.row, pos, line, wide.t is not null as hit from l left join wide on trim(line) = wide.t),
-g as (select row, coalesce(sum(length(line)) filter (hit), 0) as gone from m group by row),
-kept as (select d.row, count(*) filter (hit and gone <= {most_share} * size) as removed,
-  string_agg(line, chr(10) order by pos) filter (not (hit and gone <= {most_share} * size)) as new
-  from m join g using (row) join d using (row) group by d.row)
+g as (select row, bool_or(trim(line) <> '' and not hit) as own from m group by row),
+kept as (select row, count(*) filter (hit and own) as removed, string_agg(line, chr(10) order by pos) filter (not (hit and own)) as new
+  from m join g using (row) group by row)
 select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(removed, 0) as n_removed,
   case when text is not null then length(coalesce(new, '')) end as n_chars, case when text is not null then md5(coalesce(new, '')) end as text_md5
 from d left join kept using (row)"""

@@ -3,7 +3,7 @@ from collections import defaultdict
 from earshot.llm.site_lines import boilerplate_lines, cut_lines, without_boilerplate
 
 
-def brute(rows, min_sites, most_share):
+def brute(rows, min_sites):
     sites = defaultdict(set)
     for _, text, site in rows:
         for line in (text or "").split("\n"):
@@ -14,7 +14,7 @@ def brute(rows, min_sites, most_share):
         if text is not None:
             lines = text.split("\n")
             gone = [bool(line.strip(" ")) and len(sites[line.strip(" ")]) >= min_sites for line in lines]
-            if sum(len(x) for x, g in zip(lines, gone) if g) <= most_share * len(text):
+            if any(line.strip(" ") and not g for line, g in zip(lines, gone)):  # else nothing of its own would be left
                 text = "\n".join(x for x, g in zip(lines, gone) if not g)
         out.append((doc_id, text, site))
     return out
@@ -39,7 +39,7 @@ def test_equals_brute_force(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, cut string")  # the site column is called like a result
     for least in (2, 4, 5, 12, 13):
         got = [(r[0], r[1], r[2]) for r in without_boilerplate(docs, "cut", least).collect()]
-        assert sorted(got, key=key) == sorted(brute(data, least, 0.5), key=key), least
+        assert sorted(got, key=key) == sorted(brute(data, least), key=key), least
 
 
 def test_near_the_limit_counts_are_exact(spark):
