@@ -11,10 +11,11 @@ from array import array
 import numpy as np
 
 #: Pieces whose ids a worker remembers at once; it forgets them all when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
-#: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.  U+0130 is left out, as
+#: its lower case is two characters, which tokenizers treat in their own ways.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
@@ -78,18 +79,25 @@ class Encoder:
 
     def _spelled(self, piece: str, lead: str) -> bytes | None:
         """The ids of words with a line break between two; None for anything else."""
-        out = b""
+        if "\n" not in piece:
+            return self._word(piece, lead)
+        out = []
         for i, part in enumerate(piece.split("\n")):
-            match = _WORD.fullmatch(part)
-            if match is None:
+            ids = self._word(part, "" if i else lead)
+            if ids is None:
                 return None
             if i and self._keeps_space:
-                out += self._unit("\n")
-            letters, after = match.groups()
-            out += self._unit(("" if i else lead) + (letters if self._keeps_space else letters.lower()))
-            if after:
-                out += self._unit(after)
-        return out
+                out.append(self._unit("\n"))
+            out.append(ids)
+        return b"".join(out)
+
+    def _word(self, piece: str, lead: str) -> bytes | None:
+        match = _WORD.fullmatch(piece)
+        if match is None:
+            return None
+        letters, after = match.groups()
+        ids = self._unit(lead + (letters if self._keeps_space else letters.lower()))
+        return ids + self._unit(after) if after else ids
 
     def _learn(self, pieces: list[str]) -> None:
         together, alone = [], []
