@@ -11,6 +11,7 @@ Everything is made of DataFrame functions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,6 +36,8 @@ class Mixture:
     rounds: int = 60
     tolerance: float = 1e-4
     pending: int = 8  # steps that are folded into one expression before rates are written
+    #: Documents whose likeliest domain is one of these are used at least once.
+    keep: tuple[str, ...] = ()
 
     @property
     def domains(self) -> list[str]:
@@ -47,7 +50,8 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), " "), lambda w: w != "")
+    """What stands between white space."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, how: Mixture, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]]:
@@ -91,7 +95,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], how: Mi
     tokens = F.coalesce(F.size(_words(F.col("text"))), F.lit(0))
     base = keyed.select("k1", "k2", F.when(F.col("text").isNull(), 0).otherwise(tokens).cast("bigint").alias("tokens"))
     base = base.groupBy("k1", "k2").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
-    hits = keyed.select("k1", "k2", F.explode(F.split(F.lower("text"), " ")).alias("word")).join(F.broadcast(weights), "word")
+    hits = keyed.select("k1", "k2", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).join(F.broadcast(weights), "word")
     sums = hits.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("hits"), *[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(n)])
     scored = base.join(sums, ["k1", "k2"], "left")
     # Repeated rows repeat their hits; hits / copies is one row's number of them.
@@ -105,16 +109,21 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], how: Mi
 
 
 def fitted_rates(table: DataFrame, how: Mixture) -> DataFrame:
-    """``table`` (tokens, copies, p_0, ...) plus ``rate``.
+    """``table`` (tokens, copies, p_0, ...) plus ``rate`` and ``gap``.
 
-    With N_k the corpus' expected tokens of domain k, a step is r <- max(0, r - sum_k p_k (S_k - T_k) / N_k), the gradient in the
-    metric that weighs documents by their tokens; its curvature is at most 1.  It ends when every S_k is within ``tolerance``
-    of its target (as a share of all tokens), or after ``rounds``: then the targets can't be met, and this is the nearest.
+    With N_k the corpus' expected tokens of domain k, a step is r <- max(least, r - sum_k p_k (S_k - T_k) / N_k), the gradient in the
+    metric that weighs documents by their tokens; its curvature is at most 1.  The least is 1 for documents whose likeliest domain is in ``keep``, else 0.
+    It ends when every S_k is within ``tolerance`` of its target (as a share of all tokens), or after ``rounds``.  ``gap`` is the largest such
+    share that is left, the same in every row: above ``tolerance`` the targets were not met, because they can't be or for want of rounds.
     """
     n = len(how.domains)
     current = table.withColumn("rate", F.lit(1.0))
     tokens = F.col("tokens") * F.col("copies")
     rate: Column = F.col("rate")
+    likeliest = F.greatest(*[F.col(f"p_{i}") for i in range(n)]) if n > 1 else F.col("p_0")
+    kept = [F.col(f"p_{i}") == likeliest for i, d in enumerate(how.domains) if d in how.keep]
+    least = F.when(reduce(Column.__or__, kept), 1.0).otherwise(0.0) if kept else F.lit(0.0)
+    left = 0.0
     sizes: list[float] = []
     wanted: list[float] = []
     total = 0.0
@@ -128,14 +137,15 @@ def fitted_rates(table: DataFrame, how: Mixture) -> DataFrame:
             share = sum(how.targets.values())
             wanted = [how.volume * how.targets[d] / share * total for d in how.domains]
         gaps = [sums[i] - wanted[i] for i in range(n)]
-        if turn == how.rounds or max(map(abs, gaps)) <= how.tolerance * total:
+        left = max(map(abs, gaps)) / total
+        if turn == how.rounds or left <= how.tolerance:
             break
         step = sum((F.col(f"p_{i}") * F.lit(gaps[i] / sizes[i]) for i in range(n)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
+        rate = F.greatest(least, rate - step)
         if (turn + 1) % how.pending == 0:
             current = written(current.withColumn("rate", rate), "rates")
             rate = F.col("rate")
-    return current.withColumn("rate", rate)
+    return current.withColumn("rate", rate).withColumn("gap", F.lit(left))
 
 
 def _rates(docs: DataFrame, labelled: DataFrame, how: Mixture, id_col: str, text_col: str) -> DataFrame:
@@ -151,14 +161,14 @@ def _times(keys: list[str], rate: Column) -> Column:
 
 
 def mixture_report(docs: DataFrame, labelled: DataFrame, how: Mixture) -> DataFrame:
-    """doc_id, tokens, p_<domain> for each domain, rate and times (how often to use it) for each row of ``docs``.
+    """doc_id, tokens, p_<domain> for each domain, rate, times (how often to use it) and gap (as of ``fitted_rates``) for each row of ``docs``.
 
     Repeated rows get the same answer; null and empty texts have no tokens, the priors, and the rate that these give.
     """
     rates = _rates(docs, labelled, how, "doc_id", "text")
     named = [F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(how.domains)]
     rows = docs.select("doc_id", *_keys("doc_id", "text")).join(rates, ["k1", "k2"])
-    return rows.select("doc_id", "tokens", *named, "rate", _times(["k1", "k2"], F.col("rate")).alias("times"))
+    return rows.select("doc_id", "tokens", *named, "rate", _times(["k1", "k2"], F.col("rate")).alias("times"), "gap")
 
 
 def mixed_corpus(docs: DataFrame, labelled: DataFrame, how: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,4 +189,4 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 
 #: The mixture of the registered query and the pipeline: every clean document at least once, less of the rest.
-CLEANER = Mixture({"clean": 0.92, "low": 0.05, "toxic": 0.03}, volume=1.2)
+CLEANER = Mixture({"clean": 0.92, "low": 0.05, "toxic": 0.03}, volume=1.2, keep=("clean",))

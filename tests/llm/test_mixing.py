@@ -66,6 +66,34 @@ def test_rates_equal_brute_force_and_are_the_least_squares(spark, targets):
     assert np.abs(share - targets).max() < (0.02 if min(targets) > 0 else 0.1)
 
 
+def test_documents_of_a_kept_domain_stay_and_the_gap_is_told(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 150)
+    rows = [(i, 0, int(t), 1, *map(float, x)) for i, (t, x) in enumerate(zip(rng.integers(1, 500, 150), p))]
+    table = spark.createDataFrame(rows, "k1 long, k2 long, tokens long, copies long, p_0 double, p_1 double, p_2 double")
+    how = Mixture({"a": 0.6, "b": 0.25, "c": 0.15}, keep=("a",), rounds=200)
+    got = fitted_rates(table, how).orderBy("k1").collect()
+    tokens, rate = np.array([r.tokens for r in got], float), np.array([r.rate for r in got])
+    kept = p.argmax(axis=1) == 0
+    assert (rate[kept] >= 1).all() and (rate[~kept] < 1).any()
+    gap = np.abs((rate * tokens) @ p / tokens.sum() - [0.6, 0.25, 0.15]).max()
+    assert {r.gap for r in got} == {got[0].gap} and abs(got[0].gap - gap) < 1e-9 and gap <= how.tolerance
+    assert fitted_rates(table, Mixture({"a": 0.0, "b": 0.0, "c": 1.0}, keep=("a", "b", "c"), rounds=20)).first().gap > 0.1
+
+
+def test_clean_documents_stay_in_the_mixture(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = mixing.labelled_domains(labels)
+    report = mixing.mixture_report(docs, labelled, mixing.CLEANER).join(labelled.filter("domain = 'clean'"), "doc_id", "left_semi")
+    assert report.count() > 200 and report.filter("times = 0").isEmpty()
+
+
+def test_words_end_at_any_white_space(spark):
+    got = mixing.mixture_report(spark.createDataFrame([(1, "a b\nc\td\r\n e")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, domain string"), Mixture({"a": 1.0}))
+    assert got.first().tokens == 5
+
+
 def test_nothing_labelled_and_empty_tables(spark):
     no_docs = spark.createDataFrame([], "doc_id long, text string")
     no_labels = spark.createDataFrame([], "doc_id long, domain string")
