@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earshot.llm.arrow import unused
-from earshot.session import written
+from earshot.session import written, written_for_now
 
 SALTS = 16
 
 
+#: A written table of up to so many bytes may be sent to every task.
+SMALL_BYTES = 8 << 20
+
+
+def table_bytes(written_table: DataFrame) -> int:
+    """The size of a table that was read from files, as its files have it."""
+    return int(str(written_table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def checked_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, by: list[str], of: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``facts`` joined to ``lookup``, columns and rows of the written table ``of`` or less: broadcast if ``of`` is small, else a ``salted_join``."""
+    if table_bytes(of) <= SMALL_BYTES:
+        return facts.join(F.broadcast(lookup), keys, how)
+    return salted_join(facts, lookup, keys, how, by, salts)
+
+
 def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, by: list[str], salts: int = SALTS) -> DataFrame:
     """``facts`` joined to the smaller ``lookup`` with each key's rows spread over ``salts`` tasks by the columns ``by``.
 
@@ -42,10 +58,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node joins the member of its closed neighbourhood that comes first, after the first round by a hash of its own, and the
     edges are contracted; the number of labels falls by a constant factor a round, whatever the shape of the graph.
     Minima are built map-side and joins are salted, so a node with very many neighbours does no harm.
-    Nothing but a row count leaves the executors.
+    Nothing but a row count leaves the executors; the tables of the rounds are removed at the end.
     """
-    current = written(edges.select("a", "b").filter("a != b").distinct(), "edges")
+    current, drop_edges = written_for_now(edges.select("a", "b").filter("a != b").distinct(), "edges")
     rounds: list[DataFrame] = []
+    drops = []
     while not current.isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # The first round goes by the nodes themselves, which settles stars around their smallest node at once.
@@ -55,23 +72,30 @@ def components(edges: DataFrame) -> DataFrame:
         first = F.min(F.struct(rank("b").alias("h"), F.col("b").alias("n")))
         own = F.struct(rank("a").alias("h"), F.col("a").alias("n"))
         parent = both.groupBy("a").agg(first.alias("best")).select(F.col("a").alias("node"), F.least("best", own)["n"].alias("parent"))
-        parent = written(parent, "parents")
+        parent, drop_parent = written_for_now(parent, "parents")
+        drops.append(drop_parent)
         for side in ("a", "b"):
             ends = parent.select(F.col("node").alias(side), F.col("parent").alias("_to"))
-            current = salted_join(current, ends, [side], "inner", ["a", "b"]).withColumn(side, F.col("_to")).drop("_to")
+            current = checked_join(current, ends, [side], "inner", ["a", "b"], of=parent).withColumn(side, F.col("_to")).drop("_to")
         pair = current.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        current = written(pair.distinct(), "edges")
+        current, drop_next = written_for_now(pair.distinct(), "edges")
+        drop_edges()
+        drop_edges = drop_next
         rounds.append(parent)
     if not rounds:
         return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = rounds[-1]
-    for parent in reversed(rounds[:-1]):
+    labels, drop_labels = rounds[-1], drops.pop()
+    for parent, drop_parent in zip(reversed(rounds[:-1]), reversed(drops), strict=True):
         onward = labels.select(F.col("node").alias("parent"), F.col("parent").alias("_to"))
-        labels = salted_join(parent, onward, ["parent"], "left", ["node"]).select("node", F.coalesce("_to", "parent").alias("parent"))
-    if len(rounds) > 1:
-        labels = written(labels, "labels")
+        named = checked_join(parent, onward, ["parent"], "left", ["node"], of=labels).select("node", F.coalesce("_to", "parent").alias("parent"))
+        named, drop_named = written_for_now(named, "labels")
+        drop_labels()
+        drop_parent()
+        labels, drop_labels = named, drop_named
     names = labels.groupBy("parent").agg(F.min("node").alias("component"))
     # The label itself is a node of the component but need not be the smallest; it is covered by its own row or by its own name.
     names = names.withColumn("component", F.least("component", "parent"))
-    named = salted_join(labels, names, ["parent"], "inner", ["node"]).select("node", "component")
+    named = written(checked_join(labels, names, ["parent"], "inner", ["node"], of=labels).select("node", "component"), "components")
+    drop_edges()
+    drop_labels()
     return named

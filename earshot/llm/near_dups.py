@@ -4,12 +4,12 @@ A document's set holds its distinct word shingles.  Documents with equal sets ar
 read from a row of the smallest id.  One hash of each shingle gives bin (its top bits) and value; empty bins are filled by optimal densification, each
 from a random non-empty bin of its own probe sequence.  Runs of bins make bands; classes that share a band meet in a bucket.
 
-A bucket first gives a star of candidates: its smallest digest paired with each other member.  Candidates pass a size test
+Each bucket gives a star of candidates: its smallest digest paired with each other member.  Candidates pass a size test
 and a sketch test that is far below the limit, then the full sets decide, and confirmed links are merged into components.
-Buckets with members still apart are then cut into chunks, whose pairs are tasks: a task compares the sketches of its members
-and gives the stars of its next centres, those with most likenesses first, to members of other components.  Each round takes
-four times the centres of the one before, and the rounds end when every pair of a bucket that passes the tests has been judged by
-its full sets or lies in one component.
+A star says nothing of two members that are both unlike its centre.  Buckets that hold more than one component after it are therefore joined to
+families (buckets with common members), and the full sets of a family are compared exactly: its members are cut into chunks, each pair of chunks is a
+task that multiplies two 0/1 matrices of members and shingles, and hands on one link for each two components that it joins.
+So no table has a row for each pair: stars have a row a member and bucket, tasks a row a member and chunk.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earshot.llm.arrow import ascii_lower, blocks, unused, utf8
-from earshot.llm.joins import components, salted_join
-from earshot.session import written
+from earshot.llm.joins import SMALL_BYTES, checked_join, components, salted_join, table_bytes
+from earshot.session import written, written_for_now
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +49,10 @@ class NearDuplicates:
     rows: int = 4
     #: How far below the limit a sketch's estimate may be; five standard errors at 128 bins.
     slack: float = 0.2
-    star: int = 256  # members that are compared with one copy of their centre, and members in a chunk of a bucket
+    star: int = 256  # members that are compared with one copy of their centre
+    chunk: int = 512  # members of a chunk of a family
+    chunk_shingles: int = 1 << 21  # and shingles, unless one member has more
+    family: int = 8192  # members of a family; buckets of a larger one are families of their own
 
     @property
     def bins(self) -> int:
@@ -62,26 +65,11 @@ class NearDuplicates:
 class Shingler:
     """Sets of shingle hashes of texts; built inside a task."""
 
-    def __init__(self, words: int, chunk: int = 1 << 20):
-        self.words, self._chunk = words, chunk
+    def __init__(self, words: int, chunk: int = 1 << 17, long: int = 256):
+        self.words, self._chunk, self._long = words, chunk, long
         self._lower = ascii_lower()
         self._space = np.zeros(256, bool)
         self._space[[32, 9, 10, 11, 12, 13]] = True
-        rng = np.random.default_rng(20240229)
-        self._char = rng.integers(1, 1 << 63, 256, np.uint64)
-        self._base = np.uint64(0x5851F42D4C957F2D)
-        self._back = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-        self._powers = (np.empty(0, np.uint64), np.empty(0, np.uint64))
-
-    def _power(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._powers[0]) < n:
-            made = []
-            for base in (self._base, self._back):
-                factors = np.full(n, base, np.uint64)
-                factors[0] = 1
-                made.append(np.cumprod(factors, dtype=np.uint64))
-            self._powers = (made[0], made[1])
-        return self._powers[0][:n], self._powers[1]
 
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text; fewer words than a shingle has make one shingle; no words none."""
@@ -97,8 +85,8 @@ class Shingler:
         starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | cut[:-1]))
         ends = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | cut[1:])) + 1
         # Some words at a time, so that a very long text needs no wide array of its length.
-        edges = [0, *np.flatnonzero(np.diff(starts // self._chunk)) + 1, len(starts)] if len(starts) else []
-        parts = [self._hashed(low, starts[a:b], ends[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        low = np.concatenate([low, np.zeros(8, np.uint8)])
+        parts = [self._hashed(low, starts[at : at + self._chunk], ends[at : at + self._chunk]) for at in range(0, len(starts), self._chunk)]
         word = np.concatenate([np.empty(0, np.uint64), *parts])
         first = np.searchsorted(starts, offsets[:-1])
         count = np.diff(np.append(first, len(starts)))
@@ -114,12 +102,23 @@ class Shingler:
         return out
 
     def _hashed(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each word, which depends on its bytes alone: a difference of prefix sums, moved back to the start."""
-        at = starts[0]
-        part = low[at : ends[-1]]
-        power, back = self._power(len(part))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._char[part] * power, dtype=np.uint64)])
-        return mixed((sums[ends - at] - sums[starts - at]) * back[starts - at])
+        """A hash of each word's bytes and length: eight bytes at a time are added and scrambled; very long words are left to BLAKE2b."""
+        eight = np.lib.stride_tricks.sliding_window_view(low, 8)
+        lengths = ends - starts
+        h = mixed(lengths.astype(np.uint64) * _ODD)
+        long = lengths > self._long
+        at, active = 0, np.flatnonzero(~long)
+        while len(active):
+            lane = np.ascontiguousarray(eight[starts[active] + at]).view("<u8")[:, 0]
+            left = np.minimum(lengths[active] - at, 8).astype(np.uint64)
+            lane = lane & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+            h[active] = mixed(h[active] * _ODD + lane)
+            at += 8
+            active = active[lengths[active] > at]
+        for i in np.flatnonzero(long).tolist():
+            digest = hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+            h[i] = int.from_bytes(digest, "little")
+        return h
 
     @staticmethod
     def _chain(words: list[np.ndarray]) -> np.ndarray:
@@ -217,110 +216,151 @@ def _first_stars(placed: DataFrame, how: NearDuplicates) -> DataFrame:
     return met.filter(sizes).select("a", F.col("id").alias("b")).distinct()
 
 
-def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """``members`` plus ``group``, the component as it is by now."""
-    named = salted_join(members, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], salts=1)
-    return named.select(*members.columns, F.coalesce("component", "id").alias("group"))
+def _open_buckets(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, id, n, group (the component as it is by now) of the members of buckets in which the star left work; with two members it left none."""
+    named = checked_join(placed, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], of=groups, salts=1)
+    named = named.select("bucket", "id", "n", F.coalesce("component", "id").alias("group"))
+    counts = named.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n_group"))
+    sizes = counts.groupBy("bucket").agg(F.sum("n_group").alias("total"), F.count(F.lit(1)).alias("groups"))
+    return salted_join(named, sizes.filter("total > 2 and groups > 1").select("bucket"), ["bucket"], "left_semi", ["id"])
+
 
+def _families(members: DataFrame, how: NearDuplicates) -> DataFrame:
+    """family, id, n, group: the members (as of ``_open_buckets``) of each family once; of families of more than ``how.family``, once for each bucket."""
+    centre = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    edges = checked_join(members.select("bucket", "id"), centre, ["bucket"], "inner", ["id"], of=members).select("a", F.col("id").alias("b"))
+    family = components(edges)
+    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    sized = checked_join(family, sizes, ["component"], "inner", ["node"], of=family).select(F.col("node").alias("id"), "component", "_size")
+    placed = checked_join(members, sized, ["id"], "inner", ["bucket"], of=family, salts=1)
+    # A member of a large family takes part once for each of its buckets; of another, once.
+    own = F.when(F.col("_size") > how.family, F.xxhash64(F.lit("bucket"), "bucket")).otherwise(F.xxhash64("component"))
+    return placed.select(own.alias("family"), "id", "n", "group").distinct()
 
-def _chunked(members: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """bucket, id, n, sketch, chunk, apart, chunks of the members of buckets in which the first star left work.
 
-    Members of a large bucket's main group lie in the chunks from ``apart`` on and need not be compared with each other, so that
-    a large group that is found already costs no more than the members beside it.  A bucket of two is done with after its star.
+def _chunked(members: DataFrame, how: NearDuplicates) -> DataFrame:
+    """family, i, j, chunk, id, group: the members (as of ``_families``) in each pair of chunks i <= j that they take part in.
+
+    Members of a family's largest component lie in chunks of their own, which need not be compared with each other, so that a large group
+    that is found already costs no more than the members beside it.
     """
-    counts = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n_group"))
-    sizes = counts.groupBy("bucket").agg(F.sum("n_group").alias("total"), F.max(F.struct("n_group", "group")).alias("main"))
-    sizes = sizes.filter("total > 2 and total > main.n_group")
-    large = F.col("total") > how.star
-    apart = F.when(large, F.ceil((F.col("total") - F.col("main.n_group")) / how.star)).otherwise(1).cast("int")
-    more = F.when(large, F.ceil(F.col("main.n_group") / how.star)).otherwise(0).cast("int")
-    sizes = sizes.select("bucket", F.col("main.group").alias("main"), apart.alias("apart"), more.alias("more"))
-    dealt = salted_join(members, sizes, ["bucket"], "inner", ["id"])
+    counts = members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    main = F.max(F.struct("members", "shingles", "group")).alias("main")
+    sizes = counts.groupBy("family").agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), main)
+
+    def chunks(members_: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(members_ / how.chunk, shingles / how.chunk_shingles)).cast("int")
+
+    # A family that fits one chunk is one.
+    small = chunks(F.col("members"), F.col("shingles")) <= 1
+    apart = chunks(F.col("members") - F.col("main.members"), F.col("shingles") - F.col("main.shingles"))
+    more = chunks(F.col("main.members"), F.col("main.shingles"))
+    sizes = sizes.select(
+        "family", F.col("main.group").alias("main"), F.when(small, 1).otherwise(apart).alias("apart"), F.when(small, 0).otherwise(more).alias("more")
+    )
+    dealt = checked_join(members, sizes, ["family"], "inner", ["id"], of=members)
     hashed = F.xxhash64("id")
     in_main = (F.col("group") == F.col("main")) & (F.col("more") > 0)
-    chunk = F.when(in_main, F.col("apart") + F.pmod(hashed, F.greatest("more", F.lit(1)))).otherwise(F.pmod(hashed, F.col("apart"))).cast("int")
-    dealt = dealt.select("bucket", "id", "n", chunk.alias("chunk"), "apart", (F.col("apart") + F.col("more")).alias("chunks"))
-    return salted_join(dealt, nodes.select("id", "sketch"), ["id"], "inner", ["bucket"], salts=1)
+    chunk = F.when(in_main, F.col("apart") + F.pmod(hashed, F.greatest("more", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("apart", F.lit(1))))
+    dealt = dealt.withColumn("chunk", chunk.cast("int"))
+    partners = F.when(F.col("chunk") < F.col("apart"), F.col("apart") + F.col("more")).otherwise(F.col("apart"))
+    met = dealt.filter(partners > 0).withColumn("_with", F.explode(F.sequence(F.lit(0), partners - 1)))
+    return met.select("family", F.least("chunk", "_with").alias("i"), F.greatest("chunk", "_with").alias("j"), "chunk", "id", "group")
+
+
+def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many elements each of the sets ``x`` has in common with each of ``y``: products of 0/1 matrices, ``width`` elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    common = np.zeros((len(x), len(y)), np.int64)
+    if not len(every):
+        return common
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    element = np.cumsum(new) - 1
+    shared = np.bincount(element)[element] > 1  # what a single set holds is common to none
+    owner, element = owner[shared], np.cumsum(new & shared)[shared] - 1
+    edges = np.searchsorted(element, np.arange(0, (int(element[-1]) + 1 if len(element) else 0) + width, width))
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], element[a:b] - k * width] = 1
+        common += (held[x] @ held[y].T).astype(np.int64)
+    return common
+
+
+def _joining(sets: list[np.ndarray], groups: list, x: np.ndarray, y: np.ndarray, how: NearDuplicates) -> list[tuple[int, int]]:
+    """Of the linked pairs between ``x`` and ``y``, as many as it takes to join the components that they join."""
+    codes: dict = {}
+    group = np.array([codes.setdefault(g, len(codes)) for g in groups])
+    if len(codes) < 2 or not len(x) or not len(y):
+        return []
+    n = np.array([len(s) for s in sets], np.int64)
+    common = common_counts(sets, x, y)
+    linked = (100 * common >= how.percent * (n[x, None] + n[None, y] - common)) & (group[x, None] != group[None, y])
+    i, j = np.nonzero(linked)
+    i, j = x[i], y[j]
+    _, first = np.unique(np.minimum(group[i], group[j]) * len(codes) + np.maximum(group[i], group[j]), return_index=True)
+    parent = list(range(len(codes)))
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    out = []
+    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        one, other = root(int(group[a])), root(int(group[b]))
+        if one != other:
+            parent[one] = other
+            out.append((a, b))
+    return out
+
+
+def _full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the nodes ``ids``, from the text of a row that stands for the class."""
+    wanted = nodes.join(ids, "id", "left_semi").select("id", "rep")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    schema = T.StructType().add("id", T.BinaryType()).add("shingles", T.BinaryType())
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(how.words)
+        for block in blocks(batches, "text"):
+            found = [(i, s) for i, s in zip(block.column(0).to_pylist(), shingler.sets(block.column(1)), strict=True) if len(s) and _digest(s) == i]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "shingles"])
 
-def _further_stars(members: DataFrame, turn: int, how: NearDuplicates) -> DataFrame:
-    """Pairs (bucket, a: centre, b) of ``members`` (as of ``_chunked``, and group) in different groups that pass the size and sketch tests.
+    return wanted.join(texts, "rep").select("id", "text").mapInArrow(made, schema).dropDuplicates(["id"])
+
+
+def _compared(chunks: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Confirmed links (a, b) between components, from every pair of chunks (as of ``_chunked``)."""
+    met = salted_join(chunks, sets, ["id"], "inner", ["family", "i", "j"], salts=1)
+    ordered = met.select("family", "i", "j", "chunk", "id", "group", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, task = None, []
+
+        def close() -> pa.RecordBatch:
+            side = np.array([r[0] == key[1] for r in task])
+            x = np.flatnonzero(side)
+            y = x if key[1] == key[2] else np.flatnonzero(~side)
+            found = _joining([np.frombuffer(r[3], np.uint64) for r in task], [r[2] for r in task], x, y, how)
+            ends = [pa.array([task[pair[k]][1] for pair in found], pa.binary()) for k in (0, 1)]
+            task.clear()
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
-    The members of a pair of chunks are centres in the order of the number of pairs that pass, whatever their groups, so the order stays the same in
-    each ``turn``.  A row without a and b says that centres of the bucket are left for a later turn.
-    """
-    partners = F.when(F.col("chunk") < F.col("apart"), F.col("chunks")).otherwise(F.col("apart"))
-    met = members.withColumn("_with", F.explode(F.sequence(F.lit(0), partners - 1)))
-    met = met.select("bucket", F.least("chunk", "_with").alias("i"), F.greatest("chunk", "_with").alias("j"), "chunk", "id", "n", "group", "sketch")
-    ordered = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    ids = members.schema["id"].dataType
-    schema = T.StructType().add("bucket", T.LongType()).add("a", ids).add("b", ids)
-    first, end = (4**turn - 1) // 3, (4 ** (turn + 1) - 1) // 3
-    least, percent, bins = how.percent / 100 - how.slack, how.percent, how.bins
-
-    def stars(rows: list[tuple], both: bool) -> tuple[list[tuple], bool]:
-        """The (a, b) of this turn, and whether pairs are left."""
-        side = np.array([r[3] == r[1] for r in rows])
-        x = np.flatnonzero(side)
-        y = x if both else np.flatnonzero(~side)
-        codes: dict = {}
-        group = np.array([codes.setdefault(r[6], len(codes)) for r in rows])
-        if len(codes) < 2 or not len(x) or not len(y):
-            return [], False
-        n = np.array([r[5] for r in rows], np.int64)
-        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-        same = np.zeros((len(x), len(y)), np.int32)
-        step = max(1, (1 << 22) // (len(y) * bins))
-        for at in range(0, len(x), step):
-            same[at : at + step] = (sketch[x[at : at + step], None] == sketch[None, y]).sum(axis=2)
-        small, big = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-        passed = (100 * small >= percent * big) & ((small < bins) | (same >= least * bins))
-        passed &= x[:, None] < y[None] if both else True
-        degree = np.zeros(len(rows), np.int64)
-        degree[x] += passed.sum(axis=1)
-        degree[y] += passed.sum(axis=0)
-        rank = np.empty(len(rows), np.int64)
-        rank[np.argsort(-degree, kind="stable")] = np.arange(len(rows))
-        i, j = np.nonzero(passed & (group[x, None] != group[None, y]))
-        i, j = x[i], y[j]
-        swap = rank[j] < rank[i]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        now = (rank[i] >= first) & (rank[i] < end)
-        return [(rows[a][4], rows[b][4]) for a, b in zip(i[now].tolist(), j[now].tolist(), strict=True)], bool((rank[i] >= end).any())
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task: list[tuple] = []
-        found: list[tuple] = []
-
-        def close() -> None:
-            if task:
-                pairs, left = stars(task, task[0][1] == task[0][2])
-                found.extend((task[0][0], a, b) for a, b in pairs)
-                if left:
-                    found.append((task[0][0], None, None))
-                task.clear()
-
-        def given(types: pa.Schema) -> pa.RecordBatch:
-            kinds = [pa.int64(), types.field("id").type, types.field("id").type]
-            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
-            found.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "a", "b"])
-
-        types = None
         for batch in batches:
-            types = batch.schema
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if task and task[0][:3] != row[:3]:
-                    close()
-                    if len(found) >= 1 << 16:
-                        yield given(types)
-                task.append(row)
-        close()
-        if types is not None:
-            yield given(types)
+            for *place, chunk, member, group, shingles in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if place != key and task:
+                    yield close()
+                key = place
+                task.append((chunk, member, group, shingles))
+        if task:
+            yield close()
 
-    return ordered.mapInArrow(paired, schema)
+    return ordered.mapInArrow(joined, schema)
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -386,43 +426,37 @@ def _judged(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) ->
     classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
     nodes = nodes.select(F.col("digest").alias("id"), F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["id", "rep"])
-    nodes = written(nodes, "classes")
+    nodes, drop_nodes = written_for_now(nodes, "classes")
     placed = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     # Most buckets hold one class and are done with here; every round works on the others.
     met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    placed = written(salted_join(placed, met, ["bucket"], "left_semi", ["id"]), "buckets")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-
-    pairs = written(_alike(_first_stars(placed, how), nodes, how), "candidates")
-    tested = ends(pairs)
+    placed, drop_placed = written_for_now(salted_join(placed, met, ["bucket"], "left_semi", ["id"]), "buckets")
+    pairs, drop_pairs = written_for_now(_alike(_first_stars(placed, how), nodes, how), "candidates")
     links = written(_confirmed(pairs, nodes, docs, how, id_col, text_col), "links")
-    groups = written(components(links), "components")
-    chunked = written(_chunked(_grouped(placed, groups), nodes, how), "chunks")
-    live, near, turn = chunked, None, 0
-    while not live.isEmpty():
-        found = written(_further_stars(_grouped(live, groups), turn, how), "stars")
-        pairs = found.filter("a is not null").select("a", "b").distinct()
-        pairs = pairs.join(tested, (F.least(pairs.a, pairs.b) == tested.low) & (F.greatest(pairs.a, pairs.b) == tested.high), "left_anti")
-        pairs = written(pairs, "candidates")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(ends(pairs))
-            if near is None:  # the texts that later turns may ask for
-                some = nodes.join(chunked.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias(id_col)).distinct()
-                near = written(docs.select(id_col, text_col).join(some, id_col, "left_semi"), "near-texts")
-            new = written(_confirmed(pairs, nodes, near, how, id_col, text_col), "links")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                groups = written(components(links), "components")
-        left = found.filter("a is null").select("bucket").distinct()
-        live, turn = salted_join(chunked, left, ["bucket"], "left_semi", ["id"]), turn + 1
+    drop_pairs()
+    groups = components(links)
+    members, drop_members = written_for_now(_open_buckets(placed, groups), "open-buckets")
+    drop_placed()
+    if not members.isEmpty():
+        families, drop_families = written_for_now(_families(members, how), "families")
+        shingles, drop_shingles = written_for_now(_full_sets(families.select("id"), nodes, docs, how, id_col, text_col), "full-sets")
+        links = links.unionByName(written(_compared(_chunked(families, how), shingles, how), "links"))
+        groups = components(links)
+        drop_families()
+        drop_shingles()
+    drop_members()
+    drop_nodes()
 
     # A component is named by its smallest id, and kept is the class of that id (of several with it, the one of the smallest digest).
-    linked = salted_join(groups.withColumnRenamed("node", "digest"), classes, ["digest"], "inner", ["component"], salts=1)
+    labels = groups.withColumnRenamed("node", "digest")
+    if table_bytes(groups) <= SMALL_BYTES:
+        linked = classes.join(F.broadcast(labels), "digest")
+    else:
+        linked = salted_join(labels, classes, ["digest"], "inner", ["component"], salts=1)
     heads = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("head"))
-    linked = salted_join(linked, heads, ["component"], "inner", ["digest"]).select("digest", "head")
-    classes = classes.join(linked, "digest", "left")
+    linked = checked_join(linked, heads, ["component"], "inner", ["digest"], of=groups).select("digest", "head")
+    linked = written(linked, "linked")
+    classes = checked_join(classes, linked, ["digest"], "left", ["rep"], of=linked, salts=1)
     classes = classes.select("digest", F.coalesce("head.rep", "rep").alias("component_id"), F.coalesce("head.digest", "digest").alias("_head"))
     # A class of one that is linked with nothing needs no lookup.
     named = salted_join(sets.select("id", "print", "n", "digest"), classes, ["digest"], "left", ["id"])

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from earshot.llm.joins import components
-from earshot.llm.near_dups import NearDuplicates, Shingler, Signatures, keep_one, near_duplicates
+from earshot.llm.near_dups import NearDuplicates, Shingler, Signatures, _chunked, _families, common_counts, keep_one, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -111,6 +113,84 @@ def test_copies_around_an_original_of_a_middle_id(spark):
         assert {r.doc_id: r.component_id for r in got} == {1: 1, **{i: 100 for i in range(100, 501)}}, star
 
 
+def test_large_groups(spark):
+    """3,000 copies around an original of a middle id, and 3,000 texts that are just too unlike their model and each other."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    original, model = ([rng.choice(vocabulary) for _ in range(200)] for _ in range(2))
+    rows = [(1500, " ".join(original)), (9000, " ".join(model))]
+    for i in [*range(1500), *range(1501, 3000)]:
+        words = list(original)
+        for at in rng.sample(range(4, 196, 4), 4):  # 12 of 198 shingles: 0.886 with the original, 0.785 with each other
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    for i in range(4000, 7000):
+        words = list(model)
+        for at in rng.sample(range(4, 196, 4), 6):  # 18: 0.833 with the model
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((9001, " ".join(words) + " more"))  # linked with the last of them
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs, NearDuplicates(words=3, percent=85)).collect()}
+    assert found == {**{i: 0 for i in range(3000)}, **{i: i for i in range(4000, 7000)}, 9000: 9000, 9001: 6999}
+
+
+def test_no_table_grows_with_pairs(spark):
+    """Members meet once for each chunk of the members beside the largest component, and what is handed on joins components."""
+    how = NearDuplicates(chunk=100, family=500)
+    rows = [(i, bytes([i % 251, i // 251]), 60, bytes([0, 0]) if i < 1500 else bytes([i % 251, i // 251])) for i in range(1700)]
+    members = spark.createDataFrame([(7, *r[1:]) for r in rows], "family long, id binary, n long, group binary")
+    chunks = _chunked(members, how)
+    apart, main = 200, 1500
+    assert chunks.filter("group = x'0000'").count() == main * (apart // 100) and chunks.count() == main * 2 + apart * (2 + 15)
+    places = spark.createDataFrame([(b, *r[1:]) for r in rows for b in (1, 2 + r[0] % 3)], "bucket long, id binary, n long, group binary")
+    assert _families(places, how).count() == 2 * 1700 and _families(places, NearDuplicates(family=1700)).count() == 1700
+
+
+@pytest.mark.parametrize("how", [NearDuplicates(3, 85, family=3), NearDuplicates(3, 85, chunk=2), NearDuplicates(3, 85, chunk_shingles=30, family=20, star=2)])
+def test_any_cut_of_families_and_chunks(spark, how):
+    rng = random.Random(2)
+    out = []
+    for _ in range(4):
+        words = [f"w{rng.randrange(300)}" for _ in range(80)]
+        for _ in range(30):
+            own = list(words)
+            for at in rng.sample(range(80), rng.randrange(6)):
+                own[at] = f"w{rng.randrange(300)}"
+            out.append(" ".join(own))
+    rows = [(i, t) for i, t in enumerate(rng.sample(out, len(out)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), how).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 85)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 90, size, np.uint64)) for size in (0, 1, 5, 40, 80, 60, 60)]
+    x, y = np.array([0, 3, 4, 6]), np.array([1, 2, 3, 5])
+    for width in (1, 7, 2048):
+        got = common_counts(sets, x, y, width)
+        assert all(got[a, b] == len(np.intersect1d(sets[i], sets[j])) for a, i in enumerate(x) for b, j in enumerate(y) if i != j)
+    assert common_counts([np.empty(0, np.uint64)] * 2, np.array([0]), np.array([1])).tolist() == [[0]]
+
+
+def test_words_that_defeat_polynomials_stay_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for size in (64, 200, 256, 257, 1024, 4096):
+        one, other = ("".join(letters[b] for b in bits[:size]) for letters in ("ab", "ba"))
+        a, b, c = Shingler(1).sets(pa.array([one, other, one + " " + one]))
+        assert len(a) == len(b) == 1 and a[0] != b[0] and c.tolist() == a.tolist()
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, NearDuplicates(3, 85)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_hashes_depend_on_every_byte():
+    words = ["a", "b", "aa", "aaaaaaaa", "aaaaaaaaa", "aaaaaaaab", "baaaaaaaa", "a\x00", "a" * 16, "a" * 17, "a" * 256, "a" * 257, "a" * 255 + "b", "é", "e"]
+    one = Shingler(1)
+    alone = [one.sets(pa.array([w]))[0].tolist() for w in words]
+    assert len({h for [h] in alone}) == len(words)
+    assert sorted(h for [h] in alone) == one.sets(pa.array([" ".join(words)]))[0].tolist()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).collect() == []
