@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from earshot.llm.arrow import blocks, joined_words
-from earshot.operators.skew import skew_safe_left_join
 from earshot.session import written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +35,7 @@ class Collocations:
     least: int = 10
     share: int = 50
     first: int = 2000
-    filter_bits: int = 26  # 2**26 bits are 8 MB a length; more of them let fewer rare runs pass, never fewer frequent ones
+    filter_bits: int = 26  # up to 48; 2**26 bits are 8 MB a length, and more of them let fewer rare runs pass, never fewer frequent ones
     at_once: int = 1 << 16  # words
     gathered: int = 1 << 21  # fingerprints or phrases that a task holds before it hands them on
 
@@ -138,30 +137,31 @@ def _passing(runs: Runs, n: int, filters: list[Filter]) -> np.ndarray:
 def _filter(texts: DataFrame, n: int, filters: list[Filter], how: Collocations) -> Filter:
     """The runs of ``n`` words that are said ``how.least`` times or more.
 
-    A task hands on its distinct fingerprints sorted, cut into ranges, as numpy arrays with counts up to ``least``; the ranges are shuffled and
-    added up.  There are 16 ranges for each partition that the session shuffles to, so what a task holds stays even as data and partitions grow.
+    A task hands on its distinct fingerprints, of 48 bits here, sorted and cut into ranges, as numpy arrays with counts up to ``least``; the ranges are
+    shuffled and added up.  There is a range for each 2 MB that Spark expects of the texts (256 to 2**20 ranges), so that a task's share of a range stays even.
     """
-    spark = texts.sparkSession
-    cell_bits = min(how.filter_bits, max(4, (16 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    expected = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cell_bits = min(how.filter_bits, max(8, min(20, (expected >> 21).bit_length())))
     least = how.least
 
     def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held, size = Fingerprints(how), [], 0
 
         def given() -> pa.RecordBatch:
-            prints, counts = np.unique(np.concatenate(held), return_counts=True)
+            prints, counts = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
             held.clear()
             counts = np.minimum(counts, least).astype(np.uint16)
-            cell = prints >> np.uint64(64 - cell_bits)
+            cell = prints >> np.uint64(48 - cell_bits)
+            # Upper and lower parts lie apart: those of a sorted array take little room.
+            high, low = (prints >> np.uint64(32)).astype(np.uint16), prints.astype(np.uint32)
             edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             parts = list(zip(edges, edges[1:], strict=False))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(cell[edges[:-1]].astype(np.int64)),
-                    pa.array([prints[a:b].tobytes() for a, b in parts], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary()),
+                    *[pa.array([part[a:b].tobytes() for a, b in parts], pa.binary()) for part in (high, low, counts)],
                 ],
-                names=["cell", "prints", "counts"],
+                names=["cell", "high", "low", "counts"],
             )
 
         for block in blocks(batches, "text"):
@@ -183,7 +183,7 @@ def _filter(texts: DataFrame, n: int, filters: list[Filter], how: Collocations)
             every, count = every[order], count[order]
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
             enough = np.add.reduceat(count.astype(np.int64), first) >= least
-            bit = np.unique(every[first[enough]] >> np.uint64(64 - how.filter_bits))
+            bit = np.unique(every[first[enough]] >> np.uint64(48 - how.filter_bits))
             return pa.RecordBatch.from_arrays([pa.array(bit.astype(np.int64))], names=["bit"])
 
         for batch in batches:
@@ -192,12 +192,13 @@ def _filter(texts: DataFrame, n: int, filters: list[Filter], how: Collocations)
                     yield frequent()
                     prints, counts = [], []
                 cell = batch.column(0)[k].as_py()
-                prints.append(np.frombuffer(batch.column(1)[k].as_py(), np.uint64))
-                counts.append(np.frombuffer(batch.column(2)[k].as_py(), np.uint16))
+                high, low, count = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((1, np.uint16), (2, np.uint32), (3, np.uint16)))
+                prints.append(high.astype(np.uint64) << np.uint64(32) | low)
+                counts.append(count)
         if prints:
             yield frequent()
 
-    cells = texts.mapInArrow(handed, "cell bigint, prints binary, counts binary").repartition("cell").sortWithinPartitions("cell")
+    cells = texts.mapInArrow(handed, "cell bigint, high binary, low binary, counts binary").repartition("cell").sortWithinPartitions("cell")
     bits = cells.mapInArrow(added, "bit bigint")
     number = F.col("bit") + 1  # positions count from 1
     maps = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
@@ -248,7 +249,7 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
                         before = len(counts)
                         counts.update([data[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
                         size += len(counts) - before
-                if size >= how.gathered // 8:
+                if size >= how.gathered // 4:
                     yield given()
                     size = 0
         if said:
@@ -274,7 +275,7 @@ def collocations(docs: DataFrame, how: Collocations = Collocations(), group_col:
     inner = phrases.filter("words > 2").select("lang", "a", words.alias("ws"), F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))
     inner = inner.select("lang", "a", "ws", "size", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("size") + 1)).alias("at"))
     inner = inner.groupBy("lang", F.array_join(F.slice("ws", F.col("at"), F.col("size")), " ").alias("phrase")).agg(F.max("a").alias("longer"))
-    alone = skew_safe_left_join(phrases, inner, ["lang", "phrase"])
+    alone = phrases.join(inner, ["lang", "phrase"], "left")
     alone = alone.filter(F.col("longer").isNull() | (100 * F.col("longer") < how.share * F.col("a")))
 
     cut = alone.select("lang", "phrase", "a", words.alias("ws"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -283,8 +284,9 @@ def collocations(docs: DataFrame, how: Collocations = Collocations(), group_col:
         F.array_join(F.slice("ws", F.col("k") + 1, F.size("ws") - F.col("k")), " ").alias("tail"),
     )
     parts = counts.filter((F.col("words") >= 1) & (F.col("words") < how.longest))
-    cut = skew_safe_left_join(cut, parts.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
-    cut = skew_safe_left_join(cut, parts.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
+    # Both parts are said as often as the phrase at least, so they are there.  A word that begins very many phrases is left to Spark's own splitting.
+    cut = cut.join(parts.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
+    cut = cut.join(parts.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
     a, left, right = (F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r"))
     cut = cut.withColumns({"_over": F.lit(1_000_000).cast("decimal(7,0)") * (a * a), "_under": left * right}).withColumn("score", F.expr("_over div _under"))
     scored = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r")
