@@ -4,7 +4,7 @@ A phrase is a run of words within a piece of a text.  Numpy prefix polynomials g
 Length by length, tasks count the fingerprints of runs whose two shorter runs may be frequent; a shuffle adds them up by ranges of
 fingerprints, and the frequent ones are kept as a bitmap of fixed size, a filter that lets all frequent runs pass and few others.
 Texts are then read once more: each run that passes is followed by its pointer (start and end in the block) to its text and counted by
-it, so a collision of fingerprints, or of bits, never joins two phrases.  Only these phrases ever exist as text; all else is arithmetic on their counts.
+it, so a collision of fingerprints, or of bits, never joins two phrases; a task hands its counts on in cells, which are added up.  Only these phrases ever exist as text; all else is arithmetic on their counts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -134,15 +135,19 @@ def _passing(runs: Runs, n: int, filters: list[Filter]) -> np.ndarray:
     return first
 
 
+def _cell_bits(texts: DataFrame, how: Collocations) -> int:
+    """Counts are added up in 2**bits cells, one for each 2 MB that Spark expects of the texts (256 to 2**20), so that a cell stays small."""
+    expected = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(how.filter_bits, max(8, min(20, (expected >> 21).bit_length())))
+
+
 def _filter(texts: DataFrame, n: int, filters: list[Filter], how: Collocations) -> Filter:
     """The runs of ``n`` words that are said ``how.least`` times or more.
 
     A task hands on its distinct fingerprints, of 48 bits here, sorted and cut into ranges, as numpy arrays with counts up to ``least``; the ranges are
-    shuffled and added up.  There is a range for each 2 MB that Spark expects of the texts (256 to 2**20 ranges), so that a task's share of a range stays even.
+    shuffled and added up.
     """
-    expected = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cell_bits = min(how.filter_bits, max(8, min(20, (expected >> 21).bit_length())))
-    least = how.least
+    cell_bits, least = _cell_bits(texts, how), how.least
 
     def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, held, size = Fingerprints(how), [], 0
@@ -220,17 +225,24 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
     for n in range(1, how.longest + 1):
         filters.append(_filter(texts, n, filters, how))
 
+    cells = 1 << _cell_bits(texts, how)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, said = Fingerprints(how), {}
         size = 0
 
         def given() -> pa.RecordBatch:
-            rows = [(lang, n, phrase, count) for (lang, n), counts in said.items() for phrase, count in counts.items()]
+            rows = []
+            for (lang, n), counts in said.items():
+                parts: dict[int, list[bytes]] = {}
+                for phrase in counts:
+                    parts.setdefault(crc32(phrase) % cells, []).append(phrase)
+                # A line break ends a piece, so no phrase holds one.
+                rows += [(cell, lang, n, b"\n".join(own), np.array([counts[x] for x in own], np.int64).tobytes()) for cell, own in parts.items()]
             said.clear()
-            lang, words, phrase, count = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())],
-                names=["lang", "words", "phrase", "n"],
+                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                names=["cell", "lang", "words", "phrases", "counts"],
             )
 
         for block in blocks(batches, "text"):
@@ -255,9 +267,34 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
         if said:
             yield given()
 
-    rows = texts.mapInArrow(counted, "lang string, words int, phrase string, n bigint")
-    added = rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return added.filter((F.col("words") == 0) | (F.col("n") >= how.least))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, {}
+
+        def frequent() -> pa.RecordBatch:
+            _, lang, n = place
+            kept = [(phrase, count) for phrase, count in total.items() if not n or count >= how.least]
+            total.clear()
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(kept), pa.string()), pa.array([n] * len(kept), pa.int32()),
+                    pa.array([phrase for phrase, _ in kept], pa.binary()).cast(pa.string()), pa.array([count for _, count in kept], pa.int64()),
+                ],
+                names=["lang", "words", "phrase", "n"],
+            )
+
+        for batch in batches:
+            for cell, lang, n, phrases, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (cell, lang, n) != place and total:
+                    yield frequent()
+                place = (cell, lang, n)
+                for phrase, count in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + count
+        if total:
+            yield frequent()
+
+    place = ["cell", "lang", "words"]
+    parts = texts.mapInArrow(counted, "cell int, lang string, words int, phrases binary, counts binary")
+    return parts.repartition(*place).sortWithinPartitions(*place).mapInArrow(added, "lang string, words int, phrase string, n bigint")
 
 
 def collocations(docs: DataFrame, how: Collocations = Collocations(), group_col: str = "lang", text_col: str = "text") -> DataFrame:
