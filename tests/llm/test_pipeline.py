@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in plans.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in plans.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(plans.queries()) | {"pipeline"} <= set(entry.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "mixture", "packing"]
 

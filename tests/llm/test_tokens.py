@@ -32,6 +32,27 @@ def test_ids_equal_encoding_whole(name, parts):
     assert pieces.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+#: Every character that a word may hold which goes past the library's cutting, and U+0130, which may not.
+LETTERS = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=300, deadline=None)
+@given(words=st.lists(st.text(st.sampled_from(LETTERS), min_size=1, max_size=8), max_size=6), end=st.sampled_from(["", ".", "!!", "\n"]))
+def test_ids_of_words_of_all_letters(name, words, end):
+    whole, pieces = both(name)
+    text = " ".join(words) + end
+    assert pieces.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_letter_alone_and_within_a_word(name):
+    whole, pieces = both(name)
+    for letter in LETTERS:
+        for text in (letter, f"the city {letter}stanbul lies", f"x{letter}, {letter}{letter}"):
+            assert pieces.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_all_short_mixes_of_white_space(name):
     whole, pieces = both(name)
