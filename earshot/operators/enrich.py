@@ -136,8 +136,13 @@ def enrich_tier(listens: DataFrame, library: DataFrame, tier: str) -> DataFrame:
 
 def backfill_listens(listens: DataFrame, library: DataFrame) -> DataFrame:
     """Give rows without album id the ids, duration and genre of an exact match."""
+    return filled_from(listens, exact_files(library))
+
+
+def filled_from(listens: DataFrame, files: DataFrame) -> DataFrame:
+    """The same from files by (title, artist), as ``exact_files`` gives them."""
     lacking = blank(F.col("album_id"))
-    open_rows = skew_safe_left_join(listens.filter(lacking), exact_files(library), _PAIR)
+    open_rows = skew_safe_left_join(listens.filter(lacking), files, _PAIR)
     hit = F.col("file").isNotNull()
     filled = {
         c: F.when(hit, F.coalesce(F.col(f"file.{c}"), F.lit(0 if c == "duration" else ""))).otherwise(F.col(c))
@@ -166,10 +171,12 @@ def resolve_tracks(requests: DataFrame, listens: DataFrame, library: DataFrame)
     """(track, artist) requests: the latest listen with a track id, else an exact file, else blanks."""
     columns = ["track_id", "album_id", "artist_id", "duration", "genre"]
     pairs = requests.select("track", "artist").distinct()
-    listens = listens.join(pairs.toDF(*_PAIR), _PAIR, "left_semi")
+    # A track that a third of all listens name is spread over many tasks.
+    wanted = pairs.toDF(*_PAIR).withColumn("_wanted", F.lit(True))
+    listens = skew_safe_left_join(listens.filter(~blank(F.col("track_id"))), wanted, _PAIR).filter("_wanted")
     track, by = F.col("track_name").alias("track"), F.col("artist_name").alias("artist")
     # Two passes: the first only keeps a number per group and therefore hashes instead of sorting.
-    heard = listens.filter(~blank(F.col("track_id"))).groupBy(track, by, *columns).agg(F.max("id").alias("id"))
+    heard = listens.groupBy(track, by, *columns).agg(F.max("id").alias("id"))
     heard = heard.groupBy("track", "artist").agg(F.max_by(F.struct(*columns), "id").alias("_heard"))
     files = exact_files(library).select(
         F.col("track_name").alias("track"), F.col("artist_name").alias("artist"), F.col("file").alias("_file")

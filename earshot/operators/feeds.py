@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from earshot.functions.measures import add_up, all_events, largest, playtime, plays, rolled_up
 from earshot.functions.text import contains_text
@@ -11,6 +11,7 @@ from earshot.operators.credits import by_artist
 from earshot.operators.paging import find_page, in_order, up, with_total
 from earshot.operators.topstats import known
 from earshot.params import Clock, clamp, ntz
+from earshot.sources.listens import read_last_view, read_newest
 
 _FEED = [
     "id", "user_name", "track_name", "artist_name", "album_name", "track_id", "album_id", "artist_id", "duration", "event_type",
@@ -65,6 +66,16 @@ def now_playing(listens: DataFrame, clock: Clock, ttl: int = 300) -> DataFrame:
     return last.filter(fresh).select(*columns, epoch_seconds(F.col("ts")).alias("timestamp"))
 
 
+def stored_recent(spark: SparkSession, path: str, limit: int | None = 50) -> DataFrame:
+    """``recent`` over the store, from the days that hold the newest ids."""
+    return recent(read_newest(spark, path, clamp(limit, 1, 200, 50)), limit)
+
+
+def stored_now_playing(spark: SparkSession, path: str, clock: Clock, ttl: int = 300) -> DataFrame:
+    """``now_playing`` over the store, from the day of the last view."""
+    return now_playing(read_last_view(spark, path), clock, ttl)
+
+
 # -- the library as it was heard -----------------------------------------------------------------
 
 
