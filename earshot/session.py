@@ -50,12 +50,16 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
+def folder_at(spark: SparkSession, path: str):
+    """A path and the file system that holds it, as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared root for one run of one job, removed when the application ends."""
     folder = f"{shared_root(spark)}/earshot/{purpose}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, files = folder_at(spark, folder)
     files.mkdirs(path)
     files.deleteOnExit(path)
     return f"{folder}/rows"
@@ -74,8 +78,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Remove a work folder before the application ends."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = folder_at(spark, folder)
+    files.delete(path, True)
 
 
 def written_for_now(df: DataFrame, purpose: str) -> tuple[DataFrame, Callable[[], None]]:

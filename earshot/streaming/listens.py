@@ -6,6 +6,9 @@ rule and no de-duplication here: none would leave the results equal to a batch o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +17,8 @@ from earshot.functions.measures import plays, playtime, views
 from earshot.functions.timecols import epoch_seconds, iso, local_date
 from earshot.operators.enrich import Files, enrich_listens, keyed_files
 from earshot.params import Clock, ntz
-from earshot.session import written
+from earshot.session import written_for_now
+from earshot.sources.library import library_version, read_snapshot
 from earshot.sources.listens import LISTEN_COLUMNS, append_listens, numbered, top_id
 from earshot.sources.payloads import parse_listen_payloads
 
@@ -66,17 +70,50 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return states.filter(F.col("written") == states.agg(F.max("written")).scalar()).drop("written", "turn")
 
 
-def _enriching(library: DataFrame, checkpoint: str, then):
+@dataclass(frozen=True)
+class LiveLibrary:
+    """The library as snapshots that ``publish_library`` adds to while a stream runs."""
+
+    path: str
+
+
+class _Keyed:
+    """The library keyed for look-ups: once where it is a DataFrame, else once for each snapshot, whose tables replace the former's."""
+
+    def __init__(self, library: DataFrame | LiveLibrary):
+        self._library = library
+        self._files: Files | None = None
+        self._version = -1
+        self._drops: list[Callable[[], None]] = []
+
+    def files(self, spark: SparkSession) -> Files:
+        live = isinstance(self._library, LiveLibrary)
+        version = library_version(spark, self._library.path) if live else 0
+        if self._files is None or version != self._version:
+            old, self._drops = self._drops, []
+            self._files = keyed_files(read_snapshot(spark, self._library.path, version) if live else self._library, self._keep)
+            self._version = version
+            for drop in old:
+                drop()
+        return self._files
+
+    def _keep(self, df: DataFrame, purpose: str) -> DataFrame:
+        kept, drop = written_for_now(df, purpose)
+        self._drops.append(drop)
+        return kept
+
+
+def _enriching(library: DataFrame | LiveLibrary, checkpoint: str, then):
     """A micro-batch function: enrich, then ``then(rows, stream id, epoch)``.
 
-    The library is keyed once, when the first micro-batch comes.  The cascade reads the batch and its own steps several
+    The library is keyed when the first micro-batch comes, and again whenever a snapshot was published since the last one, so each
+    micro-batch is enriched from the library as it stood when it began.  The cascade reads the batch and its own steps several
     times; a micro-batch, whose size the source bounds, is held for that and leaves no files but its result.
     """
-    prepared: list[Files] = []
+    keyed = _Keyed(library)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if not prepared:
-            prepared.append(keyed_files(library, written))
+        files = keyed.files(batch.sparkSession)
         held = [batch.persist()]
 
         def hold(df: DataFrame, purpose: str) -> DataFrame:
@@ -84,7 +121,7 @@ def _enriching(library: DataFrame, checkpoint: str, then):
             return held[-1]
 
         try:
-            then(enrich_listens(batch, prepared[0], keep=hold), _stream_id(batch.sparkSession, checkpoint), epoch)
+            then(enrich_listens(batch, files, keep=hold), _stream_id(batch.sparkSession, checkpoint), epoch)
         finally:
             for df in held:
                 df.unpersist()
@@ -92,10 +129,10 @@ def _enriching(library: DataFrame, checkpoint: str, then):
     return write
 
 
-def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def stream_enrich(bodies: DataFrame, library: DataFrame | LiveLibrary, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Parse posted bodies and enrich each micro-batch with the batch operator.
 
-    Pairs are resolved once per batch; the library is a static side.  A folder per stream and micro-batch: one that is
+    Pairs are resolved once per batch; the library is a static side, or a live one that is looked at before each micro-batch.  A folder per stream and micro-batch: one that is
     repeated after a failure replaces itself.
     """
 
@@ -105,7 +142,7 @@ def stream_enrich(bodies: DataFrame, library: DataFrame, path: str, checkpoint:
     return _start(parse_listen_payloads(bodies).writeStream.foreachBatch(_enriching(library, checkpoint, then)), checkpoint, available_now)
 
 
-def stream_ingest(bodies: DataFrame, library: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def stream_ingest(bodies: DataFrame, library: DataFrame | LiveLibrary, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Landed bodies to the stored fact: parse, enrich, number on from the store's largest id, append as a commit per micro-batch.
 
     A repeated micro-batch replaces its commit.  One writer at a time numbers a store.

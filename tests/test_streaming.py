@@ -9,6 +9,7 @@ from earshot.functions.measures import measures
 from earshot.operators.enrich import enrich_listens
 from earshot.operators.feeds import now_playing
 from earshot.sources.fixtures import as_payloads, as_submissions
+from earshot.sources.library import library_version, publish_library, read_snapshot
 from earshot.sources.listens import LISTEN_COLUMNS, read_listens
 from earshot.sources.payloads import parse_listen_payloads
 from earshot.streaming import listens as streaming
@@ -66,3 +67,27 @@ def test_append_and_counters_and_now_playing(spark, tmp_path):
         expected = rows(now_playing(whole, CLOCK, ttl))
         assert rows(streaming.read_now_playing(spark, folder("now"), CLOCK, ttl)) == expected
     assert expected
+
+
+def test_a_running_stream_sees_a_library_that_changes(spark, tmp_path):
+    frames = [as_payloads(as_submissions(p)).coalesce(1) for p in parts(spark)]
+    source, out, state, live = (str(tmp_path / n) for n in ("in", "out", "state", "library"))
+    assert library_version(spark, live) == 0 and read_snapshot(spark, live).count() == 0
+    frames[0].write.parquet(source)
+    stream = spark.readStream.schema(frames[0].schema).parquet(source)
+    query = streaming.stream_enrich(stream, streaming.LiveLibrary(live), out, state)
+    try:
+        query.processAllAvailable()  # without any snapshot
+        assert publish_library(library(spark, *[file(f"f{i}", f"t{i}") for i in range(3)]), live) == 1
+        frames[1].write.mode("append").parquet(source)
+        query.processAllAvailable()
+        publish_library(library(spark, *[file(f"g{i}", f"t{i}") for i in range(5)]), live)
+        frames[2].write.mode("append").parquet(source)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.event_id: r.track_id for r in streaming.read_batches(spark, out).collect()}
+    assert len(got) == 30 and {got[i] for i in range(10)} == {""}
+    for frame, (prefix, most) in zip(frames[1:], (("f", 3), ("g", 5))):
+        batch = enrich_listens(parse_listen_payloads(frame), library(spark, *[file(f"{prefix}{i}", f"t{i}") for i in range(most)]))
+        assert all(got[r.event_id] == r.track_id for r in batch.collect()) and batch.filter("tier = 'exact'").count() > 0
