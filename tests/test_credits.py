@@ -7,7 +7,7 @@ from history import listen, library, listens, file, rows
 
 from earshot.functions import constants as k
 from earshot.functions.credits import with_artists
-from earshot.operators.credits import artist_listens, credit_dimension, credit_dimension_rows, credited_rows
+from earshot.operators.credits import artist_listens, credit_dimension, credit_dimension_rows, credited_rows, read_credits, refresh_credits
 from earshot.operators import topstats
 from history import CLOCK
 
@@ -96,3 +96,27 @@ def test_library_tags_reach_the_history(spark):
     h = listens(spark, listen(1, artist="Anna & Ben"), listen(2, artist=None))
     dim = credit_dimension_rows(credit_dimension(h, lib)).drop("artist_id")
     assert sorted(rows(dim)) == [("Anna & Ben", 0, "Anna"), ("Anna & Ben", 1, "Ben, the"), ("Unknown", 0, "Unknown")]
+
+
+def test_refresh_splits_only_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "credits")
+
+    def dimension(h, files):
+        return sorted(rows(credit_dimension(h, files)))
+
+    h = listens(spark, listen(1, artist="A; B"), listen(2, artist="C"), listen(3, artist=None))
+    files = library(spark, file("1", artist="A & D"))
+    assert refresh_credits(spark, path, h, files) == 1
+    assert sorted(rows(read_credits(spark, path))) == dimension(h, files)
+    assert refresh_credits(spark, path, h, files) == 1  # nothing new, nothing written
+    tag = '{"artist": [{"name": "A"}, {"name": "D"}]}'
+    more = library(spark, file("1", artist="A & D"), file("2", artist="A & D", participants=tag), file("3", artist="E ft. F"))
+    h = h.unionByName(listens(spark, listen(4, artist="G, H")))
+    assert refresh_credits(spark, path, h, more) == 2
+    assert sorted(rows(read_credits(spark, path))) == dimension(h, more)
+    second = spark.read.parquet(f"{path}/generation=2")
+    assert sorted(r.credit for r in second.collect()) == ["A & D", "E ft. F", "G, H"]
+    assert refresh_credits(spark, path, h, files) == 3  # the tag is gone again
+    kept = {r.credit: [a.name for a in r.artists] for r in read_credits(spark, path).collect()}
+    assert kept["A & D"] == ["A & D"] and "E ft. F" in kept
+    assert refresh_credits(spark, str(tmp_path / "none"), h.limit(0)) == 0
