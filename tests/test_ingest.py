@@ -121,6 +121,39 @@ def test_containment_helpers(spark):
     assert sorted({r.id for r in texts_containing(needles, texts, "g").collect()}) == [1, 2]
 
 
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(9)
+    def word(most):
+        return "".join(rng.choice("ab é") for _ in range(rng.randrange(most)))
+
+    texts = [(rng.choice("gh"), word(30), i) for i in range(150)]
+    needles = [(rng.choice("ghx"), word(14)) for _ in range(150)] + [("g", ""), ("h", None), ("g", texts[0][1])]
+    found = smallest_containing(spark.createDataFrame(needles, "g string, needle string"), spark.createDataFrame(texts, "g string, text string, id int"), "g", "id")
+    expected = {}
+    for g, needle in set(needles):
+        ids = [i for h, text, i in texts if h == g and needle is not None and needle in text]
+        if ids:
+            expected[g, needle] = min(ids)
+    assert {(r.g, r.needle): r.id for r in found.collect()} == expected
+
+
+def test_needles_are_looked_up_by_their_rarest_gram(spark, monkeypatch):
+    """100,000 titles of one artist: few of them are listed, and the longest list that is joined is split."""
+    from earshot.operators import containment
+
+    texts = spark.range(100_000).select(F.lit("A").alias("g"), F.concat(F.lit("symphony in d number "), "id").alias("text"), "id")
+    needles = spark.createDataFrame([("A", "symphony in d number 4711"), ("A", "number 99998"), ("A", "symphony in d minor")], "g string, needle string")
+    found = {r.needle: r.id for r in smallest_containing(needles, texts, "g", "id").collect()}
+    assert found == {"symphony in d number 4711": 4711, "number 99998": 99998}
+    held = containment.listed(containment._needles(needles, ["g"]), texts, ["g"])
+    assert held.count() / 100_000 < 20  # grams of a title that a needle holds; it has 25 or more
+    joined = containment._matches(needles, texts, ["g"])
+    assert joined.count() <= 111 + 1
+    monkeypatch.setattr(containment, "LIST", 1000)
+    wide = spark.createDataFrame([("A", "symphony")], "g string, needle string")
+    assert smallest_containing(wide, texts, "g", "id").first().id == 0
+
+
 @pytest.mark.parametrize("min_rows", [1, 50, 10**6])
 def test_skew_safe_join_equals_plain_join(spark, min_rows):
     rng = random.Random(3)
