@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from earshot.functions.measures import add_up
 from earshot.functions.text import cover_key
-from earshot.operators import artwork, charts, enrich, matching, recommend, storage
-from earshot.operators.credits import credit_dimension, credit_dimension_rows
+from earshot.operators import artwork, charts, enrich, feeds, matching, recommend, rollups, storage
+from earshot.operators.credits import credit_dimension, credit_dimension_rows, read_credits, refresh_credits
 from earshot.operators.storage import Selection
-from earshot.plans.stats import ARTIST, ARTIST_ID, NOW
-from earshot.plans.views import DAY, MEASURES
+from earshot.plans.stats import ARTIST, ARTIST_ID, CREDITS_SQL, NOW
+from earshot.plans.views import DAY, MEASURES, PLAYS, VIEW_COUNT
 from earshot.session import work_folder
 from earshot.sources import catalog, fixtures as fx, listens as store, payloads
+from earshot.sources.library import publish_library, read_snapshot
 from earshot.streaming import listens as streaming
 
 SEPARATOR = r"'(?i)\s*(?:;|,\s+|\s+(?:feat\.?|ft\.?|featuring)\s+)\s*'"
@@ -536,6 +540,46 @@ CATALOG = {
 }
 
 
+def _stored_in_parts(spark, sf):
+    """The listens as two commits of one store."""
+    folder = work_folder(spark, "parts")
+    for part in (0, 1):
+        store.append_listens(fx.listens(spark, sf).filter(F.col("id") % 2 == part), folder, f"part-{part}")
+    return folder
+
+
+def _over_store(op, *args, **kw):
+    return lambda spark, sf: op(spark, _stored_in_parts(spark, sf), *args, **kw)
+
+
+def _compacted(spark, sf):
+    """Half of the listens as a stream, half as a batch, into one store whose closed days are then put together."""
+    folder = work_folder(spark, "compacted")
+    streamed = fx.stream_of_listens(spark, sf).filter(F.col("id") % 2 == 0)
+    _run(streaming.stream_append(streamed, f"{folder}/rows", f"{folder}/state", True))
+    store.append_listens(fx.listens(spark, sf).filter(F.col("id") % 2 == 1), f"{folder}/rows")
+    store.compact(spark, f"{folder}/rows", date(2024, 1, 25))
+    return store.read_listens(spark, f"{folder}/rows")
+
+
+def _day_sums(spark, folder):
+    """Rows and measures of a store by day and genre, from what its commits add up to."""
+    return store.read_days(spark, folder).groupBy("listen_date", "genre").agg(*add_up("views", "plays", "playtime", "n"))
+
+
+def _sums_after_import(spark, sf):
+    folder = _stored_in_parts(spark, sf)
+    store.import_into(fx.import_batch(spark, sf), folder)
+    return _day_sums(spark, folder)
+
+
+def _sums_after_backfill(spark, sf):
+    folder = work_folder(spark, "changed")
+    store.append_listens(fx.listens_blank(spark, sf), folder)
+    store.backfill_stored(spark, folder, fx.library(spark, sf))
+    return _day_sums(spark, folder)
+
+
 IMPORT_SQL, BACKFILL_SQL = INGEST["import_listens"][1], INGEST["backfill_listens"][1]
 WRITTEN = {
     "import_written": (_imported, IMPORT_SQL),
@@ -576,6 +620,61 @@ def _mixed_appends(spark, sf):
     return store.read_listens(spark, f"{folder}/rows")
 
 
+def _landed(spark, sf):
+    """Posted bodies as files, and the folder of a job over them."""
+    folder = work_folder(spark, "landed")
+    fx.listen_payloads(spark, sf).select("user_name", "received_at", "body").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{folder}/bodies")
+    return folder
+
+
+def _stream_landed(spark, sf):
+    """The store after a stream over landed files."""
+    folder = _landed(spark, sf)
+    bodies = payloads.read_bodies(spark, f"{folder}/bodies", stream=True)
+    _run(streaming.stream_ingest(bodies, fx.library(spark, sf), f"{folder}/rows", f"{folder}/state", True))
+    return store.read_listens(spark, f"{folder}/rows")
+
+
+def _stream_live_library(spark, sf):
+    """One stream: bodies of even listens come while the library is empty, those of odd ones after it was published."""
+    folder = work_folder(spark, "live-library")
+    payload_rows = fx.listen_payloads(spark, sf)
+    payload_rows.filter("event_id % 2 = 0").coalesce(1).write.parquet(f"{folder}/bodies")
+    publish_library(fx.library(spark, sf).limit(0), f"{folder}/library")
+    bodies = spark.readStream.schema(payload_rows.schema).parquet(f"{folder}/bodies")
+    query = streaming.stream_enrich(bodies, streaming.LiveLibrary(f"{folder}/library"), f"{folder}/rows", f"{folder}/state")
+    try:
+        query.processAllAvailable()
+        publish_library(fx.library(spark, sf), f"{folder}/library")
+        payload_rows.filter("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(f"{folder}/bodies")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return streaming.read_batches(spark, f"{folder}/rows")
+
+
+def _snapshot(spark, sf):
+    folder = work_folder(spark, "library")
+    publish_library(fx.library(spark, sf).limit(0), folder)
+    publish_library(fx.library(spark, sf), folder)
+    return read_snapshot(spark, folder).select(*SNAPSHOT)
+
+
+def _refreshed_credits(spark, sf):
+    """The stored dimension after a refresh from the library and half of the history, and one from all of both."""
+    folder = work_folder(spark, "credits")
+    files, listens = fx.library(spark, sf), fx.listens(spark, sf)
+    refresh_credits(spark, folder, listens.filter("id % 2 = 0"), files)
+    refresh_credits(spark, folder, listens, files)
+    return credit_dimension_rows(read_credits(spark, folder))
+
+
+def _page_with_artists(spark, sf):
+    """A page of tracks with the artists of each row."""
+    page = storage.with_split_artists(storage.storage_page(fx.library(spark, sf), "tracks", sort="name", page=2, limit=40))
+    return page.select("id", "name", "artist", F.array_join(F.transform("artists", lambda a: a["name"]), " | ").alias("artists"))
+
+
 def _stream_now_playing(spark, sf):
     folder = work_folder(spark, "stream-now-playing")
     _run(streaming.stream_now_playing(fx.stream_of_listens(spark, sf), f"{folder}/rows", f"{folder}/state", True))
@@ -588,7 +687,12 @@ def _stream_counters(spark, sf):
     return streaming.read_counters(spark, f"{folder}/rows")
 
 
+SNAPSHOT = ["id", "title", "artist", "album", "album_id", "artist_id", "album_artist", "duration", "track_number", "size", "missing", "genre", "updated_at", "has_cover_art"]
+UNKNOWN_YET = """select event_id, user_name, received_at, track_name, artist_name, album_name, event_type, '' as track_id, '' as album_id,
+ '' as artist_id, cast(coalesce(floor(duration_ms / 1000 + 0.5), 0) as int) as duration, '' as genre, 'none' as tier from parsed where event_id % 2 = 0"""
 STREAMING = {
+    "stream_landed_bodies": (_stream_landed, INGESTED_SQL),
+    "stream_live_library": (_stream_live_library, f"select {ENRICHED_COLUMNS} from enriched where event_id % 2 = 1 union all {UNKNOWN_YET}"),
     "stream_enrich": (_stream_enriched, f"select {ENRICHED_COLUMNS} from enriched"),
     "stream_append": (
         _stream_appended,
@@ -606,4 +710,47 @@ STREAMING = {
     "stream_counters": (_stream_counters, f"select {DAY} as day, {MEASURES} from listens group by 1"),
 }
 
-QUERIES = {**STORAGE, **INGEST, **WRITTEN, **MATCHING, **CATALOG, **STREAMING}
+FEED = """id, user_name, track_name, artist_name, album_name, track_id, album_id, artist_id, duration, event_type, timestamp"""
+STORED = {
+    "stored_recent": (_over_store(feeds.stored_recent, 120), f"select {FEED} from listens order by id desc limit 120"),
+    "stored_now_playing": (_over_store(feeds.stored_now_playing, fx.AS_OF, ttl=100_000), STREAMING["stream_now_playing"][1]),
+    "stored_summary_7d": (_over_store(rollups.stored_summary, fx.AS_OF, "7d"), f"select {MEASURES} from listens where ts >= {NOW} - interval 7 day"),
+    "stored_summary_week": (_over_store(rollups.stored_summary, fx.AS_OF, "week"), f"select {MEASURES} from listens where ts >= timestamp '2024-01-28 18:30:00'"),
+    "stored_daily": (
+        _over_store(rollups.stored_daily, fx.AS_OF, 7),
+        f"select {DAY} as day, {VIEW_COUNT}, {PLAYS} from listens where ts >= {NOW} - interval 7 day group by 1",
+    ),
+    "stored_heatmap": (
+        _over_store(rollups.stored_daily, fx.AS_OF, 365),
+        f"select {DAY} as day, {VIEW_COUNT}, {PLAYS} from listens where ts >= {NOW} - interval 365 day group by 1",
+    ),
+    "stored_growth": (
+        _over_store(rollups.stored_growth, fx.AS_OF),
+        f"""with m as (select strftime(lts, '%Y-%m') as month, {PLAYS} from listens group by 1)
+        select month, plays, cast(sum(plays) over (order by month) as bigint) as cumulative from m""",
+    ),
+    "stored_moods": (
+        _over_store(rollups.stored_moods, fx.AS_OF),
+        f"""with c as (select {DAY} as day, genre, count(*) as plays from listens
+          where ts >= {NOW} - interval 90 day and coalesce(genre, '') <> '' group by 1, 2)
+        select day, genre, plays from c qualify row_number() over (partition by day order by plays desc, genre) = 1""",
+    ),
+    "stored_compacted": (_compacted, STORED_SQL),
+    "library_snapshot": (_snapshot, f"select {', '.join(SNAPSHOT)} from media_file"),
+    "refreshed_credits": (_refreshed_credits, CREDITS_SQL),
+    "storage_page_artists_of_rows": (
+        _page_with_artists,
+        f"""with p as ({TRACK_FILES} order by lower(name), name, id limit 40 offset 40),
+        s as (select id, unnest(parts) as x, generate_subscripts(parts, 1) as pos from (select id, string_split_regex(artist, {SEPARATOR}) as parts from p)),
+        d as (select id, arg_max(x, pos) as x, min(pos) as first from s where x <> '' group by id, lower(x))
+        select p.id, p.name, p.artist, string_agg(x, ' | ' order by first) as artists from p join d using (id) group by all""",
+    ),
+    "stored_sums_after_import": (
+        _sums_after_import, f"select cast(ts as date) as listen_date, genre, {MEASURES}, count(*) as n from ({IMPORT_SQL}) group by 1, 2",
+    ),
+    "stored_sums_after_backfill": (
+        _sums_after_backfill, f"select cast(ts as date) as listen_date, genre, {MEASURES}, count(*) as n from ({BACKFILL_SQL}) group by 1, 2",
+    ),
+}
+
+QUERIES = {**STORED, **STORAGE, **INGEST, **WRITTEN, **MATCHING, **CATALOG, **STREAMING}

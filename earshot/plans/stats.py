@@ -22,6 +22,11 @@ EVENTS = "count(*) as plays"
 clock, long_clock = fx.AS_OF, fx.AS_OF_LONG
 
 
+CREDITS_SQL = """select c.credit, cast(row_number() over (partition by c.credit order by c.pos) - 1 as int) as position,
+ c.artist_name, c.artist_id from credits c
+where c.credit in (select artist_name from listens union select artist from media_file where not missing)"""
+
+
 def _listens(op, *args, **kw):
     return lambda spark, sf: op(fx.listens(spark, sf), *args, **kw)
 
@@ -285,6 +290,15 @@ QUERIES = {
           where {_since(90)} and coalesce(genre, '') <> '' group by 1, 2)
         select day, genre, plays from c qualify row_number() over (partition by day order by plays desc, genre) = 1""",
     ),
+    "streaks_with_gaps": (
+        lambda spark, sf: timeseries.streaks(fx.listens(spark, sf).filter("day(ts) % 7 > 1"), clock),
+        f"""with d as (select distinct cast(lts as date) as day from listens where event_type = 'play' and day(ts) % 7 > 1),
+        r as (select day, day - cast(row_number() over (order by day) as int) as run from d),
+        g as (select max(day) as last, count(*) as length from r group by run)
+        select coalesce((select length from g where last = (select max(last) from g)
+           and last in (date '2024-01-31', date '2024-01-30')), 0) as current,
+         coalesce(max(length), 0) as longest, cast(coalesce(sum(length), 0) as bigint) as total_active_days from g""",
+    ),
     "streaks": (
         _listens(timeseries.streaks, clock),
         f"""with d as (select distinct cast(lts as date) as day from listens where event_type = 'play'),
@@ -340,9 +354,7 @@ QUERIES = {
         lambda spark, sf: credits.credit_dimension_rows(
             credits.credit_dimension(fx.listens(spark, sf), fx.library(spark, sf))
         ),
-        """select c.credit, cast(row_number() over (partition by c.credit order by c.pos) - 1 as int) as position,
-         c.artist_name, c.artist_id from credits c
-        where c.credit in (select artist_name from listens union select artist from media_file where not missing)""",
+        CREDITS_SQL,
     ),
     "artist_listens": (
         lambda spark, sf: credits.artist_listens(fx.listens(spark, sf), fx.library(spark, sf)),
