@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from earshot.llm.arrow import ascii_lower, blocks, unused, utf8
-from earshot.llm.joins import SMALL_BYTES, checked_join, components, salted_join, table_bytes
+from earshot.llm.joins import checked_join, components, salted_join
 from earshot.session import written, written_for_now
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -208,25 +208,36 @@ def shingle_sets(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: st
 
 
 def _first_stars(placed: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Star-shaped pairs (a: the bucket's smallest node, b) of ``placed`` (bucket, id, n) whose sizes allow a link."""
-    centre = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"))).alias("c")
-    stars = placed.groupBy("bucket").agg(centre).select("bucket", "c.a", "c.n_a")
-    met = salted_join(placed, stars, ["bucket"], "inner", ["id"]).filter("id != a")
+    """``placed`` (bucket, id, rep, n, sketch) in buckets of two and more: bucket, size, id, rep, n, a and rep_a (of the bucket's smallest node) and near,
+    whether sizes and sketches don't rule a link of the two out; sets too small for a steady estimate always pass."""
+    centre = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("rep").alias("rep_a")))
+    stars = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), centre.alias("c")).filter("size > 1").select("bucket", "size", "c.*")
+    met = salted_join(placed, stars, ["bucket"], "inner", ["id"])
+    least = how.percent / 100 - how.slack
+
+    @F.arrow_udf(returnType=T.DoubleType())
+    def agreement(one: pa.Array, other: pa.Array) -> pa.Array:
+        x = np.frombuffer(b"".join(one.to_pylist()), np.uint8).reshape(len(one), -1)
+        y = np.frombuffer(b"".join(other.to_pylist()), np.uint8).reshape(len(other), -1)
+        return pa.array((x == y).mean(axis=1) if len(x) else np.zeros(0), pa.float64())
+
     sizes = 100 * F.least("n", "n_a") >= how.percent * F.greatest("n", "n_a")
-    return met.filter(sizes).select("a", F.col("id").alias("b")).distinct()
+    alike = (F.least("n", "n_a") < how.bins) | (F.col("_same") >= least)
+    met = met.withColumn("_same", agreement.asNondeterministic()("sketch", "sketch_a"))
+    return met.select("bucket", "size", "id", "rep", "n", "a", "rep_a", (sizes & alike & (F.col("id") != F.col("a"))).alias("near"))
 
 
 def _open_buckets(placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, id, n, group (the component as it is by now) of the members of buckets in which the star left work; with two members it left none."""
-    named = checked_join(placed, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], of=groups, salts=1)
-    named = named.select("bucket", "id", "n", F.coalesce("component", "id").alias("group"))
-    counts = named.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n_group"))
-    sizes = counts.groupBy("bucket").agg(F.sum("n_group").alias("total"), F.count(F.lit(1)).alias("groups"))
-    return salted_join(named, sizes.filter("total > 2 and groups > 1").select("bucket"), ["bucket"], "left_semi", ["id"])
+    """bucket, id, rep, n, group (the component as it is by now) of the members of buckets in which the star left work; with two members it left none."""
+    wide = placed.filter("size > 2").select("bucket", "id", "rep", "n")
+    named = checked_join(wide, groups.withColumnRenamed("node", "id"), ["id"], "left", ["bucket"], of=groups, salts=1)
+    named = named.select("bucket", "id", "rep", "n", F.coalesce("component", "id").alias("group"))
+    several = named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("bucket")
+    return checked_join(named, several, ["bucket"], "left_semi", ["id"], of=placed)
 
 
 def _families(members: DataFrame, how: NearDuplicates) -> DataFrame:
-    """family, id, n, group: the members (as of ``_open_buckets``) of each family once; of families of more than ``how.family``, once for each bucket."""
+    """family, id, rep, n, group: the members (as of ``_open_buckets``) of each family once; of families of more than ``how.family``, once for each bucket."""
     centre = members.groupBy("bucket").agg(F.min("id").alias("a"))
     edges = checked_join(members.select("bucket", "id"), centre, ["bucket"], "inner", ["id"], of=members).select("a", F.col("id").alias("b"))
     family = components(edges)
@@ -235,7 +246,7 @@ def _families(members: DataFrame, how: NearDuplicates) -> DataFrame:
     placed = checked_join(members, sized, ["id"], "inner", ["bucket"], of=family, salts=1)
     # A member of a large family takes part once for each of its buckets; of another, once.
     own = F.when(F.col("_size") > how.family, F.xxhash64(F.lit("bucket"), "bucket")).otherwise(F.xxhash64("component"))
-    return placed.select(own.alias("family"), "id", "n", "group").distinct()
+    return placed.select(own.alias("family"), "id", "rep", "n", "group").distinct()
 
 
 def _chunked(members: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -318,10 +329,10 @@ def _joining(sets: list[np.ndarray], groups: list, x: np.ndarray, y: np.ndarray,
     return out
 
 
-def _full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) of the nodes ``ids``, from the text of a row that stands for the class."""
-    wanted = nodes.join(ids, "id", "left_semi").select("id", "rep")
+def _full_sets(members: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the written ``members`` (id, rep), from the text of a row that stands for the class."""
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    wanted = checked_join(texts, members.select("id", "rep").distinct(), ["rep"], "inner", ["text"], of=members, salts=1)
     schema = T.StructType().add("id", T.BinaryType()).add("shingles", T.BinaryType())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,12 +341,12 @@ def _full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDupli
             found = [(i, s) for i, s in zip(block.column(0).to_pylist(), shingler.sets(block.column(1)), strict=True) if len(s) and _digest(s) == i]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "shingles"])
 
-    return wanted.join(texts, "rep").select("id", "text").mapInArrow(made, schema).dropDuplicates(["id"])
+    return wanted.select("id", "text").mapInArrow(made, schema).dropDuplicates(["id"])
 
 
 def _compared(chunks: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Confirmed links (a, b) between components, from every pair of chunks (as of ``_chunked``)."""
-    met = salted_join(chunks, sets, ["id"], "inner", ["family", "i", "j"], salts=1)
+    """Components (a, b) that confirmed links join, from every pair of chunks (as of ``_chunked``)."""
+    met = checked_join(chunks, sets, ["id"], "inner", ["family", "i", "j"], of=sets, salts=1)
     ordered = met.select("family", "i", "j", "chunk", "id", "group", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
 
@@ -347,7 +358,7 @@ def _compared(chunks: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFr
             x = np.flatnonzero(side)
             y = x if key[1] == key[2] else np.flatnonzero(~side)
             found = _joining([np.frombuffer(r[3], np.uint64) for r in task], [r[2] for r in task], x, y, how)
-            ends = [pa.array([task[pair[k]][1] for pair in found], pa.binary()) for k in (0, 1)]
+            ends = [pa.array([task[pair[k]][2] for pair in found], pa.binary()) for k in (0, 1)]
             task.clear()
             return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
@@ -363,39 +374,20 @@ def _compared(chunks: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFr
     return ordered.mapInArrow(joined, schema)
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """The pairs whose sketches don't rule a link out; sets too small for a steady estimate always pass."""
-    sketches = nodes.select("id", "n", "sketch")
-    centres = sketches.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    centres = centres.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    members = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    least = how.percent / 100 - how.slack
-
-    @F.arrow_udf(returnType=T.DoubleType())
-    def agreement(one: pa.Array, other: pa.Array) -> pa.Array:
-        x = np.frombuffer(b"".join(one.to_pylist()), np.uint8).reshape(len(one), -1)
-        y = np.frombuffer(b"".join(other.to_pylist()), np.uint8).reshape(len(other), -1)
-        return pa.array((x == y).mean(axis=1) if len(x) else np.zeros(0), pa.float64())
-
-    joined = salted_join(pairs, centres, ["a"], "inner", ["b"])
-    joined = salted_join(joined, members, ["b"], "inner", ["a"], salts=4)
-    return joined.filter((F.col("n_b") < how.bins) | (agreement.asNondeterministic()("sketch_a", "sketch_b") >= least)).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that their full sets link.  Of the rows that repeat an id, those with another set than the node's are passed over.
+def _confirmed(pairs: DataFrame, docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """The written ``pairs`` (a, rep_a, b, rep) that their full sets link.  Of the rows that repeat an id, those with another set than the node's are passed over.
 
     A star's members are dealt to groups of about ``how.star``, each with a copy of the centre; a partition is read in order,
     centre first, so a task holds one set at a time however large the star.
     """
-    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / how.star).cast("int").alias("parts"))
-    dealt = salted_join(pairs, stars, ["a"], "inner", ["b"]).select(
-        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("role")
+    stars = pairs.groupBy("a", "rep_a").agg(F.ceil(F.count(F.lit(1)) / how.star).cast("int").alias("parts"))
+    dealt = checked_join(pairs, stars.select("a", "parts"), ["a"], "inner", ["b"], of=pairs).select(
+        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), "rep", F.lit(1).alias("role")
     )
-    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
-    needed = dealt.unionByName(centres)
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    centres = stars.select("a", part, F.col("a").alias("id"), F.col("rep_a").alias("rep"), F.lit(0).alias("role"))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    wanted = needed.join(nodes.select("id", "rep"), "id").join(texts, "rep").select("a", "part", "role", "id", "text")
+    wanted = checked_join(texts, dealt.unionByName(centres), ["rep"], "inner", ["text"], of=pairs, salts=1).select("a", "part", "role", "id", "text")
     ordered = wanted.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
     schema = T.StructType().add("a", T.BinaryType()).add("b", T.BinaryType())
 
@@ -416,50 +408,49 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: NearDup
                     found_b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, block.schema.field(0).type), pa.array(found_b, block.schema.field(0).type)], names=["a", "b"])
 
-    return ordered.mapInArrow(judged, schema).distinct()
+    return ordered.mapInArrow(judged, schema)
 
 
 def _judged(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
     """id, print, n, component_id and kept for each row of ``docs``."""
     sets = written(shingle_sets(docs, how, id_col, text_col), "shingle-sets")
     usable = sets.filter("id is not null and digest is not null")
-    classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi")
-    nodes = nodes.select(F.col("digest").alias("id"), F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["id", "rep"])
-    nodes, drop_nodes = written_for_now(nodes, "classes")
-    placed = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    # Most buckets hold one class and are done with here; every round works on the others.
-    met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    placed, drop_placed = written_for_now(salted_join(placed, met, ["bucket"], "left_semi", ["id"]), "buckets")
-    pairs, drop_pairs = written_for_now(_alike(_first_stars(placed, how), nodes, how), "candidates")
-    links = written(_confirmed(pairs, nodes, docs, how, id_col, text_col), "links")
-    drop_pairs()
+    # Rows of a class have one set, so any of their bands and sketches is the class's.
+    same = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    nodes, drop_nodes = written_for_now(usable.groupBy(F.col("digest").alias("id")).agg(F.min("id").alias("rep"), *same), "classes")
+    # Most buckets hold one class and are done with here.
+    placed = _first_stars(nodes.select("id", "rep", "n", "sketch", F.explode("bands").alias("bucket")), how)
+    placed, drop_placed = written_for_now(placed, "buckets")
+    candidates = placed.filter("near").select("a", "rep_a", F.col("id").alias("b"), "rep").distinct()
+    pairs, drop_pairs = written_for_now(candidates, "candidates")
+    links, drop_links = written_for_now(_confirmed(pairs, docs, how, id_col, text_col), "links")
     groups = components(links)
     members, drop_members = written_for_now(_open_buckets(placed, groups), "open-buckets")
-    drop_placed()
+    merged = None
     if not members.isEmpty():
         families, drop_families = written_for_now(_families(members, how), "families")
-        shingles, drop_shingles = written_for_now(_full_sets(families.select("id"), nodes, docs, how, id_col, text_col), "full-sets")
-        links = links.unionByName(written(_compared(_chunked(families, how), shingles, how), "links"))
-        groups = components(links)
-        drop_families()
-        drop_shingles()
-    drop_members()
-    drop_nodes()
+        shingles, drop_shingles = written_for_now(_full_sets(families, docs, how, id_col, text_col), "full-sets")
+        joined, drop_joined = written_for_now(_compared(_chunked(families, how), shingles, how), "joined")
+        merged = components(joined)
+        for drop in (drop_families, drop_shingles, drop_joined):
+            drop()
 
     # A component is named by its smallest id, and kept is the class of that id (of several with it, the one of the smallest digest).
-    labels = groups.withColumnRenamed("node", "digest")
-    if table_bytes(groups) <= SMALL_BYTES:
-        linked = classes.join(F.broadcast(labels), "digest")
-    else:
-        linked = salted_join(labels, classes, ["digest"], "inner", ["component"], salts=1)
-    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("head"))
-    linked = checked_join(linked, heads, ["component"], "inner", ["digest"], of=groups).select("digest", "head")
-    linked = written(linked, "linked")
-    classes = checked_join(classes, linked, ["digest"], "left", ["rep"], of=linked, salts=1)
+    own = checked_join(nodes.select("id", "rep"), groups.withColumnRenamed("node", "id"), ["id"], "left", ["rep"], of=groups, salts=1)
+    own = own.withColumn("component", F.coalesce("component", "id"))
+    if merged is not None:
+        onward = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        own = checked_join(own, onward, ["component"], "left", ["id"], of=merged).withColumn("component", F.coalesce("_to", "component")).drop("_to")
+    heads = own.groupBy("component").agg(F.min(F.struct(F.col("rep"), F.col("id").alias("digest"))).alias("head"), F.count(F.lit(1)).alias("_n"))
+    linked = salted_join(own, heads.filter("_n > 1").drop("_n"), ["component"], "inner", ["id"])
+    linked = written(linked.select(F.col("id").alias("digest"), "head"), "linked")
+    classes = checked_join(nodes.select(F.col("id").alias("digest"), "rep"), linked, ["digest"], "left", ["rep"], of=linked, salts=1)
     classes = classes.select("digest", F.coalesce("head.rep", "rep").alias("component_id"), F.coalesce("head.digest", "digest").alias("_head"))
+    classes = written(classes, "class-components")
+    for drop in (drop_members, drop_placed, drop_pairs, drop_links, drop_nodes):
+        drop()
     # A class of one that is linked with nothing needs no lookup.
-    named = salted_join(sets.select("id", "print", "n", "digest"), classes, ["digest"], "left", ["id"])
+    named = checked_join(sets.select("id", "print", "n", "digest"), classes, ["digest"], "left", ["id"], of=classes)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     first = (F.col("component_id") == F.col("id")) & F.coalesce(F.col("_head") == F.col("digest"), F.lit(True))
     return named.select("id", "print", "n", component.alias("component_id"), F.coalesce(first, F.lit(True)).alias("kept"))

@@ -138,12 +138,12 @@ def test_large_groups(spark):
 def test_no_table_grows_with_pairs(spark):
     """Members meet once for each chunk of the members beside the largest component, and what is handed on joins components."""
     how = NearDuplicates(chunk=100, family=500)
-    rows = [(i, bytes([i % 251, i // 251]), 60, bytes([0, 0]) if i < 1500 else bytes([i % 251, i // 251])) for i in range(1700)]
-    members = spark.createDataFrame([(7, *r[1:]) for r in rows], "family long, id binary, n long, group binary")
+    rows = [(i, bytes([i % 251, i // 251]), i, 60, bytes([0, 0]) if i < 1500 else bytes([i % 251, i // 251])) for i in range(1700)]
+    members = spark.createDataFrame([(7, *r[1:]) for r in rows], "family long, id binary, rep long, n long, group binary")
     chunks = _chunked(members, how)
     apart, main = 200, 1500
     assert chunks.filter("group = x'0000'").count() == main * (apart // 100) and chunks.count() == main * 2 + apart * (2 + 15)
-    places = spark.createDataFrame([(b, *r[1:]) for r in rows for b in (1, 2 + r[0] % 3)], "bucket long, id binary, n long, group binary")
+    places = spark.createDataFrame([(b, *r[1:]) for r in rows for b in (1, 2 + r[0] % 3)], "bucket long, id binary, rep long, n long, group binary")
     assert _families(places, how).count() == 2 * 1700 and _families(places, NearDuplicates(family=1700)).count() == 1700
 
 
