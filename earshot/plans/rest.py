@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from earshot.functions.measures import add_up
 from earshot.functions.text import cover_key
-from earshot.operators import artwork, charts, enrich, feeds, matching, recommend, rollups, storage
+from earshot.operators import artwork, charts, distincts, enrich, feeds, matching, recommend, rollups, storage
 from earshot.operators.credits import credit_dimension, credit_dimension_rows, read_credits, refresh_credits
 from earshot.operators.storage import Selection
-from earshot.plans.stats import ARTIST, ARTIST_ID, CREDITS_SQL, NOW
+from earshot.plans.stats import ARTIST, ARTIST_ID, CREDITS_SQL, NOW, QUERIES as STATS, YEAR
 from earshot.plans.views import DAY, MEASURES, PLAYS, VIEW_COUNT
-from earshot.session import work_folder
+from earshot.session import work_folder, written
 from earshot.sources import catalog, fixtures as fx, listens as store, payloads
 from earshot.sources.library import publish_library, read_snapshot
 from earshot.streaming import listens as streaming
@@ -675,6 +675,22 @@ def _page_with_artists(spark, sf):
     return page.select("id", "name", "artist", F.array_join(F.transform("artists", lambda a: a["name"]), " | ").alias("artists"))
 
 
+def _bitmaps(heard):
+    return distincts.day_bitmaps(heard, distincts.number_names(heard))
+
+
+def _unique_counts_of_days(spark, sf):
+    rows = fx.listens(spark, sf)
+    heard = written(distincts.heard_names(rows, fx.library(spark, sf)), "heard-names")
+    return distincts.unique_counts(_bitmaps(heard), rows.agg(F.count(F.lit(1))))
+
+
+def _year_summary_of_days(spark, sf):
+    rows = fx.listens_long(spark, sf)
+    heard = written(distincts.heard_names(rows, fx.library(spark, sf)), "heard-names")
+    return distincts.year_summary(rows, _bitmaps(heard), fx.AS_OF_LONG, YEAR)
+
+
 def _stream_now_playing(spark, sf):
     folder = work_folder(spark, "stream-now-playing")
     _run(streaming.stream_now_playing(fx.stream_of_listens(spark, sf), f"{folder}/rows", f"{folder}/state", True))
@@ -736,6 +752,8 @@ STORED = {
         select day, genre, plays from c qualify row_number() over (partition by day order by plays desc, genre) = 1""",
     ),
     "stored_compacted": (_compacted, STORED_SQL),
+    "unique_counts_of_days": (_unique_counts_of_days, STATS["unique_counts"][1]),
+    "year_summary_of_days": (_year_summary_of_days, STATS["year_summary"][1]),
     "library_snapshot": (_snapshot, f"select {', '.join(SNAPSHOT)} from media_file"),
     "refreshed_credits": (_refreshed_credits, CREDITS_SQL),
     "storage_page_artists_of_rows": (
