@@ -228,7 +228,7 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
     cells = 1 << _cell_bits(texts, how)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, said = Fingerprints(how), {}
+        cutter, said, codec = Fingerprints(how), {}, pa.Codec("zstd")
         size = 0
 
         def given() -> pa.RecordBatch:
@@ -238,11 +238,13 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
                 for phrase in counts:
                     parts.setdefault(crc32(phrase) % cells, []).append(phrase)
                 # A line break ends a piece, so no phrase holds one.
-                rows += [(cell, lang, n, b"\n".join(own), np.array([counts[x] for x in own], np.int64).tobytes()) for cell, own in parts.items()]
+                for cell, own in parts.items():
+                    text = b"\n".join(own)
+                    rows.append((cell, lang, n, len(text), codec.compress(text, asbytes=True), np.array([counts[x] for x in own], np.int64).tobytes()))
             said.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                names=["cell", "lang", "words", "phrases", "counts"],
+                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                names=["cell", "lang", "words", "size", "phrases", "counts"],
             )
 
         for block in blocks(batches, "text"):
@@ -268,7 +270,7 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
             yield given()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, total = None, {}
+        place, total, codec = None, {}, pa.Codec("zstd")
 
         def frequent() -> pa.RecordBatch:
             _, lang, n = place
@@ -283,17 +285,18 @@ def phrase_counts(docs: DataFrame, how: Collocations = Collocations(), group_col
             )
 
         for batch in batches:
-            for cell, lang, n, phrases, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for cell, lang, n, length, phrases, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (cell, lang, n) != place and total:
                     yield frequent()
                 place = (cell, lang, n)
-                for phrase, count in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                text = codec.decompress(phrases, length, asbytes=True)
+                for phrase, count in zip(text.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
                     total[phrase] = total.get(phrase, 0) + count
         if total:
             yield frequent()
 
     place = ["cell", "lang", "words"]
-    parts = texts.mapInArrow(counted, "cell int, lang string, words int, phrases binary, counts binary")
+    parts = texts.mapInArrow(counted, "cell int, lang string, words int, size bigint, phrases binary, counts binary")
     return parts.repartition(*place).sortWithinPartitions(*place).mapInArrow(added, "lang string, words int, phrase string, n bigint")
 
 
