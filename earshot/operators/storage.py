@@ -150,11 +150,15 @@ def storage_page(
     page: int = 1,
     limit: int | None = 30,
     deleted: DataFrame | None = None,
+    last_page: int | None = 10_000,
 ) -> DataFrame:
-    """One page of a group's rows with the total number of rows."""
+    """One page of a group's rows with the total number of rows.
+
+    A request gets no page beyond ``last_page``, as the reference has it; without one every page can be read.
+    """
     build = {"artists": storage_artists, "albums": storage_albums}.get(group, storage_tracks)
     rows = build(library, selection, deleted)
-    page, limit = clamp(page, 1, 10_000, 1), clamp(limit, 1, 100, 30)
+    page, limit = max(1, page) if last_page is None else clamp(page, 1, last_page, 1), clamp(limit, 1, 100, 30)
     ordered = in_order(rows, storage_order(group, sort))
     return with_total(ordered.page(page, limit), ordered.total)
 

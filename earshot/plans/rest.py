@@ -34,7 +34,7 @@ def _middle_of_library(spark, sf):
     """The page in the middle of the tracks by artist."""
     files = fx.library(spark, sf)
     tracks = storage.storage_tracks(files).count()
-    return storage.storage_page(files, "tracks", sort="artist", page=tracks // 20 + 1, limit=10)
+    return storage.storage_page(files, "tracks", sort="artist", page=tracks // 20 + 1, limit=10, last_page=None)
 
 
 def _match_key(x: str) -> str:

@@ -251,3 +251,14 @@ def test_recommendations(spark):
     assert [(r.artist_name, r.genre) for r in recommend.similar_artists(lib, "Anna").collect()] == [("Ben", "Rock"), ("Cid", "ROCK and roll")]
     assert [r.artist_name for r in recommend.for_you(h).collect()] == ["Anna", "Dee"]
     assert [(r.hour, r.play_count) for r in recommend.at_this_hour(h, CLOCK).collect()] == [(12, 1), (12, 1)]
+
+
+def test_pages_beyond_the_bound_of_a_request(spark):
+    shape = library(spark, file("0"))
+    lib = spark.range(10_003).select(F.format_string("f%06d", "id").alias("id"), *[F.lit(1).cast("bigint").alias(c) if c == "size" else F.lit(v).alias(c) for c, v in zip(shape.columns[1:], shape.first()[1:], strict=True)])
+
+    def page(nth, **bound):
+        return [(r.id, r.total) for r in storage.storage_page(lib, sort="artist", page=nth, limit=1, **bound).collect()]
+
+    assert page(10_002) == [("f009999", 10_003)]
+    assert page(10_002, last_page=None) == [("f010001", 10_003)] and page(10_004, last_page=None) == []
