@@ -114,10 +114,11 @@ def pair_counts(listens: DataFrame) -> DataFrame:
 def enrich_listens(listens: DataFrame, library: DataFrame | Files, keep: Keep = written) -> DataFrame:
     """The full cascade over parsed listens (``duration_ms`` from the payload).
 
-    The listens are read twice: to count their distinct pairs, and to take the files found.  What
-    was found is written to the shared folder in between; a caller with small input may
-    ``keep`` it some other way.
+    The listens are read several times: to count their distinct pairs, to take the files found, and by
+    whoever sorts the outcome.  So they are parsed once and written to the shared folder, and so is what was found; a
+    caller may ``keep`` them some other way.
     """
+    listens = keep(listens, "parsed-listens")
     resolved = keep(resolve_pairs(pair_counts(listens), library, keep), "resolved-files")
     counts = resolved.select(*_PAIR, "n")
     return _with_file(skew_safe_left_join(listens, resolved.drop("n"), _PAIR, counts), F.col("tier"))
