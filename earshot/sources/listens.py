@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from earshot.functions.measures import measures
 from earshot.functions.text import blank
@@ -239,12 +239,17 @@ def numbered(listens: DataFrame, top: int, time: str = "received_at") -> DataFra
     """Parsed and enriched listens as rows of the fact: ``ts`` from the time of receipt, ``id`` on from ``top`` in its order.
 
     The order is written out first, so that every attempt and every reader sees the same ids; rows of one moment keep the order
-    of the remaining columns.
+    of the remaining columns.  A task of the sort numbers its own rows without gaps, so only the tasks' counts, a row each, are added up.
     """
     rest = [F.col(c) for c in ("user_name", "track_name", "artist_name", "album_name", "event_type", "duration") if c in listens.columns]
     ordered = listens.orderBy(time, *rest).withColumn("_pos", F.monotonically_increasing_id())
-    rows = number_rows(written(ordered, "ingest"), "_pos", out="_nth")
-    return rows.select((F.col("_nth") + top).alias("id"), *LISTEN_COLUMNS[1:], F.col(time).cast("timestamp_ntz").alias("ts"))
+    task, place = F.shiftright("_pos", 33).alias("_task"), F.col("_pos").bitwiseAND((1 << 33) - 1)
+    rows = written(ordered, "ingest").select("*", task)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    rows = rows.join(F.broadcast(starts), "_task")
+    return rows.select((F.col("_start") + place + 1 + top).alias("id"), *LISTEN_COLUMNS[1:], F.col(time).cast("timestamp_ntz").alias("ts"))
 
 
 def export_rows(listens: DataFrame) -> DataFrame:

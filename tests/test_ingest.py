@@ -11,7 +11,7 @@ from earshot.operators.enrich import backfill_listens, backfill_report, enrich_l
 from earshot.operators.numbering import number_rows
 from earshot.operators.paging import down, find_page, in_order, page_by_number, page_rows, up
 from earshot.operators.skew import skew_safe_left_join
-from earshot.sources.listens import export_listens, import_listens, read_export
+from earshot.sources.listens import export_listens, import_listens, numbered, read_export
 from earshot.sources.payloads import parse_listen_payloads, read_bodies
 from pyspark.sql import functions as F
 
@@ -270,3 +270,22 @@ def test_resolve_tracks(spark):
     wanted = spark.createDataFrame([("T", "A"), ("U", "A"), ("V", "A"), ("T", "A")], "track string, artist string")
     out = {r.track: (r.track_id, r.genre) for r in resolve_tracks(wanted, h, lib).collect()}
     assert out == {"T": ("y", ""), "U": ("g", "pop"), "V": ("", "")}
+
+
+def test_listens_are_parsed_once(spark):
+    parsed = parse_listen_payloads(bodies(spark, {"listen_type": "x", "payload": [track("Song (Live)", "A"), track("Song", "A")]}))
+    out = enrich_listens(parsed, library(spark, file("1", "Song", "A")))
+    # What is read again, by a sort as well, are rows that were written.
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.track_name, r.tier, r.track_id) for r in out.collect()) == [("Song", "exact", "1"), ("Song (Live)", "clean", "1")]
+
+
+def test_ids_need_no_second_sort(spark):
+    enriched = spark.range(1000).select(
+        F.timestamp_seconds(F.col("id") * 7919 % 1000).cast("timestamp_ntz").alias("received_at"), F.lit("u").alias("user_name"),
+        *[F.lit("x").alias(c) for c in ("track_name", "artist_name", "album_name", "track_id", "album_id", "artist_id", "genre", "event_type")], F.lit(1).alias("duration"),
+    )
+    out = numbered(enriched.repartition(7), 50)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and plan.count("Window") == 1  # over a row for each task of the sort
+    assert [(r.id, r.s) for r in out.select("id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).orderBy("id").collect()] == [(51 + i, i) for i in range(1000)]
