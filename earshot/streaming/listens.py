@@ -108,23 +108,24 @@ def _enriching(library: DataFrame | LiveLibrary, checkpoint: str, then):
 
     The library is keyed when the first micro-batch comes, and again whenever a snapshot was published since the last one, so each
     micro-batch is enriched from the library as it stood when it began.  The cascade reads the batch and its own steps several
-    times; a micro-batch, whose size the source bounds, is held for that and leaves no files but its result.
+    times; they are written to the shared folder for that, in as many files as their size asks for, and removed with the micro-batch.
     """
     keyed = _Keyed(library)
 
     def write(batch: DataFrame, epoch: int) -> None:
         files = keyed.files(batch.sparkSession)
-        held = [batch.persist()]
+        drops: list[Callable[[], None]] = []
 
         def hold(df: DataFrame, purpose: str) -> DataFrame:
-            held.append(df.persist())
-            return held[-1]
+            kept, drop = written_for_now(df, purpose)
+            drops.append(drop)
+            return kept
 
         try:
             then(enrich_listens(batch, files, keep=hold), _stream_id(batch.sparkSession, checkpoint), epoch)
         finally:
-            for df in held:
-                df.unpersist()
+            for drop in drops:
+                drop()
 
     return write
 
