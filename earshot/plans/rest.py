@@ -639,14 +639,14 @@ def _stream_live_library(spark, sf):
     """One stream: bodies of even listens come while the library is empty, those of odd ones after it was published."""
     folder = work_folder(spark, "live-library")
     payload_rows = fx.listen_payloads(spark, sf)
-    payload_rows.filter("event_id % 2 = 0").coalesce(1).write.parquet(f"{folder}/bodies")
+    payload_rows.filter("event_id % 2 = 0").write.parquet(f"{folder}/bodies")
     publish_library(fx.library(spark, sf).limit(0), f"{folder}/library")
     bodies = spark.readStream.schema(payload_rows.schema).parquet(f"{folder}/bodies")
     query = streaming.stream_enrich(bodies, streaming.LiveLibrary(f"{folder}/library"), f"{folder}/rows", f"{folder}/state")
     try:
         query.processAllAvailable()
         publish_library(fx.library(spark, sf), f"{folder}/library")
-        payload_rows.filter("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(f"{folder}/bodies")
+        payload_rows.filter("event_id % 2 = 1").write.mode("append").parquet(f"{folder}/bodies")
         query.processAllAvailable()
     finally:
         query.stop()

@@ -1,6 +1,7 @@
 """Streams over several files, with a stop between them, end equal to the batch."""
 
 from datetime import timedelta
+from pathlib import Path
 
 from history import CLOCK, NOW, file, library, listen, listens, rows
 
@@ -8,6 +9,7 @@ from earshot.functions.timecols import iso, local_date
 from earshot.functions.measures import measures
 from earshot.operators.enrich import enrich_listens
 from earshot.operators.feeds import now_playing
+from earshot.session import shared_root
 from earshot.sources.fixtures import as_payloads, as_submissions
 from earshot.sources.library import library_version, publish_library, read_snapshot
 from earshot.sources.listens import LISTEN_COLUMNS, read_listens
@@ -91,3 +93,33 @@ def test_a_running_stream_sees_a_library_that_changes(spark, tmp_path):
     for frame, (prefix, most) in zip(frames[1:], (("f", 3), ("g", 5))):
         batch = enrich_listens(parse_listen_payloads(frame), library(spark, *[file(f"{prefix}{i}", f"t{i}") for i in range(most)]))
         assert all(got[r.event_id] == r.track_id for r in batch.collect()) and batch.filter("tier = 'exact'").count() > 0
+
+
+def test_a_micro_batch_is_held_in_files_that_go_with_it(spark, tmp_path):
+    frame = as_payloads(as_submissions(parts(spark)[0]))
+    seen, held = [], lambda: set(Path(shared_root(spark)).glob("earshot/parsed-listens-*/rows"))
+    before = held()
+
+    def then(rows_, stream, epoch):
+        plan = rows_._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(("InMemoryRelation" in plan, "from_json" in plan, rows_.count(), len(held() - before)))
+
+    state = tmp_path / "state"
+    state.mkdir()
+    (state / "metadata").write_text('{"id": "s"}')
+    streaming._enriching(library(spark, file("1", "t1")), str(state), then)(parse_listen_payloads(frame), 0)
+    assert seen == [(False, False, 10, 1)]
+    assert held() == before
+
+
+def test_bodies_of_a_live_stream_come_in_as_many_files_as_tasks(spark, monkeypatch):
+    import earshot.plans.rest as plans
+
+    written = []
+    rows_ = as_payloads(as_submissions(listens(spark, *[listen(i) for i in range(60)]))).repartition(3)
+    monkeypatch.setattr(plans.fx, "listen_payloads", lambda s, sf: rows_)
+    monkeypatch.setattr(plans.fx, "library", lambda s, sf: library(s, file("1", "T")))
+    kept = plans.work_folder
+    monkeypatch.setattr(plans, "work_folder", lambda s, purpose: written.append(kept(s, purpose)) or written[-1])
+    assert plans._stream_live_library(spark, "").count() == 60
+    assert len(list(Path(f"{written[0]}/bodies").glob("*.parquet"))) == 6
