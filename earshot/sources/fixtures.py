@@ -189,9 +189,11 @@ def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch as large as the history: its upper half replaces rows, the rest is new, views come
     twice with different durations, and sign-ups have no id."""
     half = row_count(spark, sf_dir, "events") // 2
-    rows = listens(spark, sf_dir)
-    signups = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type") == "signup")
-    rows = rows.join(signups.toDF("id", "signup"), "id")
+    events = table(spark, sf_dir, "events")
+    signups = events.select(F.col("event_id").alias("id"), F.col("event_type") == "signup").toDF("id", "signup")
+    # Joined before the files, while the rows are narrow.
+    marked = listen_events(events, row_count(spark, sf_dir, "part")).join(signups, "id")
+    rows = marked.join(_heard(media_file(spark, sf_dir)), "file_key").select(*LISTEN_COLUMNS, "ts", "signup")
     n = row_count(spark, sf_dir, "events")
     once = rows.withColumn("pos", F.col("id")).withColumn("duration", F.col("duration") + 1)
     again = rows.filter((F.col("event_type") == "view")).withColumn("pos", F.col("id") + n)

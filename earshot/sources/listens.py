@@ -275,20 +275,22 @@ def import_listens(listens: DataFrame, batch: DataFrame) -> DataFrame:
     """Upsert a batch by ``id``; ``pos`` is the position of a row in the batch.
 
     A known id is replaced, an unknown one inserted, the later of two rows with one id wins, and
-    rows without an id are numbered on from the largest id, in batch order.
+    rows without an id are numbered on from the largest id, in batch order.  The batch is read several times, so it is
+    written once.
     """
     columns = [*LISTEN_COLUMNS, "ts"]
-    named, fresh = _import_rows(batch, listens.select("id").agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
+    named, fresh = _import_rows(written(_positioned(batch), "import-batch"), listens.select("id").agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
     kept = listens.select(*columns).join(named.select("id"), "id", "left_anti")
     return kept.unionByName(named).unionByName(fresh)
 
 
 def _import_rows(batch: DataFrame, known_top: Column | int) -> tuple[DataFrame, DataFrame]:
-    """A batch's rows with an id, the last of each id; and those without, numbered on from the largest id of both sides."""
+    """A batch's rows (with ``pos``) with an id, the last of each id; and those without, numbered on from the largest id of both sides."""
     columns = [*LISTEN_COLUMNS, "ts"]
-    batch = _positioned(batch).withColumn("genre", F.coalesce("genre", F.lit("")))
+    batch = batch.withColumn("genre", F.coalesce("genre", F.lit("")))
     row = F.struct(*[F.col(c) for c in columns if c != "id"])
-    named = batch.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(row, "pos").alias("row"))
+    # Few rows share an id: dealt out first, they are sorted for the aggregate once and not before the shuffle as well.
+    named = batch.filter(F.col("id").isNotNull()).repartition("id").groupBy("id").agg(F.max_by(row, "pos").alias("row"))
     named = named.select("id", "row.*").select(*columns)
     top = F.greatest(F.lit(known_top), batch.agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
     fresh = number_rows(batch.filter(F.col("id").isNull()), "pos", out="_nth")
@@ -311,7 +313,7 @@ def import_into(batch: DataFrame, path: str, commit: str | None = None) -> None:
     """
     spark = batch.sparkSession
     settle(spark, path)
-    placed = batch if "pos" in batch.columns else written(_positioned(batch), "import-batch")
+    placed = written(_positioned(batch), "import-batch")
     placed = placed.withColumn("genre", F.coalesce("genre", F.lit("")))
     name = commit or _batch_name(placed)
     others = F.col("commit") != name

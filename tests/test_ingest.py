@@ -289,3 +289,14 @@ def test_ids_need_no_second_sort(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and plan.count("Window") == 1  # over a row for each task of the sort
     assert [(r.id, r.s) for r in out.select("id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).orderBy("id").collect()] == [(51 + i, i) for i in range(1000)]
+
+
+def test_an_import_reads_its_batch_once(spark):
+    made = spark.range(40).select(F.when(F.col("id") % 4 != 0, F.col("id") % 15).alias("id"), F.col("id").alias("pos"))
+    lacking = [F.lit("x").alias(c) for c in ("user_name", "track_name", "artist_name", "album_name", "track_id", "album_id", "artist_id", "genre", "event_type")]
+    batch = made.select("id", *lacking, F.col("pos").cast("int").alias("duration"), F.lit(NOW).cast("timestamp_ntz").alias("ts"), "pos")
+    out = import_listens(listens(spark, listen(3), listen(100)), batch)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    last = {r.id: r.pos for r in made.filter("id is not null").orderBy("pos").collect()}
+    got = {r.id: r.duration for r in out.collect()}
+    assert got == {**last, 100: 100, **{101 + i: 4 * i for i in range(10)}}
