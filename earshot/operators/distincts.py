@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earshot.functions.measures import all_events, playtime, plays
+from earshot.functions.text import blank
 from earshot.functions.timecols import local_date
 from earshot.operators.credits import by_artist
 from earshot.operators.numbering import number_rows
@@ -21,26 +22,29 @@ KINDS = ["track", "album", "artist", "known_track", "known_album", "known_artist
 
 
 def heard_names(listens: DataFrame, library: DataFrame | None = None) -> DataFrame:
-    """day (UTC), kind and name, once each; artists by their ids, from split credits."""
-    day = F.to_date("ts").alias("day")
-
-    def listed(names: dict[str, Column]) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), name.alias("name")) for kind, name in names.items()])).alias("x")
-
-    def if_known(spelling: str, name: str) -> Column:
-        return F.when(known(spelling), F.col(name))
-
-    titles = listed(
-        {
-            "track": F.col("track_name"), "album": F.col("album_name"),
-            "known_track": if_known("track_name", "track_name"), "known_album": if_known("album_name", "album_name"),
-        }
-    )
-    rows = listens.select(day, "track_name", "album_name").distinct().select("day", titles)
-    artists = by_artist(listens.withColumn("day", F.to_date("ts")), library, [all_events("n")], extra=["day"])
-    people = listed({"artist": F.col("artist_id"), "known_artist": if_known("artist_name", "artist_id")})
-    rows = rows.unionByName(artists.select("day", people))
-    return rows.select("day", "x.kind", "x.name").filter("name is not null").distinct()
+    """day (UTC), kind and name, once each; artists by their ids, from split credits.
+
+    The listens are read once, for the names of each day; a credit is split once, whatever the number of days that heard it.
+    """
+    text = F.lit(None).cast("string")
+    raw_id = F.when(blank(F.col("artist_name")), F.col("artist_id"))
+    listed = [("track", F.col("track_name"), text), ("album", F.col("album_name"), text), ("credit", F.col("artist_name"), raw_id)]
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), name.alias("name"), raw.alias("raw")) for kind, name, raw in listed])
+    heard = listens.select(F.to_date("ts").alias("day"), F.explode(each).alias("x")).select("day", "x.*").distinct()
+    heard = written(heard, "heard-by-day")
+
+    def kinds(kind: Column, spelling: str) -> Column:
+        """``kind``, and its known names' kind where ``spelling`` is one of them."""
+        return F.explode(F.filter(F.array(kind, F.when(known(spelling), F.concat(F.lit("known_"), kind))), lambda x: x.isNotNull())).alias("kind")
+
+    titles = heard.filter("kind <> 'credit'").select("day", kinds(F.col("kind"), "name"), "name")
+    credits = heard.filter("kind = 'credit'").select("day", F.col("name").alias("credit"), "raw")
+    split = credits.select("credit", "raw").distinct().withColumns({"artist_name": F.col("credit"), "artist_id": F.col("raw")})
+    people = by_artist(split, library, [all_events("n")], extra=["credit", "raw"])
+    people = people.select("credit", "raw", kinds(F.lit("artist"), "artist_name"), F.col("artist_id").alias("name")).distinct()
+    same = credits["credit"].eqNullSafe(people["credit"]) & credits["raw"].eqNullSafe(people["raw"])
+    artists = credits.join(people, same).select("day", "kind", "name").distinct()
+    return titles.unionByName(artists).filter("name is not null")
 
 
 def number_names(names: DataFrame, numbered: DataFrame | None = None) -> DataFrame:

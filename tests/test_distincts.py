@@ -36,3 +36,13 @@ def test_bitmaps_count_exactly_and_add_up(spark):
         summary = distincts.year_summary(both, bitmaps, CLOCK, year)
         assert rows(summary) == rows(yearly.year_summary(both, CLOCK, year, files).select(*summary.columns))
     assert "Expand" not in summary._jdf.queryExecution().executedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_days_come_from_one_reading(spark):
+    one = history(spark, 3)
+    files = library(spark, file("1", artist="A & E", participants='{"artist": [{"name": "A"}, {"name": "E"}]}'))
+    heard = distincts.heard_names(one, files)
+    # The days' names were written; credits are split apart from the days.
+    plan = heard._jdf.queryExecution().optimizedPlan().toString()
+    assert "track_name" not in plan and "to_date" not in plan and heard.count() == heard.distinct().count()
+    assert {r.kind for r in heard.collect()} == set(distincts.KINDS)
