@@ -10,6 +10,7 @@ from earshot.functions.measures import largest
 from earshot.functions.text import artist_name_from_id, blank, cover_key, from_base64url
 from earshot.operators.credits import credit_dimension, credit_dimension_rows
 from earshot.operators.matching import legacy_files, with_legacy_keys
+from earshot.session import written
 from earshot.sources.library import visible, with_optional_columns
 
 _COLUMNS = ["cover_id", "kind", "name", "artist", "key", "native_id", "has_art"]
@@ -111,7 +112,8 @@ def describe_covers(
     chosen = None
     for known, value in sources:
         chosen = F.when(known, value) if chosen is None else chosen.when(known, value)
-    rows = rows.select("cover_id", chosen.alias("d")).filter(F.col("d").isNotNull())
+    # A filter on the choice itself would work it out, and every text in it, again and again for each row.
+    rows = written(rows.select("cover_id", chosen.alias("d")), "covers").filter(F.col("d").isNotNull())
     return rows.select("cover_id", *[F.col(f"d.{c}").alias(c) for c in _COLUMNS if c != "cover_id"])
 
 

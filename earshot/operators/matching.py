@@ -49,13 +49,16 @@ def with_legacy_keys(rows: DataFrame, title: str = "track_name") -> DataFrame:
     old = F.instr(c, " - ") > 0
     none = F.concat(F.lit(_APART), F.coalesce(c, F.lit("")))
     rows = rows.withColumn("_person", match_key(title_prefix(c)))
-    rows = rows.withColumn("_title", match_key(clean_recording_title(title_rest(c))))
+    # A key takes its text several times, so what is cleaned gets a projection of its own.
+    rows = rows.withColumn("_title", clean_recording_title(title_rest(c)))
+    rows = rows.withColumn("_title", match_key(F.col("_title")))
     return rows.withColumns({"_person": F.when(old, F.col("_person")).otherwise(none)})
 
 
 def legacy_files(library: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """One visible file (smallest id) per credited artist and cleaned title, for the ``_title`` keys asked for, if any are."""
-    files = visible(library).withColumn("_title", match_key(clean_recording_title(F.col("title"))))
+    files = visible(library).withColumn("_title", clean_recording_title(F.col("title")))
+    files = files.withColumn("_title", match_key(F.col("_title")))
     if titles is not None:
         files = files.join(titles, "_title", "left_semi")
     first = F.min(F.struct("id", "title", "artist", "album_id")).alias("legacy")

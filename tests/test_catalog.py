@@ -214,6 +214,20 @@ def test_covers(spark):
     }
 
 
+def test_texts_of_covers_are_worked_out_once(spark):
+    lib, h = library(spark, file("f1", "Hit", "Anna")), listens(spark, listen(1, track="Anna - Hit", track_id="t1"))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    # What is not known is left out by a filter on what was written, not by one that chooses anew.
+    covers = artwork.describe_covers(spark.createDataFrame([("f1",)], "cover_id string"), lib, h)
+    assert "from_json" not in plan(covers) and "regexp_replace" not in plan(covers)
+    # Once with and once without a guest's tail; a row goes through one of them.
+    assert plan(matching.with_legacy_keys(h)).count("visualizer") == 2
+    assert plan(matching.legacy_files(lib)).count("visualizer") == 2
+
+
 def test_cover_key_text(spark):
     import base64
 
