@@ -22,6 +22,7 @@ from earshot.llm.arrow import blocks
 from earshot.llm.tokens import encoder
 from earshot.session import written
 
+BLOCK_BYTES = 2 << 20  # of text whose ids are made together
 CAPACITY = 2048
 END = 1
 
@@ -92,29 +93,30 @@ def token_pieces(
         schema = schema.add("ids", T.BinaryType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.array([end], "<u4")
-        for block in blocks(batches, "text"):
-            row, start, length, crc, total, raw = [], [], [], [], [], []
-            for i, own in enumerate(encoder(tokenizer).all_ids(block.column(1).to_pylist())):
-                ids = np.concatenate([own, last])
-                whole = len(ids) // capacity * capacity
-                # What remains is cut into equal pieces, so that none is needlessly small.
-                rest = len(ids) - whole
-                parts = -(-rest // (filler if zlib.crc32(ids[-32:].tobytes()) % fillers == 0 else grain))
-                edges = [*range(0, whole, capacity), *(whole + rest * p // parts for p in range(parts)), len(ids)]
-                for s, e in zip(edges, edges[1:], strict=False):
-                    data = ids[s:e].tobytes()
-                    row.append(i)
-                    start.append(s)
-                    length.append(e - s)
-                    crc.append(zlib.crc32(data))
-                    total.append(len(ids))
-                    if with_ids:
-                        raw.append(data)
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            ids, at = encoder(tokenizer).flat_ids(block.column(1))
+            ids = np.insert(ids, at[1:], np.uint32(end))
+            at = at + np.arange(len(at))
+            data, total = memoryview(ids.view(np.uint8)), np.diff(at)
+            fine = np.array([zlib.crc32(data[4 * max(a, b - 32) : 4 * b]) % fillers == 0 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+            # Whole windows, and the rest in equal pieces, so that none is needlessly small.
+            whole = total // capacity
+            rest = total % capacity
+            parts = -(-rest // np.where(fine, filler, grain))
+            row = np.repeat(np.arange(len(total)), whole + parts)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(whole + parts) - whole - parts, whole + parts)
+            later = np.maximum(nth - whole[row], 0)
+            start = np.minimum(nth, whole[row]) * capacity + rest[row] * later // np.maximum(parts[row], 1)
+            length = np.diff(np.append(start, 0))
+            last = np.cumsum(whole + parts) - 1
+            length[last] = total - start[last]
+            lo = 4 * (at[:-1][row] + start)
+            bounds = list(zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True))
+            crc = [zlib.crc32(data[a:b]) for a, b in bounds]
             columns = [block.column(0).take(pa.array(row, pa.int64()))]
-            columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+            columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]
             if with_ids:
-                columns.append(pa.array(raw, pa.binary()))
+                columns.append(pa.array([data[a:b].tobytes() for a, b in bounds], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(cut, schema)

@@ -121,8 +121,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for block in text_blocks(batches, "text"):
             if writer is None and block.num_rows:
                 writer = FileWriter(out_files.open_output_stream(posixpath.join(out_root, name), compression=None))
-            for doc_id, ids in zip(block.column(0).to_pylist(), encoder(tokenizer).all_ids(block.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, np.concatenate([ids, last]))
+            ids, at = encoder(tokenizer).flat_ids(block.column(1))
+            for doc_id, a, b in zip(block.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                writer.add(doc_id, np.concatenate([ids[a:b], last]))
         if writer is not None:
             writer.close()
             row = {"place": place, "name": name, "documents": writer.documents, "ids": writer.ids}

@@ -9,9 +9,11 @@ import types
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces whose ids a worker remembers at once; it forgets them all when there are more.
-REMEMBERED = 500_000
+#: From so many pieces on, a worker begins anew to remember; what it held stays at hand until it has as many again, so pieces that come often stay.
+REMEMBERED = 250_000
 
 #: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.  U+0130 is left out, as
 #: its lower case is two characters, which tokenizers treat in their own ways.
@@ -55,6 +57,7 @@ class Encoder:
         self._lead = " " if self._keeps_space else ""
         self._letters = _byte_letters()
         self._units: dict[str, bytes] = {}
+        self._older_units: dict[str, bytes] = {}
         # Whether words can go to the model past the library's cutting, which takes most of its time.
         trial = ["Word", "naïve,", "STRASSE!!", "Ÿe", "x|", "a'", "end.\nBegin\nÉté"]
         whole = self._encode([self._lead + w for w in trial])
@@ -62,6 +65,7 @@ class Encoder:
             array("I", ids).tobytes() == self._spelled(w, self._lead) for w, ids in zip(trial, whole, strict=True)
         )
         self._known: dict[str, bytes] = {}  # by the piece without the space before it
+        self._older: dict[str, bytes] = {}
         self._odd: set[str] = set()  # those of them that begin or end with white space, or are empty
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -69,6 +73,8 @@ class Encoder:
 
     def _unit(self, text: str) -> bytes:
         got = self._units.get(text)
+        if got is None:
+            got = self._units[text] = self._older_units.get(text)
         if got is None:
             if text.isascii() and text.isprintable():
                 spelled = text.replace(" ", self._letters[32])
@@ -101,8 +107,19 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         together, alone = [], []
+        units, lead = self._units, self._lead
         for piece in pieces:
-            ids = self._spelled(piece, self._lead) if self._direct else None
+            ids = None
+            if self._direct:
+                match = _WORD.fullmatch(piece)
+                if match is None:
+                    ids = self._spelled(piece, lead)
+                else:  # as in _word, which most pieces need not be handed to
+                    letters, after = match.groups()
+                    letters = lead + (letters if self._keeps_space else letters.lower())
+                    ids = units.get(letters) or self._unit(letters)
+                    if after:
+                        ids += units.get(after) or self._unit(after)
             if ids is not None:
                 self._known[piece] = ids
                 continue
@@ -130,31 +147,71 @@ class Encoder:
         ids = self._spelled(piece, "") if self._direct else None
         return np.array(self._encode([piece])[0], "<u4").tobytes() if ids is None else ids
 
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces that have a space before them, or none where the tokenizer drops it."""
+        if len(self._known) > REMEMBERED:
+            self._known, self._older = {}, self._known
+        if len(self._units) > REMEMBERED:
+            self._units, self._older_units = {}, self._units
+        if len(self._odd) > REMEMBERED:
+            self._known, self._older, self._odd = {}, {}, set()
+        found = list(map(self._known.get, pieces))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new = []
+            for i in missing:
+                piece = pieces[i]
+                ids = self._older.get(piece)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    self._known[piece] = ids
+            self._learn(new)
+            for i in missing:
+                found[i] = self._known[pieces[i]]
+        return found
+
+    def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The little-endian unsigned 32-bit ids of all texts one after the other, and where each text's begin and the last's end.
+
+        A null or empty text has none.
+        """
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        entry = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        ids = self._ids_of(pieces)
+        whole = np.empty(0, np.int64)  # texts that are encoded as they are
+        if self._keeps_space and len(texts):
+            odd = self._odd.intersection(pieces)
+            if odd:
+                marked = np.fromiter((piece in odd for piece in pieces), bool, len(pieces))
+                rows = np.unique(np.searchsorted(first, np.flatnonzero(marked[entry]), "right") - 1)
+                whole = np.array([row for row in rows.tolist() if _UNSAFE.search(texts[row].as_py())], np.int64)
+            # What stands before the first space has no space before it.
+            openings, place = np.unique(entry[first[:-1]], return_inverse=True)
+            entry[first[:-1]] = len(ids) + place
+            ids += [self._opening(pieces[i]) for i in openings.tolist()]
+        entry_sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes = entry_sizes[entry]
+        for row in whole.tolist():
+            own = np.array(self._encode([texts[row].as_py()])[0], "<u4").tobytes()
+            sizes[first[row] : first[row + 1]] = 0
+            entry[first[row]], sizes[first[row]] = len(ids), len(own) // 4
+            entry_sizes = np.append(entry_sizes, len(own) // 4)
+            ids.append(own)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        # From where an entry lies among the entries to where its piece stands among the pieces.
+        shift = (np.cumsum(entry_sizes) - entry_sizes)[entry] - at[:-1]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        return flat[np.repeat(shift, sizes) + np.arange(at[-1])], at[first]
+
     def all_ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its little-endian unsigned 32-bit ids; none for a null or empty text."""
-        pieces = [text.split(" ") if text else [] for text in texts]
-        if self._keeps_space:
-            # What stands before the first space has no space before it.
-            first = [self._opening(p[0]) if p else b"" for p in pieces]
-            pieces = [p[1:] for p in pieces]
-        else:
-            first = [b""] * len(pieces)
-        distinct = set().union(*pieces)
-        new = distinct.difference(self._known)
-        if len(self._known) + len(new) > REMEMBERED:
-            for held in (self._known, self._units, self._odd):
-                held.clear()
-            new = distinct
-        self._learn(list(new))
-        odd = self._odd.intersection(distinct)
-        known = self._known.__getitem__
-        out = []
-        for text, start, own in zip(texts, first, pieces, strict=True):
-            if odd and not odd.isdisjoint(own) and _UNSAFE.search(text):
-                out.append(np.array(self._encode([text])[0], "<u4"))
-            else:
-                out.append(np.frombuffer(start + b"".join(map(known, own)), "<u4"))
-        return out
+        ids, at = self.flat_ids(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.all_ids([text])[0]

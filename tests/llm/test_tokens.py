@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from earshot.llm import packing, range_coder, token_files
+from earshot.llm import packing, range_coder, token_files, tokens
 from earshot.llm.tokens import Encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -208,3 +209,17 @@ def test_differencing_known_case():
     assert sorted(load) == [14, 16]
     load = np.bincount(packing.differenced(np.array([4, 5, 6, 7, 8]), 3), [4, 5, 6, 7, 8])
     assert load.max() - load.min() <= 3
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_flat_ids_of_many_texts_and_words_that_come_back(name, monkeypatch):
+    whole, pieces = both(name)
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    for turn in range(6):
+        texts = [None, "", " ", f"word{turn} again, again\nthere {turn}", "x \n  y", "\n z", "", *(f"w{chr(97 + turn)}{chr(97 + i)} the." for i in range(26))]
+        ids, at = pieces.flat_ids(pa.array(["skipped", *texts])[1:])
+        assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
+        assert len(pieces._known) < 20 + 60  # a block's own words at most beside what is remembered
+    assert len(pieces.flat_ids(pa.array([], pa.string()))[0]) == 0
