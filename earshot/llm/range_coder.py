@@ -1,172 +1,236 @@
-"""An adaptive context-mixing range coder for token ids below 2^16.
+"""A context-mixing range coder for token ids below 2^16.
 
-An id is coded as four nibbles, high to low.  For each nibble three models, whose contexts are the nibbles before it alone
-(order 0), with the previous id (order 1), and with the previous two (order 2), hold adaptive counts of the 16 symbols.
-Their predictions are mixed with weights that follow how well each has predicted, and the mix drives a range coder.
+Three models predict each id, and their predictions are mixed: order 0 has the counts of the block's ids; orders 1 and 2 have the id
+that last followed the previous one and the previous two, and how often in a row it did.  The mix gives each of the two
+followers a weight that says how often, at such runs, it comes true in the block, and order 0 the rest; it drives a range coder.  The
+counts and the weights precede a block's code.
 
 Blocks are reset independently.  Many blocks are coded in step as the lanes of numpy arrays, which changes nothing in any block's
-bytes.  All arithmetic is in integers, so that every machine decodes what another encoded.
+bytes.  Registers are whole numbers below 2^53 in doubles, and quotients are floored, so that every machine decodes what another
+encoded.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 
-BLOCK = 4096  # ids a block
-LANES = 512  # blocks in step; bounds the memory of a task
-
-_ROWS0 = 1 + 16 + 256 + 4096  # order-0 contexts: the nibbles before each of the four
-_HASHED = 2048  # rows of each of the two higher orders
-_ROWS = _ROWS0 + 2 * _HASHED
-_FIRST = (0, 1, 17, 273)
-_GAIN, _MOST = 24, 1200
-_MIX = 1 << 14  # what the three weights sum to
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-
-
-class _Lanes:
-    """Models and coder registers of some blocks; both directions go through the same steps."""
-
-    def __init__(self, lanes: int):
-        self.counts = np.zeros((lanes * _ROWS, 16), np.uint16)
-        self.totals = np.zeros(lanes * _ROWS, np.int16)
-        self.base = np.arange(lanes, dtype=np.int64) * _ROWS
-        self.weights = np.tile(np.array([_MIX // 4, _MIX // 4, _MIX // 2], np.int64), (4, lanes, 1))
-        self.before = np.zeros((2, lanes), np.int64)
-        self.low = np.zeros(lanes, np.uint32)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
-
-    def contexts(self, m: int, nibble: int, prefix: np.ndarray) -> np.ndarray:
-        """The rows (3 x m) of the first ``m`` lanes."""
-        place = prefix + _FIRST[nibble]
-        one = (self.before[0, :m] * 0x2C1B3C6D + place * 0x297A2D39 + 0x5BD1E995) & 0xFFFFFFFF
-        two = (one + self.before[1, :m] * 0x1B873593) & 0xFFFFFFFF
-        one = (one ^ one >> 15) * 0x85EBCA6B & 0xFFFFFFFF
-        two = (two ^ two >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
-        base = self.base[:m]
-        return np.stack([base + place, base + _ROWS0 + (one >> 21), base + _ROWS0 + _HASHED + (two >> 21)])
-
-    def mixed(self, m: int, nibble: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The models' counts (3 x m x 16) and the mix's cumulative frequencies (m x 17); every symbol has some."""
-        counts = self.counts[rows].astype(np.int64)
-        scale = (self.weights[nibble, :m].T << 8) // (self.totals[rows].astype(np.int64) + 1)
-        frequency = ((counts * scale[:, :, None]).sum(axis=0) >> 8) + 1
-        cumulative = np.zeros((m, 17), np.int64)
-        np.cumsum(frequency, axis=1, out=cumulative[:, 1:])
-        return counts, cumulative
-
-    def learn(self, m: int, nibble: int, rows: np.ndarray, counts: np.ndarray, symbol: np.ndarray) -> None:
-        lane = np.arange(m)
-        totals = self.totals[rows]
-        seen = (counts[:, lane, symbol] << 12) // (totals.astype(np.int64) + 1) + 1
-        weights = self.weights[nibble, :m]
-        weights += (seen * _MIX // seen.sum(axis=0)).T - weights >> 5
-        np.maximum(weights, 16, out=weights)
-        self.counts[rows, symbol] += np.uint16(_GAIN)
-        totals += np.int16(_GAIN)
-        self.totals[rows] = totals
-        full = rows[totals > _MOST]
-        if len(full):
-            self.counts[full] >>= np.uint16(1)
-            self.totals[full] = self.counts[full].sum(axis=1).astype(np.int16)
-
-    def narrow(self, m: int, cumulative: np.ndarray, symbol: np.ndarray, unit: np.ndarray) -> None:
-        lane = np.arange(m)
-        start = cumulative[lane, symbol]
-        self.low[:m] += unit * start.astype(np.uint32)
-        self.range[:m] = unit * (cumulative[lane, symbol + 1] - start).astype(np.uint32)
-
-    def shifting(self, m: int):
-        """Lanes whose top byte is settled, until none is; the caller moves that byte before the next."""
-        low, span = self.low[:m], self.range[:m]
-        while True:
-            settled = (low ^ low + span) < _TOP
-            short = ~settled & (span < _BOTTOM)
-            if short.any():
-                span[short] = (~low[short] + np.uint32(1)) & (_BOTTOM - np.uint32(1))
-                settled |= short
-            lanes = np.flatnonzero(settled)
-            if not len(lanes):
-                return
-            yield lanes
-            low[lanes] <<= np.uint32(8)
-            span[lanes] <<= np.uint32(8)
-
-    def remember(self, m: int, ids: np.ndarray) -> None:
-        self.before[1, :m] = self.before[0, :m]
-        self.before[0, :m] = ids + 1
+BLOCK = 8192  # ids a block at most
+LANES = 1024  # blocks in step; bounds the memory of a task
+
+_PAIRS, _PAIR = 2048, 61  # places of order 2; an id times _PAIR plus the next one, modulo _PAIRS
+_RUN = 3  # a follower's run counts up to this
+_STATES = 16  # runs of both followers
+_COUNT = 14  # bits that a count takes
+_TOTAL = 1 << 20  # what the mix's frequencies sum to
+_WEIGHT = _TOTAL // 256 * 63 // 64  # of them, for a weight of 1; weights are at most 255 together, which leaves order 0 more than 2 * BLOCK
+_FULL, _SHORT, _WORD = float(1 << 48), float(1 << 32), 65536.0
+_HEAD, _HEAD_SIZE = "<HH", 4
+
+
+class _Model:
+    """What precedes a block's code: the distinct ids, how often each occurs, and the weights of both followers by state.
+
+    Within a block an id is its place among the distinct ones.
+    """
+
+    def __init__(self, distinct: np.ndarray, counts: np.ndarray, weights: np.ndarray):
+        self.distinct, self.counts, self.weights = distinct, counts, weights
+        self.length = int(counts.sum())
+        self.below = np.cumsum(counts) - counts
+
+    def shares(self) -> np.ndarray:
+        """By state: what the follower of order 1 and that of order 2 have of the total, and what order 0 has for each time an id occurs."""
+        one, two = (self.weights.reshape(2, _STATES) * _WEIGHT).astype(np.float64)
+        scale = (_TOTAL - one - two) // max(self.length, 1)
+        return np.stack([one, _TOTAL - one - scale * self.length, scale])
+
+    def to_bytes(self) -> bytes:
+        gaps = np.diff(self.distinct, prepend=0)
+        planes = np.concatenate([gaps & 255, gaps >> 8, self.counts & 255, self.counts >> 8, self.weights])
+        packed = zlib.compress(planes.astype(np.uint8).tobytes())
+        return struct.pack(_HEAD, len(gaps), len(packed)) + packed
+
+    @classmethod
+    def read(cls, code: bytes, length: int) -> tuple[_Model, bytes]:
+        """The model and the coder's words after it."""
+        try:
+            size, packed = struct.unpack_from(_HEAD, code)
+            planes = np.frombuffer(zlib.decompress(code[_HEAD_SIZE : _HEAD_SIZE + packed]), np.uint8).astype(np.int64)
+            low, high, few, many = planes[: -2 * _STATES].reshape(4, size)
+        except (struct.error, zlib.error) as error:
+            raise ValueError("a block is damaged") from error
+        model = cls(np.cumsum(low + (high << 8)), few + (many << 8), planes[-2 * _STATES :])
+        if model.length != length or size and model.distinct[-1] >= 1 << 16 or model.weights.reshape(2, _STATES).sum(axis=0).max() > 255:
+            raise ValueError("a block is damaged")
+        return model, code[_HEAD_SIZE + packed :]
+
+
+def _followers(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each id, what came last after its context (0 at first) and how often in a row it did."""
+    order = np.argsort(context, kind="stable")
+    context, ids = context.take(order), ids.take(order)
+    last = np.concatenate([ids[:1], ids[:-1]])
+    new = np.ones(len(ids), bool)
+    np.not_equal(context[1:], context[:-1], out=new[1:])
+    last[new] = 0
+    since = np.arange(len(ids), dtype=np.int16)
+    begun = np.where(new, since, 0)
+    np.maximum(begun[1:], since[1:] * (ids != last)[:-1], out=begun[1:])
+    since -= np.maximum.accumulate(begun)
+    follower, run = np.empty_like(last), np.empty_like(since)
+    follower[order], run[order] = last, np.minimum(since, _RUN)
+    return follower, run
+
+
+def _part(ids, below, count, followers, true, weights, scale) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each id's part of the total: its share of order 0, and a follower's weight where that follower came true."""
+    before, own = weights * (followers < ids), weights * true
+    return scale * below + before[0] + before[1], scale * count + own[0] + own[1]
+
+
+def _modelled(block: np.ndarray) -> tuple[_Model, np.ndarray, np.ndarray]:
+    """A block's model, and the start and the size of each id's part."""
+    everything = np.bincount(block)
+    distinct = np.flatnonzero(everything)
+    place = np.zeros(len(everything), np.uint16)
+    place[distinct] = np.arange(len(distinct))
+    ids = place.take(block)
+    before = np.concatenate([np.zeros(2, np.uint16), ids])
+    # 16 bits may overflow: the last twelve are what counts.
+    made = _followers(before[1:-1], ids), _followers(before[:-2] * np.uint16(_PAIR) + before[1:-1] & np.uint16(_PAIRS - 1), ids)
+    followers = np.stack([made[0][0], made[1][0]])
+    state = made[0][1] * (_RUN + 1) + made[1][1]
+    true = followers == ids
+    # Where both followers are one, it is order 2 that comes true.
+    seen = np.maximum(np.bincount(state, minlength=_STATES), 1)
+    credited = (true[0] & ~true[1], true[1])
+    weights = np.concatenate([np.bincount(state[t], minlength=_STATES) * 255 // seen for t in credited])
+    model = _Model(distinct, everything.take(distinct), weights)
+    shares = model.shares().take(state, axis=1)
+    return model, *_part(ids, model.below.take(ids), model.counts.take(ids), followers, true, shares[:2], shares[2])
 
 
 def _longest_first(lengths: list[int]) -> np.ndarray:
     return np.argsort(-np.array(lengths, np.int64), kind="stable")
 
 
+def _stretches(lengths: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(from, to, lanes): which steps have how many of the lanes, whose lengths descend."""
+    for m in range(len(lengths), 0, -1):
+        begin, end = lengths[m] if m < len(lengths) else 0, lengths[m - 1]
+        if begin < end:
+            yield begin, end, m
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's bytes; at most LANES blocks at once."""
-    if any(len(b) and int(b.max()) >= 1 << 16 for b in blocks):
-        raise ValueError("ids must be below 65536")
+    """Each block's bytes; at most LANES blocks at once, of at most BLOCK ids."""
+    if any(len(b) > BLOCK or len(b) and int(b.max()) >= 1 << 16 for b in blocks):
+        raise ValueError(f"blocks have at most {BLOCK} ids, which must be below 65536")
     order = _longest_first([len(b) for b in blocks])
-    n = np.array([len(blocks[i]) for i in order], np.int64)
-    ids = np.zeros((int(n.max(initial=0)), len(blocks)), np.int64)
+    lengths = [len(blocks[i]) for i in order]
+    longest, lanes = max(lengths, default=0), len(blocks)
+    starts, sizes, models = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.uint32), []
     for lane, i in enumerate(order):
-        ids[: n[lane], lane] = blocks[i]
-    state = _Lanes(len(blocks))
-    # A nibble takes 14 bits at the most.
-    out = np.zeros((len(blocks), 7 * len(ids) + 16), np.uint8)
-    at = np.zeros(len(blocks), np.int64)
-    for t in range(len(ids)):
-        m = int(np.searchsorted(-n, -t, "left"))
-        current = ids[t, :m]
-        for nibble in range(4):
-            prefix, symbol = current >> 16 - 4 * nibble, current >> 12 - 4 * nibble & 15
-            rows = state.contexts(m, nibble, prefix)
-            counts, cumulative = state.mixed(m, nibble, rows)
-            unit = state.range[:m] // cumulative[:, 16].astype(np.uint32)
-            state.narrow(m, cumulative, symbol, unit)
-            for lanes in state.shifting(m):
-                out[lanes, at[lanes]] = state.low[lanes] >> np.uint32(24)
-                at[lanes] += 1
-            state.learn(m, nibble, rows, counts, symbol)
-        state.remember(m, current)
-    made: list[bytes] = [b""] * len(blocks)
+        model, starts[: lengths[lane], lane], sizes[: lengths[lane], lane] = _modelled(blocks[i])
+        models.append(model)
+    first = np.arange(lanes) * (longest + 3)
+    out = np.zeros(lanes * (longest + 3), np.uint32)
+    all_at, all_low, all_span = first.copy(), np.zeros(lanes), np.full(lanes, _FULL)
+    for begin, end, m in _stretches(lengths):
+        at, low, span = all_at[:m], all_low[:m], all_span[:m]
+        for t in range(begin, end):
+            unit = np.floor(span * (1 / _TOTAL))
+            base, part = low + unit * starts[t, :m], unit * sizes[t, :m]
+            # A word above 16 bits carries into those before it, which is made up for at the end.
+            word, settled = np.floor(base * (1 / _SHORT)), part < _SHORT
+            out[at] = word
+            at += settled
+            shift = np.where(settled, _WORD, 1.0)
+            np.multiply(base - word * settled * _SHORT, shift, out=low)
+            np.multiply(part, shift, out=span)
+    for _ in range(3):
+        word = np.floor(all_low / _SHORT)
+        out[all_at] = word
+        all_low = (all_low - word * _SHORT) * _WORD
+        all_at += 1
+    words = out.reshape(lanes, longest + 3)
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:, :-1] += carry[:, 1:]
+    used, words = all_at - first, words.astype("<u2")
+    made: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
-        made[i] = out[lane, : at[lane]].tobytes() + int(state.low[lane]).to_bytes(4, "big")
+        made[i] = models[lane].to_bytes() + words[lane, : used[lane]].tobytes()
     return made
 
 
 def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids (unsigned 32-bit) of each block; at most LANES blocks at once."""
     order = _longest_first(lengths)
-    n = np.array([lengths[i] for i in order], np.int64)
-    state = _Lanes(len(coded))
-    width = max((len(c) for c in coded), default=0) + 8
-    data = np.zeros((len(coded), width), np.uint8)
-    for lane, i in enumerate(order):
-        data[lane, : len(coded[i])] = np.frombuffer(coded[i], np.uint8)
-    code = np.zeros(len(coded), np.uint32)
-    for k in range(4):
-        code = code << np.uint32(8) | data[:, k]
-    at = np.full(len(coded), 4, np.int64)
-    ids = np.zeros((int(n.max(initial=0)), len(coded)), np.int64)
-    for t in range(len(ids)):
-        m = int(np.searchsorted(-n, -t, "left"))
-        current = np.zeros(m, np.int64)
-        for nibble in range(4):
-            rows = state.contexts(m, nibble, current)
-            counts, cumulative = state.mixed(m, nibble, rows)
-            total = cumulative[:, 16].astype(np.uint32)
-            unit = state.range[:m] // total
-            target = np.minimum((code[:m] - state.low[:m]) // unit, total - np.uint32(1))
-            symbol = (cumulative[:, 1:] <= target[:, None]).sum(axis=1)
-            state.narrow(m, cumulative, symbol, unit)
-            for lanes in state.shifting(m):
-                code[lanes] = code[lanes] << np.uint32(8) | data[lanes, np.minimum(at[lanes], width - 1)]
-                at[lanes] += 1
-            state.learn(m, nibble, rows, counts, symbol)
-            current = current << 4 | symbol
-        ids[t, :m] = current
-        state.remember(m, current)
-    made: list[np.ndarray] = [np.empty(0, "<u4")] * len(coded)
+    read = [_Model.read(coded[i], lengths[i]) for i in order]
+    lengths = [lengths[i] for i in order]
+    longest, lanes = max(lengths, default=0), len(coded)
+    width = max((len(words) for _, words in read), default=0) // 2 + 3
+    data = np.zeros((lanes, width), np.uint16)
+    # Here an id is its place among those of all blocks; a block's begin at its base, and one without ids has a place too.
+    sizes = np.array([max(len(model.counts), 1) for model, _ in read], np.int64)
+    bases = np.cumsum(sizes) - sizes
+    order_0, place_of = np.zeros(sizes.sum(), np.int32), np.zeros((lanes, longest), np.int32)
+    shares = np.zeros((3, lanes, _STATES))
+    for lane, (model, words) in enumerate(read):
+        n, base = len(model.counts), bases[lane]
+        data[lane, : len(words) // 2] = np.frombuffer(words, "<u2", len(words) // 2)
+        order_0[base : base + n] = (model.below << _COUNT) + model.counts
+        place_of[lane, : lengths[lane]] = np.repeat(np.arange(base, base + n), model.counts)
+        shares[:, lane] = model.shares()
+    all_code = (data[:, 0] * _WORD + data[:, 1]) * _WORD + data[:, 2]
+    all_at, all_span = np.arange(lanes) * width + 3, np.full(lanes, _FULL)
+    all_previous, all_older = bases.copy(), bases * _PAIR
+    data, place_of, shares = data.reshape(-1), place_of.reshape(-1), shares.reshape(-1)
+    # A follower is held as (_RUN + 1) * id + run; those of order 2 come after those of order 1.
+    last = np.concatenate([np.repeat(bases << 2, sizes), np.repeat(bases << 2, _PAIRS)]).astype(np.int32)
+    ids = np.zeros((longest, lanes), np.int32)
+    for begin, end, m in _stretches(lengths):
+        code, span, at, previous, older = all_code[:m], all_span[:m], all_at[:m], all_previous[:m], all_older[:m]
+        lane = np.arange(m)
+        pair_base, pairs, rows = bases[:m] * (_PAIR + 1), lane * _PAIRS + len(order_0), lane * longest
+        states = lane * _STATES + np.arange(3)[:, None] * lanes * _STATES
+        context = np.empty((2, m), np.int64)
+        for t in range(begin, end):
+            context[0] = previous
+            np.add(older + previous - pair_base & _PAIRS - 1, pairs, out=context[1])
+            entry = last.take(context)
+            followers, runs = entry >> 2, entry & _RUN
+            share = shares.take((runs[0] << 2) + runs[1] + states)
+            weights, scale = share[:2], share[2]
+            unit = np.floor(span * (1 / _TOTAL))
+            target = np.minimum(np.floor(code / unit), _TOTAL - 1)
+            # Without what lies in a follower's own weight, the rest is order 0's.
+            starts = scale * (order_0.take(followers) >> _COUNT)
+            later = followers[1] < followers[0]
+            starts[0] += weights[1] * later
+            starts[1] += weights[0] * ~later
+            inside = np.minimum(np.maximum(target - starts, 0), weights)
+            target -= inside[0] + inside[1]
+            current = place_of.take(rows + (target / scale).astype(np.int64)).astype(np.int64)
+            true = followers == current
+            own = order_0.take(current)
+            start, size = _part(current, own >> _COUNT, own & (1 << _COUNT) - 1, followers, true, weights, scale)
+            part = unit * size
+            settled = part < _SHORT
+            shift = np.where(settled, _WORD, 1.0)
+            np.add((code - unit * start) * shift, data.take(at, mode="clip") * settled, out=code)
+            np.multiply(part, shift, out=span)
+            at += settled
+            last[context] = (current << 2) + true * np.minimum(runs + 1, _RUN)
+            np.multiply(previous, _PAIR, out=older)
+            previous[:] = current
+            ids[t, :m] = current
+    made: list[np.ndarray] = [np.empty(0, "<u4")] * lanes
     for lane, i in enumerate(order):
-        made[i] = ids[: n[lane], lane].astype("<u4")
+        made[i] = read[lane][0].distinct[ids[: lengths[lane], lane] - bases[lane]].astype("<u4") if lengths[lane] else made[i]
     return made

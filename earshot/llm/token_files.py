@@ -24,25 +24,27 @@ from earshot.llm.range_coder import BLOCK, LANES, decode, encode
 from earshot.llm.tokens import encoder
 from earshot.session import work_folder, written
 
-MAGIC = b"IDMIX1\r\n"
+MAGIC = b"IDMIX2\r\n"
 _BLOCK, _BLOCK_SIZE = "<III", 12
 _END, _END_SIZE = "<QQQQ8s", 40
 END = 2
+BLOCK_BYTES = 4 << 20  # of text whose ids are made together
 
 
 class FileWriter:
-    """Appends documents; full sets of blocks are coded as they fill, so memory does not grow with the file."""
+    """Appends documents, some at a time; full sets of blocks are coded as they fill, so memory does not grow with the file."""
 
     def __init__(self, out):
         self._out, self._table, self._pending, self._held = out, [], [], 0
         self.documents = self.blocks = self.ids = 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self._table.append(struct.pack("<?qQ", doc_id is not None, doc_id or 0, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """``ids`` of some documents one after the other, and how many each has."""
+        self._table += [struct.pack("<?qQ", doc_id is not None, doc_id or 0, n) for doc_id, n in zip(doc_ids, lengths.tolist(), strict=True)]
         self._pending.append(ids)
         self._held += len(ids)
-        self.documents += 1
+        self.documents += len(doc_ids)
         self.ids += len(ids)
         if self._held >= BLOCK * LANES:
             self._code(everything=False)
@@ -113,17 +115,15 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     files.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.array([end], "<u4")
         out_files, out_root = fs.FileSystem.from_uri(path)
         place = TaskContext.get().partitionId()
         name = f"part-{place:06d}-{uuid.uuid4().hex}.ids"
         writer = None
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK_BYTES):
             if writer is None and block.num_rows:
                 writer = FileWriter(out_files.open_output_stream(posixpath.join(out_root, name), compression=None))
             ids, at = encoder(tokenizer).flat_ids(block.column(1))
-            for doc_id, a, b in zip(block.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                writer.add(doc_id, np.concatenate([ids[a:b], last]))
+            writer.add(block.column(0).to_pylist(), np.insert(ids, at[1:], np.uint32(end)), np.diff(at) + 1)
         if writer is not None:
             writer.close()
             row = {"place": place, "name": name, "documents": writer.documents, "ids": writer.ids}
@@ -136,15 +136,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return written(ordered.mapInArrow(write, "place long, name string, documents long, ids long"), "token-files")
 
 
-def read_tokens(made: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document in the files ``made``."""
+def read_tokens(made: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids, little-endian unsigned 32-bit) of every document in the files ``made``."""
     before = F.sum("ids").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     # One row a file.
     placed = made.select("place", "name", F.coalesce(before, F.lit(0)).alias("base"))
     spread = placed.repartitionByRange(max(1, made.count()), "place").select("name", "base")
 
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
+    schema = pa.schema(fields if with_ids else fields[:-1])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         in_files, in_root = fs.FileSystem.from_uri(path)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -152,19 +154,20 @@ def read_tokens(made: DataFrame, path: str) -> DataFrame:
                 with in_files.open_input_file(posixpath.join(in_root, name)) as handle:
                     for doc_id, ids in read_file(handle):
                         data = ids.tobytes()
-                        rows.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(data), "ids": data})
+                        row = {"doc_id": doc_id, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(data)}
+                        rows.append(row | {"ids": data} if with_ids else row)
                         start += len(ids)
-                        size += len(data) + 64
+                        size += (len(data) if with_ids else 0) + 64
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def token_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write the files of ``docs`` to a folder of their own, read them back, and return a row per document without its ids."""
     folder = work_folder(spark, "tokens")
-    return read_tokens(write_tokens(docs, folder), folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_tokens(write_tokens(docs, folder), folder, with_ids=False)
