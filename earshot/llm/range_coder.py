@@ -25,6 +25,7 @@ _PAIRS, _PAIR = 2048, 61  # places of order 2; an id times _PAIR plus the next o
 _RUN = 3  # a follower's run counts up to this
 _STATES = 16  # runs of both followers
 _COUNT = 14  # bits that a count takes
+_STEPS = 256  # that are turned from lanes to steps, or back, together
 _TOTAL = 1 << 20  # what the mix's frequencies sum to
 _WEIGHT = _TOTAL // 256 * 63 // 64  # of them, for a weight of 1; weights are at most 255 together, which leaves order 0 more than 2 * BLOCK
 _FULL, _SHORT, _WORD = float(1 << 48), float(1 << 32), 65536.0
@@ -76,11 +77,10 @@ def _followers(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     last = np.concatenate([ids[:1], ids[:-1]])
     new = np.ones(len(ids), bool)
     np.not_equal(context[1:], context[:-1], out=new[1:])
-    last[new] = 0
+    last *= ~new
     since = np.arange(len(ids), dtype=np.int16)
-    begun = np.where(new, since, 0)
-    np.maximum(begun[1:], since[1:] * (ids != last)[:-1], out=begun[1:])
-    since -= np.maximum.accumulate(begun)
+    new[1:] |= (ids != last)[:-1]
+    since -= np.maximum.accumulate(since * new)
     follower, run = np.empty_like(last), np.empty_like(since)
     follower[order], run[order] = last, np.minimum(since, _RUN)
     return follower, run
@@ -94,9 +94,10 @@ def _part(ids, below, count, followers, true, weights, scale) -> tuple[np.ndarra
 
 def _modelled(block: np.ndarray) -> tuple[_Model, np.ndarray, np.ndarray]:
     """A block's model, and the start and the size of each id's part."""
-    everything = np.bincount(block)
-    distinct = np.flatnonzero(everything)
-    place = np.zeros(len(everything), np.uint16)
+    ordered = np.sort(block.astype(np.uint16))
+    begun = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    distinct = ordered[begun].astype(np.int64)
+    place = np.empty(1 << 16, np.uint16)
     place[distinct] = np.arange(len(distinct))
     ids = place.take(block)
     before = np.concatenate([np.zeros(2, np.uint16), ids])
@@ -106,11 +107,10 @@ def _modelled(block: np.ndarray) -> tuple[_Model, np.ndarray, np.ndarray]:
     state = made[0][1] * (_RUN + 1) + made[1][1]
     true = followers == ids
     # Where both followers are one, it is order 2 that comes true.
-    seen = np.maximum(np.bincount(state, minlength=_STATES), 1)
-    credited = (true[0] & ~true[1], true[1])
-    weights = np.concatenate([np.bincount(state[t], minlength=_STATES) * 255 // seen for t in credited])
-    model = _Model(distinct, everything.take(distinct), weights)
-    shares = model.shares().take(state, axis=1)
+    seen = np.bincount(state * 4 + true[0] * 2 + true[1], minlength=4 * _STATES).reshape(_STATES, 4)
+    weights = np.concatenate([seen[:, 2], seen[:, 1] + seen[:, 3]]) * 255 // np.tile(np.maximum(seen.sum(axis=1), 1), 2)
+    model = _Model(distinct, np.diff(begun, append=len(block)), weights)
+    shares = np.stack([share.take(state) for share in model.shares()])
     return model, *_part(ids, model.below.take(ids), model.counts.take(ids), followers, true, shares[:2], shares[2])
 
 
@@ -119,11 +119,11 @@ def _longest_first(lengths: list[int]) -> np.ndarray:
 
 
 def _stretches(lengths: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(from, to, lanes): which steps have how many of the lanes, whose lengths descend."""
+    """(from, to, lanes): which steps have how many of the lanes, whose lengths descend; some steps at a time."""
     for m in range(len(lengths), 0, -1):
-        begin, end = lengths[m] if m < len(lengths) else 0, lengths[m - 1]
-        if begin < end:
-            yield begin, end, m
+        end = lengths[m - 1]
+        for begin in range(lengths[m] if m < len(lengths) else 0, end, _STEPS):
+            yield begin, min(begin + _STEPS, end), m
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -133,23 +133,24 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = _longest_first([len(b) for b in blocks])
     lengths = [len(blocks[i]) for i in order]
     longest, lanes = max(lengths, default=0), len(blocks)
-    starts, sizes, models = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.uint32), []
+    starts, sizes, models = np.zeros((lanes, longest), np.uint32), np.zeros((lanes, longest), np.uint32), []
     for lane, i in enumerate(order):
-        model, starts[: lengths[lane], lane], sizes[: lengths[lane], lane] = _modelled(blocks[i])
+        model, starts[lane, : lengths[lane]], sizes[lane, : lengths[lane]] = _modelled(blocks[i])
         models.append(model)
     first = np.arange(lanes) * (longest + 3)
     out = np.zeros(lanes * (longest + 3), np.uint32)
     all_at, all_low, all_span = first.copy(), np.zeros(lanes), np.full(lanes, _FULL)
     for begin, end, m in _stretches(lengths):
         at, low, span = all_at[:m], all_low[:m], all_span[:m]
-        for t in range(begin, end):
+        turned = (some[:m, begin:end].T.astype(np.float64, order="C") for some in (starts, sizes))
+        for start, size in zip(*turned, strict=True):
             unit = np.floor(span * (1 / _TOTAL))
-            base, part = low + unit * starts[t, :m], unit * sizes[t, :m]
+            base, part = low + unit * start, unit * size
             # A word above 16 bits carries into those before it, which is made up for at the end.
             word, settled = np.floor(base * (1 / _SHORT)), part < _SHORT
             out[at] = word
             at += settled
-            shift = np.where(settled, _WORD, 1.0)
+            shift = settled * (_WORD - 1) + 1
             np.multiply(base - word * settled * _SHORT, shift, out=low)
             np.multiply(part, shift, out=span)
     for _ in range(3):
@@ -179,58 +180,62 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     # Here an id is its place among those of all blocks; a block's begin at its base, and one without ids has a place too.
     sizes = np.array([max(len(model.counts), 1) for model, _ in read], np.int64)
     bases = np.cumsum(sizes) - sizes
-    order_0, place_of = np.zeros(sizes.sum(), np.int32), np.zeros((lanes, longest), np.int32)
-    shares = np.zeros((3, lanes, _STATES))
+    order_0, place_of = np.zeros(sizes.sum(), np.int32), np.zeros((lanes, longest), np.uint16)
+    shares = np.zeros((lanes, _STATES), np.complex128)  # of order 1 and, as the other part, order 0, so that one look finds both
     for lane, (model, words) in enumerate(read):
         n, base = len(model.counts), bases[lane]
         data[lane, : len(words) // 2] = np.frombuffer(words, "<u2", len(words) // 2)
         order_0[base : base + n] = (model.below << _COUNT) + model.counts
-        place_of[lane, : lengths[lane]] = np.repeat(np.arange(base, base + n), model.counts)
-        shares[:, lane] = model.shares()
+        place_of[lane, : lengths[lane]] = np.repeat(np.arange(n), model.counts)
+        one, _, scale = model.shares()
+        shares[lane] = one + 1j * scale
     all_code = (data[:, 0] * _WORD + data[:, 1]) * _WORD + data[:, 2]
     all_at, all_span = np.arange(lanes) * width + 3, np.full(lanes, _FULL)
-    all_previous, all_older = bases.copy(), bases * _PAIR
+    all_previous, all_older, all_lengths = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.array(lengths, np.float64)
     data, place_of, shares = data.reshape(-1), place_of.reshape(-1), shares.reshape(-1)
-    # A follower is held as (_RUN + 1) * id + run; those of order 2 come after those of order 1.
-    last = np.concatenate([np.repeat(bases << 2, sizes), np.repeat(bases << 2, _PAIRS)]).astype(np.int32)
-    ids = np.zeros((longest, lanes), np.int32)
+    # A follower is held as (_RUN + 1) * the number of lower ids in its block + run; those of order 2 come after those of order 1.
+    last = np.zeros(len(order_0) + lanes * _PAIRS, np.uint16)
+    ids = np.zeros((lanes, longest), np.uint16)
     for begin, end, m in _stretches(lengths):
-        code, span, at, previous, older = all_code[:m], all_span[:m], all_at[:m], all_previous[:m], all_older[:m]
+        code, span, at, previous, older, length = (x[:m] for x in (all_code, all_span, all_at, all_previous, all_older, all_lengths))
         lane = np.arange(m)
-        pair_base, pairs, rows = bases[:m] * (_PAIR + 1), lane * _PAIRS + len(order_0), lane * longest
-        states = lane * _STATES + np.arange(3)[:, None] * lanes * _STATES
-        context = np.empty((2, m), np.int64)
-        for t in range(begin, end):
-            context[0] = previous
-            np.add(older + previous - pair_base & _PAIRS - 1, pairs, out=context[1])
+        base, pairs, rows, states = bases[:m], lane * _PAIRS + len(order_0), lane * longest, lane * _STATES
+        context, weights, found = np.empty((2, m), np.int64), np.empty((2, m)), np.empty((end - begin, m), np.uint16)
+        for t in range(end - begin):
+            np.add(previous, base, out=context[0])
+            np.add(older + previous & _PAIRS - 1, pairs, out=context[1])
             entry = last.take(context)
             followers, runs = entry >> 2, entry & _RUN
             share = shares.take((runs[0] << 2) + runs[1] + states)
-            weights, scale = share[:2], share[2]
+            scale = share.imag.copy()
+            weights[0] = share.real
+            np.subtract(_TOTAL - weights[0], scale * length, out=weights[1])
             unit = np.floor(span * (1 / _TOTAL))
             target = np.minimum(np.floor(code / unit), _TOTAL - 1)
             # Without what lies in a follower's own weight, the rest is order 0's.
-            starts = scale * (order_0.take(followers) >> _COUNT)
+            starts = scale * followers
             later = followers[1] < followers[0]
             starts[0] += weights[1] * later
             starts[1] += weights[0] * ~later
             inside = np.minimum(np.maximum(target - starts, 0), weights)
             target -= inside[0] + inside[1]
-            current = place_of.take(rows + (target / scale).astype(np.int64)).astype(np.int64)
-            true = followers == current
-            own = order_0.take(current)
-            start, size = _part(current, own >> _COUNT, own & (1 << _COUNT) - 1, followers, true, weights, scale)
+            current = place_of.take(rows + (target / scale).astype(np.int64))
+            own = order_0.take(base + current)
+            below = (own >> _COUNT).astype(np.uint16)
+            true = followers == below
+            start, size = _part(below, below, own & (1 << _COUNT) - 1, followers, true, weights, scale)
             part = unit * size
             settled = part < _SHORT
-            shift = np.where(settled, _WORD, 1.0)
+            shift = settled * (_WORD - 1) + 1
             np.add((code - unit * start) * shift, data.take(at, mode="clip") * settled, out=code)
             np.multiply(part, shift, out=span)
             at += settled
-            last[context] = (current << 2) + true * np.minimum(runs + 1, _RUN)
+            last[context] = (below << 2) + true * np.minimum(runs + 1, _RUN)
             np.multiply(previous, _PAIR, out=older)
             previous[:] = current
-            ids[t, :m] = current
+            found[t] = current
+        ids[:m, begin:end] = found.T
     made: list[np.ndarray] = [np.empty(0, "<u4")] * lanes
     for lane, i in enumerate(order):
-        made[i] = read[lane][0].distinct[ids[: lengths[lane], lane] - bases[lane]].astype("<u4") if lengths[lane] else made[i]
+        made[i] = read[lane][0].distinct[ids[lane, : lengths[lane]]].astype("<u4") if lengths[lane] else made[i]
     return made

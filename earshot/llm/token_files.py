@@ -28,7 +28,7 @@ MAGIC = b"IDMIX2\r\n"
 _BLOCK, _BLOCK_SIZE = "<III", 12
 _END, _END_SIZE = "<QQQQ8s", 40
 END = 2
-BLOCK_BYTES = 4 << 20  # of text whose ids are made together
+BLOCK_BYTES = 8 << 20  # of text whose ids are made together
 
 
 class FileWriter:

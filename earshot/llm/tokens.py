@@ -12,14 +12,48 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: From so many pieces on, a worker begins anew to remember; what it held stays at hand until it has as many again, so pieces that come often stay.
-REMEMBERED = 250_000
+from earshot.llm.arrow import utf8
 
-#: A word of Latin letters and the punctuation after it: one or two units for the model, whichever tokenizer.  U+0130 is left out, as
+#: From so many pieces on, a worker remembers only those that came again; if these are more than half as many, it begins anew.
+REMEMBERED = 400_000
+_NEAR = 1 << 18  # bytes of text that are gone through together
+
+#: A word of Latin letters or a run of punctuation: one unit for the model, whichever tokenizer.  U+0130 is left out, as
 #: its lower case is two characters, which tokenizers treat in their own ways.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
+_UNIT = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[!-/:-@\[-`{-~]+)")
+
 
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where UTF-8 texts, one after the other, may be cut so that encoding the parts equals encoding the whole; beside their ends.
+
+    A cut is made before a space or a line break that follows something else than white space, after a line break that stands alone,
+    and between a Latin letter and ASCII punctuation, except after an apostrophe and at a bar, which special tokens hold.
+    """
+    cut = np.zeros(len(data), bool)
+    if not len(data):
+        return cut
+    letter = (data | 32) - np.uint8(97) < 26
+    printed = data - np.uint8(33) < 94
+    mark = printed & ~letter & (data - np.uint8(48) >= 10) & (data != ord("|"))
+    solid, opens, ends, begins = printed, printed, letter, letter
+    if (data >= 128).any():
+        # U+00C0 to U+023F are letters but for two signs; U+0130 may become a letter and a mark.
+        latin = data - np.uint8(0xC3) < 6
+        latin[:-1] &= (data[:-1] != 0xC3) | (data[1:] != 0x97) & (data[1:] != 0xB7)
+        latin[:-1] &= (data[:-1] != 0xC4) | (data[1:] != 0xB0)
+        begins = letter | latin
+        ends = letter.copy()
+        ends[1:] |= latin[:-1]
+        # White space beyond ASCII ends, among others, with these bytes, and begins with these.
+        blank = data - np.uint8(0x80) < 48
+        blank[1:] &= (data[:-1] - np.uint8(0x80) < 2) | (data[:-1] == 0x9A) | (data[:-1] == 0xC2)
+        solid = printed | (data >= 128) & ~blank
+        opens = printed | (data >= 0xC3) & ~(data - np.uint8(0xE1) < 3)
+    line = data == ord("\n")
+    np.logical_and((data == ord(" ")) | line, np.append(False, solid[:-1]), out=cut)
+    cut[1:] |= ends[:-1] & mark[1:] | mark[:-1] & (data[:-1] != ord("'")) & begins[1:]
+    cut[1:] |= line[:-1] & cut[:-1] & opens[1:]
+    return cut
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,11 +75,8 @@ def _library(path: str):
 class Encoder:
     """Ids by the tokenizers library without special tokens, equal to encoding each text whole.
 
-    Both supported kinds cut a text before they look words up, and never across a space that follows
-    something else than white space.  So a text is cut at its spaces, and each distinct piece is encoded once and remembered.
-    Byte-level tokenizers join a space to what follows, and runs of white space to each other: there a piece keeps the space
-    before it, and the rare text with white space on both sides of a space is encoded whole.  Tokenizers that
-    drop white space need neither.
+    Both supported kinds cut a text before they look words up.  So a text is cut beforehand where either cuts it in any case, and
+    each distinct piece, with the space before it, is encoded once and remembered.
     """
 
     def __init__(self, path: str):
@@ -54,159 +85,113 @@ class Encoder:
         # Between pieces that are encoded together; it becomes one id that none of them can give.
         self._mark = "\n" if self._keeps_space else " | "
         self._mark_id = self._encode([self._mark])[0][0]
-        self._lead = " " if self._keeps_space else ""
         self._letters = _byte_letters()
-        self._units: dict[str, bytes] = {}
-        self._older_units: dict[str, bytes] = {}
         # Whether words can go to the model past the library's cutting, which takes most of its time.
-        trial = ["Word", "naïve,", "STRASSE!!", "Ÿe", "x|", "a'", "end.\nBegin\nÉté"]
-        whole = self._encode([self._lead + w for w in trial])
+        trial = [" Word", " naïve", ",", " STRASSE", "!!", "Ÿe", " |", "'", "Begin", "\u00c9t\u00e9", " .."]
         self._direct = sys.byteorder == "little" and all(
-            array("I", ids).tobytes() == self._spelled(w, self._lead) for w, ids in zip(trial, whole, strict=True)
+            array("I", ids).tobytes() == self._unit(piece) for piece, ids in zip(trial, self._encode(trial), strict=True)
         )
-        self._known: dict[str, bytes] = {}  # by the piece without the space before it
-        self._older: dict[str, bytes] = {}
-        self._odd: set[str] = set()  # those of them that begin or end with white space, or are empty
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = pa.array([], pa.large_string())
+        self._flat = np.empty(0, "<u4")  # the ids of the known pieces
+        self._at = np.zeros(1, np.int64)  # where each one's begin, and the last's end
+        self._again = np.empty(0, bool)  # which of them came again
+
+    def _keep_some(self) -> None:
+        kept, ids = np.flatnonzero(self._again), np.repeat(self._again, np.diff(self._at))
+        if len(kept) > REMEMBERED // 2:
+            self._forget()
+            return
+        self._known, self._flat = self._known.take(pa.array(kept)), self._flat[ids]
+        self._at = np.append(0, np.cumsum(np.diff(self._at)[kept]))
+        self._again = np.zeros(len(kept), bool)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit(self, text: str) -> bytes:
-        got = self._units.get(text)
-        if got is None:
-            got = self._units[text] = self._older_units.get(text)
-        if got is None:
-            if text.isascii() and text.isprintable():
-                spelled = text.replace(" ", self._letters[32])
-            else:
-                spelled = text.encode().decode("latin-1").translate(self._letters)
-            got = self._units[text] = array("I", [t.id for t in self._tokenizer.model.tokenize(spelled)]).tobytes()
-        return got
-
-    def _spelled(self, piece: str, lead: str) -> bytes | None:
-        """The ids of words with a line break between two; None for anything else."""
-        if "\n" not in piece:
-            return self._word(piece, lead)
-        out = []
-        for i, part in enumerate(piece.split("\n")):
-            ids = self._word(part, "" if i else lead)
-            if ids is None:
-                return None
-            if i and self._keeps_space:
-                out.append(self._unit("\n"))
-            out.append(ids)
-        return b"".join(out)
-
-    def _word(self, piece: str, lead: str) -> bytes | None:
-        match = _WORD.fullmatch(piece)
-        if match is None:
-            return None
-        letters, after = match.groups()
-        ids = self._unit(lead + (letters if self._keeps_space else letters.lower()))
-        return ids + self._unit(after) if after else ids
-
-    def _learn(self, pieces: list[str]) -> None:
+    def _unit(self, piece: str) -> bytes:
+        """The ids of a piece that the library would not cut."""
+        text = piece if self._keeps_space else piece.lstrip(" ").lower()
+        if text.isascii():
+            spelled = text.replace(" ", self._letters[32])
+        else:
+            spelled = text.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        out: list[bytes] = [b""] * len(pieces)
         together, alone = [], []
-        units, lead = self._units, self._lead
-        for piece in pieces:
-            ids = None
-            if self._direct:
-                match = _WORD.fullmatch(piece)
-                if match is None:
-                    ids = self._spelled(piece, lead)
-                else:  # as in _word, which most pieces need not be handed to
-                    letters, after = match.groups()
-                    letters = lead + (letters if self._keeps_space else letters.lower())
-                    ids = units.get(letters) or self._unit(letters)
-                    if after:
-                        ids += units.get(after) or self._unit(after)
-            if ids is not None:
-                self._known[piece] = ids
-                continue
-            edges = not piece or piece[0].isspace() or piece[-1].isspace()
-            # One word without white space or the mark.
-            plain = not edges and "|" not in piece and len(piece.split()) == 1
-            (together if plain else alone).append(piece)
-            if edges and self._keeps_space:
-                self._odd.add(piece)
+        for i, piece in enumerate(pieces):
+            if self._direct and _UNIT.fullmatch(piece):
+                out[i] = self._unit(piece)
+            # One word without white space, but for a space before it, or the mark.
+            elif "|" not in piece and piece.split() == [piece.removeprefix(" ")]:
+                together.append(i)
+            else:
+                alone.append(i)
         for at in range(0, len(together), 5000):
             part = together[at : at + 5000]
-            ids = np.array(self._encode([self._lead + (self._mark + self._lead).join(part)])[0], "<u4")
+            ids = np.array(self._encode([self._mark.join([pieces[i] for i in part])])[0], "<u4")
             cuts = np.flatnonzero(ids == self._mark_id)
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             if len(starts) != len(part):
                 alone += part
                 continue
             data = ids.tobytes()
-            for piece, start, end in zip(part, starts, ends, strict=True):
-                self._known[piece] = data[4 * start : 4 * end]
-        for piece, ids in zip(alone, self._encode([self._lead + p for p in alone]), strict=True):
-            self._known[piece] = np.array(ids, "<u4").tobytes()
-
-    def _opening(self, piece: str) -> bytes:
-        ids = self._spelled(piece, "") if self._direct else None
-        return np.array(self._encode([piece])[0], "<u4").tobytes() if ids is None else ids
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces that have a space before them, or none where the tokenizer drops it."""
+            for i, start, end in zip(part, starts, ends, strict=True):
+                out[i] = data[4 * start : 4 * end]
+        for i, ids in zip(alone, self._encode([pieces[i] for i in alone]), strict=True):
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among the known ones, which they join."""
         if len(self._known) > REMEMBERED:
-            self._known, self._older = {}, self._known
-        if len(self._units) > REMEMBERED:
-            self._units, self._older_units = {}, self._units
-        if len(self._odd) > REMEMBERED:
-            self._known, self._older, self._odd = {}, {}, set()
-        found = list(map(self._known.get, pieces))
-        if None in found:
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            new = []
-            for i in missing:
-                piece = pieces[i]
-                ids = self._older.get(piece)
-                if ids is None:
-                    new.append(piece)
-                else:
-                    self._known[piece] = ids
-            self._learn(new)
-            for i in missing:
-                found[i] = self._known[pieces[i]]
-        return found
+            self._keep_some()
+        places = pc.index_in(pieces, value_set=self._known)
+        new = pieces.filter(places.is_null())
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        self._again[places[places >= 0]] = True
+        if len(new):
+            self._again = np.append(self._again, np.zeros(len(new), bool))
+            places[places < 0] = len(self._known) + np.arange(len(new))
+            ids = self._fresh(new.to_pylist())
+            self._known = pa.concat_arrays([self._known, new])
+            self._flat = np.concatenate([self._flat, np.frombuffer(b"".join(ids), "<u4")])
+            self._at = np.append(self._at, self._at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+        return places
 
     def flat_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The little-endian unsigned 32-bit ids of all texts one after the other, and where each text's begin and the last's end.
 
         A null or empty text has none.
         """
-        texts = texts.fill_null("")
-        split = pc.split_pattern(texts, " ")
-        first = split.offsets.to_numpy().astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        entry = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        ids = self._ids_of(pieces)
-        whole = np.empty(0, np.int64)  # texts that are encoded as they are
-        if self._keeps_space and len(texts):
-            odd = self._odd.intersection(pieces)
-            if odd:
-                marked = np.fromiter((piece in odd for piece in pieces), bool, len(pieces))
-                rows = np.unique(np.searchsorted(first, np.flatnonzero(marked[entry]), "right") - 1)
-                whole = np.array([row for row in rows.tolist() if _UNSAFE.search(texts[row].as_py())], np.int64)
-            # What stands before the first space has no space before it.
-            openings, place = np.unique(entry[first[:-1]], return_inverse=True)
-            entry[first[:-1]] = len(ids) + place
-            ids += [self._opening(pieces[i]) for i in openings.tolist()]
-        entry_sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        sizes = entry_sizes[entry]
-        for row in whole.tolist():
-            own = np.array(self._encode([texts[row].as_py()])[0], "<u4").tobytes()
-            sizes[first[row] : first[row + 1]] = 0
-            entry[first[row]], sizes[first[row]] = len(ids), len(own) // 4
-            entry_sizes = np.append(entry_sizes, len(own) // 4)
-            ids.append(own)
+        data, offsets = utf8(texts)
+        cut = np.empty(len(data), bool)
+        # Some texts at a time, for the sake of the processor's cache.
+        row = 0
+        while row < len(texts):
+            end = max(int(np.searchsorted(offsets, offsets[row] + _NEAR, "right")) - 1, row + 1)
+            cut[offsets[row] : offsets[end]] = _cuts(data[offsets[row] : offsets[end]])
+            row = end
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data))
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        begin = self._at[place]
+        sizes = self._at[place + 1] - begin
         at = np.concatenate([[0], np.cumsum(sizes)])
-        # From where an entry lies among the entries to where its piece stands among the pieces.
-        shift = (np.cumsum(entry_sizes) - entry_sizes)[entry] - at[:-1]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        return flat[np.repeat(shift, sizes) + np.arange(at[-1])], at[first]
+        shift = begin - at[:-1]
+        out = np.empty(at[-1], "<u4")
+        for i in range(0, len(place), _NEAR // 4):
+            some = slice(i, i + _NEAR // 4)
+            a, b = at[i], at[min(some.stop, len(place))]
+            np.take(self._flat, np.repeat(shift[some], sizes[some]) + np.arange(a, b), out=out[a:b], mode="clip")
+        return out, at[np.searchsorted(starts, offsets)]
 
     def all_ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its little-endian unsigned 32-bit ids; none for a null or empty text."""

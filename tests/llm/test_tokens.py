@@ -47,6 +47,30 @@ def test_ids_of_words_of_all_letters(name, words, end):
     assert pieces.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+#: What stands beside a place where texts are cut beforehand.
+BESIDE = [
+    "a", "Été", "ǅ", "ȿ", "\u0130", "×", "÷", "я", "你", "\u0307", "\u0338", "=", ",", ".\n", "\n", "\n\n", "\r\n", " ", "  ", "\t", "\x0b", "\x1c", "\x7f", "\x85", "\xa0",
+    "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "'", "'s", "'LL", "’s", "|", "||", "<", "<|", "<|endoftext|>", "<|startoftext|>", "_", "7", "½", "\U0001f642", "\0", "ﬁ", "Ⅷ",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=600, deadline=None)
+@given(parts=st.lists(st.sampled_from(BESIDE), max_size=10))
+def test_ids_equal_where_texts_are_cut(name, parts):
+    whole, pieces = both(name)
+    text = "".join(parts)
+    assert pieces.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_ids_equal_beside_every_pair(name):
+    whole, pieces = both(name)
+    texts = [f"x{a}{b}y" for a in BESIDE for b in BESIDE] + [f"{a} {b}" for a in BESIDE for b in BESIDE] + [f"b{a}\n{b}" for a in BESIDE for b in BESIDE]
+    for text, ids in zip(texts, pieces.all_ids(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_every_letter_alone_and_within_a_word(name):
     whole, pieces = both(name)
